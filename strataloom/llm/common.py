@@ -38,6 +38,14 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """A column name like `name` that is not taken."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 def groups_of_texts(texts: list[str | None]) -> Iterator[tuple[int, int]]:
     """Ranges of texts that hold BATCH_CHARS characters, or one text."""
     start = size = 0
@@ -61,7 +69,7 @@ def append_columns(df: DataFrame, text_col: str, fields: T.StructType, make: Cal
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     kept = [c for c in df.columns if c not in fields.names]
     schema = T.StructType([df.schema[c] for c in kept] + list(fields))
-    source = df.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text_col}`").alias("__text"))
+    source = df.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text_col}`").alias(fresh("text", kept)))
     types = [_arrow_type(f.dataType) for f in fields]
     names = kept + fields.names
 

@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataloom.llm.common import let, materialise
+from strataloom.llm.common import fresh, let, materialise
 
 SAMPLE_ROWS = 4000
 SPACE = "[\\x20\\x09-\\x0D]+"
@@ -53,12 +53,13 @@ def with_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     kept = [c for c in docs.columns if c not in STATS]
+    whole, bound = fresh("__text", kept), fresh("__counts", kept)
 
     def counts(w: Column) -> Column:
         return F.struct(F.size(w).alias("n_words"), F.length(F.array_join(w, "")).alias("word_chars"), repeat_words(w).alias("n_repeat_words"), F.size(F.array_distinct(w)).alias("n_distinct"))
 
-    counted = docs.select(*kept, text.alias("__text"), let(F.array_remove(F.split(text, SPACE, -1), ""), counts).alias("__counts"))
-    t = F.col("__text")
+    counted = docs.select(*kept, text.alias(whole), let(F.array_remove(F.split(text, SPACE, -1), ""), counts).alias(bound))
+    t = F.col(whole)
     lines = let(F.filter(F.split(t, "\n", -1), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")), lambda x: F.size(x) - F.size(F.array_distinct(x)))
     made = {
         "n_symbols": F.regexp_count(t, F.lit("[#*$%&|<>]")),
@@ -66,7 +67,7 @@ def with_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "n_upper": F.regexp_count(t, F.lit("[A-Z]")),
         "n_marks": F.regexp_count(t, F.lit("[!?]")),
     }
-    return counted.select(*kept, *(made.get(c, F.col(f"__counts.{c}")).cast("long").alias(c) for c in STATS))
+    return counted.select(*kept, *(made.get(c, F.col(f"{bound}.{c}")).cast("long").alias(c) for c in STATS))
 
 
 def base_failed() -> Column:
