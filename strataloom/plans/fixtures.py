@@ -30,7 +30,7 @@ _KG = [
     ("supplier", "'s/' || s_suppkey", "type", "'Table'", "true", "'g2'", "true"),
     ("supplier", "'s/' || s_suppkey", "label", "s_name", "false", "'g2'", "true"),
     ("supplier", "'s/' || s_suppkey", "joinableWith", "'s/' || (s_suppkey + 7)", "true", "'g2'", "s_suppkey < 90"),
-    ("supplier", "'s/' || s_suppkey", "transformsFrom", "'s/' || (s_suppkey + 13)", "true", "'g2'", "s_suppkey % 3 = 0 AND s_suppkey < 80"),
+    ("supplier", "'s/' || s_suppkey", "transformsFrom", "'s/' || (s_suppkey + 12)", "true", "'g2'", "s_suppkey % 3 = 0 AND s_suppkey < 80"),
 ]
 KG = "(" + " UNION ALL ".join(f"SELECT {s} AS s, '{p}' AS p, {o} AS o, {iri} AS iri, {g} AS g FROM {table} WHERE {where}" for table, s, p, o, iri, g, where in _KG) + ")"
 
