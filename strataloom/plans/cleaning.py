@@ -1 +1,271 @@
-"""Queries of this family."""
+"""Triple construction and cleaning over the derived triples."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from strataloom.operators import triples as C
+from strataloom.plans.fixtures import KG, kg
+from strataloom.plans.metrics import _r
+from strataloom.plans.retrieval import _SIMS, _tables, _vectors
+from strataloom.registry import query
+
+RAW = """(SELECT 'p/' || l_partkey AS s, 'suppliedBy' AS p, 's/' || l_suppkey AS o, l_returnflag AS source, floor(1000 * (1 - l_discount) + 0.5) / 10 AS confidence FROM lineitem)"""
+_ONE = "floor(({}) * 10 + 0.5 + 1e-7) / 10"
+
+
+def raw(t):
+    return t.lineitem.select(F.expr("'p/' || l_partkey").alias("s"), F.lit("suppliedBy").alias("p"), F.expr("'s/' || l_suppkey").alias("o"), F.col("l_returnflag").alias("source"), (F.floor(1000 * (1 - F.col("l_discount")) + 0.5) / 10).alias("confidence"))
+
+
+@query(r"SELECT p_partkey, regexp_replace(regexp_replace(lower(trim(p_type)), '\s+', '_', 'g'), '[^\w.\-]', '', 'g') AS slug, 'part/' || p_brand || '/' || p_partkey AS iri FROM part")
+def make_iri(t):
+    return t.part.select("p_partkey", C.slug(F.col("p_type")).alias("slug"), C.iri("part", F.regexp_replace("p_brand", "#", "#"), F.col("p_partkey")).alias("iri")).withColumn("iri", F.url_decode("iri"))
+
+
+_REPLY = "'{\"items\": [{\"name\": \"' || p_type || '\", \"definition\": \"' || p_brand || '\", \"confidence\": ' || (p_size * 2) || ', \"synonyms\": [\"' || lower(p_type) || '\"]}]}'"
+_FIRST = "(SELECT *, regexp_replace(regexp_replace(lower(trim(p_type)), '\\s+', '_', 'g'), '[^\\w.\\-]', '', 'g') AS key FROM part QUALIFY row_number() OVER (PARTITION BY key ORDER BY p_partkey) = 1)"
+
+
+def _family(name, kind):
+    k = kind.lower()
+
+    @query(f"""SELECT '{k}/' || key AS s, unnest(['type', 'label', 'definition', 'confidence', 'status', 'altLabel']) AS p, unnest(['{kind}', p_type, p_brand, CAST(CAST(p_size * 2 AS DOUBLE) AS VARCHAR), CASE WHEN p_size * 2 >= 85 THEN 'approved' ELSE 'draft' END, lower(p_type)]) AS o, unnest([true, false, false, false, false, false]) AS iri FROM {_FIRST}""", name)
+    def make(t):
+        replies = t.part.select(F.col("p_partkey").alias("reply_id"), F.expr(_REPLY).alias("reply"))
+        return C.from_replies(replies, kind, "name:string,definition:string,confidence:double,synonyms:array<string>")
+
+
+for _name, _kind in (("triples_from_terms", "Term"), ("triples_from_metrics", "Metric"), ("triples_from_dimensions", "Dimension"), ("triples_from_rules", "BusinessRule")):
+    _family(_name, _kind)
+
+
+@query("""SELECT 'c/' || c_custkey AS s, CASE c_custkey % 2 WHEN 0 THEN 'related' ELSE 'derivedFrom' END AS p, 'n/' || c_nationkey AS o FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_nationkey % 4 <> 0""")
+def triples_from_relations(t):
+    known = t.nation.where("n_nationkey % 4 <> 0").select(F.col("n_nationkey").alias("c_nationkey"))
+    kind = F.when(F.col("c_custkey") % 2 == 0, "related").otherwise("derivedFrom")
+    return t.customer.join(known, "c_nationkey", "left_semi").select(F.expr("'c/' || c_custkey").alias("s"), kind.alias("p"), F.expr("'n/' || c_nationkey").alias("o"))
+
+
+@query("SELECT 'n/' || n_nationkey AS s, 'broader' AS p, 'r/' || n_regionkey AS o FROM nation UNION ALL SELECT 'r/' || n_regionkey, 'narrower', 'n/' || n_nationkey FROM nation")
+def triples_from_hierarchy(t):
+    n, r = F.expr("'n/' || n_nationkey"), F.expr("'r/' || n_regionkey")
+    both = F.array(F.struct(n.alias("s"), F.lit("broader").alias("p"), r.alias("o")), F.struct(r.alias("s"), F.lit("narrower").alias("p"), n.alias("o")))
+    return t.nation.select(F.explode(both).alias("x")).select("x.*")
+
+
+@query("""SELECT DISTINCT s, p, o FROM (SELECT 'm/' || event_type AS s, 'computedFrom' AS p, 'u/' || (user_id % 20) AS o FROM events WHERE user_id % 3 = 0 UNION ALL SELECT 'u/' || (user_id % 20), 'joinableWith', 'v/' || event_type FROM events WHERE user_id % 3 = 1 UNION ALL SELECT 't/' || event_type, 'mapsTo', 'u/' || (user_id % 20) FROM events WHERE user_id % 3 = 2)""")
+def triples_from_chunk_meta(t):
+    u = F.expr("'u/' || (user_id % 20)")
+    named = lambda p: F.concat(F.lit(p), "event_type")
+    x = F.when(F.col("user_id") % 3 == 0, F.struct(named("m/").alias("s"), F.lit("computedFrom").alias("p"), u.alias("o"))).when(F.col("user_id") % 3 == 1, F.struct(u.alias("s"), F.lit("joinableWith").alias("p"), named("v/").alias("o"))).otherwise(F.struct(named("t/").alias("s"), F.lit("mapsTo").alias("p"), u.alias("o")))
+    return t.events.select(x.alias("x")).select("x.*").distinct()
+
+
+@query("""SELECT 'table/' || s_suppkey AS s, unnest(['type', 'label', 'platform']) AS p, unnest(['PhysicalTable', s_name, 'db' || s_nationkey]) AS o, unnest([true, false, false]) AS iri FROM supplier""")
+def triples_from_catalog(t):
+    return C.flatten(t.supplier, F.expr("'table/' || s_suppkey"), {"type": (F.lit("PhysicalTable"), True), "label": (F.col("s_name"), False), "platform": (F.expr("'db' || s_nationkey"), False)})
+
+
+@query("""SELECT kind, min(a) AS a, min(b) AS b FROM (SELECT 'term_column' AS kind, c_mktsegment AS a, 'n' || c_nationkey AS b FROM customer UNION ALL SELECT 'metric_table', upper(c_mktsegment), 'n' || c_nationkey FROM customer UNION ALL SELECT 'term_column', lower(c_mktsegment), 'N' || c_nationkey FROM customer) GROUP BY kind, lower(a), lower(b)""")
+def relation_edges(t):
+    c = t.customer
+    make = lambda kind, a, b: c.select(F.lit(kind).alias("kind"), a.alias("a"), b.alias("b"))
+    every = make("term_column", F.col("c_mktsegment"), F.expr("'n' || c_nationkey")).unionByName(make("metric_table", F.upper("c_mktsegment"), F.expr("'n' || c_nationkey"))).unionByName(make("term_column", F.lower("c_mktsegment"), F.expr("'N' || c_nationkey")))
+    return every.groupBy("kind", F.lower("a").alias("la"), F.lower("b").alias("lb")).agg(F.min("a").alias("a"), F.min("b").alias("b")).select("kind", "a", "b")
+
+
+@query("""SELECT DISTINCT 'class/' || p_brand AS s, p, CASE p WHEN 'type' THEN 'Class' WHEN 'subClassOf' THEN 'Part' ELSE p_brand END AS o, p <> 'label' AS iri FROM part CROSS JOIN (SELECT unnest(['type', 'subClassOf', 'label']) AS p)""")
+def triples_from_subclasses(t):
+    brands = t.part.select("p_brand").distinct()
+    return C.flatten(brands, F.concat(F.lit("class/"), "p_brand"), {"type": (F.lit("Class"), True), "subClassOf": (F.lit("Part"), True), "label": (F.col("p_brand"), False)})
+
+
+@query(f"WITH x AS (SELECT DISTINCT n FROM (SELECT s AS n FROM {KG} UNION ALL SELECT o FROM {KG} WHERE iri) WHERE n LIKE 's/%') SELECT n AS s, 'sameAs' AS p, 'supplier/' || substr(n, 3) AS o FROM x UNION ALL SELECT 'supplier/' || substr(n, 3), 'sameAs', n FROM x")
+def iri_bridge(t):
+    triples = kg(t)
+    old = triples.select(F.col("s").alias("n")).unionByName(triples.where("iri").select(F.col("o").alias("n"))).where("n like 's/%'").distinct()
+    new = F.concat(F.lit("supplier/"), F.substring("n", 3, 100))
+    both = F.array(F.struct(F.col("n").alias("s"), F.lit("sameAs").alias("p"), new.alias("o")), F.struct(new.alias("s"), F.lit("sameAs").alias("p"), F.col("n").alias("o")))
+    return old.select(F.explode(both).alias("x")).select("x.*")
+
+
+@query("SELECT 'p/' || l_partkey AS s, 'suppliedBy' AS p, 's/' || l_suppkey AS o, l_returnflag AS source, floor(least(100.0::DOUBLE, greatest(0.0::DOUBLE, l_quantity * 3 - 10)) * 10 + 0.5 + 1e-7) / 10 AS confidence FROM lineitem WHERE l_returnflag <> 'A'")
+def clean_normalise(t):
+    odd = raw(t).withColumn("s", F.concat(F.lit("  "), "s", F.lit(" "))).withColumn("o", F.when(F.col("source") == "A", " ").otherwise(F.col("o")))
+    wide = t.lineitem.select((F.col("l_quantity") * 3 - 10).alias("confidence"), F.concat(F.lit("  p/"), "l_partkey", F.lit(" ")).alias("s"), F.lit("suppliedBy").alias("p"), F.when(F.col("l_returnflag") == "A", " ").otherwise(F.concat(F.lit("s/"), "l_suppkey")).alias("o"), F.col("l_returnflag").alias("source"))
+    return C.normalise(wide.select(odd.columns))
+
+
+_LINKED = "SELECT 'p/' || p_partkey AS s, 'computedFrom' AS p, CASE WHEN p_partkey % 3 = 2 THEN 'nowhere_' || p_partkey ELSE 'table_' || (p_partkey % 90 + 1) END AS o FROM part"
+
+
+@query(f"SELECT s, p, CASE WHEN o LIKE 'table_%' THEN 'table/' || substr(o, 7) ELSE o END AS o, CASE WHEN o LIKE 'nowhere%' THEN 'unresolved' ELSE 'linked' END AS state FROM ({_LINKED})")
+def clean_link_tables(t):
+    o = F.when(F.col("p_partkey") % 3 == 2, F.concat(F.lit("nowhere_"), "p_partkey")).otherwise(F.concat(F.lit("table_"), F.col("p_partkey") % 90 + 1))
+    made = t.part.select(F.expr("'p/' || p_partkey").alias("s"), F.lit("computedFrom").alias("p"), o.alias("o"))
+    good, bad = C.link_tables(made, _tables(t), ("computedFrom",))
+    return good.withColumn("state", F.lit("linked")).unionByName(bad.withColumnRenamed("reason", "state"))
+
+
+@query(f"""SELECT query, id AS best, sim, CASE WHEN sim >= 0.40 THEN 'merge' WHEN sim >= 0.30 THEN 'quarantine' ELSE 'new' END AS decision FROM {_SIMS} WHERE id % 50 <> 0 QUALIFY row_number() OVER (PARTITION BY query ORDER BY sim DESC, id) = 1""")
+def clean_disambiguate(t):
+    q, rows = _vectors(t)
+    return C.disambiguate(q, rows.where("id % 50 <> 0"), 0.40, 0.30)
+
+
+@query(f"SELECT s, CASE WHEN p = 'labell' THEN 'label' ELSE p END AS p, o, p <> 'strange' AS good FROM (SELECT s, CASE WHEN p = 'label' AND iri = false AND s LIKE 'p/%' THEN 'labell' WHEN p = 'formula' THEN 'strange' WHEN p = 'status' THEN 'own:status' ELSE p END AS p, o FROM {KG})")
+def clean_predicates(t):
+    p = F.when((F.col("p") == "label") & F.startswith("s", F.lit("p/")), "labell").when(F.col("p") == "formula", "strange").when(F.col("p") == "status", "own:status").otherwise(F.col("p"))
+    triples = kg(t).select("s", p.alias("p"), "o")
+    known = t.spark.createDataFrame([(x,) for x in ("type", "label", "altLabel", "broader", "groundedBy", "derivedFrom", "computedFrom", "joinableWith", "transformsFrom")], "predicate string")
+    good, bad = C.check_predicates(triples, known, "own:")
+    return good.withColumn("good", F.lit(True)).unionByName(bad.drop("reason").withColumn("good", F.lit(False)))
+
+
+_FUSED = f"(SELECT s, p, o, {_ONE.format('100 * (1 - product(1 - confidence / 100))')} AS confidence, count(DISTINCT source) AS sources FROM {RAW} GROUP BY 1, 2, 3)"
+
+
+@query(f"SELECT * FROM {_FUSED}")
+def clean_fuse(t):
+    return C.fuse(raw(t))
+
+
+_JUDGED = f"(SELECT *, first_value(o) OVER (PARTITION BY s, p ORDER BY sources DESC, confidence DESC, o) AS winner FROM {_FUSED})"
+
+
+@query(f"SELECT * FROM {_JUDGED}")
+def clean_conflict(t):
+    return C.conflicts(C.fuse(raw(t)))
+
+
+@query(f"SELECT DISTINCT CASE WHEN p = 'joinableWith' THEN least(s, o) ELSE s END AS s, p, CASE WHEN p = 'joinableWith' THEN greatest(s, o) ELSE o END AS o FROM (SELECT s, p, o FROM {KG} UNION ALL SELECT o, p, s FROM {KG} WHERE p = 'joinableWith')")
+def clean_dedup(t):
+    triples = kg(t).select("s", "p", "o")
+    return C.deduplicate(triples.unionByName(triples.where("p = 'joinableWith'").select(F.col("o").alias("s"), "p", F.col("s").alias("o"))))
+
+
+@query(f"SELECT s, CASE WHEN max(confidence) >= 99.9 THEN 'approved' ELSE 'draft' END AS status FROM {_FUSED} GROUP BY 1")
+def clean_status_gate(t):
+    return C.status_gate(C.fuse(raw(t)), 99.9)
+
+
+@query(f"SELECT s, p, o, confidence, sources, winner, CASE WHEN o = winner THEN 'production' ELSE 'conflict' END AS stage FROM {_JUDGED}")
+def clean_pipeline(t):
+    return C.clean(raw(t))
+
+
+@query(f"SELECT s, p, o, winner FROM {_JUDGED} WHERE o <> winner ORDER BY s, p, o LIMIT 50 OFFSET 25")
+def quarantine_page(t):
+    return C.clean(raw(t)).where("stage = 'conflict'").orderBy("s", "p", "o").offset(25).limit(50).select("s", "p", "o", "winner")
+
+
+def _items(t):
+    return t.orders.select(F.col("o_orderkey").alias("item_id"), F.expr("'p/' || o_custkey").alias("s"), F.lit("computedFrom").alias("p"), F.col("o_orderpriority").alias("o"), F.array(F.expr("'x' || o_orderkey")).alias("suggestions"))
+
+
+@query("""SELECT o_orderkey AS item_id, 'p/' || o_custkey AS s, 'computedFrom' AS p, CASE o_orderkey % 5 WHEN 0 THEN o_orderpriority WHEN 2 THEN 'table/' || o_custkey WHEN 3 THEN 'x' || o_orderkey END AS o, CASE o_orderkey % 5 WHEN 0 THEN 'approve' WHEN 1 THEN 'reject' WHEN 2 THEN 'map' WHEN 3 THEN 'pick' ELSE 'wait' END AS decision, CASE o_orderkey % 5 WHEN 1 THEN 'dropped' WHEN 4 THEN 'open' ELSE 'recheck' END AS state FROM orders""")
+def quarantine_resolve(t):
+    key = F.col("o_orderkey")
+    decision = F.when(key % 5 == 0, "approve").when(key % 5 == 1, "reject").when(key % 5 == 2, "map").when(key % 5 == 3, "pick")
+    return C.quarantine_decide(_items(t), t.orders.where("o_orderkey % 5 < 4").select(key.alias("item_id"), decision.alias("decision"), F.col("o_custkey").cast("string").alias("target")))
+
+
+@query("SELECT o_orderkey AS item_id, 'table/' || o_custkey AS o FROM orders WHERE o_orderkey % 5 = 2")
+def quarantine_fix(t):
+    return quarantine_resolve(t).where("decision = 'map'").select("item_id", "o")
+
+
+@query(f"SELECT s, p, o, CASE WHEN sources = 1 THEN 'drop' ELSE 'pick_first' END AS template FROM {_JUDGED} WHERE o <> winner AND s LIKE 'p/1%'")
+def quarantine_match(t):
+    found = C.clean(raw(t)).where("stage = 'conflict' and s like 'p/1%'")
+    return found.select("s", "p", "o", F.when(F.col("sources") == 1, "drop").otherwise("pick_first").alias("template"))
+
+
+_B = "CASE o_orderkey % 4 WHEN 0 THEN 'draft' WHEN 1 THEN 'linked' WHEN 2 THEN 'pending_review' ELSE 'approved' END"
+_A = "CASE o_orderkey % 3 WHEN 0 THEN 'linked' WHEN 1 THEN 'approved' ELSE 'rejected' END"
+
+
+@query(f"""SELECT 'o/' || o_orderkey AS s, b AS before, a AS after, ok, CASE WHEN ok THEN a ELSE b END AS status, CASE WHEN NOT ok THEN 'transition not allowed' END AS reason FROM (SELECT *, (b, a) IN (('draft', 'linked'), ('pending_review', 'approved'), ('pending_review', 'rejected'), ('draft', 'rejected')) AS ok FROM (SELECT o_orderkey, {_B} AS b, {_A} AS a FROM orders))""")
+def promote_status(t):
+    return C.promote(t.orders.select(F.expr("'o/' || o_orderkey").alias("s"), F.expr(_B).alias("before"), F.expr(_A).alias("after")), t.spark)
+
+
+_NEXT = f"(SELECT s, p, CASE WHEN p = 'label' AND s LIKE '%5' THEN o || ' new' ELSE o END AS o FROM {KG} WHERE NOT (p = 'broader' AND s LIKE '%7') UNION ALL SELECT DISTINCT s, 'note', 'added' FROM {KG} WHERE s LIKE '%3')"
+
+
+def _next(t):
+    triples = kg(t)
+    o = F.when((F.col("p") == "label") & F.col("s").like("%5"), F.concat("o", F.lit(" new"))).otherwise(F.col("o"))
+    return triples.where("not (p = 'broader' and s like '%7')").select("s", "p", o.alias("o")).unionByName(triples.where("s like '%3'").select("s", F.lit("note").alias("p"), F.lit("added").alias("o")).distinct())
+
+
+@query(f"""WITH a AS (SELECT s, p, o FROM {KG}), b AS (SELECT * FROM {_NEXT}), plus AS (SELECT * FROM b EXCEPT SELECT * FROM a), less AS (SELECT * FROM a EXCEPT SELECT * FROM b)
+  SELECT coalesce(x.s, y.s) AS s, coalesce(x.p, y.p) AS p, coalesce(added, []::VARCHAR[]) AS added, coalesce(removed, []::VARCHAR[]) AS removed FROM (SELECT s, p, list_sort(list(o)) AS added FROM plus GROUP BY 1, 2) x FULL JOIN (SELECT s, p, list_sort(list(o)) AS removed FROM less GROUP BY 1, 2) y ON x.s = y.s AND x.p = y.p""")
+def version_diff(t):
+    return C.version_diff(kg(t).select("s", "p", "o"), _next(t))
+
+
+@query(f"""WITH a AS (SELECT s, p, o FROM {KG}), b AS (SELECT * FROM {_NEXT}), c AS (SELECT s FROM (SELECT * FROM b EXCEPT SELECT * FROM a) UNION SELECT s FROM (SELECT * FROM a EXCEPT SELECT * FROM b)) SELECT s, 'version' AS p, '2' AS o FROM c UNION ALL SELECT 'c/' || c_custkey, 'certificationStatus', 'deprecated' FROM customer WHERE c_custkey % 50 = 0""")
+def version_write(t):
+    changed = version_diff(t).select("s").distinct().select("s", F.lit("version").alias("p"), F.lit("2").alias("o"))
+    return changed.unionByName(t.customer.where("c_custkey % 50 = 0").select(F.expr("'c/' || c_custkey").alias("s"), F.lit("certificationStatus").alias("p"), F.lit("deprecated").alias("o")))
+
+
+_GONE = f"(SELECT s AS x FROM {KG} WHERE p = 'groundedBy' AND o IN ('chunk/1', 'chunk/2', 'chunk/3') UNION SELECT unnest(['chunk/1', 'chunk/2', 'chunk/3']))"
+
+
+@query(f"SELECT s, p, o FROM {KG} WHERE s NOT IN (SELECT x FROM {_GONE}) AND o NOT IN (SELECT x FROM {_GONE})")
+def cascade_delete(t):
+    chunks = t.spark.createDataFrame([("chunk/1",), ("chunk/2",), ("chunk/3",)], "chunk string")
+    return C.cascade(kg(t).select("s", "p", "o"), chunks)
+
+
+@query("SELECT 'orders' AS kind, count(*) AS n FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 7 <> 0) UNION ALL SELECT 'customers', count(*) FROM customer WHERE c_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_nationkey % 5 <> 0) UNION ALL SELECT 'labels', count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 3 <> 0)")
+def orphans(t):
+    parts = [
+        ("orders", C.orphans(t.orders, t.customer.where("c_custkey % 7 <> 0").select(F.col("c_custkey").alias("o_custkey")), ["o_custkey"])),
+        ("customers", C.orphans(t.customer, t.nation.where("n_nationkey % 5 <> 0").select(F.col("n_nationkey").alias("c_nationkey")), ["c_nationkey"])),
+        ("labels", C.orphans(t.labels, t.documents.where("doc_id % 3 <> 0").select("doc_id"), ["doc_id"])),
+    ]
+    out = None
+    for kind, rows in parts:
+        one = rows.agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("SELECT source AS source_key, doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY CASE WHEN doc_id % 2 = 0 THEN 0 ELSE 1 END, n_chars DESC, doc_id) = 1")
+def source_dedup(t):
+    from strataloom.operators.retrieval import best
+
+    return best(t.documents, ["source"], [(F.col("doc_id") % 2).asc(), F.desc("n_chars"), F.asc("doc_id")], 1).select(F.col("source").alias("source_key"), "doc_id")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'deleted' WHEN doc_id % 7 = 0 THEN 'updated' ELSE 'unchanged' END AS action FROM documents UNION ALL SELECT doc_id + 1000000, 'created' FROM documents WHERE doc_id % 13 = 0")
+def incremental_sync(t):
+    body = F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    new = t.documents.where("doc_id % 11 <> 0").select("doc_id", body.alias("text")).unionByName(t.documents.where("doc_id % 13 = 0").select((F.col("doc_id") + 1000000).alias("doc_id"), "text"))
+    return C.sync(t.documents, new, "doc_id", "text")
+
+
+@query(f"SELECT DISTINCT s, p, o, iri FROM {KG}")
+def triples_read(t):
+    return C.from_lines(C.to_lines(kg(t))).distinct()
+
+
+@query(f"SELECT DISTINCT s, p, o, iri, g FROM {KG}")
+def graph_insert(t):
+    triples = kg(t)
+    return triples.unionByName(triples.where("p = 'label'")).dropDuplicates(["s", "p", "o", "g"])
+
+
+@query(f"SELECT s, p, o, iri, g FROM {KG} WHERE g <> 'g1'")
+def graph_clear(t):
+    return kg(t).where("g <> 'g1'")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'v2 ' || text ELSE text END AS content FROM documents")
+def chunk_upsert(t):
+    new = t.documents.where("doc_id % 4 = 0").select("doc_id", F.concat(F.lit("v2 "), "text").alias("content"))
+    return t.documents.select("doc_id", F.col("text").alias("content")).join(new.select("doc_id").distinct(), "doc_id", "left_anti").unionByName(new)
