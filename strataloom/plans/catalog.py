@@ -1 +1,71 @@
-"""Queries of this family."""
+"""Catalogue and source operators over the given tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from strataloom.functions.storage import shared_folder
+from strataloom.registry import query
+from strataloom.sources import catalog as S
+
+_NAMES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+
+
+def _frames(t, names=_NAMES):
+    return {n: getattr(t, n) for n in names}
+
+
+_LISTED = "(SELECT table_name, column_index AS position, column_name FROM duckdb_columns() WHERE table_name IN (" + ", ".join(f"'{n}'" for n in _NAMES) + "))"
+
+
+@query(f"SELECT table_name, position, column_name FROM {_LISTED}")
+def cat_columns(t):
+    return S.columns(_frames(t)).select("table_name", "position", "column_name")
+
+
+@query(f"SELECT table_name, '# ' || table_name || chr(10) || string_agg('- ' || column_name, chr(10) ORDER BY position) AS body FROM {_LISTED} GROUP BY 1")
+def metadata_docs(t):
+    return S.metadata_docs(S.columns(_frames(t)))
+
+
+@query(f"SELECT table_name AS name, count(*) AS columns FROM {_LISTED} GROUP BY 1")
+def cat_tables(t):
+    return S.columns(_frames(t)).groupBy(F.col("table_name").alias("name")).agg(F.count("*").alias("columns"))
+
+
+@query()
+def cat_ddl(t):
+    return t.spark.createDataFrame([(n, S.ddl(n, df)) for n, df in _frames(t).items()], "name string, ddl string")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 1000")
+def table_sample(t):
+    return S.sample(t.orders.select("o_orderkey", "o_totalprice"), 1000, ["o_orderkey"])
+
+
+@query(" UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS n FROM {n}" for n in _NAMES))
+def row_count(t):
+    return S.row_counts(_frames(t))
+
+
+@query("SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY o_orderpriority")
+def readonly_query(t):
+    return S.read_only(t.spark, "SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY o_orderpriority;", 5000, {"orders": t.orders})
+
+
+@query("""SELECT o_orderkey, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE) AS price, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS at, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day, o_orderstatus AS raw FROM orders""")
+def result_normalise(t):
+    return S.normalise(t.orders.select("o_orderkey", F.col("o_totalprice").cast("decimal(18,2)").alias("price"), F.col("o_orderdate").alias("at"), F.col("o_orderdate").cast("date").alias("day"), F.encode("o_orderstatus", "UTF-8").alias("raw")))
+
+
+@query("SELECT n_nationkey, n_name FROM nation")
+def step_checkpoint(t):
+    folder = f"{shared_folder(t.spark)}/steps"
+    S.save_step(t.nation.select("n_nationkey", "n_name"), folder, "r1", "nations")
+    return S.load_step(t.spark, folder, "r1", "nations")
+
+
+@query("SELECT n_nationkey, n_name FROM nation")
+def src_hive(t):
+    t.nation.createOrReplaceTempView("nation_view")
+    return S.hive(t.spark, "nation_view").select("n_nationkey", "n_name")
