@@ -38,6 +38,19 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def lowest_hashes(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """The rows whose key has the lowest hashes, at most `rows`; df should hold few and small columns.
+
+    Their number is counted first, and rows that can't be among the lowest are dropped where they are read,
+    so that what the partitions send on is in proportion to `rows`, however many there are.
+    """
+    span = 1 << 40
+    at = F.pmod(F.xxhash64(key), F.lit(span))
+    n = df.count()
+    near = df.where(at < int(span * 1.5 * rows / n)) if n > 2 * rows else df
+    return near.orderBy(at, *(F.col(f"`{c}`") for c in df.columns)).limit(rows)
+
+
 def fresh(name: str, taken: list[str]) -> str:
     """A column name like `name` that is not taken."""
     low = {c.lower() for c in taken}

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strataloom.llm.common import append_columns, groups_of_texts
+from strataloom.llm.common import append_columns, groups_of_texts, lowest_hashes
 from strataloom.llm.quality_model import in_fold
 
 SAMPLE_ROWS = 3000
@@ -202,8 +202,11 @@ def train(rows: list[tuple[str, str]], seed: int = 11, steps: int = STEPS) -> Ne
 
 def fit(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Network:
     """Learn from documents with a language outside the held-out fold, at most `rows` of them."""
-    usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~in_fold(F.col("doc_id"), 5, 0) & (F.octet_length("text") <= SAMPLE_BYTES))
-    got = usable.select("text", "lang", F.xxhash64("doc_id").alias("at")).orderBy("at", "lang", "text").limit(rows).toPandas()
+    usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~in_fold(F.col("doc_id"), 5, 0))
+    wanted = lowest_hashes(usable.select("doc_id"), "doc_id", rows).distinct()
+    texts = usable.select("doc_id", "text", "lang").where(F.octet_length("text") <= SAMPLE_BYTES)
+    got = texts.join(F.broadcast(wanted), "doc_id").toPandas()  # wanted has at most `rows` rows
+    got = got.sort_values(["doc_id", "lang", "text"]).head(rows)
     return train(list(zip(got["text"], got["lang"], strict=True)))
 
 
