@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("metrics", "profiles", "texts", "retrieval", "graphs", "reasoning", "cleaning", "validation", "lineage", "annotation", "catalog", "streams")
+FAMILIES = ("metrics", "profiles", "texts", "retrieval", "graphs", "reasoning", "cleaning", "validation", "lineage", "annotation", "catalog", "sources", "streams")
 
 
 def load() -> None:
