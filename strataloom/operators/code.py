@@ -190,7 +190,7 @@ def question_range(q: Column, as_of: str) -> Column:
 def audit(statements: DataFrame, most_joins: int = 16) -> DataFrame:
     """Per statement: verdict, joins and tables; comments and strings are taken out first. An approximation of parsing."""
     bare = F.regexp_replace(F.regexp_replace(F.regexp_replace("sql", r"(?s)/\*.*?\*/", " "), r"--[^\n]*", " "), r"'(?:[^']|'')*'", "''")
-    text = F.btrim(F.regexp_replace(F.regexp_replace(bare, r"(?i)^\s*```(?:sql)?|```\s*$", ""), r"[;\s]+$", ""))
+    text = F.btrim(F.regexp_replace(F.regexp_replace(bare, r"(?i)^\s*```(?:sql)?|```\s*$", ""), r"[;\s]+$", ""), F.lit(" \t\r\n"))
     told = statements.withColumn("__t", text)
     t = F.col("__t")
     n = F.size(every(t, r"(?i)\bJOIN\b", 0))

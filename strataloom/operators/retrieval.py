@@ -62,7 +62,7 @@ def sign_buckets(vector: Column, planes: list[list[float]], bits: int) -> Column
     return F.array(*(F.concat(F.lit(f"{i}:"), *signs[i * bits : (i + 1) * bits]) for i in range(len(planes) // bits)))
 
 
-def vec_topk_ann(queries: DataFrame, rows: DataFrame, k: int, dimensions: int, tables: int = 12, bits: int = 4, seed: int = 5) -> DataFrame:
+def vec_topk_ann(queries: DataFrame, rows: DataFrame, k: int, dimensions: int, tables: int = 24, bits: int = 4, seed: int = 5) -> DataFrame:
     """Approximate nearest rows: those that share a bucket of random hyperplanes, ranked exactly."""
     import random
 
