@@ -100,7 +100,7 @@ def clean_normalise(t):
 _LINKED = "SELECT 'p/' || p_partkey AS s, 'computedFrom' AS p, CASE WHEN p_partkey % 3 = 2 THEN 'nowhere_' || p_partkey ELSE 'table_' || (p_partkey % 90 + 1) END AS o FROM part"
 
 
-@query(f"SELECT s, p, CASE WHEN o LIKE 'table_%' THEN 'table/' || substr(o, 7) ELSE o END AS o, CASE WHEN o LIKE 'nowhere%' THEN 'unresolved' ELSE 'linked' END AS state FROM ({_LINKED})")
+@query(f"SELECT s, p, CASE WHEN known THEN 'table/' || substr(o, 7) ELSE o END AS o, CASE WHEN known THEN 'linked' ELSE 'unresolved' END AS state FROM (SELECT *, o IN (SELECT 'table_' || s_suppkey FROM supplier) AS known FROM ({_LINKED}))")
 def clean_link_tables(t):
     o = F.when(F.col("p_partkey") % 3 == 2, F.concat(F.lit("nowhere_"), "p_partkey")).otherwise(F.concat(F.lit("table_"), F.col("p_partkey") % 90 + 1))
     made = t.part.select(F.expr("'p/' || p_partkey").alias("s"), F.lit("computedFrom").alias("p"), o.alias("o"))

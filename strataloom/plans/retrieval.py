@@ -213,7 +213,7 @@ _EDGES = "(SELECT s_suppkey AS a, s_nationkey + 1 AS b FROM supplier)"
 
 
 @query(f"""WITH f AS (SELECT query, table_id AS a FROM {_TS} QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, table_id) = 1), e AS (SELECT a, b FROM {_EDGES} UNION SELECT b, a FROM {_EDGES}),
-  n AS (SELECT DISTINCT query, b AS table_id FROM f JOIN e USING (a) WHERE a <> b AND b % 11 <> 0), x AS (SELECT n.* FROM n WHERE (query, table_id) NOT IN (SELECT (query, table_id) FROM {_TS}))
+  n AS (SELECT DISTINCT query, b AS table_id FROM f JOIN e USING (a) WHERE a <> b AND b NOT IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 11 = 0)), x AS (SELECT n.* FROM n WHERE (query, table_id) NOT IN (SELECT (query, table_id) FROM {_TS}))
   SELECT query, table_id, {_r('0.006::DOUBLE / (60 + row_number() OVER (PARTITION BY query ORDER BY table_id))', 8)} AS score FROM x QUALIFY row_number() OVER (PARTITION BY query ORDER BY table_id) <= 4""")
 def graph_expand(t):
     edges = t.supplier.select(F.col("s_suppkey").alias("a"), (F.col("s_nationkey") + 1).cast("bigint").alias("b"))
