@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strataloom.llm.common import append_columns, groups_of_texts
+from strataloom.llm.common import append_columns, groups_of_texts, lowest_hashes
 
 SAMPLE_ROWS = 3000
 SAMPLE_BYTES = 50_000
@@ -166,7 +166,7 @@ def in_fold(doc_id: Column, parts: int, which: int) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", rows: int = SAMPLE_ROWS) -> Model:
     """Learn from labelled documents outside the held-out fold, at most `rows` of them."""
     usable = labels.where(F.col(label_col).isin(0, 1) & F.col("doc_id").isNotNull() & ~in_fold(F.col("doc_id"), 4, 2))
-    wanted = usable.select("doc_id", F.col(label_col).cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(rows)
+    wanted = lowest_hashes(usable.select("doc_id", F.col(label_col).cast("int").alias("y")), "doc_id", rows)
     texts = docs.select("doc_id", "text").where(F.octet_length("text") <= SAMPLE_BYTES)
     got = texts.join(F.broadcast(wanted), "doc_id").select("doc_id", "text", "y").toPandas()  # wanted has at most `rows` rows
     got = got.sort_values(["doc_id", "y", "text"]).head(rows)
