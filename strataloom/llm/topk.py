@@ -1,8 +1,8 @@
 """Exact top-k inner products by norm-bucketed retrieval (operator 5).
 
 Vectors are grouped by length into buckets whose lengths differ by a quarter of a power of two, and buckets
-are cut into blocks of about BLOCK vectors. Each query first takes its k-th best product with the SEEDS
-longest vectors (a bounded set) as a lower bound. It is then sent only to buckets whose longest vector could
+are cut into blocks of about BLOCK vectors. Each query first takes its k-th best product with SEEDS vectors of
+the longest buckets (a bounded set, by the order of a hash) as a lower bound. It is then sent only to buckets whose longest vector could
 reach that bound. In a block the bound, divided by the query's length and the block's longest, is a local
 cosine threshold. If it is low, vectors are pruned by length; if it is high, by the intervals in which the
 query's largest coordinates confine a unit vector of such a cosine. What is left is verified by its exact
@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataloom.llm.common import materialise
+from strataloom.llm.common import lowest_hashes, materialise
 
 BLOCK = 2048
 QUERY_BLOCK = 1024
@@ -134,7 +134,13 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, id_col: str = "id", vector_c
     plan = [(r["dim"], r["bucket"], r["longest"], -(-r["n"] // BLOCK), -(-asked[r["dim"]] // QUERY_BLOCK)) for r in facts if asked[r["dim"]]]
     plan = F.broadcast(spark.createDataFrame(plan, "dim int, bucket int, longest double, blocks bigint, query_blocks bigint"))
     seeds: dict[int, list] = {}
-    for r in single.orderBy(F.desc("length"), "id").limit(SEEDS).collect():
+    # the longest buckets that hold enough vectors, and of these a bounded number
+    held, low = 0, 0
+    for low, n in sorted(((r["bucket"], r["n"]) for r in facts), reverse=True):
+        held += n
+        if held >= SEEDS:
+            break
+    for r in lowest_hashes(single.where(F.col("bucket") >= low).select("id", "dim", "vector"), "id", SEEDS).collect():
         seeds.setdefault(r["dim"], []).append((r["id"], r["vector"]))
     seeds = {d: (np.array([i for i, _ in x]), np.array([v for _, v in x], dtype=np.int64)) for d, x in seeds.items()}
 
