@@ -2,42 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strataloom.functions.binding import let  # noqa: F401  shared with the operators here
+from strataloom.functions.storage import materialise  # noqa: F401
+
 #: Texts that one call of a batch function gets at most, in characters.
 BATCH_CHARS = 1_000_000
 #: Rows in one Arrow batch; texts may be long, so this stays far below Spark's default.
 BATCH_ROWS = 512
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """Folder that the driver and all executors see: spark.checkpoint.dir, or a temporary one where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", "")
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.conf.set("spark.checkpoint.dir", folder) if spark.conf.isModifiable("spark.checkpoint.dir") else None
-    return folder
-
-
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write df once to the shared folder and read it back: cuts lineage and survives lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Bind value to a name, so that body may use it more than once without evaluating it again."""
-    return F.transform(F.array(value), body)[0]
-
-
 def lowest_hashes(df: DataFrame, key: str, rows: int) -> DataFrame:
     """The rows whose key has the lowest hashes, at most `rows`; df should hold few and small columns.
 
