@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataloom.llm.common import fresh, let, materialise
+from strataloom.llm.common import fresh, let, lowest_hashes, materialise
 
 SAMPLE_ROWS = 4000
 SPACE = "[\\x20\\x09-\\x0D]+"
@@ -169,7 +169,7 @@ def learn(rows: list[dict]) -> list[Rule]:
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> list[Rule]:
     """The decision list from at most `rows` labelled documents (quality 0 is rejected)."""
     usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
-    wanted = usable.select("doc_id", (1 - F.col("quality")).cast("int").alias("reject")).orderBy(F.xxhash64("doc_id"), "doc_id", "reject").limit(rows)
+    wanted = lowest_hashes(usable.select("doc_id", (1 - F.col("quality")).cast("int").alias("reject")), "doc_id", rows)
     told = with_stats(docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id"))  # wanted has at most `rows` rows
     got = materialise(told.drop("text"), "statistics")
     got = got.where(~base_failed()).select("reject", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(3)).alias("fold"), *(c.alias(f) for f, c in features().items()))
