@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strataloom.functions.numbers import ratio, rounded
+from strataloom.functions.storage import materialise
 
 
 def type_class(declared: Column) -> Column:
@@ -160,7 +161,8 @@ def scalar_columns(df: DataFrame) -> list[str]:
 
 def report(df: DataFrame) -> DataFrame:
     """One row for each column: class, nulls, distinct values, top values, validity, risk and role."""
-    counts, kinds = value_counts(df, scalar_columns(df)), classes(df)
+    # every measure starts from the counts, so they are written once
+    counts, kinds = materialise(value_counts(df, scalar_columns(df)), "counts"), classes(df)
     top = top_values(counts)
     best = top.groupBy("col").agg(F.max(F.when(F.col("rank") == 1, F.col("share"))).alias("top1_ratio"), F.array_sort(F.collect_list(F.struct("rank", "value", "n"))).alias("top_values"))
     out = nulls(counts).join(distinct(counts), "col").join(type_valid(counts, kinds), "col").join(best, "col", "left")
