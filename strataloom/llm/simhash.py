@@ -273,8 +273,9 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     marked = materialise(add_fingerprints(slim, shingle=shingle).select("id", "fp"), "fingerprints")
     distinct = marked.groupBy("fp").agg(F.min("id").alias("first"))
     roots = components(near_edges(distinct.select("fp"), radius))
-    rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    # written, so that the joins below meet plain shuffles, of which Spark splits a component that is very large
+    rooted = materialise(distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "rooted")
+    ids = materialise(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "components")
     return marked.join(rooted.join(ids, "root").select("fp", "component_id"), "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
