@@ -202,10 +202,26 @@ def fuzzy_name(names: DataFrame, tables: DataFrame) -> DataFrame:
     return hits.groupBy("name_ref").agg(F.min(F.struct("rule", "table_id")).alias("x")).select("name_ref", "x.rule", "x.table_id")
 
 
+def evidence(knowledge: DataFrame, vectors: DataFrame, links: DataFrame, bonus: DataFrame, w1: float, w2: float, constant: int = RRF, link_bonus: float = 0.02) -> DataFrame:
+    """(query, table_id, part, source): what each kind of evidence contributes; knowledge and vectors (query, table_id, rank from 1)."""
+    kinds = {"knowledge": (knowledge, w1 / (constant + F.col("rank"))), "table_embedding": (vectors, w2 / (constant + F.col("rank"))), "explicit_link": (links, F.lit(link_bonus)), "bonus": (bonus, F.col("bonus"))}
+    return reduce(DataFrame.unionByName, [df.select("query", "table_id", part.alias("part"), F.lit(source).alias("source")) for source, (df, part) in kinds.items()])
+
+
 def table_score(knowledge: DataFrame, vectors: DataFrame, links: DataFrame, bonus: DataFrame, w1: float, w2: float, constant: int = RRF, link_bonus: float = 0.02) -> DataFrame:
     """Sum of the contributions of each kind of evidence; knowledge and vectors (query, table_id, rank from 1)."""
-    parts = [knowledge.select("query", "table_id", (w1 / (constant + F.col("rank"))).alias("part")), vectors.select("query", "table_id", (w2 / (constant + F.col("rank"))).alias("part")), links.select("query", "table_id", F.lit(link_bonus).alias("part")), bonus.select("query", "table_id", F.col("bonus").alias("part"))]
-    return reduce(DataFrame.unionByName, parts).groupBy("query", "table_id").agg(rounded(F.sum("part"), 8).alias("score"))
+    return traced_score(evidence(knowledge, vectors, links, bonus, w1, w2, constant, link_bonus)).drop("sources")
+
+
+def traced_score(parts: DataFrame) -> DataFrame:
+    """(query, table_id, score, sources) from rows of evidence; sources in order."""
+    return parts.groupBy("query", "table_id").agg(rounded(F.sum("part"), 8).alias("score"), F.sort_array(F.collect_set("source")).alias("sources"))
+
+
+def tables_by_source(traced: DataFrame) -> DataFrame:
+    """(query, source, table_ids): the inversion of the sources of each table, ids in order."""
+    each = traced.select("query", "table_id", F.explode("sources").alias("source"))
+    return each.groupBy("query", "source").agg(F.sort_array(F.collect_set("table_id")).alias("table_ids"))
 
 
 def expand(scores: DataFrame, candidates: DataFrame, weight: float, most: int = 4, constant: int = RRF) -> DataFrame:

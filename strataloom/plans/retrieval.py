@@ -182,9 +182,13 @@ _TS = f"""(SELECT query, table_id, {_r('sum(part)', 8)} AS score FROM (SELECT qu
   UNION ALL SELECT DISTINCT l_orderkey, l_suppkey, 0.02::DOUBLE FROM lineitem WHERE l_returnflag = 'R' UNION ALL SELECT l_orderkey, l_suppkey, 0.10::DOUBLE * count(*) FROM lineitem WHERE l_discount > 0.09 GROUP BY 1, 2) GROUP BY 1, 2)"""
 
 
-def _scores(t):
+def _parts(t):
     best, knowledge, vectors = _evidence(t)
-    return R.table_score(knowledge, vectors, best.where("link").select("query", "table_id"), table_bonus(t), 0.6, 0.4)
+    return knowledge, vectors, best.where("link").select("query", "table_id"), table_bonus(t), 0.6, 0.4
+
+
+def _scores(t):
+    return R.table_score(*_parts(t))
 
 
 @query("SELECT l_orderkey AS query, l_suppkey AS table_id, 0.10::DOUBLE * count(*) AS bonus FROM lineitem WHERE l_discount > 0.09 GROUP BY 1, 2")
@@ -209,6 +213,21 @@ def top_scores_trace(t):
     return top.withColumn("score", R.rounded(F.col("score"), 5))
 
 
+_TRACED = f"""(SELECT query, table_id, {_r('sum(part)', 8)} AS score, list_sort(list(DISTINCT source)) AS sources FROM (SELECT query, table_id, 0.6::DOUBLE / (60 + rank) AS part, 'knowledge' AS source FROM {_KN} UNION ALL SELECT query, table_id, 0.4::DOUBLE / (60 + rank), 'table_embedding' FROM {_VE}
+  UNION ALL SELECT DISTINCT l_orderkey, l_suppkey, 0.02::DOUBLE, 'explicit_link' FROM lineitem WHERE l_returnflag = 'R' UNION ALL SELECT l_orderkey, l_suppkey, 0.10::DOUBLE * count(*), 'bonus' FROM lineitem WHERE l_discount > 0.09 GROUP BY 1, 2) GROUP BY 1, 2)"""
+
+
+@query(f"SELECT query, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, table_id) AS INTEGER) AS rank, table_id, {_r('score', 5)} AS score, sources FROM {_TRACED} QUALIFY rank <= 8")
+def top_scores_trace_all(t):
+    top = R.best(R.traced_score(R.evidence(*_parts(t))), ["query"], [F.desc("score"), F.asc("table_id")], 8)
+    return top.withColumn("score", R.rounded(F.col("score"), 5))
+
+
+@query(f"SELECT query, source, list_sort(list(table_id)) AS table_ids FROM (SELECT query, table_id, unnest(sources) AS source FROM {_TRACED}) GROUP BY 1, 2")
+def top_scores_sources(t):
+    return R.tables_by_source(R.traced_score(R.evidence(*_parts(t))))
+
+
 _EDGES = "(SELECT s_suppkey AS a, s_nationkey + 1 AS b FROM supplier)"
 
 

@@ -207,3 +207,13 @@ def test_silent_runs_time_out(spark, tmp_path):
 def test_storage_is_the_named_folder(spark):
     named = spark.conf.get("spark.checkpoint.dir", "")
     assert shared_folder(spark) == named if named else shared_folder(spark).startswith("file:")
+
+
+def test_every_question_is_traced(spark, sf):
+    asked = {q for (q,) in rows(spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey").distinct())}
+    assert {r["query"] for r in registry.QUERIES["top_scores_trace_all"](spark, sf).collect()} == asked
+    pairs = [spark.createDataFrame([(1, 5, 1), (1, 6, 2)], "query int, table_id int, rank int"), spark.createDataFrame([(1, 6, 1)], "query int, table_id int, rank int")]
+    links, bonus = spark.createDataFrame([(1, 5)], "query int, table_id int"), spark.createDataFrame([(1, 7, 0.1)], "query int, table_id int, bonus double")
+    traced = retrieval.traced_score(retrieval.evidence(*pairs, links, bonus, 0.6, 0.4))
+    assert {r["table_id"]: r["sources"] for r in traced.collect()} == {5: ["explicit_link", "knowledge"], 6: ["knowledge", "table_embedding"], 7: ["bonus"]}
+    assert {r["source"]: r["table_ids"] for r in retrieval.tables_by_source(traced).collect()} == {"knowledge": [5, 6], "table_embedding": [6], "explicit_link": [5], "bonus": [7]}
