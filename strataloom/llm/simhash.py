@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strataloom.llm.common import append_columns, materialise
+from strataloom.llm.common import append_columns, fresh, materialise
 from strataloom.llm.graph import components
 
 RADIUS = 3
@@ -267,26 +267,39 @@ def near_edges(fps: DataFrame, radius: int = RADIUS, tree_size: int = TREE_SIZE)
     return dealt.mapInArrow(_search(radius), "a bigint, b bigint")
 
 
+def _rooted(marked: DataFrame, lowest: Column, radius: int) -> DataFrame:
+    """(fp, first, root) for each distinct fp of marked, first being the smallest `lowest` of its rows."""
+    distinct = marked.groupBy("fp").agg(F.min(lowest).alias("first"))
+    roots = components(near_edges(distinct.select("fp"), radius))
+    # written, so that the joins below meet plain shuffles, of which Spark splits a component that is very large
+    return materialise(distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "rooted")
+
+
 def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = 3) -> DataFrame:
     """(id, fp bigint, component_id) for each row."""
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     marked = materialise(add_fingerprints(slim, shingle=shingle).select("id", "fp"), "fingerprints")
-    distinct = marked.groupBy("fp").agg(F.min("id").alias("first"))
-    roots = components(near_edges(distinct.select("fp"), radius))
-    # written, so that the joins below meet plain shuffles, of which Spark splits a component that is very large
-    rooted = materialise(distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "rooted")
+    rooted = _rooted(marked, F.col("id"), radius)
     ids = materialise(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "components")
     return marked.join(rooted.join(ids, "root").select("fp", "component_id"), "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """documents without near-duplicates: of each component the row with the smallest doc_id stays.
+def keep_one(docs: DataFrame, unnamed: bool = False) -> DataFrame:
+    """documents without near-duplicates: of each component one row stays, that with the smallest doc_id.
 
-    Rows without doc_id go, as they can't be told apart; of repeated rows with one id, one stays.
+    Only linked rows go: each row gets a key of its own, which decides between rows of one component that
+    share an id, and rows that share an id without being linked all stay. Rows without doc_id come after all
+    others of their component; `unnamed` says whether one stays where a component has no other.
     """
-    linked = link_documents(docs)
-    keep = linked.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    key = fresh("key", docs.columns)
+    # written, so that a row has the same key wherever it is read
+    keyed = materialise(docs.withColumn(key, F.monotonically_increasing_id()), "keyed")
+    slim = keyed.select(F.col(key).alias("key"), F.col("doc_id").alias("id"), "text")
+    marked = materialise(add_fingerprints(slim).select("key", "id", "fp"), "fingerprints")
+    rooted = _rooted(marked, F.struct(F.col("id").isNull().alias("unnamed"), "id", "key"), RADIUS)
+    first = rooted.groupBy("root").agg(F.min("first").alias("first"))
+    keep = (first if unnamed else first.where("not first.unnamed")).select(F.col("first.key").alias(key))
+    return keyed.join(keep, key, "left_semi").select(*docs.columns)
 
 
 def op1_simhash(docs: DataFrame) -> DataFrame:

@@ -43,3 +43,11 @@ def test_stages(spark, tmp_path):
 def test_run_is_the_stages(spark):
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_only_linked_rows_go(spark):
+    words = [" ".join(f"{w}{i}" for i in range(60)) for w in ("ant", "bee", "cat", "dog", "elk")]
+    # a copy of text 0 shares an id with the unique text 1; texts 2 and 3 have no id, 2 is there twice
+    rows = [(1, words[0]), (2, words[0]), (2, words[1]), (None, words[2]), (None, words[2]), (None, words[3]), (None, words[0]), (3, words[4]), (3, words[4])]
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), "").collect()
+    assert sorted((r["text"], r["doc_id"]) for r in kept) == [(words[0], 1), (words[1], 2), (words[2], None), (words[3], None), (words[4], 3)]
