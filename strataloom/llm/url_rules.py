@@ -2,8 +2,8 @@
 
 Listed rules (host, path) decide the urls they fit. All others are judged by mined rules: a url becomes a
 set of tokens (labels of its host, segments of its path, names of its parameters) plus a label; FP-growth
-mines which combinations of tokens go with the label `block`; combinations are pruned by support, by
-confidence, and if a part of them blocks as surely. Labels come from the listed rules and from a list of
+mines which combinations of at most MAX_TOKENS tokens urls labelled `block` share; combinations are pruned by
+support relative to those urls, by confidence over all urls, and if a part of them blocks as surely. Labels come from the listed rules and from a list of
 seed terms in host names; every other url counts as allowed, so that a token blocks only if nearly all urls
 that bear it are bad. Matching goes through an inverted index: each mined rule stands under its rarest token,
 and is verified where that token occurs. It runs once for each distinct set of tokens.
@@ -14,6 +14,8 @@ allow. Repeated rows and ids give repeated results. An empty table mines nothing
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,9 +45,9 @@ def path_of(url: Column) -> Column:
 def tokens_of(url: Column, host: Column, path: Column) -> Column:
     """The distinct tokens of a url in order; numbers in paths are no tokens."""
     labels = F.transform(F.split(host, r"[.\-:]"), lambda x: F.concat(F.lit("h:"), x))
-    segments = F.transform(F.slice(F.split(path, "[/.]"), 1, 6), lambda x: F.concat(F.lit("p:"), x))
+    segments = F.transform(F.split(path, "[/.]"), lambda x: F.concat(F.lit("p:"), x))
     query = F.coalesce(F.regexp_extract(url, r"(?s)^[^?#]*\?([^#]*)", 1), F.lit(""))
-    names = F.transform(F.slice(F.split(query, "&"), 1, 4), lambda x: F.concat(F.lit("q:"), F.split(x, "=")[0]))
+    names = F.transform(F.split(query, "&"), lambda x: F.concat(F.lit("q:"), F.split(x, "=")[0]))
     every = F.concat(labels, segments, names)
     return F.array_sort(F.array_distinct(F.filter(every, lambda x: (F.length(x) > 2) & ~x.rlike("^p:[0-9]+$"))))
 
@@ -60,24 +62,59 @@ def listed_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column
     return (F.lit(None).cast("string"), F.lit(None).cast("string")) if rule is None else (rule, verdict)
 
 
+def _counts(sets: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(tokens, rows): how many rows of sets (tokens, rows) hold each wanted set of tokens, and (anchor) its rarest token.
+
+    A wanted set stands under its rarest token and is verified where that token occurs.
+    """
+    rarity = materialise(sets.select(F.explode("tokens").alias("token"), "rows").groupBy("token").agg(F.sum("rows").alias("freq")), "rarity")
+    each = wanted.select("tokens", F.explode("tokens").alias("token")).join(rarity, "token")
+    anchored = materialise(each.groupBy("tokens").agg(F.min(F.struct("freq", "token")).alias("x")).select("tokens", F.col("x.freq").alias("freq"), F.col("x.token").alias("anchor")), "anchored")
+    one = anchored.where(F.size("tokens") == 1).select("tokens", "anchor", F.col("freq").alias("rows"))
+    index = anchored.where(F.size("tokens") > 1).select(F.col("anchor").alias("token"), F.col("tokens").alias("needed"))
+    hits = sets.select("tokens", "rows", F.explode("tokens").alias("token")).join(index, "token").where(F.size(F.array_except("needed", "tokens")) == 0)
+    return one.unionByName(hits.groupBy(F.col("needed").alias("tokens"), F.col("token").alias("anchor")).agg(F.sum("rows").alias("rows")))
+
+
 def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_count: int = MIN_COUNT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """Rules (number, tokens, confidence, support, anchor) from rows of tokens and bad (boolean)."""
+    """Rules (number, tokens, confidence, support, anchor) from rows of tokens and bad (boolean).
+
+    Sets of tokens are mined on the bad rows, with a support relative to these; their confidence is counted
+    over all rows. A token that only bad rows bear is a rule as it is and is left out of the mining, as
+    whatever holds it blocks no surer.
+    """
     spark = labelled.sparkSession
-    rows = labelled.where(F.size("tokens") > 0).select(F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(BLOCK)))).otherwise(F.col("tokens")).alias("items"))
-    n, bad = rows.agg(F.count("*"), F.count_if(F.array_contains("items", BLOCK))).first()
+    rows = labelled.where(F.size("tokens") > 0).groupBy("tokens").agg(F.count("*").alias("rows"), F.count_if("bad").alias("bad"))
+    rows = materialise(rows, "sets")
+    n, bad = rows.agg(F.sum("rows"), F.sum("bad")).first()
     shape = "number bigint, tokens array<string>, confidence double, support double, anchor string"
     if not bad:
         return spark.createDataFrame([], shape)
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, min_count / n)), minConfidence=min_confidence).fit(rows)
-    found = model.associationRules.where((F.col("consequent") == F.array(F.lit(BLOCK))) & (F.size("antecedent") <= MAX_TOKENS))
-    found = materialise(found.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support"), "mined")
+    least = math.ceil(max(min_count, min_support * bad))
+    single = rows.select(F.explode("tokens").alias("token"), "rows", "bad").groupBy("token").agg(F.sum("rows").alias("rows"), F.sum("bad").alias("bad"))
+    single = materialise(single.where(F.col("bad") >= least), "singles")
+    sure = single.where("bad = rows").select(F.array("token").alias("tokens"), F.col("bad").alias("freq"))
+    mixed = single.where("bad < rows").select("token")
+    numbered = rows.where("bad > 0").select(F.monotonically_increasing_id().alias("set"), "tokens", "bad")
+    numbered = materialise(numbered, "bad_sets")
+    left = numbered.select("set", "bad", F.explode("tokens").alias("token")).join(mixed, "token").groupBy("set", "bad").agg(F.collect_set("token").alias("items"))
+    # each set as often as it occurs in bad rows
+    items = left.select("items", F.explode(F.sequence(F.lit(1), F.col("bad").cast("int")))).select("items")
+    items = materialise(items, "items")
+    total = items.count()
+    wanted = sure
+    if total:
+        model = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 0.5) / total), minConfidence=min_confidence).fit(items)
+        wanted = wanted.unionByName(model.freqItemsets.where(F.size("items") <= MAX_TOKENS).select(F.array_sort("items").alias("tokens"), "freq"))
+    wanted = materialise(wanted, "mined")
+    counted = wanted.join(_counts(rows.select("tokens", "rows"), wanted), "tokens")
+    confidence = F.col("freq") / F.col("rows")
+    found = materialise(counted.where(confidence >= min_confidence).select("tokens", confidence.alias("confidence"), (F.col("freq") / n).alias("support"), "anchor"), "confident")
     # a rule is needless if a part of its tokens blocks as surely
-    rarity = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
-    each = found.select("tokens", "confidence", "support", F.explode("tokens").alias("token")).join(rarity, "token")
-    anchored = each.groupBy("tokens", "confidence", "support").agg(F.min(F.struct("freq", "token")).alias("x")).select("tokens", "confidence", "support", F.col("x.token").alias("anchor"))
-    parts = anchored.select(F.col("tokens").alias("part"), F.col("confidence").alias("sure"), F.col("anchor").alias("token"))
+    each = found.select("tokens", "confidence", F.explode("tokens").alias("token"))
+    parts = found.select(F.col("tokens").alias("part"), F.col("confidence").alias("sure"), F.col("anchor").alias("token"))
     needless = each.join(parts, "token").where((F.size("part") < F.size("tokens")) & (F.size(F.array_except("part", "tokens")) == 0) & (F.col("sure") >= F.col("confidence"))).select("tokens").distinct()
-    kept = anchored.join(needless, "tokens", "left_anti")
+    kept = found.join(needless, "tokens", "left_anti")
     return materialise(kept.select(F.xxhash64("tokens").alias("number"), "tokens", "confidence", "support", "anchor"), "rules")
 
 

@@ -416,3 +416,21 @@ def test_mined_rules_match_like_a_scan(spark):
     assert mined == [({"h:casino"}, 1.0)]
     hit = {tuple(r["tokens"]) for r in url_rules.match(labelled.select("tokens").distinct(), rules).collect()}
     assert hit == {tuple(sorted(t)) for t, _ in rows if any(m <= set(t) for m, _ in mined)}
+
+
+def test_rare_bad_host_is_mined(spark):
+    rows = [(["h:casino", "h:com"], True)] * 9 + [(["h:com", f"p:{i % 50}x"], False) for i in range(20_000)]
+    rules = url_rules.mine(spark.createDataFrame(rows, "tokens array<string>, bad boolean")).collect()
+    assert [(r["tokens"], r["confidence"], r["support"]) for r in rules] == [(["h:casino"], 1.0, 9 / 20_009)]
+
+
+def test_mixed_tokens_block_together(spark):
+    rows = [(["h:a", "h:b", "p:c"], True)] * 20 + [(["h:a", "p:c"], False)] * 30 + [(["h:b", "p:c"], False)] * 30 + [(["h:a", "h:b"], False)]
+    rules = url_rules.mine(spark.createDataFrame(rows, "tokens array<string>, bad boolean")).collect()
+    assert sorted((r["tokens"], r["confidence"]) for r in rules) == [(["h:a", "h:b"], 20 / 21), (["h:a", "h:b", "p:c"], 1.0)]
+
+
+def test_tokens_of_deep_urls(spark):
+    url = "http://a.org/" + "/".join("abcdefgh") + "?" + "&".join(f"{c}=1" for c in "stuvwx")
+    made = spark.createDataFrame([(url,)], "url string").select(url_rules.tokens_of(F.col("url"), url_rules.host_of(F.col("url")), url_rules.path_of(F.col("url"))).alias("t"))
+    assert made.first()["t"] == sorted(["h:a", "h:org", *(f"p:{c}" for c in "abcdefgh"), *(f"q:{c}" for c in "stuvwx")])
