@@ -194,6 +194,30 @@ def resolve_refs(refs: DataFrame, tables: DataFrame) -> DataFrame:
     return out.select("ref", status.alias("status"), F.when(F.col("x.n") == 1, F.col("x.table_id")).alias("table_id"), F.when(status == "exact", 95).when(status == "ambiguous", 50).otherwise(0).alias("confidence"))
 
 
+#: References without a table that are kept for each entry.
+PENDING = 20
+
+
+def linked_refs(refs: DataFrame, tables: DataFrame) -> DataFrame:
+    """(entry, ref, at, table_id): refs (entry, ref, at) with the one table that they name, null if none or several."""
+    found = resolve_refs(refs.select("ref").distinct(), tables).select("ref", "table_id")
+    return refs.where(F.trim("ref") != "").select("entry", "ref", "at").join(found, "ref", "left").select("entry", "ref", "at", "table_id")
+
+
+def stash_pending(refs: DataFrame, tables: DataFrame, most: int = PENDING) -> DataFrame:
+    """(entry, ref, at): the last refs of each entry that name no one table, at most `most`; `at` orders an entry's refs."""
+    known = linked_refs(refs, tables).where("table_id IS NOT NULL").select("ref").distinct()
+    without = refs.where(F.trim("ref") != "").select("entry", "ref", "at").join(known, "ref", "left_anti").select("entry", "ref", "at")
+    return best(without, ["entry"], [F.desc("at"), F.desc("ref")], most).drop("rank")
+
+
+def catch_up(pending: DataFrame, tables: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """New links (entry, table_id), each once, and the refs that stay pending; tables are all that are known now."""
+    tried = linked_refs(pending, tables)
+    new = tried.where("table_id IS NOT NULL").select("entry", "table_id").distinct().join(links, ["entry", "table_id"], "left_anti")
+    return new, tried.where("table_id IS NULL").select("entry", "ref", "at")
+
+
 def fuzzy_name(names: DataFrame, tables: DataFrame) -> DataFrame:
     """First rule that hits: same name, snake to camel, without s, without es; all without regard to case."""
     low = F.lower(F.trim("name_ref"))

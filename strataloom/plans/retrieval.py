@@ -302,6 +302,17 @@ def pending_ref_catchup(t):
     return joined.where("linked = 0 OR s_suppkey % 5 = 0").select("s_suppkey", "s_nationkey", "linked")
 
 
+# parts stand for entries, their suppliers for tables; even suppliers are known first, the others come later, missing_* never
+
+@query("""WITH p AS (SELECT l_partkey AS entry, l_suppkey AS table_id, l_linenumber FROM lineitem WHERE l_suppkey % 2 = 1 OR l_linenumber = 7 QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey * 10 + l_linenumber DESC, CASE WHEN l_linenumber = 7 THEN 'missing_' ELSE 'TABLE_' END || l_suppkey DESC) <= 20)
+  SELECT DISTINCT entry, table_id FROM p JOIN supplier ON s_suppkey = table_id WHERE l_linenumber < 7 AND (entry, table_id) NOT IN (SELECT (l_partkey, l_suppkey) FROM lineitem WHERE l_returnflag = 'R')""")
+def pending_ref_links(t):
+    ref = F.concat(F.when(F.col("l_linenumber") == 7, "missing_").otherwise("TABLE_"), "l_suppkey")
+    refs = t.lineitem.select(F.col("l_partkey").alias("entry"), ref.alias("ref"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("at"))
+    links = t.lineitem.where("l_returnflag = 'R'").select(F.col("l_partkey").alias("entry"), F.col("l_suppkey").alias("table_id")).distinct()
+    return R.catch_up(R.stash_pending(refs, _tables(t).where("table_id % 2 = 0")), _tables(t), links)[0]
+
+
 @query("""SELECT query, table_id, min(pass) AS pass, list_sort(list(DISTINCT src)) AS sources FROM (SELECT l_orderkey AS query, l_suppkey AS table_id, 1 AS pass, 'explicit_link' AS src FROM lineitem WHERE l_returnflag = 'R'
   UNION ALL SELECT l_orderkey, l_suppkey, 2, 'grounding' FROM lineitem WHERE l_discount > 0.05 UNION ALL SELECT l_orderkey, l_suppkey, 3, 'name_match' FROM lineitem WHERE l_tax > 0.05) GROUP BY 1, 2""")
 def knowledge_tables(t):

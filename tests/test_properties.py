@@ -217,3 +217,15 @@ def test_every_question_is_traced(spark, sf):
     traced = retrieval.traced_score(retrieval.evidence(*pairs, links, bonus, 0.6, 0.4))
     assert {r["table_id"]: r["sources"] for r in traced.collect()} == {5: ["explicit_link", "knowledge"], 6: ["knowledge", "table_embedding"], 7: ["bonus"]}
     assert {r["source"]: r["table_ids"] for r in retrieval.tables_by_source(traced).collect()} == {"knowledge": [5, 6], "table_embedding": [6], "explicit_link": [5], "bonus": [7]}
+
+
+def test_pending_refs_are_caught_up(spark):
+    refs = spark.createDataFrame([(1, "db.a", 1), (1, "later", 2), (1, "LATER", 3), (1, "never", 4), (1, " ", 5), (2, "twice", 1), *((3, f"t{i}", i) for i in range(25))], "entry int, ref string, at int")
+    now = spark.createDataFrame([(1, "db", "a")], "table_id int, db string, name string")
+    pending = retrieval.stash_pending(refs, now)
+    assert sorted(r["ref"] for r in pending.where("entry < 3").collect()) == ["LATER", "later", "never", "twice"]
+    assert {r["at"] for r in pending.where("entry = 3").collect()} == set(range(5, 25))
+    later = now.unionByName(spark.createDataFrame([(2, "db", "later"), (3, "db", "twice"), (4, "x", "twice"), (5, "db", "t4"), (6, "db", "t5"), (7, "db", "t6")], now.schema))
+    links, left = retrieval.catch_up(pending, later, spark.createDataFrame([(3, 7)], "entry int, table_id int"))
+    assert sorted(rows(links)) == [(1, 2), (3, 6)]
+    assert sorted(r["ref"] for r in left.where("entry < 3").collect()) == ["never", "twice"]
