@@ -6,12 +6,12 @@ both states gives the probability of each language. A document's probabilities a
 bytes. Both networks are trained together in numpy by backpropagation through time and Adam.
 
 The model is fitted on a bounded sample of rows with a language (SAMPLE_ROWS, by the order of a hash of the
-id, texts of at most SAMPLE_BYTES bytes), from windows that are drawn at random, every language as often.
+id; of texts beyond SAMPLE_CHARS characters a window placed by a hash), from windows that are drawn at random, every language as often.
 Every text is read whole in prediction.
 
 Defined results: `und` with score 0 for texts that are null or hold no letter, and for all texts if there was
 nothing to learn from. Repeated rows give repeated results; ties go to the language that sorts first.
-A null id is never held out, and never learned from. Other columns pass unchanged.
+A null id is never held out, and never learned from; of rows that share an id one is learned from. Other columns pass unchanged.
 """
 
 from __future__ import annotations
@@ -22,11 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strataloom.llm.common import append_columns, groups_of_texts, lowest_hashes
-from strataloom.llm.quality_model import in_fold
+from strataloom.llm.common import append_columns, excerpt, fresh, groups_of_texts, in_fold, lowest_hashes, one_for_each
 
 SAMPLE_ROWS = 3000
-SAMPLE_BYTES = 50_000
+#: Of a longer text a window of this many characters is learned from.
+SAMPLE_CHARS = 50_000
 WINDOW = 128
 HIDDEN = 8
 STEPS = 350
@@ -204,9 +204,8 @@ def fit(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Network:
     """Learn from documents with a language outside the held-out fold, at most `rows` of them."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~in_fold(F.col("doc_id"), 5, 0))
     wanted = lowest_hashes(usable.select("doc_id"), "doc_id", rows).distinct()
-    texts = usable.select("doc_id", "text", "lang").where(F.octet_length("text") <= SAMPLE_BYTES)
-    got = texts.join(F.broadcast(wanted), "doc_id").toPandas()  # wanted has at most `rows` rows
-    got = got.sort_values(["doc_id", "lang", "text"]).head(rows)
+    texts = usable.select("doc_id", "lang", excerpt(F.col("text"), SAMPLE_CHARS).alias("text"))
+    got = one_for_each(texts, ["doc_id"], wanted).toPandas().sort_values("doc_id")
     return train(list(zip(got["text"], got["lang"], strict=True)))
 
 
@@ -218,8 +217,9 @@ def predict(docs: DataFrame, net: Network, text_col: str = "text", lang_col: str
 def keep_known(docs: DataFrame, least: float = 0.0) -> DataFrame:
     """documents whose language was found with a score of at least `least`; the others go."""
     names = docs.columns
-    told = predict(docs, fit(docs), lang_col="__lang", score_col="__score")
-    return told.where((F.col("__lang") != "und") & (F.col("__score") >= least)).select(*names)
+    lang, score = fresh("lang_pred", names), fresh("score", names)
+    told = predict(docs, fit(docs), lang_col=lang, score_col=score)
+    return told.where((F.col(lang) != "und") & (F.col(score) >= least)).select(*names)
 
 
 def op6_language_id(docs: DataFrame) -> DataFrame:

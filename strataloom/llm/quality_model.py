@@ -5,12 +5,12 @@ bucket has a learned vector; a document is the average of the vectors of its fea
 turns it into class probabilities. Vectors and layer are learned together by stochastic gradient descent.
 As the layer is linear, scoring folds both into one number per bucket.
 
-The model is fitted on a bounded sample of labelled rows (SAMPLE_ROWS, by the order of a hash of the id,
-texts of at most SAMPLE_BYTES bytes); every text is scored whole. Labels, language, source and id are no
+The model is fitted on a bounded sample of labelled rows (SAMPLE_ROWS, by the order of a hash of the id; of
+texts beyond SAMPLE_CHARS characters a window placed by a hash); every text is scored whole. Labels, language, source and id are no
 features.
 
-Defined results: a null or empty text has no feature and gets the score of the layer's bias alone. Without
-any label all scores are 0.5; with one class they are that class's. Repeated rows give repeated results.
+Defined results: a null or empty text has no feature and gets the score of the layer's bias alone. Of rows that
+share an id the smallest text is learned from. Without any label all scores are 0.5; with one class they are that class's. Repeated rows give repeated results.
 A null id is in the training fold's complement of nothing: held_out is false for it, and it is not learned from.
 """
 
@@ -19,14 +19,15 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strataloom.llm.common import append_columns, groups_of_texts, lowest_hashes
+from strataloom.llm.common import append_columns, excerpt, groups_of_texts, in_fold, lowest_hashes, one_for_each
 
 SAMPLE_ROWS = 3000
-SAMPLE_BYTES = 50_000
+#: Of a longer text a window of this many characters is learned from.
+SAMPLE_CHARS = 50_000
 BUCKET_BITS = 17
 NGRAMS = (3, 4, 5)
 DIMENSIONS = 8
@@ -158,18 +159,12 @@ def train(rows: list[tuple[str | None, int]], seed: int = 7) -> Model:
     return Model((vectors @ (layer[1] - layer[0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
-def in_fold(doc_id: Column, parts: int, which: int) -> Column:
-    """Whether the id belongs to a fold: crc32 of its decimal text; false for null."""
-    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts == which, F.lit(False))
-
-
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", rows: int = SAMPLE_ROWS) -> Model:
     """Learn from labelled documents outside the held-out fold, at most `rows` of them."""
     usable = labels.where(F.col(label_col).isin(0, 1) & F.col("doc_id").isNotNull() & ~in_fold(F.col("doc_id"), 4, 2))
-    wanted = lowest_hashes(usable.select("doc_id", F.col(label_col).cast("int").alias("y")), "doc_id", rows)
-    texts = docs.select("doc_id", "text").where(F.octet_length("text") <= SAMPLE_BYTES)
-    got = texts.join(F.broadcast(wanted), "doc_id").select("doc_id", "text", "y").toPandas()  # wanted has at most `rows` rows
-    got = got.sort_values(["doc_id", "y", "text"]).head(rows)
+    wanted = lowest_hashes(usable.select("doc_id", F.col(label_col).cast("int").alias("y")), "doc_id", rows).distinct()
+    texts = docs.select("doc_id", excerpt(F.col("text"), SAMPLE_CHARS).alias("text"))
+    got = one_for_each(texts, ["doc_id", "y"], wanted).toPandas().sort_values(["doc_id", "y"])
     return train(list(zip(got["text"], got["y"].astype(int), strict=True)))
 
 
