@@ -14,18 +14,20 @@ Defined results: null and empty texts have no spans. Offsets are code points, en
 give repeated results. Without candidates nothing is added. Other columns pass unchanged.
 
 Patterns are written with possessive quantifiers, and start only at the beginning of a run or at the end of
-the match before, which finds the same matches in linear time.
+the match before, which finds the same matches in linear time. Places, neighbours and overlaps come from scans
+whose cost grows with the matches of a text to the power of one and a half at most.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataloom.llm.common import let, materialise
+from strataloom.llm.common import let, materialise, scan
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = "A-Za-z0-9._%+-"
@@ -58,20 +60,40 @@ CUES = {
 }
 LABELERS = ("format", "gazetteer", "context", "neighbours")
 CONTEXT = 40
+#: Characters in a block of a text that is being replaced.
+BLOCK = 65_536
 
 
-def _matches(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, value>> of the leftmost non-overlapping matches."""
-    values, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("found"))
+_FOUND = "struct<start:int,end:int,value:string,before:string,edges:string>"
+_CANDIDATE = "struct<kind:int,start:int,end:int,base:boolean,v0:int,v1:int,v2:int,v3:int,long:boolean>"
 
-    def step(acc: Column, x: Column) -> Column:
-        value, start = x["0"], acc["at"] + F.length(x["1"])
-        end = start + F.coalesce(F.length(value), F.lit(0))
-        hit = F.struct(start.alias("start"), end.alias("end"), value.alias("value"))
-        return F.struct(end.alias("at"), F.when(value.isNull(), acc["found"]).otherwise(F.concat(acc["found"], F.array(hit))).alias("found"))
 
-    return F.aggregate(F.arrays_zip(values, gaps), empty, step, lambda acc: acc["found"])
+def _matches(text: Column, pattern: str, wanted: Callable[[Column], Column]) -> Column:
+    """The leftmost non-overlapping matches whose value is wanted: place, value, what stands before, and both neighbours.
+
+    What surrounds a match is taken from the gaps between matches, so that its cost does not grow with its place.
+    """
+
+    def rows(values: Column, gaps: Column) -> Column:
+        later = lambda x: F.slice(x, 2, F.size(x))
+        return F.arrays_zip(values.alias("value"), gaps.alias("gap"), later(gaps).alias("gap_after"), later(values).alias("value_after"))
+
+    def step(state: Column, x: Column) -> Column:
+        start = state["at"] + F.length(x["gap"])
+        after = F.substring(F.coalesce(F.nullif(x["gap_after"], F.lit("")), x["value_after"], F.lit("")), 1, 1)
+
+        def told(before: Column) -> Column:
+            end = start + F.length(x["value"])
+            hit = F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value"), before.alias("before"), F.concat(F.right(before, F.lit(1)), F.lit("\n"), after).alias("edges"))
+            return F.struct(F.struct(end.alias("at"), F.right(F.concat(before, x["value"]), F.lit(CONTEXT)).alias("tail")).alias("state"), F.when(wanted(x["value"]), F.array(hit)).otherwise(F.array().cast(f"array<{_FOUND}>")).alias("made"))
+
+        return let(F.right(F.concat(state["tail"], x["gap"]), F.lit(CONTEXT)), told)
+
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"))
+    # the last gap has no match after it
+    run = lambda v: scan(let(F.split(text, pattern, -1), lambda g: F.slice(rows(v, g), 1, F.size(v))), begin, _FOUND, step)
+    return let(found, lambda v: F.when(F.size(v) > 0, run(v)).otherwise(F.array().cast(f"array<{_FOUND}>")))
 
 
 def _passes(kind: str, value: Column) -> Column:
@@ -96,7 +118,7 @@ def _vote(good: Column, bad: Column) -> Column:
     return F.when(F.coalesce(good, F.lit(False)), 1).when(F.coalesce(bad, F.lit(False)), -1).otherwise(0)
 
 
-def _votes(kind: str, text: Column, x: Column) -> list[Column]:
+def _votes(kind: str, x: Column) -> list[Column]:
     value = x["value"]
     gazetteer = {
         "email": _vote(value.rlike(rf"(?i)(?:{DOMAINS})$"), F.lit(False)),
@@ -104,9 +126,8 @@ def _votes(kind: str, text: Column, x: Column) -> list[Column]:
         "card": _vote(value.rlike(ISSUERS), ~value.rlike(ISSUERS)),
         "phone": _vote(value.rlike(DIALLING), F.lit(False)),
     }[kind]
-    before = F.substring(text, F.greatest(x["start"] - CONTEXT, F.lit(0)) + 1, F.least(x["start"], F.lit(CONTEXT)))
+    before, edges = x["before"], x["edges"]
     good, bad = CUES[kind]
-    edges = F.concat(F.when(x["start"] > 0, F.substring(text, x["start"], F.lit(1))).otherwise(""), F.lit("\n"), F.substring(text, x["end"] + 1, F.lit(1)))
     return [
         _vote(_passes(kind, value), F.lit(kind != "email")),
         gazetteer,
@@ -115,36 +136,51 @@ def _votes(kind: str, text: Column, x: Column) -> list[Column]:
     ]
 
 
-def with_candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with __cands: array<struct<kind, start, end, base, v0..v3, long>> in order of kind and start."""
+def with_candidates(docs: DataFrame, text_col: str = "text", out_col: str = "candidates") -> DataFrame:
+    """docs with out_col: array<struct<kind, start, end, base, v0..v3, long>> in order of kind and start; a column of that name is replaced."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    none = F.array().cast("array<struct<kind:int,start:int,end:int,base:boolean,v0:int,v1:int,v2:int,v3:int,long:boolean>>")
+    none = F.array().cast(f"array<{_CANDIDATE}>")
 
     def judged(k: int, found: Column, base: Column | None) -> Column:
         kind = KINDS[k]
 
         def one(x: Column) -> Column:
-            votes = _votes(kind, text, x)
             isbase = _passes(kind, x["value"]) if base is None else base
-            return F.struct(F.lit(k).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), isbase.alias("base"), *(v.cast("int").alias(f"v{i}") for i, v in enumerate(votes)), (x["end"] - x["start"] > 14).alias("long"))
+            return F.struct(F.lit(k).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), isbase.alias("base"), *(v.cast("int").alias(f"v{i}") for i, v in enumerate(_votes(kind, x))), (x["end"] - x["start"] > 14).alias("long"))
 
         return F.transform(found, one)
 
-    def usable(kind: str, found: Column) -> Column:
-        return F.filter(found, lambda x: _passes(kind, x["value"]) | _near_miss(kind, x["value"]))
-
     parts, more = [], []
     for k, kind in enumerate(KINDS):
-        parts.append(F.when(NEEDS[kind](text), judged(k, usable(kind, _matches(text, BASE[kind])), None)).otherwise(none))
+        usable = lambda value, kind=kind: _passes(kind, value) | _near_miss(kind, value)
+        parts.append(F.when(NEEDS[kind](text), judged(k, _matches(text, BASE[kind], usable), None)).otherwise(none))
         if kind in MORE:
-            more.append(F.when(NEEDS[kind](text), judged(k, _matches(text, MORE[kind]), F.lit(False))).otherwise(none))
-    return docs.withColumn("__cands", let(F.concat(*parts, *more), _untouched))
+            more.append(F.when(NEEDS[kind](text), judged(k, _matches(text, MORE[kind], lambda value: F.lit(True)), F.lit(False))).otherwise(none))
+    return docs.withColumn(out_col, let(F.concat(*parts, *more), _untouched))
 
 
 def _untouched(cands: Column) -> Column:
-    """Base spans, and the others that touch none of them, in order."""
-    ordered = lambda a: F.array_sort(a)  # noqa: E731  structs compare by kind, then start
-    return let(F.filter(cands, lambda x: x["base"]), lambda base: ordered(F.concat(base, F.array_distinct(F.filter(cands, lambda x: ~x["base"] & ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))))))
+    """Base spans, and once each the others that touch none of them, in order of kind and start.
+
+    Two scans by place: one knows how far the base spans before reach, the other where the next one starts.
+    """
+    placed = F.sort_array(F.transform(cands, lambda x: F.struct(x["start"].alias("start"), (~x["base"]).alias("more"), x["kind"].alias("kind"), x["end"].alias("end"), x.alias("x"))))
+    kind = f"struct<start:int,more:boolean,kind:int,end:int,x:{_CANDIDATE}>"
+    none = F.array().cast(f"array<{kind}>")
+
+    def forward(state: Column, p: Column) -> Column:
+        again = (p["start"] == state["start"]) & (p["kind"] == state["kind"]) & (p["end"] == state["end"])
+        reach = F.when(p["more"], state["reach"]).otherwise(F.greatest(state["reach"], p["end"]))
+        after = F.struct(reach.alias("reach"), p["start"].alias("start"), p["kind"].alias("kind"), p["end"].alias("end"))
+        return F.struct(after.alias("state"), F.when(p["more"] & ((p["start"] < state["reach"]) | again), none).otherwise(F.array(p)).alias("made"))
+
+    def back(following: Column, p: Column) -> Column:
+        after = F.when(p["more"], following).otherwise(p["start"])
+        return F.struct(after.alias("state"), F.when(p["more"] & (p["end"] > following), none).otherwise(F.array(p)).alias("made"))
+
+    begin = F.struct(*(F.lit(x).alias(n) for n, x in (("reach", 0), ("start", -1), ("kind", -1), ("end", -1))))
+    kept = scan(F.reverse(scan(placed, begin, kind, forward)), F.lit(2**31 - 1), kind, back)
+    return F.array_sort(F.when(F.exists(cands, lambda x: ~x["base"]), F.transform(kept, lambda p: p["x"])).otherwise(cands))
 
 
 @dataclass
@@ -216,16 +252,16 @@ def train_spans(rows: list[tuple[int, tuple[int, ...], bool, int]], steps: int =
     return model if total else SpanModel(-1.0, {}, [0.0] * len(KINDS), 0.0)
 
 
-def fit(candidates: DataFrame) -> SpanModel:
+def fit(candidates: DataFrame, cands: str = "candidates") -> SpanModel:
     """From the counts of vote patterns of all candidates."""
     votes = [F.col(f"x.v{i}").alias(f"v{i}") for i in range(len(LABELERS))]
-    counts = candidates.select(F.explode("__cands").alias("x")).groupBy(F.col("x.kind").alias("kind"), *votes, F.col("x.long").alias("long")).agg(F.count("*").alias("n")).collect()
+    counts = candidates.select(F.explode(cands).alias("x")).groupBy(F.col("x.kind").alias("kind"), *votes, F.col("x.long").alias("long")).agg(F.count("*").alias("n")).collect()
     return train_spans(sorted((r["kind"], tuple(r[f"v{i}"] for i in range(len(LABELERS))), r["long"], r["n"]) for r in counts))
 
 
-def spans(model: SpanModel) -> Column:
-    """The spans of __cands that are base or accepted."""
-    return F.filter("__cands", lambda x: x["base"] | model.accepts(x))
+def spans(model: SpanModel, cands: str = "candidates") -> Column:
+    """The candidates that are base or accepted."""
+    return F.filter(cands, lambda x: x["base"] | model.accepts(x))
 
 
 def _written(found: Column) -> Column:
@@ -233,27 +269,44 @@ def _written(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"], x["end"])), ",")
 
 
-def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """documents with every span replaced by its kind in brackets; null texts stay null, texts without spans unchanged."""
-    names = docs.columns
-    told = with_candidates(docs.select(F.struct(*names).alias("__row"), F.col(text_col).alias("text")))
-    told = told.withColumn("__spans", spans(fit(told)))
+def _replaced(text: Column, found: Column) -> Column:
+    """text with each of its spans as its kind in brackets; of spans that overlap the first.
+
+    The text is cut into blocks once, since a place in a string is found by reading up to it.
+    """
     labels = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
-    by_start = F.array_sort(F.transform("__spans", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
+    by_start = F.array_sort(F.transform(found, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
+
+    def cut(blocks: Column, a: Column, b: Column) -> Column:
+        i, j = F.floor(a / BLOCK).cast("int"), F.floor(b / BLOCK).cast("int")
+        first, last = F.get(blocks, i), F.coalesce(F.get(blocks, j), F.lit(""))
+        across = F.concat(F.substring(first, a % BLOCK + 1, F.lit(BLOCK)), F.array_join(F.slice(blocks, i + 2, F.greatest(j - i - 1, F.lit(0))), ""), F.substring(last, F.lit(1), b % BLOCK))
+        return F.when(a >= b, "").when(i == j, F.substring(first, a % BLOCK + 1, b - a)).otherwise(across)
 
-    def step(acc: Column, x: Column) -> Column:
-        gap = F.substring(F.col("text"), acc["at"] + 1, F.greatest(x["start"] - acc["at"], F.lit(0)))
-        seen = x["start"] < acc["at"]
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(seen, acc["out"]).otherwise(F.concat(acc["out"], gap, F.get(labels, x["kind"]))).alias("out"))
+    def clean(blocks: Column) -> Column:
+        def step(at: Column, x: Column) -> Column:
+            piece = F.concat(cut(blocks, at, x["start"]), F.get(labels, x["kind"]))
+            return F.struct(F.greatest(at, x["end"]).alias("state"), F.when(x["start"] < at, F.array().cast("array<string>")).otherwise(F.array(piece)).alias("made"))
 
-    end = lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text")))
-    clean = F.aggregate(by_start, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, end)
-    clean = F.when(F.size("__spans") == 0, F.col("text")).otherwise(clean)
-    return told.select("__row", clean.alias("__clean")).select(*(F.col("__clean").alias(c) if c == text_col else F.col(f"__row.{c}").alias(c) for c in names))
+        pieces = scan(by_start, F.lit(0), "string", step)
+        return F.array_join(F.concat(pieces, F.array(cut(blocks, F.array_max(F.transform(found, lambda x: x["end"])), F.length(text)))), "")
+
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.length(text) - 1) / BLOCK).cast("int")), lambda i: F.substring(text, i * BLOCK + 1, F.lit(BLOCK)))
+    return F.when(F.size(found) == 0, text).otherwise(let(blocks, clean))
+
+
+def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """documents with every span replaced by its kind in brackets; null texts stay null, texts without spans unchanged."""
+    names = docs.columns
+    # written, since the candidates are read twice: to learn from, and to decide on
+    told = materialise(with_candidates(docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.col(f"`{text_col}`").alias("text"))).drop("text"), "candidates")
+    model = fit(told)
+    text = F.col("row").getField(text_col)
+    return told.select("row", spans(model).alias("found")).select(*((_replaced(text, F.col("found")) if c == text_col else F.col("row").getField(c)).alias(c) for c in names))
 
 
 def op3_pii(docs: DataFrame) -> DataFrame:
-    found = materialise(with_candidates(docs.select("doc_id", "text")).select("doc_id", "__cands"), "candidates")
-    base = F.filter("__cands", lambda x: x["base"])
-    number = lambda k: F.size(F.filter("__cands", lambda x: x["base"] & (x["kind"] == k))).cast("long").alias(f"n_{KINDS[k]}")
+    found = materialise(with_candidates(docs.select("doc_id", "text")).drop("text"), "candidates")
+    base = F.filter("candidates", lambda x: x["base"])
+    number = lambda k: F.size(F.filter("candidates", lambda x: x["base"] & (x["kind"] == k))).cast("long").alias(f"n_{KINDS[k]}")
     return found.select("doc_id", *(number(k) for k in range(len(KINDS))), F.sha2(_written(base), 256).alias("base_sha256"), _written(spans(fit(found))).alias("spans"))
