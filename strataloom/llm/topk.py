@@ -9,7 +9,8 @@ query's largest coordinates confine a unit vector of such a cosine. What is left
 product. Queries, too, are cut into blocks, so a task sees one block of each, whatever their number.
 
 Defined results: vectors that are null, empty, or hold a null or non-finite component take no part, nor do
-rows with a null id; rows that share an id count as one, with the smallest vector. Only vectors of equal
+rows with a null id. Rows that share an id are candidates each on its own, but none for a query of that id;
+queries that share an id give the k best of all of them together. Only vectors of equal
 dimension are compared. Products beyond 64 bits are cut to the nearest long. Fewer candidates than k give
 all. Ties go to the smaller id. Other columns are not read.
 """
@@ -121,9 +122,10 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, id_col: str = "id", vector_c
     spark = vectors.sparkSession
     plain = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector")).where(F.col("id").isNotNull() & (F.size("vector") > 0))
     squared = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x)
-    single = plain.groupBy("id").agg(F.min("vector").alias("vector")).withColumn("length", F.sqrt(squared))
+    single = plain.withColumns({"length": F.sqrt(squared), "key": F.monotonically_increasing_id()})
     bucket = F.when(F.col("length") > 0, F.floor(4 * F.log2("length")).cast("int")).otherwise(-1)
-    single = materialise(single.select("id", "vector", "length", F.size("vector").alias("dim"), bucket.alias("bucket")), "vectors")
+    # written, so that a row has the same key wherever it is read
+    single = materialise(single.select("key", "id", "vector", "length", F.size("vector").alias("dim"), bucket.alias("bucket")), "vectors")
 
     # a few numbers for each bucket, whose count the range of lengths bounds
     query = is_query(F.col("id"))
@@ -140,17 +142,17 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, id_col: str = "id", vector_c
         held += n
         if held >= SEEDS:
             break
-    for r in lowest_hashes(single.where(F.col("bucket") >= low).select("id", "dim", "vector"), "id", SEEDS).collect():
+    for r in lowest_hashes(single.where(F.col("bucket") >= low).select("key", "id", "dim", "vector"), "key", SEEDS).collect():
         seeds.setdefault(r["dim"], []).append((r["id"], r["vector"]))
     seeds = {d: (np.array([i for i, _ in x]), np.array([v for _, v in x], dtype=np.int64)) for d, x in seeds.items()}
 
-    spread = F.xxhash64("id")
-    queries = single.where(query).select("id", "vector", "length", "dim")
-    queries = queries.repartition(F.col("id")).mapInPandas(_bounded(seeds, k), "id bigint, vector array<bigint>, length double, dim int, bound double")
+    spread = F.xxhash64("key")  # rows of one id are dealt like any others
+    queries = single.where(query).select("key", "id", "vector", "length", "dim")
+    queries = queries.repartition(F.col("key")).mapInPandas(_bounded(seeds, k), "key bigint, id bigint, vector array<bigint>, length double, dim int, bound double")
     queries = queries.join(plan, "dim").where(F.col("length") * F.col("longest") >= F.col("bound") * (1 - F.signum("bound") * 1e-9))
     keys = ["dim", "bucket", "block", "query_block"]
     queries = queries.select("id", "vector", "bound", "dim", "bucket", F.pmod(spread, "query_blocks").alias("query_block"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"))
-    rows = single.select("id", "vector", "dim", "bucket").join(plan, ["dim", "bucket"])
+    rows = single.select("key", "id", "vector", "dim", "bucket").join(plan, ["dim", "bucket"])
     rows = rows.select("id", "vector", "dim", "bucket", F.pmod(spread, "blocks").alias("block"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("query_blocks") - 1)).alias("query_block"))
     found = queries.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInPandas(_matched(k), "query_id bigint, vec_id bigint, score bigint")
     return _ranked(found, k)
