@@ -9,25 +9,26 @@ The list is fitted on the statistics of at most SAMPLE_ROWS labelled rows that p
 statistics and verdicts cover every row and whole texts.
 
 Defined results: null, empty and blank texts have no words and fail the base rules. Without labels of both
-kinds the list is empty and keeps what passes the base rules. Repeated rows give repeated results. Windows
+kinds the list is empty and keeps what passes the base rules. Of rows that share an id one is learned from. Repeated rows give repeated results. Windows
 are compared by a 64-bit hash within their text. Columns named like a statistic are replaced.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataloom.llm.common import fresh, let, lowest_hashes, materialise
+from strataloom.llm.common import fresh, let, lowest_hashes, materialise, one_for_each
 
 SAMPLE_ROWS = 4000
 SPACE = "[\\x20\\x09-\\x0D]+"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-MAX_RULES = 12
 #: Share of rejected rows among those that a rule covers, on the rows it was pruned on.
 MIN_PRECISION = 0.95
 MIN_COVERED = 3
@@ -113,6 +114,15 @@ def _split(rule: Rule, rows: list[dict]) -> tuple[int, int]:
     return sum(inside), len(inside) - sum(inside)
 
 
+def _cuts(rows: list[dict], feature: str, above: bool) -> Iterator[tuple[float, int, int]]:
+    """(threshold, rejected rows, rows) for each value of a feature: what lies at or beyond it."""
+    q = m = 0
+    for value, group in groupby(sorted(rows, key=lambda r: r[feature], reverse=above), key=lambda r: r[feature]):
+        hit = [r["reject"] for r in group]
+        q, m = q + sum(hit), m + len(hit)
+        yield value, q, m
+
+
 def _grow(rows: list[dict]) -> Rule:
     """Add the condition of the largest information gain until no kept row is covered."""
     rule: Rule = ()
@@ -120,21 +130,15 @@ def _grow(rows: list[dict]) -> Rule:
     while True:
         p = sum(r["reject"] for r in inside)
         n = len(inside) - p
-        if not p or not n or len(rule) == 4:
+        if not p or not n:
             return rule
         best, gain = None, 1e-9
         for f in FEATURES:
-            values = sorted({r[f] for r in inside})
-            cuts = [values[len(values) * k // 48] for k in range(1, 48)] if len(values) > 48 else values
             for above in (True, False):
-                for cut in cuts:
-                    c = Condition(f, above, cut)
-                    hit = [r["reject"] for r in inside if c.holds(r)]
-                    if not (q := sum(hit)):
-                        continue
-                    g = q * (math.log2(q / len(hit)) - math.log2(p / (p + n)))
+                for cut, q, m in _cuts(inside, f, above):
+                    g = q * (math.log2(q / m) - math.log2(p / (p + n))) if q else 0.0
                     if g > gain:
-                        best, gain = c, g
+                        best, gain = Condition(f, above, cut), g
         if best is None:
             return rule
         rule += (best,)
@@ -154,7 +158,7 @@ def learn(rows: list[dict]) -> list[Rule]:
     """Sequential covering; rows hold FEATURES, `reject` and `fold` (0, 1 grow, 2 prunes)."""
     found: list[Rule] = []
     left = rows
-    while len(found) < MAX_RULES:
+    while True:
         grow, prune = [r for r in left if r["fold"] != 2], [r for r in left if r["fold"] == 2]
         rule = _prune(_grow(grow), prune)
         p, n = _split(rule, left)
@@ -163,17 +167,17 @@ def learn(rows: list[dict]) -> list[Rule]:
             return found
         found.append(rule)
         left = [r for r in left if not covers(rule, r)]
-    return found
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> list[Rule]:
     """The decision list from at most `rows` labelled documents (quality 0 is rejected)."""
     usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
-    wanted = lowest_hashes(usable.select("doc_id", (1 - F.col("quality")).cast("int").alias("reject")), "doc_id", rows)
-    told = with_stats(docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id"))  # wanted has at most `rows` rows
-    got = materialise(told.drop("text"), "statistics")
+    wanted = lowest_hashes(usable.select("doc_id", (1 - F.col("quality")).cast("int").alias("reject")), "doc_id", rows).distinct()
+    # joined first, so that only the wanted texts are read; the second join then gives one row for each
+    told = with_stats(docs.select("doc_id", "text").join(F.broadcast(wanted.select("doc_id").distinct()), "doc_id"))
+    got = one_for_each(materialise(told.drop("text"), "statistics"), ["doc_id", "reject"], wanted)
     got = got.where(~base_failed()).select("reject", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(3)).alias("fold"), *(c.alias(f) for f, c in features().items()))
-    return learn(sorted((r.asDict() for r in got.limit(2 * rows).collect()), key=lambda r: tuple(r.values())))
+    return learn(sorted((r.asDict() for r in got.collect()), key=lambda r: tuple(r.values())))
 
 
 def verdict(rules: list[Rule]) -> Column:
