@@ -3,13 +3,18 @@
 Listed rules (host, path) decide the urls they fit. All others are judged by mined rules: a url becomes a
 set of tokens (labels of its host, segments of its path, names of its parameters) plus a label; FP-growth
 mines which combinations of at most MAX_TOKENS tokens urls labelled `block` share; combinations are pruned by
-support relative to those urls, by confidence over all urls, and if a part of them blocks as surely. Labels come from the listed rules and from a list of
-seed terms in host names; every other url counts as allowed, so that a token blocks only if nearly all urls
-that bear it are bad. Matching goes through an inverted index: each mined rule stands under its rarest token,
-and is verified where that token occurs. It runs once for each distinct set of tokens.
+support relative to those urls, by confidence over all urls, and if a part of them blocks as surely. Labels
+do not come from the url: a page is bad if the visible text of its html names advert terms in a given density.
+Pages of the held-out fold (HELD_OUT of crc32 of the id) are not mined. Matching goes through an inverted
+index: each mined rule stands under its rarest token, and is verified where that token occurs. It runs once for
+each distinct set of tokens.
+
+FP-growth has no bound on the size of a set, and a run of tokens that always stand together has a number of
+parts exponential in its length; so tokens that the same urls bear are mined as one, the first of them by name.
 
 Defined results: null urls and urls without `://` have an empty host and path, no listed rule and the verdict
-allow. Repeated rows and ids give repeated results. An empty table mines nothing. Other columns are not read.
+allow. A null or empty html is not bad. Null ids are not held out. Repeated rows and ids give repeated results.
+An empty table mines nothing. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -20,16 +25,20 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataloom.llm.common import materialise
+from strataloom.llm.common import in_fold, let, materialise
 
 #: (verdict, host, path): a rule fits its host and all subdomains where the path starts with its own.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-#: Terms of host names that mark a url as bad for learning; fixed values.
-SEEDS = ("casino", "bets", "poker", "pills", "viagra", "adult", "porn", "xxx", "spam", "ads")
+#: Words of a page's text that mark it as bad for learning; fixed values.
+TERMS = ("casino", "bets", "poker", "pills", "viagra", "adult", "porn", "xxx", "spam", "ads")
 MIN_SUPPORT = 0.001
 MIN_COUNT = 5
 MIN_CONFIDENCE = 0.9
 MAX_TOKENS = 3
+#: Words of a page for each of which one term makes it bad.
+WORDS_PER_TERM = 4000
+#: (parts, which): the fold of pages that is not learned from.
+HELD_OUT = (5, 0)
 BLOCK = "=block"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -62,6 +71,18 @@ def listed_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column
     return (F.lit(None).cast("string"), F.lit(None).cast("string")) if rule is None else (rule, verdict)
 
 
+def visible_words(html: Column) -> Column:
+    """The text of a page without scripts, styles and tags; what a script leaves open is dropped with it."""
+    bare = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<(?:script|style)\b.*?(?:</(?:script|style)\s*+>|\z)|<!--.*?(?:-->|\z)", " ")
+    return F.regexp_replace(bare, r"<[^>]*+>?", " ")
+
+
+def bad_body(html: Column, terms=TERMS, words_per_term: int = WORDS_PER_TERM) -> Column:
+    """Whether a page's text has one of the terms for each words_per_term words, or any in a shorter one."""
+    named = F.lit("(?i)\\b(?:" + "|".join(terms) + ")\\b")
+    return let(visible_words(html), lambda t: let(F.regexp_count(t, named), lambda n: (n > 0) & (n * words_per_term >= F.regexp_count(t, F.lit("[^\\x20\\x09-\\x0D]++")))))
+
+
 def _counts(sets: DataFrame, wanted: DataFrame) -> DataFrame:
     """(tokens, rows): how many rows of sets (tokens, rows) hold each wanted set of tokens, and (anchor) its rarest token.
 
@@ -94,7 +115,10 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_count: int =
     single = rows.select(F.explode("tokens").alias("token"), "rows", "bad").groupBy("token").agg(F.sum("rows").alias("rows"), F.sum("bad").alias("bad"))
     single = materialise(single.where(F.col("bad") >= least), "singles")
     sure = single.where("bad = rows").select(F.array("token").alias("tokens"), F.col("bad").alias("freq"))
-    mixed = single.where("bad < rows").select("token")
+    # tokens that the same sets bear are one item
+    where = rows.select(F.xxhash64("tokens").cast("decimal(20,0)").alias("h"), F.explode("tokens").alias("token")).join(single.where("bad < rows").select("token"), "token")
+    mixed = where.groupBy("token").agg(F.count("*").alias("n"), F.sum("h").alias("h")).groupBy("n", "h").agg(F.min("token").alias("token"))
+    mixed = materialise(mixed.select("token"), "mixed")
     numbered = rows.where("bad > 0").select(F.monotonically_increasing_id().alias("set"), "tokens", "bad")
     numbered = materialise(numbered, "bad_sets")
     left = numbered.select("set", "bad", F.explode("tokens").alias("token")).join(mixed, "token").groupBy("set", "bad").agg(F.collect_set("token").alias("items"))
@@ -126,18 +150,19 @@ def match(sets: DataFrame, rules: DataFrame) -> DataFrame:
     return hits.groupBy("tokens").agg(F.max(F.struct("confidence", "support")).alias("best")).select("tokens", "best.confidence", "best.support")
 
 
-def judge(pages: DataFrame, rules=RULES, seeds=SEEDS, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """(id, host, path, rule, verdict, confidence)."""
+def judge(pages: DataFrame, rules=RULES, terms=TERMS, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(id, host, path, rule, verdict, confidence, bad, held_out): verdict from the listed rules, else from the mined ones."""
     host, path = host_of(F.col("url")), path_of(F.col("url"))
-    split = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url")).select("id", "url", host.alias("host"), path.alias("path"))
+    slim = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), bad_body(F.col(html_col), terms).alias("bad"))
+    split = slim.select("id", "url", "bad", in_fold(F.col("id"), *HELD_OUT).alias("held_out"), host.alias("host"), path.alias("path"))
     rule, listed = listed_rule(F.col("host"), F.col("path"), rules)
-    split = materialise(split.select("id", "host", "path", rule.alias("rule"), listed.alias("listed"), tokens_of(F.col("url"), F.col("host"), F.col("path")).alias("tokens")), "urls")
-    seeded = F.col("host").rlike("(?:^|[.-])(?:" + "|".join(seeds) + ")(?:[.-]|$)")
-    mined = mine(split.select("tokens", (F.coalesce(F.col("listed") == "block", F.lit(False)) | (F.col("listed").isNull() & seeded)).alias("bad")))
-    found = match(split.where(F.col("listed").isNull()).select("tokens").distinct(), mined)
+    split = materialise(split.select("id", "host", "path", "bad", "held_out", rule.alias("rule"), listed.alias("listed"), tokens_of(F.col("url"), F.col("host"), F.col("path")).alias("tokens")), "urls")
+    mined = mine(split.where("not held_out").select("tokens", "bad"))
+    # written, so that Spark can split the other side of the join where very many urls have the same tokens
+    found = materialise(match(split.where(F.col("listed").isNull()).select("tokens").distinct(), mined), "matched")
     judged = split.join(found, "tokens", "left")
     verdict = F.coalesce(F.col("listed"), F.when(F.col("confidence").isNotNull(), "block").otherwise("allow"))
-    return judged.select(F.col("id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"), "confidence")
+    return judged.select(F.col("id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"), "confidence", "bad", "held_out")
 
 
 def op10_url_rules(pages: DataFrame) -> DataFrame:
