@@ -257,7 +257,8 @@ def near_edges(fps: DataFrame, radius: int = RADIUS, tree_size: int = TREE_SIZE)
     if not 0 <= radius <= 3:
         raise ValueError("four blocks prove a radius of at most 3")
     spread = fps.select("fp", F.explode(shard_keys(F.col("fp"))).alias("key"))
-    busy = spread.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    # written, so that Spark can split the other side of the join where a shard is very large
+    busy = materialise(spread.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1), "busy")
     trees = F.ceil(F.col("n") / tree_size).cast("int")
     rows = spread.join(busy, "key").select("key", "fp", trees.alias("trees"))
     own = F.pmod(F.xxhash64("fp"), F.col("trees")).cast("int")
