@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataloom.llm.common import materialise
+from strataloom.llm.token_counts import count_tokens
 
 CAPACITY = 8192
 SHARD = 2048
@@ -95,9 +96,11 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", leng
     return both.select(F.col("id").alias(id_col), "piece", "piece_start", "piece_length", "shard", "bin", "bin_offset")
 
 
-def pack_documents(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Pack whole documents by their UTF-8 bytes; equal texts are a cluster."""
-    return pack(docs.select("doc_id", F.octet_length("text").alias("length"), "source", F.xxhash64("text").alias("cluster")), capacity)
+def pack_documents(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None) -> DataFrame:
+    """Pack whole documents by their tokens in a vocabulary (operator 9), or by their UTF-8 bytes; equal texts are a cluster."""
+    slim = docs.select("doc_id", "text", "source")
+    sized = count_tokens(slim, vocabulary, out_col="length") if vocabulary else slim.withColumn("length", F.octet_length("text"))
+    return pack(sized.select("doc_id", "length", "source", F.xxhash64("text").alias("cluster")), capacity)
 
 
 def op8_best_fit_packing(docs: DataFrame) -> DataFrame:
