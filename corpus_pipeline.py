@@ -6,6 +6,7 @@ of documents; the last returns where each piece of each document was packed.
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from strataloom.functions.runtime import share_package
@@ -14,6 +15,8 @@ from strataloom.llm.common import materialise
 
 #: Mean probability below which a text's language counts as unknown.
 LEAST_LANGUAGE_SCORE = 0.3
+#: Tokens of a training sequence.
+SEQUENCE = 2048
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,9 +44,9 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document lies in training sequences."""
+    """Where each piece of each document lies in training sequences of SEQUENCE tokens."""
     share_package(spark)
-    return packing.pack_documents(docs)
+    return packing.pack_documents(docs, SEQUENCE, public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES = [
