@@ -24,13 +24,13 @@ def question_intent(t):
     return _asked(t).select("o_orderkey", L.question_intent(F.col("q")).alias("intent"))
 
 
-@query("SELECT o_orderkey, CASE o_orderkey % 7 WHEN 0 THEN [o_orderpriority] WHEN 1 THEN ['AB-' || (o_custkey + 10)] ELSE []::VARCHAR[] END AS found FROM orders")
+@query("SELECT o_orderkey, CASE o_orderkey % 7 WHEN 0 THEN [o_orderpriority] WHEN 1 THEN CASE WHEN o_custkey >= 90 THEN ['AB-' || (o_custkey + 10)] ELSE []::VARCHAR[] END ELSE []::VARCHAR[] END AS found FROM orders")
 def question_values(t):
     return _asked(t).select("o_orderkey", L.question_values(F.col("q")).alias("found"))
 
 
-@query("""SELECT o_orderkey, CAST(CASE o_orderkey % 7 WHEN 0 THEN DATE '1998-08-09' WHEN 1 THEN DATE '1998-08-01' WHEN 2 THEN make_date(1996, CAST(o_custkey % 12 + 1 AS INTEGER), 1) WHEN 3 THEN DATE '1998-07-01' WHEN 4 THEN DATE '1998-05-01' END AS VARCHAR) AS first,
-  CAST(CASE o_orderkey % 7 WHEN 0 THEN DATE '1998-08-15' WHEN 1 THEN DATE '1998-08-15' WHEN 2 THEN last_day(make_date(1996, CAST(o_custkey % 12 + 1 AS INTEGER), 1)) WHEN 3 THEN DATE '1998-07-31' WHEN 4 THEN DATE '1998-07-31' END AS VARCHAR) AS last, o_orderkey % 7 = 0 AS compare FROM orders""")
+@query("""SELECT o_orderkey, CAST(CASE o_orderkey % 7 WHEN 0 THEN DATE '1998-08-08' WHEN 1 THEN DATE '1998-08-01' WHEN 2 THEN make_date(1996, CAST(o_custkey % 12 + 1 AS INTEGER), 1) WHEN 3 THEN DATE '1998-07-01' WHEN 4 THEN DATE '1998-05-01' END AS VARCHAR) AS first,
+  CAST(CASE o_orderkey % 7 WHEN 0 THEN DATE '1998-08-15' WHEN 1 THEN DATE '1998-08-31' WHEN 2 THEN last_day(make_date(1996, CAST(o_custkey % 12 + 1 AS INTEGER), 1)) WHEN 3 THEN DATE '1998-07-31' WHEN 4 THEN DATE '1998-08-31' END AS VARCHAR) AS last, o_orderkey % 7 = 0 AS compare FROM orders""")
 def question_time_range(t):
     return _asked(t).select("o_orderkey", L.question_range(F.col("q"), "1998-08-15").alias("r")).select("o_orderkey", "r.*")
 

@@ -19,7 +19,7 @@ def files(t):
         F.when(k == 0, F.concat(F.lit("INSERT INTO db."), tgt, F.lit("\nSELECT a.x FROM `"), src, F.lit("` a\nLEFT JOIN dim_user u ON a.u = u.id\nJOIN dim_day ON a.d = dim_day.d;")))
         .when(k == 1, F.concat(F.lit("create or replace table "), tgt, F.lit(" as select * from "), src, F.lit(" where x = 1;")))
         .when(k == 2, F.concat(F.lit("df = pd.read_sql(\"SELECT * FROM "), src, F.lit("\", con)\ndf.to_sql('"), tgt, F.lit("', con)\n")))
-        .when(k == 3, F.concat(F.lit("spark.sql(\"\"\"INSERT INTO "), tgt, F.lit(" SELECT * FROM "), src, F.lit("\"\"\")\n")))
+        .when(k == 3, F.concat(F.lit("spark.sql(\"\"\"INSERT INTO "), tgt, F.lit(" SELECT * FROM "), src, F.lit("\"\"\")\na = spark.table('db."), src, F.lit("')\nb = spark.read.table(\"dim_user\")\nc = a.join(b, on=['user_id'])\nb.createOrReplaceTempView('v"), F.col("o_custkey") % 9, F.lit("')\n")))
         .when(k == 4, F.concat(F.lit("class Left(Base):\n    __tablename__ = '"), src, F.lit("'\n\nsession.query(Left).join(Other)\n\n@dataclass\nclass Row"), F.col("o_orderkey"), F.lit(":\n    \"\"\"A row.\"\"\"\n    a: int\n    b: str\n")))
         .otherwise(F.concat(F.lit("select * from {{ ref('"), src, F.lit("') }}")))
     )
@@ -54,7 +54,11 @@ def embedded_sql(t):
 
 
 py_sql = query(f"SELECT {_PATH} AS path, {_S} AS source, {_T} AS target FROM orders WHERE {_KIND} = 3", "py_sql")(lambda t: L.lineage(L.embedded(files(t).where("path like '%.py'"))))
-spark_edges = query(f"SELECT {_PATH} AS path, {_S} AS source, {_T} AS target FROM orders WHERE {_KIND} = 3", "spark_edges")(lambda t: L.lineage(L.embedded(files(t).where("body like '%spark.sql(%'"))))
+
+
+@query(f"""SELECT path, unnest(['sql', 'join', 'view']) AS kind, unnest([src, src, 'dim_user']) AS source, unnest([tgt, 'dim_user', 'v' || n]) AS target, unnest(['', 'user_id', '']) AS key FROM (SELECT {_PATH} AS path, {_S} AS src, {_T} AS tgt, o_custkey % 9 AS n FROM orders WHERE {_KIND} = 3)""")
+def spark_edges(t):
+    return L.spark_edges(files(t))
 
 
 @query(f"SELECT {_PATH} AS path, {_S} AS source, {_T} AS target FROM orders WHERE {_KIND} = 2")
