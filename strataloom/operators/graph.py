@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataloom.functions.storage import materialise
+
 #: Predicates that relate concepts.
 RELATIONS = ("broader", "narrower", "related", "derivedFrom", "dependsOn", "joinableWith", "computedFrom", "transformsFrom", "mapsTo")
 
@@ -91,18 +93,29 @@ def parents(kg: DataFrame) -> DataFrame:
     return up.where("child <> parent").groupBy("child").agg(F.min("parent").alias("parent"))
 
 
-def hierarchy(kg: DataFrame, deepest: int = 16) -> DataFrame:
-    """(node, root, path, depth) from the roots down; nodes on cycles have no root and do not appear."""
-    up = parents(kg)
-    now = up.select(F.col("parent").alias("node")).distinct().join(up.select(F.col("child").alias("node")), "node", "left_anti")
-    level = now.select("node", F.col("node").alias("root"), F.col("node").alias("path"), F.lit(0).alias("depth"))
-    out = level
-    for d in range(1, deepest + 1):
-        level = level.join(up, F.col("parent") == F.col("node")).select(F.col("child").alias("node"), "root", F.concat_ws(" > ", "path", "child").alias("path"), F.lit(d).alias("depth"))
-        if level.isEmpty():
-            break
-        out = out.unionByName(level)
-    return out
+def hierarchy(kg: DataFrame) -> DataFrame:
+    """(node, root, path, depth) of all nodes; nodes on cycles or below them have no root and do not appear.
+
+    Each node knows the names between it and an ancestor; a round joins it with what that ancestor knows, which
+    doubles the way, so rounds grow with the logarithm of the depth.
+    """
+    up = materialise(parents(kg), "parents")
+    children = up.select(F.col("child").alias("at"))
+    roots = up.select(F.col("parent").alias("at")).distinct().join(children, "at", "left_anti")
+    start = up.select(F.col("child").alias("node"), F.col("parent").alias("at"), F.array("child").alias("names"))
+    done = materialise(start.join(roots, "at", "left_semi").select("node", "at", "names"), "done")
+    left = materialise(start.join(roots, "at", "left_anti").select("node", "at", "names"), "open")
+    steps, nodes = 1, up.count()
+    # whoever has not met a root after as many steps as there are nodes is on a cycle, or below one
+    while steps <= nodes and not left.isEmpty():
+        known = done.withColumn("ends", F.lit(True)).unionByName(left.withColumn("ends", F.lit(False)))
+        ahead = known.select(F.col("node").alias("at"), F.col("at").alias("next"), F.col("names").alias("before"), "ends")
+        moved = materialise(left.join(ahead, "at").select("node", F.col("next").alias("at"), F.concat("before", "names").alias("names"), "ends"), "moved")
+        done = materialise(done.unionByName(moved.where("ends").drop("ends")), "done")
+        left = moved.where("not ends").drop("ends")
+        steps *= 2
+    top = roots.select(F.col("at").alias("node"), F.col("at").alias("root"), F.col("at").alias("path"), F.lit(0).alias("depth"))
+    return top.unionByName(done.select("node", F.col("at").alias("root"), F.concat_ws(" > ", F.array("at"), "names").alias("path"), F.size("names").alias("depth")))
 
 
 def provenance(kg: DataFrame, chunks: DataFrame, docs: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ emptiness come back. Derived triples exclude what is known and pairs of a node w
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,23 +19,34 @@ SYMMETRIC = ("joinableWith", "exactMatch")
 INVERSE = {"broader": "narrower", "narrower": "broader", "groundedBy": "asserts", "computedFrom": "usedBy"}
 
 
-def transitive(edges: DataFrame, rounds: int = 1000) -> DataFrame:
-    """All pairs (a, b), a not b, with a path from a to b; only new pairs are extended in each round."""
-    edges = materialise(edges.select("a", "b").where("a <> b").distinct(), "edges")
-    known, new = edges, edges
-    for _ in range(rounds):
-        step = new.select("a", F.col("b").alias("via")).join(edges.select(F.col("a").alias("via"), "b"), "via").select("a", "b").where("a <> b").distinct()
+def transitive(edges: DataFrame) -> DataFrame:
+    """All pairs (a, b), a not b, with a path from a to b.
+
+    Rounds double the length of the paths that are known: pairs of exactly 2^n steps go before all known ones. A
+    round without a new pair ends it, so there are as many as the logarithm of the longest shortest path.
+    """
+    exact = known = materialise(edges.select("a", "b").where("a <> b").distinct(), "edges")
+    while True:
+        ahead = exact.select("a", F.col("b").alias("via"))
+        step = ahead.join(known.select(F.col("a").alias("via"), "b"), "via").select("a", "b").where("a <> b").distinct()
         new = materialise(step.join(known, ["a", "b"], "left_anti"), "new")
         if new.isEmpty():
-            break
+            return known
+        exact = materialise(ahead.join(exact.select(F.col("a").alias("via"), "b"), "via").select("a", "b").where("a <> b").distinct(), "exact")
         known = known.unionByName(new)
-    return known
 
 
 def reach(edges: DataFrame, hops: int) -> DataFrame:
-    """Pairs reachable in 1 to `hops` steps in either direction, a not b."""
-    both = materialise(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    return transitive(both, hops - 1)
+    """Pairs reachable in 1 to `hops` steps in either direction, a not b; only new pairs are extended in each step."""
+    both = materialise(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
+    known = new = both
+    for _ in range(hops - 1):
+        step = new.select("a", F.col("b").alias("via")).join(both.select(F.col("a").alias("via"), "b"), "via").select("a", "b").where("a <> b").distinct()
+        new = materialise(step.join(known, ["a", "b"], "left_anti"), "new")
+        if new.isEmpty():
+            break
+        known = known.unionByName(new)
+    return known
 
 
 def _pairs(kg: DataFrame, p: str) -> DataFrame:
@@ -116,14 +128,19 @@ RULES = {
 }
 
 
-def fixpoint(kg: DataFrame, rules: list, rounds: int = 3) -> DataFrame:
-    """All triples that the rules derive, (s, p, o, round): rules see what earlier rounds derived; stops when nothing is new."""
-    base = kg.select("s", "p", "o").distinct()
+def fixpoint(kg: DataFrame, rules: list, rounds: int | None = None) -> DataFrame:
+    """All triples that the rules derive, (s, p, o, round): rules see what earlier rounds derived; stops when nothing is new.
+
+    If `rounds` are not enough for that, it raises.
+    """
+    base = materialise(kg.select("s", "p", "o").distinct(), "base")
     work, found = base, None
-    for n in range(1, rounds + 1):
+    for n in count(1):
         new = materialise(reduce(DataFrame.unionByName, [r(work) for r in rules]).distinct().withColumn("round", F.lit(n)), "derived")
         if new.isEmpty():
             break
+        if rounds is not None and n > rounds:
+            raise RuntimeError(f"the rules still derive after {rounds} rounds")
         found = new if found is None else found.unionByName(new)
         work = work.unionByName(new.select("s", "p", "o"))
     return found if found is not None else base.limit(0).withColumn("round", F.lit(0))
@@ -155,17 +172,23 @@ def without_cycles(edges: DataFrame) -> DataFrame:
     return plain.join(cut, "child", "left_anti")
 
 
-def depths(edges: DataFrame, warn: int = 6, rounds: int = 1000) -> DataFrame:
-    """(node, depth, deep): steps from a root; 0 for nodes that no root reaches."""
+#: Levels after which what is known is written as one table.
+COMPACT = 16
+
+
+def depths(edges: DataFrame, warn: int = 6) -> DataFrame:
+    """(node, depth, deep): the fewest steps from a root; 0 for nodes that no root reaches. One round for each level."""
     e = materialise(edges.where("child <> parent").select("child", "parent").distinct(), "edges")
     nodes = e.select(F.col("child").alias("node")).unionByName(e.select(F.col("parent").alias("node"))).distinct()
     roots = nodes.join(e.select(F.col("child").alias("node")).distinct(), "node", "left_anti")
-    level = known = roots.withColumn("depth", F.lit(0))
-    for d in range(1, rounds):
+    level = known = materialise(roots.withColumn("depth", F.lit(0)), "level")
+    for d in count(1):
         step = level.join(e, F.col("parent") == F.col("node")).select(F.col("child").alias("node")).distinct()
         level = materialise(step.join(known, "node", "left_anti").withColumn("depth", F.lit(d)), "level")
         if level.isEmpty():
             break
         known = known.unionByName(level)
+        if d % COMPACT == 0:
+            known = materialise(known, "known")
     out = nodes.join(known, "node", "left").fillna(0, ["depth"])
     return out.withColumn("deep", F.col("depth") > warn)
