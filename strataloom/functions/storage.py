@@ -9,9 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a temporary folder where it is unset (local runs)."""
+    """The application's folder in spark.checkpoint.dir; in local mode a temporary one where that is unset.
+
+    Elsewhere the setting must be made, as executors can't read each other's folders. What an application has
+    left there can be removed when it has ended: the folder bears its id.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", "")
-    return folder or f"file://{tempfile.mkdtemp(prefix='spark-')}"
+    if folder:
+        return f"{folder}/{spark.sparkContext.applicationId}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"file://{tempfile.mkdtemp(prefix='spark-')}"
 
 
 def materialise(df: DataFrame, tag: str) -> DataFrame:

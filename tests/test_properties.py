@@ -206,7 +206,19 @@ def test_silent_runs_time_out(spark, tmp_path):
 
 def test_storage_is_the_named_folder(spark):
     named = spark.conf.get("spark.checkpoint.dir", "")
-    assert shared_folder(spark) == named if named else shared_folder(spark).startswith("file:")
+    assert shared_folder(spark).startswith(named or "file:")
+
+
+def test_storage_is_named_on_a_cluster(spark):
+    class Cluster:
+        conf = spark.conf
+
+        class sparkContext:  # noqa: N801
+            master, applicationId = "spark://host:7077", "app"
+
+    if not spark.conf.get("spark.checkpoint.dir", ""):
+        with pytest.raises(RuntimeError, match="checkpoint"):
+            shared_folder(Cluster)
 
 
 def test_every_question_is_traced(spark, sf):
