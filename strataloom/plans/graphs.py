@@ -65,7 +65,9 @@ def kg_concept_relations(t):
     return G.relations_of(kg(t), t.supplier.where("s_suppkey % 10 = 0").select(F.expr("'s/' || s_suppkey").alias("node")))
 
 
-@query()
+@query(f"""WITH f AS (SELECT DISTINCT s AS node FROM {entities_sql('Metric', ['label', 'formula'])} WHERE contains(lower(coalesce(label, '')), '12') OR contains(lower(coalesce(formula, '')), '12')),
+  e AS (SELECT s AS a, o AS b FROM {KG} WHERE p IN ('joinableWith', 'transformsFrom')), n AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b)
+  SELECT DISTINCT node, k.o AS table_iri, n.b AS neighbour FROM f JOIN {KG} k ON k.s = node AND k.p = 'computedFrom' LEFT JOIN n ON n.a = k.o""")
 def kg_full_route(t):
     triples = kg(t)
     found = G.search(triples, "Metric", "12", ["label", "formula"]).select(F.col("s").alias("node"))

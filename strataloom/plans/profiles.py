@@ -140,6 +140,16 @@ def prof_column_role(t):
     return P.report(t.orders).select("col", "role")
 
 
-@query()
+_LINES = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+
+
+@query(f"""WITH c AS (SELECT col, value, count(*) AS n FROM {_cells('lineitem', _LINES)} GROUP BY 1, 2), a AS (SELECT col, sum(n) AS rows, sum(n) FILTER (value IS NULL) AS nulls, count(value) AS kinds FROM c GROUP BY 1),
+  p AS (SELECT col, value, n, row_number() OVER (PARTITION BY col ORDER BY n DESC, value) AS rank FROM c WHERE value IS NOT NULL), b AS (SELECT col, string_agg(value || '=' || n, ' ' ORDER BY rank) AS top_values, max(n) AS top FROM p WHERE rank <= 10 GROUP BY 1),
+  r AS (SELECT col, CASE WHEN col IN ('l_returnflag', 'l_linestatus') THEN 'text' WHEN col = 'l_shipdate' THEN 'datetime' ELSE 'numeric' END AS class, rows, coalesce(nulls, 0) AS null_count, kinds, top, top_values, CAST(rows - coalesce(nulls, 0) AS DOUBLE) AS filled FROM a JOIN b USING (col)),
+  d AS (SELECT *, {_r('1 - kinds / filled', 6)} AS duplicate_ratio, {_r('top / filled', 6)} AS top1_ratio FROM r), z AS (SELECT *, CASE WHEN duplicate_ratio > 0.3 THEN 1 ELSE 0 END + CASE WHEN top1_ratio > 0.9 THEN 1 ELSE 0 END AS risk_points FROM d)
+  SELECT col, class, CAST(rows AS BIGINT) AS rows, CAST(null_count AS BIGINT) AS null_count, CAST(kinds AS BIGINT) AS distinct_count, {_r('kinds / filled', 6)} AS distinct_ratio, duplicate_ratio, top1_ratio, top_values, 1.0::DOUBLE AS valid_ratio, CAST(risk_points AS BIGINT) AS risk_points, CASE WHEN risk_points >= 3 THEN 'high' WHEN risk_points >= 1 THEN 'medium' ELSE 'low' END AS risk,
+    CASE WHEN kinds <= 1 THEN NULL WHEN class = 'datetime' THEN 'time' WHEN col LIKE '%key' THEN 'id' WHEN class = 'numeric' THEN 'metric' ELSE 'dimension' END AS role FROM z""")
 def prof_table(t):
-    return P.report(t.lineitem)
+    told = P.report(t.lineitem.select(*_LINES))
+    top = F.array_join(F.transform("top_values", lambda x: F.concat_ws("=", x["value"], x["n"])), " ")
+    return told.select("col", "class", "rows", "null_count", "distinct_count", "distinct_ratio", "duplicate_ratio", "top1_ratio", top.alias("top_values"), "valid_ratio", "risk_points", "risk", "role")

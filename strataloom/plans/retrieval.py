@@ -108,10 +108,10 @@ def _concepts(t):
 
 
 def _questions(t):
-    return t.part.where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("query"), F.concat(F.lit("how many "), F.lower("p_type"), F.lit(" of "), "p_brand").alias("question"))
+    return t.part.select(F.col("p_partkey").alias("query"), F.concat(F.lit("how many "), F.lower("p_type"), F.lit(" of "), "p_brand").alias("question"))
 
 
-_CQ = """concepts AS (SELECT lower(p_type) AS label, min(p_partkey) AS iri, min(p_brand) AS definition FROM part GROUP BY 1), questions AS (SELECT p_partkey AS query, 'how many ' || lower(p_type) || ' of ' || p_brand AS question FROM part WHERE p_partkey % 20 = 0),
+_CQ = """concepts AS (SELECT lower(p_type) AS label, min(p_partkey) AS iri, min(p_brand) AS definition FROM part GROUP BY 1), questions AS (SELECT p_partkey AS query, 'how many ' || lower(p_type) || ' of ' || p_brand AS question FROM part),
   t AS (SELECT *, list_distinct(regexp_extract_all(label, '[a-z0-9_]+')) AS lt, list_distinct(regexp_extract_all(lower(question), '[a-z0-9_]+')) AS qt FROM concepts CROSS JOIN questions),
   scored AS (SELECT *, CASE WHEN contains(lower(question), label) THEN 1.0::DOUBLE WHEN contains(lower(question), lower(definition)) THEN 0.88::DOUBLE ELSE """ + _r("CAST(len(list_intersect(lt, qt)) AS DOUBLE) / len(lt) * 0.55::DOUBLE", 6) + """ END AS score FROM t WHERE len(list_intersect(list_distinct(list_concat(lt, regexp_extract_all(lower(definition), '[a-z0-9_]+'))), qt)) > 0 AND len(list_intersect(lt, qt)) > 0)"""
 
@@ -207,9 +207,9 @@ def gradient_select(t):
     return R.gradient_select(_scores(t), 0.02, 0.01, 3, 5)
 
 
-@query(f"""SELECT query, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, table_id) AS INTEGER) AS rank, table_id, {_r('score', 5)} AS score FROM {_TS} WHERE query % 7 = 0 QUALIFY rank <= 8""")
+@query(f"""SELECT query, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, table_id) AS INTEGER) AS rank, table_id, {_r('score', 5)} AS score FROM {_TS} QUALIFY rank <= 8""")
 def top_scores_trace(t):
-    top = R.best(_scores(t).where("query % 7 = 0"), ["query"], [F.desc("score"), F.asc("table_id")], 8)
+    top = R.best(_scores(t), ["query"], [F.desc("score"), F.asc("table_id")], 8)
     return top.withColumn("score", R.rounded(F.col("score"), 5))
 
 

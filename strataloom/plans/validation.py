@@ -7,10 +7,11 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strataloom.functions.storage import materialise
 from strataloom.operators import validation as V
 from strataloom.plans.fixtures import KG, kg
 from strataloom.plans.metrics import _r
-from strataloom.registry import query
+from strataloom.registry import ORACLES, query
 
 _REQUIRED = [("Term", "label", 1, "Violation"), ("Term", "altLabel", 1, "Warning"), ("Metric", "formula", 1, "Violation"), ("Metric", "computedFrom", 1, "Violation"), ("Table", "joinableWith", 1, "Info"), ("Concept", "broader", 1, "Info")]
 _VALUES = "(VALUES " + ", ".join(f"('{c}', '{p}', {n}, '{s}')" for c, p, n, s in _REQUIRED) + ") x(class, path, least, severity)"
@@ -54,11 +55,14 @@ def shape_graph_rules(t):
 
 
 def _violations(t):
-    triples = kg(t)
+    triples = materialise(kg(t), "triples")  # every shape reads them
     return reduce(DataFrame.unionByName, [V.min_count(triples, t.spark.createDataFrame(_REQUIRED, "class string, path string, least int, severity string")), V.values(triples, t.spark.createDataFrame(_KINDS, _SHAPE)), V.class_of_target(triples, "computedFrom", "Table"), V.graph_rules(triples)])
 
 
-@query()
+_ALL = " UNION ALL ".join(f"SELECT severity, shape FROM ({ORACLES[n]})" for n in ("shape_min_count", "shape_in", "shape_min_length", "shape_datatype", "shape_node_kind", "shape_range", "shape_class", "shape_graph_rules"))
+
+
+@query(f"SELECT severity, shape, count(*) AS n, severity <> 'Violation' AS conforms FROM ({_ALL}) GROUP BY 1, 2")
 def shapes_validate(t):
     return V.summary(_violations(t))
 
@@ -143,16 +147,16 @@ def match_across_domains(t):
 
 
 def _asked(t):
-    return t.part.where("p_partkey % 200 = 0").select(F.expr("'p/' || p_partkey").alias("s"), F.lit("computedFrom").alias("p"))
+    return t.part.select(F.expr("'p/' || p_partkey").alias("s"), F.lit("computedFrom").alias("p"))
 
 
 def _learned(t):
-    return V.transe_fit(kg(t).where("p in ('computedFrom', 'joinableWith', 'transformsFrom')"), epochs=3)
+    return V.transe_fit(kg(t), epochs=3)
 
 
 @query()
 def kge_fit(t):
-    return _learned(t).select("kind", "name")
+    return _learned(t)
 
 
 @query()
