@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataloom.functions.numbers import rounded, ratio
+from strataloom.functions.storage import materialise
 
 
 def change_between(df: DataFrame, entity: str, period: str, value: str, first: str, second: str) -> DataFrame:
@@ -44,11 +45,19 @@ def with_share(df: DataFrame, value: str, keys: list[str] | None = None, digits:
 
 
 def pareto(df: DataFrame, key: str) -> DataFrame:
-    """Count, percent and cumulative percent by falling count; ties by key, one row at a time."""
+    """Count, percent and cumulative percent by falling count; ties by key, one row at a time.
+
+    Keys are ordered across partitions, so that each runs up its own, on top of the sums of those before it: only
+    one number for each partition goes through a window of all.
+    """
     counts = df.groupBy(key).agg(F.count("*").alias("cnt"))
-    order = Window.orderBy(F.desc("cnt"), F.asc(key)).rowsBetween(Window.unboundedPreceding, 0)
-    running = with_share(counts, "cnt", digits=1, name="pct").withColumn("running", F.sum("cnt").over(order))
-    whole = counts.agg(F.sum("cnt").alias("whole"))
+    parted = materialise(counts.orderBy(F.desc("cnt"), F.asc(key)).withColumn("part", F.spark_partition_id()), "ordered")
+    run = Window.rowsBetween(Window.unboundedPreceding, 0)
+    sums = parted.groupBy("part").agg(F.sum("cnt").alias("own"))
+    ahead = sums.select("part", (F.sum("own").over(run.orderBy("part")) - F.col("own")).alias("ahead"))
+    own = F.sum("cnt").over(run.partitionBy("part").orderBy(F.desc("cnt"), F.asc(key)))
+    running = with_share(parted, "cnt", digits=1, name="pct").withColumn("own", own).join(F.broadcast(ahead), "part").withColumn("running", F.col("own") + F.col("ahead"))
+    whole = parted.agg(F.sum("cnt").alias("whole"))
     return running.crossJoin(F.broadcast(whole)).select(key, "cnt", "pct", ratio(F.col("running"), F.col("whole"), 1, 100.0).alias("cum_pct"))
 
 

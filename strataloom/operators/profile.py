@@ -67,16 +67,32 @@ def numeric(df: DataFrame, columns: list[str]) -> DataFrame:
     return out.select("col", "min", "max", ratio(F.col("sum"), F.col("n"), 4).alias("mean"), ratio(F.col("zero"), F.col("n"), 6).alias("zero_ratio"), ratio(F.col("negative"), F.col("n"), 6).alias("negative_ratio"))
 
 
+#: Inverse of the rank error of the sketch that brackets a percentile.
+ACCURACY = 10_000
+
+
 def percentiles(df: DataFrame, columns: list[str], shares: tuple[float, ...] = (0.25, 0.5, 0.75)) -> DataFrame:
     """Exact percentiles by floor rank: the max(1, floor(n * p))-th smallest value.
 
-    Values are counted first, so the window runs over distinct values, and each column is one group of them.
+    A mergeable sketch brackets each percentile between two values of about its rank. A second pass counts what lies
+    below the bracket, and only the values inside it, some 4 in ACCURACY, are put in order. Where rounding puts the
+    rank just below the bracket, it is that of the largest value below.
     """
-    counts = df.select(*(F.col(f"`{c}`").cast("double").alias(c) for c in columns)).unpivot([], columns, "col", "value").where(F.col("value").isNotNull()).groupBy("col", "value").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("col").orderBy("value")
-    placed = counts.withColumn("upto", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0))).join(F.broadcast(counts.groupBy("col").agg(F.sum("n").alias("all"))), "col")
-    aggs = [F.min(F.when(F.col("upto") >= F.greatest(F.lit(1), F.floor(F.col("all") * p)), F.col("value"))).alias(f"p{int(100 * p)}") for p in shares]
-    return placed.groupBy("col").agg(*aggs)
+    cells = df.select(*(F.col(f"`{c}`").cast("double").alias(c) for c in columns)).unpivot([], columns, "col", "value").where(F.col("value").isNotNull())
+    edges = [min(1.0, max(0.0, p + d * 2 / ACCURACY)) for p in shares for d in (-1, 1)]
+    sketch = cells.groupBy("col").agg(F.count("*").alias("n"), F.percentile_approx("value", edges, ACCURACY).alias("e"))
+    brackets = F.array(*(F.struct(F.lit(int(100 * p)).alias("share"), F.get("e", F.lit(2 * i)).alias("low"), F.get("e", F.lit(2 * i + 1)).alias("high"), F.greatest(F.lit(1), F.floor(F.col("n") * p)).alias("rank")) for i, p in enumerate(shares)))
+    # a row for each column and share
+    asked = materialise(sketch.select("col", F.explode(brackets).alias("x")).select("col", "x.*"), "brackets")
+    near = cells.join(F.broadcast(asked), "col")
+    below = F.col("value") < F.col("low")
+    under = near.groupBy("col", "share", "rank").agg(F.count_if(below).alias("under"), F.max(F.when(below, F.col("value"))).alias("last"))
+    inside = near.where(F.col("value").between(F.col("low"), F.col("high"))).groupBy("col", "share", "value").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("col", "share").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+    placed = inside.withColumn("upto", upto).join(F.broadcast(under), ["col", "share"])
+    hit = F.when(F.col("upto") + F.col("under") >= F.col("rank"), F.col("value"))
+    found = placed.groupBy("col", "share").agg(F.min(F.when(F.col("under") >= F.col("rank"), F.col("last")).otherwise(hit)).alias("value"))
+    return found.groupBy("col").agg(*(F.max(F.when(F.col("share") == int(100 * p), F.col("value"))).alias(f"p{int(100 * p)}") for p in shares))
 
 
 def iqr_outliers(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataloom.functions.numbers import rounded
+from strataloom.functions.storage import materialise
 
-#: Queries that are sent to all tasks at once; more run block by block.
-QUERY_BLOCK = 500
+#: Rows and queries that are compared at once.
+ROW_BLOCK, QUERY_BLOCK = 2048, 512
 RRF = 60
 
 
@@ -31,86 +35,211 @@ def best(df: DataFrame, by: list[str], order: list[Column], k: int, name: str =
     return ranked(df, by, order, name).where(F.col(name) <= k)
 
 
-def similarities(queries: DataFrame, rows: DataFrame) -> DataFrame:
-    """(query, id, sim) with cosine similarity to six digits; queries (query, qv), rows (id, vector).
+def in_grid(queries: DataFrame, rows: DataFrame, keys: list[str], query: str, row: str) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides with the blocks in which each query meets each row, and the columns to group by.
 
-    Every row meets every query: the queries go to all tasks in blocks of QUERY_BLOCK, so what is sent at
-    once is bounded whatever their number. Vectors of length 0 take no part.
+    A block holds about ROW_BLOCK rows or QUERY_BLOCK queries, so a task's work is bounded whatever their numbers.
     """
-    q = queries.select("query", "qv", norm("qv").alias("qn")).where("qn > 0")
-    r = rows.select("id", "vector", norm("vector").alias("rn")).where("rn > 0")
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    parts = [q if blocks == 1 else q.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == i) for i in range(blocks)]
-    pairs = [r.crossJoin(F.broadcast(p)).select("query", "id", rounded(dot("qv", "vector") / (F.col("qn") * F.col("rn")), 6).alias("sim")) for p in parts]
-    return reduce(DataFrame.unionByName, pairs)
+    across, down = (F.lit(max(1, -(-df.count() // size))).cast("bigint") for df, size in ((rows, ROW_BLOCK), (queries, QUERY_BLOCK)))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1))
+    q = queries.select("*", F.pmod(F.xxhash64(query), down).alias("down")).select("*", every(across).alias("across"))
+    r = rows.select("*", F.pmod(F.xxhash64(row), across).alias("across")).select("*", every(down).alias("down"))
+    return q, r, [*keys, "across", "down"]
+
+
+def _first(names: np.ndarray, values: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k largest values, of equal ones those of the smaller names."""
+    if len(values) > k:
+        edge = np.partition(values, -k)[-k]
+        where = np.flatnonzero(values >= edge)
+    else:
+        where = np.arange(len(values))
+    where = where[values[where] > -np.inf]
+    return where[np.lexsort((names[where], -values[where]))][:k]
+
+
+def _compared(k: int, by: str, apart: str | None):
+    """The k most similar rows of a block for each query of a block."""
+
+    def run(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(q) and len(r):
+            r = r.sort_values(by, kind="stable")
+            a, b = (np.array(x.tolist(), dtype=np.float64) for x in (q["qv"], r["vector"]))
+            length = lambda m: np.sqrt((m * m).sum(axis=1))
+            sims = np.floor(a @ b.T / (length(a)[:, None] * length(b)[None, :]) * 1e6 + 0.5) / 1e6
+            if "skip" in q:
+                sims[q["skip"].to_numpy()[:, None] == r["id"].to_numpy()[None, :]] = -np.inf
+            if apart:
+                sims[q[apart].to_numpy()[:, None] == r[apart].to_numpy()[None, :]] = -np.inf
+            names, starts = np.unique(r[by].to_numpy(), return_index=True)
+            sims = np.maximum.reduceat(sims, starts, axis=1)  # of rows of one name the best
+            for name, values in zip(q["query"], sims, strict=True):
+                out += [(name, names[i], values[i]) for i in _first(names, values, k)]
+        return pd.DataFrame(out, columns=["query", by, "sim"])
+
+    return run
+
+
+def nearest(queries: DataFrame, rows: DataFrame, k: int, by: str = "id", apart: str | None = None) -> DataFrame:
+    """(query, by, sim): cosine similarity to six digits of at least the k nearest rows of each query.
+
+    queries (query, qv), rows (id, vector); with `by` the rows of a name count as one; a query meets neither the id in
+    its column `skip`, if it has one, nor rows with its own value of `apart`. Every query meets every row, as matrix
+    products of blocks, and only the k best of a block go on. Vectors without length take no part; only vectors of
+    equal dimension are compared.
+    """
+    sound = lambda df, v: df.withColumn("dim", F.size(v)).where(norm(v) > 0)
+    extra = [apart] if apart else []
+    q = sound(queries.select("query", "qv", *extra, *(c for c in ("skip",) if c in queries.columns)), "qv")
+    r = sound(rows.select("id", "vector", *extra, *(c for c in (by,) if c != "id")), "vector")
+    q, r, keys = in_grid(q, r, ["dim"], "query", "id")
+    kinds = {"query": queries.schema["query"].dataType.simpleString(), by: rows.schema[by].dataType.simpleString()}
+    schema = ", ".join(f"{c} {t}" for c, t in kinds.items()) + ", sim double"
+    return q.groupBy(*keys).cogroup(r.groupBy(*keys)).applyInPandas(_compared(k, by, apart), schema)
 
 
 def vec_topk(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     """(query, id, sim, rank): exact nearest rows; ties to the smaller id."""
-    return best(similarities(queries, rows), ["query"], [F.desc("sim"), F.asc("id")], k)
+    return best(nearest(queries, rows, k), ["query"], [F.desc("sim"), F.asc("id")], k)
 
 
 def vec_topk_dedup(queries: DataFrame, rows: DataFrame, refs: DataFrame, k: int) -> DataFrame:
     """Nearest hit of each referenced object, then the k best; refs (id, ref)."""
-    hits = similarities(queries, rows).join(refs, "id").groupBy("query", "ref").agg(F.max("sim").alias("sim"))
+    hits = nearest(queries, rows.join(refs, "id"), k, "ref").groupBy("query", "ref").agg(F.max("sim").alias("sim"))
     return best(hits, ["query"], [F.desc("sim"), F.asc("ref")], k)
 
 
-def sign_buckets(vector: Column, planes: list[list[float]], bits: int) -> Column:
-    """One bucket for each table of hyperplanes: the signs of the products with its planes."""
-    signs = [F.when(dot(vector, F.array(*map(F.lit, p))) >= 0, "1").otherwise("0") for p in planes]
-    return F.array(*(F.concat(F.lit(f"{i}:"), *signs[i * bits : (i + 1) * bits]) for i in range(len(planes) // bits)))
+def _signed(dimensions: int, signs: int, seed: int):
+    """Which sides of random planes through the origin a matrix of vectors lies on, as booleans."""
+    planes = np.random.default_rng(seed).normal(size=(dimensions, signs))
+    return lambda vectors: np.array(vectors.tolist(), dtype=np.float64) @ planes >= 0
 
 
-def vec_topk_ann(queries: DataFrame, rows: DataFrame, k: int, dimensions: int, tables: int = 24, bits: int = 4, seed: int = 5) -> DataFrame:
-    """Approximate nearest rows: those that share a bucket of random hyperplanes, ranked exactly."""
-    import random
+def sketches(rows: DataFrame, vector: str, dimensions: int, words: int = 8, seed: int = 5) -> DataFrame:
+    """rows with `code` for their vector: 64 signs in each of `words` numbers, a quarter of the bytes of 64 floats."""
 
-    draw = random.Random(seed)
-    planes = [[draw.gauss(0, 1) for _ in range(dimensions)] for _ in range(tables * bits)]
-    r = rows.select("id", F.explode(sign_buckets(F.col("vector"), planes, bits)).alias("bucket"))
-    q = queries.select("query", F.explode(sign_buckets(F.col("qv"), planes, bits)).alias("bucket"))
-    pairs = q.join(r, "bucket").select("query", "id").distinct().join(rows, "id").join(queries, "query")
-    sims = pairs.select("query", "id", rounded(dot("qv", "vector") / (norm("qv") * norm("vector")), 6).alias("sim"))
-    return best(sims, ["query"], [F.desc("sim"), F.asc("id")], k)
+    def run(frames):
+        signs = _signed(dimensions, 64 * words, seed)
+        for f in frames:
+            packed = np.packbits(signs(f[vector]), axis=1, bitorder="little").view("<i8") if len(f) else np.empty((0, words), "<i8")
+            yield f.drop(columns=vector).assign(code=packed.tolist())
+
+    kept = [x for x in rows.schema if x.name != vector]
+    schema = ", ".join(f"{x.name} {x.dataType.simpleString()}" for x in kept) + ", code array<bigint>"
+    return rows.where(F.size(vector) == dimensions).mapInPandas(run, schema)
 
 
-def near_duplicates_by_vector(rows: DataFrame, dimensions: int, least: float = 0.97, tables: int = 8, bits: int = 12, seed: int = 9) -> DataFrame:
-    """Rows without those that are as similar as `least` to a row with a smaller id in one of their buckets.
+def _code_distances(k: int):
+    def run(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(q) and len(r):
+            a, b = (np.array(x.tolist(), dtype=np.int64).view(np.uint64) for x in (q["code"], r["code"]))
+            names = r["id"].to_numpy()
+            for name, code in zip(q["query"], a, strict=True):
+                apart = np.bitwise_count(b ^ code).sum(axis=1, dtype=np.int64)
+                out += [(name, names[i], int(apart[i])) for i in _first(names, -apart.astype(np.float64), k)]
+        return pd.DataFrame(out, columns=["query", "id", "apart"])
 
-    Only the smallest id of a bucket and each member are compared first; members it does not explain meet
-    within their bucket, so a bucket of copies costs its size.
+    return run
+
+
+def vec_topk_ann(queries: DataFrame, rows: DataFrame, k: int, dimensions: int, checked: int = 10) -> DataFrame:
+    """Approximate nearest rows: the `checked` * k rows whose sketches differ least from a query's, ranked exactly.
+
+    All sketches are compared, but vectors are read only for what is checked.
     """
-    import random
+    codes = materialise(sketches(rows.select("id", "vector"), "vector", dimensions), "sketches")
+    asked = materialise(sketches(queries.select("query", "qv"), "qv", dimensions), "asked")
+    q, r, keys = in_grid(asked, codes, [], "query", "id")
+    kinds = {"query": queries.schema["query"].dataType.simpleString(), "id": rows.schema["id"].dataType.simpleString()}
+    near = q.groupBy(*keys).cogroup(r.groupBy(*keys)).applyInPandas(_code_distances(checked * k), ", ".join(f"{c} {t}" for c, t in kinds.items()) + ", apart bigint")
+    pairs = best(near, ["query"], [F.asc("apart"), F.asc("id")], checked * k).select("query", "id").join(rows, "id").join(queries.select("query", "qv"), "query")
+    sims = pairs.select("query", "id", rounded(dot("qv", "vector") / (norm("qv") * norm("vector")), 6).alias("sim"))
+    return best(sims, ["query"], [F.desc("sim"), F.asc("id")], k)
+
 
-    draw = random.Random(seed)
-    planes = [[draw.gauss(0, 1) for _ in range(dimensions)] for _ in range(tables * bits)]
-    spread = rows.select("id", "vector", F.explode(sign_buckets(F.col("vector"), planes, bits)).alias("bucket"))
-    heads = spread.groupBy("bucket").agg(F.min_by("vector", "id").alias("hv"), F.min("id").alias("head"))
-    close = lambda a, b: dot(a, b) / (norm(a) * norm(b)) >= least
-    judged = spread.join(heads, "bucket").withColumn("copy", (F.col("id") > F.col("head")) & close("vector", "hv"))
-    copies = judged.where("copy").select("id").distinct()
-    rest = spread.join(copies, "id", "left_anti")
-    other = rest.select("bucket", F.col("id").alias("first"), F.col("vector").alias("fv"))
-    more = rest.join(other, "bucket").where((F.col("first") < F.col("id")) & close("vector", "fv")).select("id")
-    return rows.join(copies.unionByName(more).distinct(), "id", "left_anti")
+def _copies(least: float):
+    """Ids of rows that are near a smaller id of the same part; parts come sorted, their members (asks 0) first."""
+
+    def near(asking: pd.DataFrame, ids: np.ndarray, unit: np.ndarray) -> list:
+        found = []
+        for i in range(0, len(asking), ROW_BLOCK):
+            part = asking.iloc[i : i + ROW_BLOCK]
+            a = np.array(part["vector"].tolist(), dtype=np.float64)
+            sims = a / np.sqrt((a * a).sum(axis=1))[:, None] @ unit.T
+            found += part["id"].to_numpy()[((sims >= least) & (ids[None, :] < part["id"].to_numpy()[:, None])).any(axis=1)].tolist()
+        return found
+
+    def run(frames):
+        name, ids, unit = None, None, None
+        for f in frames:
+            out = []
+            for key, part in f.groupby(["bucket", "part"], sort=False):
+                members = part[part["asks"] == 0]
+                if len(members):
+                    m = np.array(members["vector"].tolist(), dtype=np.float64)
+                    m /= np.sqrt((m * m).sum(axis=1))[:, None]
+                    more = members["id"].to_numpy()
+                    # ids ascend, so those that came with an earlier batch are smaller
+                    ids, unit = (np.concatenate([ids, more]), np.concatenate([unit, m])) if key == name else (more, m)
+                elif key != name:
+                    continue
+                name = key
+                out += near(part, ids, unit)
+            yield pd.DataFrame({"id": out})
+
+    return run
+
+
+def near_duplicates_by_vector(rows: DataFrame, dimensions: int, least: float = 0.97, miss: float = 1e-6, seed: int = 9) -> DataFrame:
+    """Rows (id, vector) without those that are as similar as `least` to a row with a smaller id.
+
+    Of equal vectors the smallest id stays. The others are dealt to buckets by signs against random planes: as many
+    signs as leave a few rows in a bucket, and as many tables as miss a pair at the threshold with a probability of
+    `miss`, which is the share of such pairs that may be lost. A large bucket is cut into parts, and each of its rows
+    asks every part. Rows without length stay.
+    """
+    sound = rows.where((F.size("vector") == dimensions) & (norm("vector") > 0)).select("id", "vector")
+    once = materialise(sound.groupBy("vector").agg(F.min("id").alias("id")), "vectors")
+    n = once.count()
+    bits = min(26, max(4, math.ceil(math.log2(max(n, 1) / 8))))
+    agree = (1 - math.acos(least) / math.pi) ** bits
+    tables = math.ceil(math.log(miss) / math.log(1 - agree))
+
+    def dealt(frames):
+        signs, weight = _signed(dimensions, tables * bits, seed), 1 << np.arange(bits, dtype=np.int64)
+        for f in frames:
+            name = signs(f["vector"]).reshape(-1, tables, bits) @ weight + (np.arange(tables, dtype=np.int64) << 32)
+            yield f.assign(buckets=name.tolist())
+
+    kind = rows.schema["id"].dataType.simpleString()
+    spread = once.select("id", "vector").mapInPandas(dealt, f"id {kind}, vector {rows.schema['vector'].dataType.simpleString()}, buckets array<bigint>").select("id", "vector", F.explode("buckets").alias("bucket"))
+    spread = materialise(spread, "buckets")
+    busy = materialise(spread.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "busy")
+    parts = F.ceil(F.col("n") / ROW_BLOCK).cast("int")
+    held = spread.join(busy, "bucket").select("id", "vector", "bucket", parts.alias("parts"), F.pmod(F.xxhash64("id"), parts).cast("int").alias("own"))
+    asking = held.select("id", "vector", "bucket", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    asking = asking.select("id", "vector", "bucket", "part", (F.col("part") != F.col("own")).cast("int").alias("asks"))
+    copies = asking.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "asks", "id").mapInPandas(_copies(least), f"id {kind}")
+    lost = copies.unionByName(sound.select("id").join(once.select("id"), "id", "left_anti")).distinct()
+    return rows.join(lost, "id", "left_anti")
 
 
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[\\p{L}\\p{N}_]+"), F.lit(0))
 
 
-def index(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Inverted index (key, term, tf, length)."""
-    words = docs.select(key, tokens(F.col(text)).alias("w")).select(key, F.size("w").alias("length"), F.explode("w").alias("term"))
-    return words.groupBy(key, "length", "term").agg(F.count("*").alias("tf"))
+def kw_search(queries: DataFrame, docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
+    """Documents that hold every term of a query, by their share of the words; queries (query, question).
 
-
-def kw_search(queries: DataFrame, inverted: DataFrame, key: str, k: int) -> DataFrame:
-    """Documents that hold every term of a query, by their share of the words; queries (query, question)."""
+    Words that no query asks for are dropped as they are read, before anything is counted or shuffled.
+    """
     terms = queries.select("query", F.explode(F.array_distinct(tokens(F.col("question")))).alias("term"))
     need = terms.groupBy("query").agg(F.count("*").alias("need"))
-    hits = inverted.join(terms, "term").groupBy("query", key).agg(F.count("*").alias("got"), rounded(F.sum("tf") / F.first("length"), 6).alias("score"))
+    words = docs.select(key, tokens(F.col(text)).alias("w")).select(key, F.size("w").alias("length"), F.explode("w").alias("term"))
+    held = words.join(terms.select("term").distinct(), "term", "left_semi").groupBy(key, "length", "term").agg(F.count("*").alias("tf"))
+    hits = held.join(terms, "term").groupBy("query", key).agg(F.count("*").alias("got"), rounded(F.sum("tf") / F.first("length"), 6).alias("score"))
     return best(hits.join(need, "query").where("got = need").select("query", key, "score"), ["query"], [F.desc("score"), F.asc(key)], k)
 
 

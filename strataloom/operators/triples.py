@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataloom.functions.numbers import rounded
-from strataloom.operators.retrieval import best, resolve_refs, similarities
+from strataloom.operators.retrieval import best, resolve_refs, vec_topk
 
 APPROVE_FROM = 85.0
 DEFAULT_CONFIDENCE = 70.0
@@ -68,7 +68,7 @@ def link_tables(triples: DataFrame, tables: DataFrame, predicates: tuple[str, ..
 
 def disambiguate(new: DataFrame, known: DataFrame, same: float = 0.85, maybe: float = 0.60) -> DataFrame:
     """(query, best, sim, decision): merge, quarantine or new by the nearest known entity; new (query, qv), known (id, vector)."""
-    top = best(similarities(new, known), ["query"], [F.desc("sim"), F.asc("id")], 1)
+    top = vec_topk(new, known, 1)
     decision = F.when(F.col("sim") >= same, "merge").when(F.col("sim") >= maybe, "quarantine").otherwise("new")
     return top.select("query", F.col("id").alias("best"), "sim", decision.alias("decision"))
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataloom.functions.numbers import ratio, rounded
-from strataloom.operators.retrieval import best, dot, norm
+from strataloom.operators.retrieval import best, nearest, norm, vec_topk
 
 VIOLATION = ["s", "shape", "path", "value", "severity"]
 WEIGHTS = {"completeness": 0.25, "accuracy": 0.30, "consistency": 0.20, "timeliness": 0.10, "authority": 0.15}
@@ -98,14 +98,13 @@ def graded(dims: DataFrame) -> DataFrame:
 
 
 def match(new: DataFrame, known: DataFrame, exact: float, close: float) -> DataFrame:
-    """Best match of each vector among those of another group: exactMatch, closeMatch or none; (id, grp, vector) both.
+    """Best match of each vector among those of other groups: exactMatch or closeMatch; (id, grp, vector) both.
 
-    Candidates are compared within blocks of `block`, a column both sides have: equal labels, LSH or a domain.
+    Every new vector meets every known one, in blocks of which only the best goes on.
     """
-    b = known.select(F.col("id").alias("other"), F.col("grp").alias("other_grp"), F.col("vector").alias("ov"), "block")
-    pairs = new.join(b, "block").where("grp <> other_grp").withColumn("sim", rounded(dot("vector", "ov") / (norm("vector") * norm("ov")), 6))
-    top = best(pairs, ["id"], [F.desc("sim"), F.asc("other")], 1).where(F.col("sim") >= close)
-    return top.select("id", "other", "sim", F.when(F.col("sim") >= exact, "exactMatch").otherwise("closeMatch").alias("relation"), rounded(100 * F.col("sim"), 1).alias("confidence"))
+    found = nearest(new.select(F.col("id").alias("query"), F.col("vector").alias("qv"), "grp"), known.select("id", "vector", "grp"), 1, apart="grp")
+    top = best(found, ["query"], [F.desc("sim"), F.asc("id")], 1).where(F.col("sim") >= close)
+    return top.select(F.col("query").alias("id"), F.col("id").alias("other"), "sim", F.when(F.col("sim") >= exact, "exactMatch").otherwise("closeMatch").alias("relation"), rounded(100 * F.col("sim"), 1).alias("confidence"))
 
 
 # link prediction: translation embeddings
@@ -162,14 +161,12 @@ def transe_fit(kg: DataFrame, dimensions: int = 16, epochs: int = 5, rate: float
 
 def transe_predict(vectors: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     """The k likeliest tails of each (s, p), the head itself left out; asked is a stated set of questions."""
-    from strataloom.operators.retrieval import similarities
-
     e = vectors.where("kind = 'e'").select(F.col("name").alias("id"), "vector")
     r = vectors.where("kind = 'r'").select(F.col("name").alias("p"), F.col("vector").alias("rv"))
     q = asked.join(e.select(F.col("id").alias("s"), F.col("vector").alias("hv")), "s").join(F.broadcast(r), "p")
-    q = q.select(F.struct("s", "p").alias("query"), F.zip_with("hv", "rv", lambda a, b: a + b).alias("qv"))
-    sims = similarities(q, e).where("query.s <> id")
-    return best(sims, ["query"], [F.desc("sim"), F.asc("id")], k).select("query.s", "query.p", F.col("id").alias("o"), "sim", "rank")
+    q = q.select(F.to_json(F.array("s", "p")).alias("query"), F.col("s").alias("skip"), F.zip_with("hv", "rv", lambda a, b: a + b).alias("qv"))
+    found = vec_topk(q, e, k).withColumn("x", F.from_json("query", "array<string>"))
+    return found.select(F.col("x")[0].alias("s"), F.col("x")[1].alias("p"), F.col("id").alias("o"), "sim", "rank")
 
 
 def transe_discover(vectors: DataFrame, kg: DataFrame, asked: DataFrame, k: int, least: float) -> DataFrame:

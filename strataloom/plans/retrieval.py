@@ -55,7 +55,7 @@ def _keyword(t, k=80):
     # a question is the first words of a document
     asked = t.documents.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query"), F.array_join(F.slice(R.tokens(F.col("text")), 1, 3), " ").alias("question"))
     docs = t.documents.select(F.col("doc_id").alias("id"), "text")
-    return R.kw_search(asked, R.index(docs, "id", "text"), "id", k)
+    return R.kw_search(asked, docs, "id", "text", k)
 
 
 @query(f"SELECT * FROM {_KW} WHERE rank <= 20")
@@ -135,7 +135,7 @@ def concept_substring(t):
 
 @query(f"SELECT query, id, sim, CAST(row_number() OVER (PARTITION BY query ORDER BY sim DESC, id) AS INTEGER) AS rank FROM {_SIMS} WHERE sim >= 0.2 QUALIFY rank <= 5")
 def concept_embedding(t):
-    return R.best(R.similarities(*_vectors(t)).where("sim >= 0.2"), ["query"], [F.desc("sim"), F.asc("id")], 5)
+    return R.vec_topk(*_vectors(t), 5).where("sim >= 0.2")
 
 
 @query("SELECT p_partkey, concat_ws('; ', p_name, p_brand, p_type) AS content, CAST(('0x' || substr(sha256('part/' || p_partkey), 1, 8))::BIGINT & 2147483647 AS BIGINT) AS ref_id FROM part")

@@ -127,12 +127,12 @@ def pass_rate(t):
 
 def _match_sql(key, exact, close):
     sim = _r("list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))", 6)
-    return f"""SELECT id, other, sim, CASE WHEN sim >= {exact} THEN 'exactMatch' ELSE 'closeMatch' END AS relation, {_r('100 * sim', 1)} AS confidence FROM (SELECT a.vec_id AS id, b.vec_id AS other, {sim} AS sim FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id % {key} <> b.vec_id % {key}
+    return f"""SELECT id, other, sim, CASE WHEN sim >= {exact} THEN 'exactMatch' ELSE 'closeMatch' END AS relation, {_r('100 * sim', 1)} AS confidence FROM (SELECT a.vec_id AS id, b.vec_id AS other, {sim} AS sim FROM embeddings a JOIN embeddings b ON a.vec_id % {key} <> b.vec_id % {key}
       QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY sim DESC, b.vec_id) = 1) WHERE sim >= {close}"""
 
 
 def _match(t, key, exact, close):
-    v = t.embeddings.select(F.col("vec_id").alias("id"), (F.col("vec_id") % key).alias("grp"), F.col("embedding").alias("vector"), F.col("label").alias("block"))
+    v = t.embeddings.select(F.col("vec_id").alias("id"), (F.col("vec_id") % key).alias("grp"), F.col("embedding").alias("vector"))
     return V.match(v, v, exact, close)
 
 
