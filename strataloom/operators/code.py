@@ -42,13 +42,16 @@ def table_refs(files: DataFrame) -> DataFrame:
     return files.select("path", F.explode(names).alias("name")).where(valid(F.col("name")))
 
 
+def without_comments(sql: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(sql, r"(?s)/\*.*?\*/", " "), r"--[^\n]*", " ")
+
+
 def lineage(files: DataFrame) -> DataFrame:
     """(path, source, target) of statements that insert or create from a SELECT: its first table; each pair once a file.
 
     Comments are taken out, and a body is cut into statements first, so that no pair spans two of them.
     """
-    bare = F.regexp_replace(F.regexp_replace("body", r"(?s)/\*.*?\*/", " "), r"--[^\n]*", " ")
-    told = files.select("path", F.explode(F.split(bare, ";")).alias("statement")).where(F.col("statement").rlike(SELECTS))
+    told = files.select("path", F.explode(F.split(without_comments(F.col("body")), ";")).alias("statement")).where(F.col("statement").rlike(SELECTS))
     name = lambda pattern: F.lower(F.regexp_extract("statement", pattern, 1))
     rows = told.select("path", name(READS).alias("source"), name(WRITES).alias("target"))
     return rows.where(valid(F.col("source")) & valid(F.col("target")) & (F.col("source") != F.col("target"))).distinct()
@@ -56,7 +59,7 @@ def lineage(files: DataFrame) -> DataFrame:
 
 def joins(files: DataFrame) -> DataFrame:
     """(path, kind, left, right, on_text): the left side is the first table after FROM."""
-    b = F.col("body")
+    b = without_comments(F.col("body"))
     left = F.lower(F.regexp_extract(b, rf"(?i)\bFROM\s+{_NAME}", 1))
     found = F.arrays_zip(every(b, JOIN, 1), every(b, JOIN, 2), every(b, JOIN, 3))
     rows = files.select("path", left.alias("left"), F.explode(found).alias("x"))
@@ -237,7 +240,7 @@ def question_range(q: Column, as_of: str) -> Column:
     back = "(?:last|past|最近|近|过去)"
     days, weeks, months = (number(rf"(?i){back}\s*(\d+)\s*{unit}") for unit in ("(?:days?|天|日)", "(?:weeks?|个?周)", "(?:months?|个?月)"))
     dates = F.transform(every(q, r"(\d{4}[-./]\d{1,2}[-./]\d{1,2}|\d{4}年\d{1,2}月\d{1,2}日)", 1), lambda x: F.try_to_date(F.rtrim(F.regexp_replace(x, "[^0-9]+", "-"), F.lit("-")), "y-M-d"))
-    firsts = F.transform(every(q, r"(\d{4}\s*[-./年]\s*\d{1,2})(?!\d)", 1), lambda x: F.try_to_date(F.concat(F.regexp_replace(x, "[^0-9]+", "-"), F.lit("-1")), "y-M-d"))
+    firsts = F.transform(every(q, r"(\d{4}\s*[-./年]\s*\d{1,2})(?!\d|\s*[-./月]\d)", 1), lambda x: F.try_to_date(F.concat(F.regexp_replace(x, "[^0-9]+", "-"), F.lit("-1")), "y-M-d"))
     dates, firsts = (F.array_sort(F.array_compact(x)) for x in (dates, firsts))
     named_year = F.coalesce(number(r"(\d{4})\s*年"), F.year(day) + F.when(q.rlike("(?i)last year|去年"), -1).when(q.rlike("(?i)next year|明年"), 1).otherwise(0))
     bare = F.array_sort(F.array_compact(F.transform(every(q, r"(?<![\d个])(\d{1,2})\s*月", 1), lambda x: F.try_to_date(F.concat_ws("-", named_year, x, F.lit("1")), "y-M-d"))))
