@@ -33,6 +33,10 @@ from strataloom.llm.token_counts import SPACES, byte_letters
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+#: Words, and pieces of words, that are kept in memory, in each of two generations; pairs are four times as many.
+REMEMBERED = 75_000
+
+
 class Codec:
     """Encoder and decoder for one vocabulary file; ranks, not ids, are used inside."""
 
@@ -53,7 +57,7 @@ class Codec:
             self.joined[a, b] = rank_of[as_bytes(left + right)] = len(ids)
             self.parts.append((a, b))
             ids.append(vocab[left + right])
-        self.id_of = np.array(ids, dtype="<i4")
+        self.id_bytes = [i.to_bytes(4, "little") for i in ids]
         self.length = [0] * len(ids)
         self.shorter = [-1] * len(ids)
         self.automaton = ahocorasick.Automaton()
@@ -68,7 +72,9 @@ class Codec:
         inside = PIECES.replace(r"[^\s", "[^" + SPACES).replace(r"\S", f"[^{SPACES}]").replace(r"\s", f"[{SPACES}]")
         self.pieces = regex.compile(inside)
         self.crowded = regex.compile(f" [{SPACES}]|[{SPACES}] ")
-        self.words = Memo(lambda word: self.encode_pieces(" " + word))
+        self.words = Memo(lambda word: self.encode_pieces(" " + word), REMEMBERED)
+        # the same piece occurs in many words, with this or that mark behind it
+        self.known_pieces = Memo(lambda piece: b"".join([self.id_bytes[r] for r in self.ranks(piece.encode())]), REMEMBERED)
 
         texts = {int(i): token for token, i in zip(rank_of, ids, strict=True)} | {x["id"]: x["content"].encode() for x in spec["added_tokens"]}
         size = max(texts) + 1
@@ -101,7 +107,7 @@ class Codec:
                 if self.parts[b] is None:
                     break
                 bound, b = b + 1, self.parts[b][0]  # at equal ranks the left pair merges first
-        if len(self.compatible) > 2_000_000:
+        if len(self.compatible) > 4 * REMEMBERED:
             self.compatible.clear()
         self.compatible[left, right] = good
         return good
@@ -133,10 +139,7 @@ class Codec:
         return out
 
     def encode_pieces(self, text: str) -> bytes:
-        found: list[int] = []
-        for piece in self.pieces.findall(text):
-            found += self.ranks(piece.encode())
-        return self.id_of[found].tobytes()
+        return b"".join(map(self.known_pieces.__getitem__, self.pieces.findall(text)))
 
     def encode_plain(self, text: str) -> bytes:
         """Words between single spaces are encoded on their own, since no piece crosses such a space."""
