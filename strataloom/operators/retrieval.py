@@ -12,10 +12,13 @@ from pyspark.sql import functions as F
 
 from strataloom.functions.numbers import rounded
 from strataloom.functions.storage import materialise
+from strataloom.operators.text import embed_hash
 
 #: Rows and queries that are compared at once.
 ROW_BLOCK, QUERY_BLOCK = 2048, 512
 RRF = 60
+#: What the share of a name's tokens counts, and the first characters of a name by which it is looked for.
+TOKEN_WEIGHT, GRAM = 0.55, 4
 
 
 def dot(a: Column | str, b: Column | str) -> Column:
@@ -270,17 +273,77 @@ def role_hints(question: Column) -> Column:
 def overlap_score(label: Column, question: Column, definition: Column) -> Column:
     """1 if the name occurs in the question, 0.88 if its definition does, else 0.55 of the share of its tokens."""
     name, asked, meaning = F.lower(F.trim(label)), F.lower(F.trim(question)), F.lower(F.trim(F.coalesce(definition, F.lit(""))))
-    words = lambda x: F.array_distinct(F.regexp_extract_all(x, F.lit("[a-z0-9_]+|[\\u4e00-\\u9fff]"), F.lit(0)))
-    share = F.size(F.array_intersect(words(name), words(asked))) / F.when(F.size(words(name)) > 0, F.size(words(name)))
-    score = F.when(F.contains(asked, name), 1.0).when((F.length(meaning) >= 2) & F.contains(asked, meaning), 0.88).otherwise(F.coalesce(rounded(share * 0.55, 6), F.lit(0.0)))
+    share = F.size(F.array_intersect(name_tokens(name), name_tokens(asked))) / F.when(F.size(name_tokens(name)) > 0, F.size(name_tokens(name)))
+    score = F.when(F.contains(asked, name), 1.0).when((F.length(meaning) >= 2) & F.contains(asked, meaning), 0.88).otherwise(F.coalesce(rounded(share * TOKEN_WEIGHT, 6), F.lit(0.0)))
     return F.when((name == "") | (asked == ""), 0.0).otherwise(score)
 
 
-def by_token(questions: DataFrame, named: DataFrame, name: str) -> DataFrame:
-    """Pairs of questions and named rows that share a token: an equi-join instead of all pairs."""
-    q = questions.select("query", "question", F.explode(F.array_distinct(tokens(F.col("question")))).alias("token"))
-    n = named.withColumn("token", F.explode(F.array_distinct(tokens(F.col(name)))))
-    return n.join(q, "token").drop("token").distinct()
+def name_tokens(text: Column) -> Column:
+    """ASCII words and single CJK characters of a text, once each."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(F.trim(text)), F.lit("[a-z0-9_]+|[\\u4e00-\\u9fff]"), F.lit(0)))
+
+
+def contained(questions: DataFrame, named: DataFrame, names: dict[str, int]) -> DataFrame:
+    """(query, iri), once, where one of the `names` of a row, columns with their least lengths, occurs in the question.
+
+    Case and blanks around are ignored. A name is met by its first GRAM characters, or all if it has fewer, among
+    those that start at any place of the question, so this is an equi-join whose pairs are verified.
+    """
+    low = lambda c: F.lower(F.trim(c))
+    each = [F.when(F.length(F.trim(c)) >= least, low(c)) for c, least in names.items()]
+    n = named.select("iri", F.explode(F.array_distinct(F.array_compact(F.array(*each)))).alias("name")).withColumn("gram", F.substring("name", 1, GRAM))
+    asked = questions.select("query", low("question").alias("asked")).where("asked <> ''")
+    starts = F.sequence(F.lit(1), F.length("asked"))
+    grams = F.flatten(F.transform(starts, lambda i: F.array(*(F.substring(F.col("asked"), i, F.lit(g)) for g in range(1, GRAM + 1)))))
+    q = asked.select("query", "asked", F.explode(F.array_distinct(grams)).alias("gram"))
+    return n.join(q, "gram").where(F.contains("asked", F.col("name"))).select("query", "iri").distinct()
+
+
+def sharing(questions: DataFrame, named: DataFrame, least: float = 0.0) -> DataFrame:
+    """(query, iri), once, of questions that may hold a share of `least` of the tokens of a label, and one at least.
+
+    Of n tokens m must be there, so one of any n - m + 1 is: only the rarest of a label are joined.
+    """
+    t = named.select("iri", name_tokens(F.col("label")).alias("tokens")).select("iri", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    held = t.join(t.groupBy("token").agg(F.count("*").alias("labels")), "token")
+    must = F.greatest(F.lit(1), F.ceil(F.col("n") * least))
+    rare = ranked(held, ["iri"], [F.asc("labels"), F.asc("token")]).where(F.col("rank") <= F.col("n") - must + 1)
+    q = questions.select("query", F.explode(name_tokens(F.col("question"))).alias("token"))
+    return rare.select("iri", "token").join(q, "token").select("query", "iri").distinct()
+
+
+def scored_concepts(questions: DataFrame, named: DataFrame, least: float = 0.0) -> DataFrame:
+    """(query, iri, score) of all that score more than 0, and `least` or more; named (iri, label, definition), iri unique."""
+    # a score is rounded to six digits, hence the margin
+    pairs = contained(questions, named, {"label": 1, "definition": 2}).unionByName(sharing(questions, named, max(0.0, (least - 1e-6) / TOKEN_WEIGHT))).distinct()
+    score = overlap_score(F.col("label"), F.col("question"), F.col("definition"))
+    out = pairs.join(questions, "query").join(named, "iri").select("query", "iri", score.alias("score"))
+    return out.where((F.col("score") > 0) & (F.col("score") >= least))
+
+
+def substring_concepts(questions: DataFrame, named: DataFrame) -> DataFrame:
+    """(query, iri, score) of concepts whose label, alternative label or definition occurs in the question."""
+    pairs = contained(questions, named, {"label": 2, "alt": 2, "definition": 4})
+    return pairs.join(questions, "query").join(named, "iri").select("query", "iri", substring_score(F.col("label"), F.col("question")).alias("score"))
+
+
+def concept_index(concepts: DataFrame, dimensions: int = 64) -> DataFrame:
+    """(base, ref_id, content, embedding) of concepts (base, iri, kind, label, definition, formula, caliber).
+
+    Concepts without iri or label are left out; the embedding is that of the text below the header. ref_id is the
+    first half of the iri's SHA-256 modulo 2^31 - 1.
+    """
+    there = lambda c: F.trim(F.coalesce(c, F.lit(""))) != ""
+    body = F.array_join(F.filter(F.array("label", "definition", "formula", "caliber", "kind"), there), "；")
+    number = F.conv(F.substring(F.sha2("iri", 256), 1, 16), 16, 10).cast("decimal(20,0)") % (2**31 - 1)
+    rows = concepts.where(there(F.col("iri")) & there(F.col("label"))).select("base", "iri", "kind", F.trim("label").alias("label"), "definition", "formula", "caliber").withColumn("body", body)
+    head = F.concat(F.lit("kb_id:"), "base", F.lit("\niri:"), "iri", F.lit("\ntype:"), "kind", F.lit("\nlabel:"), "label", F.lit("\n\n"), "body")
+    return rows.select("base", number.cast("bigint").alias("ref_id"), head.alias("content"), embed_hash(F.col("body"), dimensions).alias("embedding"))
+
+
+def replace_bases(index: DataFrame, bases: DataFrame, new: DataFrame) -> DataFrame:
+    """The index with the new rows in place of all that it holds for these bases (base)."""
+    return index.join(bases, "base", "left_anti").select(*new.columns).unionByName(new)
 
 
 def substring_score(label: Column, question: Column) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataloom.operators import retrieval as R
@@ -103,34 +106,34 @@ def role_hints(t):
 
 
 def _concepts(t):
-    """Types of parts as concepts, names of brands as definitions."""
-    return t.part.groupBy(F.lower("p_type").alias("label")).agg(F.min("p_partkey").alias("iri"), F.min("p_brand").alias("definition"))
+    """Names of parts as concepts, with their last words as alternative labels and brands as definitions."""
+    named = t.part.groupBy(F.lower("p_name").alias("label")).agg(F.min("p_partkey").alias("iri"), F.min("p_brand").alias("definition"))
+    return named.select("iri", "label", F.element_at(F.split("label", " "), -1).alias("alt"), "definition")
 
 
 def _questions(t):
-    return t.part.select(F.col("p_partkey").alias("query"), F.concat(F.lit("how many "), F.lower("p_type"), F.lit(" of "), "p_brand").alias("question"))
+    return t.part.select(F.col("p_partkey").alias("query"), F.concat(F.lit("how many "), F.lower("p_name"), F.lit("s for "), F.lower("p_type"), F.lit(" of "), "p_brand").alias("question"))
 
 
-_CQ = """concepts AS (SELECT lower(p_type) AS label, min(p_partkey) AS iri, min(p_brand) AS definition FROM part GROUP BY 1), questions AS (SELECT p_partkey AS query, 'how many ' || lower(p_type) || ' of ' || p_brand AS question FROM part),
-  t AS (SELECT *, list_distinct(regexp_extract_all(label, '[a-z0-9_]+')) AS lt, list_distinct(regexp_extract_all(lower(question), '[a-z0-9_]+')) AS qt FROM concepts CROSS JOIN questions),
-  scored AS (SELECT *, CASE WHEN contains(lower(question), label) THEN 1.0::DOUBLE WHEN contains(lower(question), lower(definition)) THEN 0.88::DOUBLE ELSE """ + _r("CAST(len(list_intersect(lt, qt)) AS DOUBLE) / len(lt) * 0.55::DOUBLE", 6) + """ END AS score FROM t WHERE len(list_intersect(list_distinct(list_concat(lt, regexp_extract_all(lower(definition), '[a-z0-9_]+'))), qt)) > 0 AND len(list_intersect(lt, qt)) > 0)"""
+_CQ = """concepts AS (SELECT lower(p_name) AS label, split_part(lower(p_name), ' ', -1) AS alt, min(p_partkey) AS iri, min(p_brand) AS definition FROM part GROUP BY 1, 2), questions AS (SELECT p_partkey AS query, 'how many ' || lower(p_name) || 's for ' || lower(p_type) || ' of ' || p_brand AS question FROM part),
+  t AS (SELECT *, lower(question) AS q, list_distinct(regexp_extract_all(label, '[a-z0-9_]+')) AS lt, list_distinct(regexp_extract_all(lower(question), '[a-z0-9_]+')) AS qt FROM concepts CROSS JOIN questions),
+  scored AS (SELECT * FROM (SELECT *, CASE WHEN contains(q, label) THEN 1.0::DOUBLE WHEN contains(q, lower(definition)) THEN 0.88::DOUBLE ELSE """ + _r("CAST(len(list_intersect(lt, qt)) AS DOUBLE) / len(lt) * 0.55::DOUBLE", 6) + """ END AS score FROM t) WHERE score > 0),
+  inside AS (SELECT query, iri, CASE WHEN contains(q, label) THEN least(1.0::DOUBLE, """ + _r("0.60 + 0.04 * length(label)", 4) + """) ELSE 0.35::DOUBLE END AS score FROM t WHERE contains(q, label) OR contains(q, alt) OR contains(q, lower(definition)))"""
 
 
 @query(f"WITH {_CQ} SELECT query, iri, score FROM scored")
 def token_overlap_score(t):
-    pairs = R.by_token(_questions(t), _concepts(t), "label")
-    return pairs.select("query", "iri", R.overlap_score(F.col("label"), F.col("question"), F.col("definition")).alias("score"))
+    return R.scored_concepts(_questions(t), _concepts(t))
 
 
 @query(f"WITH {_CQ} SELECT query, iri, score, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, iri) AS INTEGER) AS rank FROM scored WHERE score >= 0.42 QUALIFY rank <= 5")
 def concept_keyword(t):
-    return R.best(token_overlap_score(t).where("score >= 0.42"), ["query"], [F.desc("score"), F.asc("iri")], 5)
+    return R.best(R.scored_concepts(_questions(t), _concepts(t), 0.42), ["query"], [F.desc("score"), F.asc("iri")], 5)
 
 
-@query(f"WITH {_CQ} SELECT query, iri, least(1.0::DOUBLE, {_r('0.60 + 0.04 * length(label)', 4)}) AS score FROM scored WHERE contains(lower(question), label)")
+@query(f"WITH {_CQ} SELECT * FROM inside")
 def concept_substring(t):
-    pairs = R.by_token(_questions(t), _concepts(t), "label").where(F.contains(F.lower("question"), F.col("label")))
-    return pairs.select("query", "iri", R.substring_score(F.col("label"), F.col("question")).alias("score"))
+    return R.substring_concepts(_questions(t), _concepts(t))
 
 
 @query(f"SELECT query, id, sim, CAST(row_number() OVER (PARTITION BY query ORDER BY sim DESC, id) AS INTEGER) AS rank FROM {_SIMS} WHERE sim >= 0.2 QUALIFY rank <= 5")
@@ -138,16 +141,38 @@ def concept_embedding(t):
     return R.vec_topk(*_vectors(t), 5).where("sim >= 0.2")
 
 
-@query("SELECT p_partkey, concat_ws('; ', p_name, p_brand, p_type) AS content, CAST(('0x' || substr(sha256('part/' || p_partkey), 1, 8))::BIGINT & 2147483647 AS BIGINT) AS ref_id FROM part")
+#: (class, table, key, label, definition, formula, caliber) of what stands for five classes of concepts.
+_CLASSES = (
+    ("Metric", "part", "p_partkey", "p_name", "p_brand", "p_type", None),
+    ("BusinessTerm", "supplier", "s_suppkey", "s_name", None, None, None),
+    ("Dimension", "nation", "n_nationkey", "n_name", None, None, None),
+    ("BusinessRule", "region", "r_regionkey", "r_name", None, None, None),
+    ("BusinessConcept", "customer", "c_custkey", "c_name", "c_mktsegment", None, None),
+)
+_CONCEPTS = " UNION ALL ".join(f"SELECT CAST({key} % 3 AS BIGINT) AS base, '{kind}/' || {key} AS iri, '{kind}' AS kind, {', '.join(f'{c} AS {n}' if c else f'CAST(NULL AS VARCHAR) AS {n}' for c, n in zip(texts, ('label', 'definition', 'formula', 'caliber'), strict=True))} FROM {table}" for kind, table, key, *texts in _CLASSES)
+
+
+@query(f"""WITH c AS (SELECT *, concat_ws('；', label, definition, formula, caliber, kind) AS body FROM ({_CONCEPTS}))
+  SELECT base, CAST(CAST('0x' || substr(sha256(iri), 1, 16) AS UBIGINT) % 2147483647 AS BIGINT) AS ref_id, 'kb_id:' || base || chr(10) || 'iri:' || iri || chr(10) || 'type:' || kind || chr(10) || 'label:' || label || chr(10) || chr(10) || body AS content,
+  [CAST(CAST('0x' || substr(sha256(body), CAST(2 * (i % 32) + 1 AS BIGINT), 2) AS INTEGER) AS DOUBLE) / 255.0::DOUBLE * 2.0::DOUBLE - 1.0::DOUBLE FOR i IN generate_series(0, 63)] AS embedding FROM c
+  UNION ALL SELECT CAST(label AS BIGINT), vec_id, 'old', CAST(embedding AS DOUBLE[]) FROM embeddings WHERE label NOT IN (0, 1, 2)""")
 def concept_index(t):
-    number = F.conv(F.substring(F.sha2(F.concat(F.lit("part/"), "p_partkey"), 256), 1, 8), 16, 10).cast("bigint").bitwiseAND(2147483647)
-    return t.part.select("p_partkey", F.concat_ws("; ", "p_name", "p_brand", "p_type").alias("content"), number.alias("ref_id"))
+    """The concepts of three bases anew, in place of what the index, here the given vectors, held for these."""
+
+    def some(kind, table, key, *texts):
+        names = ("label", "definition", "formula", "caliber")
+        said = [(F.col(c) if c else F.lit(None).cast("string")).alias(n) for c, n in zip(texts, names, strict=True)]
+        return getattr(t, table).select((F.col(key) % 3).cast("bigint").alias("base"), F.concat(F.lit(f"{kind}/"), key).alias("iri"), F.lit(kind).alias("kind"), *said)
 
+    concepts = reduce(DataFrame.unionByName, [some(*c) for c in _CLASSES])
+    index = t.embeddings.select(F.col("label").cast("bigint").alias("base"), F.col("vec_id").alias("ref_id"), F.lit("old").alias("content"), F.col("embedding").cast("array<double>").alias("embedding"))
+    return R.replace_bases(index, concepts.select("base").distinct(), R.concept_index(concepts))
 
-@query(f"""WITH {_CQ}, sure AS (SELECT query, iri, least(1.0::DOUBLE, {_r('0.60 + 0.04 * length(label)', 4)}) AS score FROM scored WHERE contains(lower(question), label))
-  SELECT * FROM sure UNION ALL SELECT query, iri, score FROM scored WHERE score >= 0.42 AND (query, iri) NOT IN (SELECT (query, iri) FROM sure)""")
+
+@query(f"""WITH {_CQ} SELECT query, iri, score FROM inside UNION ALL SELECT query, iri, score FROM scored WHERE score >= 0.42 AND (query, iri) NOT IN (SELECT (query, iri) FROM inside)""")
 def concept_merge(t):
-    return R.merge_candidates(concept_substring(t), [token_overlap_score(t)])
+    asked, named = _questions(t), _concepts(t)
+    return R.merge_candidates(R.substring_concepts(asked, named), [R.scored_concepts(asked, named, 0.42)])
 
 
 _LABELS = "(SELECT DISTINCT p_size % 2 AS kind, x AS label, p_size AS grp FROM (SELECT p_size, unnest([lower(p_type), lower(split_part(p_type, ' ', 1))]) AS x FROM part))"
@@ -296,7 +321,7 @@ def context_pack(t):
 
 
 @query("""SELECT s_suppkey, s_nationkey, count(DISTINCT l_orderkey) FILTER (l_suppkey = s_suppkey) AS linked FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey GROUP BY 1, 2 HAVING linked = 0 OR s_suppkey % 5 = 0""")
-def pending_ref_catchup(t):
+def supplier_links(t):
     links = t.lineitem.groupBy("l_suppkey").agg(F.count_distinct("l_orderkey").alias("linked"))
     joined = t.supplier.join(links, F.col("l_suppkey") == F.col("s_suppkey"), "left").fillna(0, ["linked"])
     return joined.where("linked = 0 OR s_suppkey % 5 = 0").select("s_suppkey", "s_nationkey", "linked")
@@ -304,13 +329,26 @@ def pending_ref_catchup(t):
 
 # parts stand for entries, their suppliers for tables; even suppliers are known first, the others come later, missing_* never
 
-@query("""WITH p AS (SELECT l_partkey AS entry, l_suppkey AS table_id, l_linenumber FROM lineitem WHERE l_suppkey % 2 = 1 OR l_linenumber = 7 QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey * 10 + l_linenumber DESC, CASE WHEN l_linenumber = 7 THEN 'missing_' ELSE 'TABLE_' END || l_suppkey DESC) <= 20)
-  SELECT DISTINCT entry, table_id FROM p JOIN supplier ON s_suppkey = table_id WHERE l_linenumber < 7 AND (entry, table_id) NOT IN (SELECT (l_partkey, l_suppkey) FROM lineitem WHERE l_returnflag = 'R')""")
-def pending_ref_links(t):
+_PENDING = """WITH p AS (SELECT l_partkey AS entry, l_suppkey AS table_id, l_linenumber, l_orderkey * 10 + l_linenumber AS "at" FROM lineitem WHERE l_suppkey % 2 = 1 OR l_linenumber = 7 QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey * 10 + l_linenumber DESC, CASE WHEN l_linenumber = 7 THEN 'missing_' ELSE 'TABLE_' END || l_suppkey DESC) <= 20)"""
+
+
+def _caught_up(t):
     ref = F.concat(F.when(F.col("l_linenumber") == 7, "missing_").otherwise("TABLE_"), "l_suppkey")
     refs = t.lineitem.select(F.col("l_partkey").alias("entry"), ref.alias("ref"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("at"))
     links = t.lineitem.where("l_returnflag = 'R'").select(F.col("l_partkey").alias("entry"), F.col("l_suppkey").alias("table_id")).distinct()
-    return R.catch_up(R.stash_pending(refs, _tables(t).where("table_id % 2 = 0")), _tables(t), links)[0]
+    return R.catch_up(R.stash_pending(refs, _tables(t).where("table_id % 2 = 0")), _tables(t), links)
+
+
+@query(f"""{_PENDING}
+  SELECT DISTINCT entry, table_id FROM p JOIN supplier ON s_suppkey = table_id WHERE l_linenumber < 7 AND (entry, table_id) NOT IN (SELECT (l_partkey, l_suppkey) FROM lineitem WHERE l_returnflag = 'R')""")
+def pending_ref_catchup(t):
+    return _caught_up(t)[0]
+
+
+@query(f"{_PENDING} SELECT entry, 'missing_' || table_id AS ref, \"at\" FROM p WHERE l_linenumber = 7")
+def pending_ref_left(t):
+    """What stays pending after the retry."""
+    return _caught_up(t)[1]
 
 
 @query("""SELECT query, table_id, min(pass) AS pass, list_sort(list(DISTINCT src)) AS sources FROM (SELECT l_orderkey AS query, l_suppkey AS table_id, 1 AS pass, 'explicit_link' AS src FROM lineitem WHERE l_returnflag = 'R'

@@ -1,6 +1,9 @@
 """Properties of operators that have no SQL twin, and small cases."""
 
+import hashlib
 import json
+import math
+import re
 
 import numpy as np
 import pytest
@@ -447,3 +450,43 @@ def test_pending_refs_are_caught_up(spark):
     links, left = retrieval.catch_up(pending, later, spark.createDataFrame([(3, 7)], "entry int, table_id int"))
     assert sorted(rows(links)) == [(1, 2), (3, 6)]
     assert sorted(r["ref"] for r in left.where("entry < 3").collect()) == ["never", "twice"]
+
+
+def test_concepts_are_found_wherever_they_stand(spark):
+    concepts = [(1, "订单金额", "amt", "money of orders"), (2, "cat", None, None), (3, "user retention rate", "x", "odd"), (4, "", " ", ""), (5, None, None, None), (6, "额度", "ab", "abc")]
+    named = spark.createDataFrame(concepts, "iri int, label string, alt string, definition string")
+    asked = ["本月订单金额是多少", "concatenate rows", "User Retention rates, rate of a user", "the money of orders", "金 额 单", "", None, "ab abc", " 额度 "]
+    questions = spark.createDataFrame(list(enumerate(asked)), "query int, question string")
+    low = lambda s: (s or "").strip().lower()
+    words = lambda s: set(re.findall(r"[a-z0-9_]+|[一-鿿]", s))
+
+    def score(label, definition, question):
+        if not label or not question:
+            return 0.0
+        if label in question:
+            return 1.0
+        if len(definition) >= 2 and definition in question:
+            return 0.88
+        return math.floor(len(words(label) & words(question)) / max(1, len(words(label))) * 0.55 * 1e6 + 0.5) / 1e6
+
+    every = {(q, c[0]): score(low(c[1]), low(c[3]), low(a)) for q, a in enumerate(asked) for c in concepts}
+    for least in (0.0, 0.2, 0.42, 0.55):
+        expected = {k: v for k, v in every.items() if v > 0 and v >= least}
+        assert {(r["query"], r["iri"]): r["score"] for r in retrieval.scored_concepts(questions, named, least).collect()} == expected
+    inside = {(q, c[0]) for q, a in enumerate(asked) for c in concepts for t, n in zip(c[1:], (2, 2, 4), strict=True) if len(low(t)) >= n and low(t) in low(a)}
+    found = {(r["query"], r["iri"]): r["score"] for r in retrieval.substring_concepts(questions, named).collect()}
+    assert set(found) == inside and found[0, 1] == 0.76 and found[3, 1] == 0.35
+    assert retrieval.scored_concepts(questions.limit(0), named).isEmpty() and retrieval.substring_concepts(questions, named.limit(0)).isEmpty()
+
+
+def test_concept_index_replaces_bases(spark):
+    concepts = [(1, "urn:a", "Metric", " A ", None, "x / y", " "), (1, " ", "Metric", "B", None, None, None), (2, "urn:c", "Term", None, None, None, None)]
+    new = retrieval.concept_index(spark.createDataFrame(concepts, "base bigint, iri string, kind string, label string, definition string, formula string, caliber string"))
+    number = int.from_bytes(hashlib.sha256(b"urn:a").digest()[:8], "big") % (2**31 - 1)
+    (row,) = new.collect()
+    assert (row["base"], row["ref_id"], row["content"]) == (1, number, "kb_id:1\niri:urn:a\ntype:Metric\nlabel:A\n\nA；x / y；Metric")
+    digest = hashlib.sha256("A；x / y；Metric".encode()).digest()
+    assert row["embedding"] == [b / 255 * 2 - 1 for b in digest * 2]
+    held = spark.createDataFrame([(1, 5, "old", [0.0]), (2, 6, "old", [0.0]), (3, 7, "old", [0.0])], new.schema)
+    kept = retrieval.replace_bases(held, spark.createDataFrame([(1,), (2,)], "base bigint"), new)
+    assert sorted((r["base"], r["ref_id"]) for r in kept.collect()) == [(1, number), (3, 7)]
