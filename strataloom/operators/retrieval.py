@@ -365,23 +365,36 @@ def maximal_labels(concepts: DataFrame, key: str, label: str, kind: str) -> Data
 
 
 def mentions(texts: DataFrame, key: str, text: str, tables: DataFrame, least: int = 6) -> DataFrame:
-    """(key, table_id, how): tables named as db.table, or by a bare name of `least` characters or more."""
-    words = texts.select(key, F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[\\w.]+"), F.lit(0)))).alias("word"))
-    full = tables.select("table_id", F.lower(F.concat_ws(".", "db", "name")).alias("word"), F.lit("qualified").alias("how"))
-    bare = tables.where(F.length("name") >= least).select("table_id", F.lower("name").alias("word"), F.lit("bare").alias("how"))
-    bits = words.select(key, F.explode(F.array_distinct(F.split("word", "\\."))).alias("word"))
-    hits = words.join(full, "word").unionByName(bits.join(bare, "word")).groupBy(key, "table_id").agg(F.max("how").alias("how"))
-    return hits
+    """(key, table_id, how): tables named as db.table, or by a bare name of `least` characters or more.
+
+    Dots tie words together only between them, so a full stop ends a name, and a longer path holds the name of its
+    parts. Names with other characters than letters, digits and underscores are not found.
+    """
+    runs = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+(?:\.[\p{L}\p{N}_]+)*"), F.lit(0))
+    words = texts.select(key, F.explode(F.array_distinct(runs)).alias("run")).select(key, F.split("run", r"\.").alias("parts"))
+    full = tables.select("table_id", F.lower(F.concat_ws(".", F.trim("db"), F.trim("name"))).alias("word"), F.lit("qualified").alias("how"))
+    bare = tables.where(F.length(F.trim("name")) >= least).select("table_id", F.lower(F.trim("name")).alias("word"), F.lit("bare").alias("how"))
+    pairs = words.where(F.size("parts") > 1).select(key, F.explode(F.transform(F.sequence(F.lit(1), F.size("parts") - 1), lambda i: F.array_join(F.slice("parts", i, 2), "."))).alias("word"))
+    bits = words.select(key, F.explode("parts").alias("word"))
+    return pairs.join(full, "word").unionByName(bits.join(bare, "word")).groupBy(key, "table_id").agg(F.max("how").alias("how"))
 
 
 def resolve_refs(refs: DataFrame, tables: DataFrame) -> DataFrame:
-    """(ref, status, table_id, confidence): exact, ambiguous or unresolved by full name, table name or last part."""
-    keys = F.array_distinct(F.array(F.lower(F.trim("ref")), F.element_at(F.split(F.lower(F.trim("ref")), "\\."), -1)))
-    wanted = refs.select("ref", F.posexplode(keys).alias("level", "name"))
+    """(ref, status, table_id, confidence): exact, ambiguous or unresolved.
+
+    A ref is tried as a full or bare name, then its last two parts and its last part are, then the tables that it
+    mentions; the first of these that gives tables decides.
+    """
+    low = F.lower(F.trim("ref"))
+    parts = F.split(low, r"\.")
+    keys = F.array(low, F.when(F.size(parts) > 1, F.array_join(F.slice(parts, -2, 2), ".")), F.element_at(parts, -1))
+    wanted = refs.select("ref").distinct()
+    named = wanted.select("ref", F.posexplode(keys).alias("level", "name"))
     known = tables.select("table_id", F.explode(F.array(F.lower(F.concat_ws(".", "db", "name")), F.lower("name"))).alias("name"))
-    hits = wanted.join(known, "name").groupBy("ref", "level").agg(F.count_distinct("table_id").alias("n"), F.min("table_id").alias("table_id"))
-    first = hits.groupBy("ref").agg(F.min_by(F.struct("n", "table_id"), "level").alias("x"))
-    out = refs.select("ref").distinct().join(first, "ref", "left")
+    hits = named.join(known, "name").select("ref", "level", "table_id").unionByName(mentions(wanted, "ref", "ref", tables).select("ref", F.lit(3).alias("level"), "table_id"))
+    counted = hits.groupBy("ref", "level").agg(F.count_distinct("table_id").alias("n"), F.min("table_id").alias("table_id"))
+    first = counted.groupBy("ref").agg(F.min_by(F.struct("n", "table_id"), "level").alias("x"))
+    out = wanted.join(first, "ref", "left")
     status = F.when(F.col("x").isNull(), "unresolved").when(F.col("x.n") == 1, "exact").otherwise("ambiguous")
     return out.select("ref", status.alias("status"), F.when(F.col("x.n") == 1, F.col("x.table_id")).alias("table_id"), F.when(status == "exact", 95).when(status == "ambiguous", 50).otherwise(0).alias("confidence"))
 

@@ -295,7 +295,7 @@ def _tables(t):
 @query(f"""WITH x AS (SELECT o_orderkey, o_custkey % 150 AS n FROM orders), s AS (SELECT o_orderkey, t.table_id, CASE WHEN o_orderkey % 2 = 0 THEN 'qualified' ELSE 'bare' END AS how FROM x JOIN {_TBL} t ON t.table_id = n) SELECT * FROM s""")
 def table_mentions(t):
     named = t.orders.withColumn("n", F.col("o_custkey") % 150).join(_tables(t), F.col("n") == F.col("table_id"))
-    said = named.select("o_orderkey", F.concat(F.lit("rows of "), F.when(F.col("o_orderkey") % 2 == 0, F.concat_ws(".", "db", "name")).otherwise(F.col("name")), F.lit(", please")).alias("text"))
+    said = named.select("o_orderkey", F.concat(F.lit("rows of "), F.when(F.col("o_orderkey") % 2 == 0, F.concat_ws(".", "db", "name")).otherwise(F.col("name")), F.lit(".")).alias("text"))
     return R.mentions(said, "o_orderkey", "text", _tables(t))
 
 

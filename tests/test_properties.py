@@ -490,3 +490,14 @@ def test_concept_index_replaces_bases(spark):
     held = spark.createDataFrame([(1, 5, "old", [0.0]), (2, 6, "old", [0.0]), (3, 7, "old", [0.0])], new.schema)
     kept = retrieval.replace_bases(held, spark.createDataFrame([(1,), (2,)], "base bigint"), new)
     assert sorted((r["base"], r["ref_id"]) for r in kept.collect()) == [(1, number), (3, 7)]
+
+
+def test_tables_are_found_where_they_are_named(spark):
+    tables = spark.createDataFrame([(1, "sales", "orders"), (2, "crm", "orders"), (3, "sales", "tx"), (4, "仓库", "订单明细表格")], "table_id int, db string, name string")
+    said = ["See sales.orders.", "lake.sales.tx, and tx", "orders?", "presales.orders", "tx", "查仓库.订单明细表格。", "", None]
+    texts = spark.createDataFrame(list(enumerate(said)), "id int, text string")
+    found = {(r["id"], r["table_id"]): r["how"] for r in retrieval.mentions(texts, "id", "text", tables).collect()}
+    assert found == {(0, 1): "qualified", (0, 2): "bare", (1, 3): "qualified", (2, 1): "bare", (2, 2): "bare", (3, 1): "bare", (3, 2): "bare", (5, 4): "bare"}
+    refs = ["Sales.Orders", "orders", "lake.crm.orders", "lake.tx", "the table sales.tx now", "orders of crm", "none", " ", None]
+    got = {r["ref"]: (r["status"], r["table_id"]) for r in retrieval.resolve_refs(spark.createDataFrame([(r,) for r in refs], "ref string"), tables).collect()}
+    assert got == {"Sales.Orders": ("exact", 1), "orders": ("ambiguous", None), "lake.crm.orders": ("exact", 2), "lake.tx": ("exact", 3), "the table sales.tx now": ("exact", 3), "orders of crm": ("ambiguous", None), "none": ("unresolved", None), " ": ("unresolved", None), None: ("unresolved", None)}
