@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataloom.functions.binding import rows_of
 from strataloom.functions.numbers import rounded
 from strataloom.functions.storage import materialise
 from strataloom.operators.text import embed_hash
@@ -236,14 +237,29 @@ def tokens(text: Column) -> Column:
 def kw_search(queries: DataFrame, docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
     """Documents that hold every term of a query, by their share of the words; queries (query, question).
 
-    Words that no query asks for are dropped as they are read, before anything is counted or shuffled.
+    Words that no query asks for are dropped as they are read, before anything is counted or shuffled: the terms are
+    written, so that Spark knows their size and broadcasts them where they are few. Of a query's terms the one in the
+    fewest documents names its candidates, and the others are looked up for these alone.
     """
-    terms = queries.select("query", F.explode(F.array_distinct(tokens(F.col("question")))).alias("term"))
-    need = terms.groupBy("query").agg(F.count("*").alias("need"))
-    words = docs.select(key, tokens(F.col(text)).alias("w")).select(key, F.size("w").alias("length"), F.explode("w").alias("term"))
+    terms = materialise(rows_of(queries, ["query"], F.array_distinct(tokens(F.col("question"))), "term"), "terms")
+    # the length is taken first, as a row of an explode carries all columns that are used after it
+    split = docs.select(key, tokens(F.col(text)).alias("w")).select(key, F.size("w").alias("length"), "w")
+    words = rows_of(split, [key, "length"], F.col("w"), "term")
     held = words.join(terms.select("term").distinct(), "term", "left_semi").groupBy(key, "length", "term").agg(F.count("*").alias("tf"))
-    hits = held.join(terms, "term").groupBy("query", key).agg(F.count("*").alias("got"), rounded(F.sum("tf") / F.first("length"), 6).alias("score"))
-    return best(hits.join(need, "query").where("got = need").select("query", key, "score"), ["query"], [F.desc("score"), F.asc(key)], k)
+    held = materialise(held, "postings")
+    spread = materialise(held.groupBy("term").agg(F.count("*").alias("df")), "spread")
+    # a term in no document has no row in spread, so its query has fewer terms than it needs
+    place = F.row_number().over(Window.partitionBy("query").orderBy("df", "term"))
+    known = terms.join(spread, "term").select("query", "term", place.alias("place"))
+    need = terms.groupBy("query").agg(F.count("*").alias("need"))
+    planned = materialise(known.join(need, "query").where("place <= need"), "planned")
+    first = planned.where("place = 1").join(held, "term").select("query", key, "length", "tf", "need")
+    rest = planned.where("place > 1").select("query", "term")
+    more = first.select("query", key).join(rest, "query").join(held.select(key, "term", "tf"), [key, "term"]).select("query", key, "tf")
+    got = more.groupBy("query", key).agg(F.count("*").alias("others"), F.sum("tf").alias("more"))
+    hits = first.join(got, ["query", key], "left").fillna(0, ["others", "more"]).where("others + 1 = need")
+    scored = hits.select("query", key, rounded((F.col("tf") + F.col("more")) / F.col("length"), 6).alias("score"))
+    return best(scored, ["query"], [F.desc("score"), F.asc(key)], k)
 
 
 def rrf_fuse(rankings: list[DataFrame], key: str, k: int, constant: int = RRF) -> DataFrame:
@@ -295,7 +311,7 @@ def contained(questions: DataFrame, named: DataFrame, names: dict[str, int]) ->
     asked = questions.select("query", low("question").alias("asked")).where("asked <> ''")
     starts = F.sequence(F.lit(1), F.length("asked"))
     grams = F.flatten(F.transform(starts, lambda i: F.array(*(F.substring(F.col("asked"), i, F.lit(g)) for g in range(1, GRAM + 1)))))
-    q = asked.select("query", "asked", F.explode(F.array_distinct(grams)).alias("gram"))
+    q = rows_of(asked, ["query", "asked"], F.array_distinct(grams), "gram")
     return n.join(q, "gram").where(F.contains("asked", F.col("name"))).select("query", "iri").distinct()
 
 
@@ -304,11 +320,11 @@ def sharing(questions: DataFrame, named: DataFrame, least: float = 0.0) -> DataF
 
     Of n tokens m must be there, so one of any n - m + 1 is: only the rarest of a label are joined.
     """
-    t = named.select("iri", name_tokens(F.col("label")).alias("tokens")).select("iri", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    t = rows_of(named.select("iri", name_tokens(F.col("label")).alias("tokens")).select("iri", F.size("tokens").alias("n"), "tokens"), ["iri", "n"], F.col("tokens"), "token")
     held = t.join(t.groupBy("token").agg(F.count("*").alias("labels")), "token")
     must = F.greatest(F.lit(1), F.ceil(F.col("n") * least))
     rare = ranked(held, ["iri"], [F.asc("labels"), F.asc("token")]).where(F.col("rank") <= F.col("n") - must + 1)
-    q = questions.select("query", F.explode(name_tokens(F.col("question"))).alias("token"))
+    q = rows_of(questions, ["query"], name_tokens(F.col("question")), "token")
     return rare.select("iri", "token").join(q, "token").select("query", "iri").distinct()
 
 
@@ -371,7 +387,7 @@ def mentions(texts: DataFrame, key: str, text: str, tables: DataFrame, least: in
     parts. Names with other characters than letters, digits and underscores are not found.
     """
     runs = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+(?:\.[\p{L}\p{N}_]+)*"), F.lit(0))
-    words = texts.select(key, F.explode(F.array_distinct(runs)).alias("run")).select(key, F.split("run", r"\.").alias("parts"))
+    words = rows_of(texts, [key], F.array_distinct(runs), "run").select(key, F.split("run", r"\.").alias("parts"))
     full = tables.select("table_id", F.lower(F.concat_ws(".", F.trim("db"), F.trim("name"))).alias("word"), F.lit("qualified").alias("how"))
     bare = tables.where(F.length(F.trim("name")) >= least).select("table_id", F.lower(F.trim("name")).alias("word"), F.lit("bare").alias("how"))
     pairs = words.where(F.size("parts") > 1).select(key, F.explode(F.transform(F.sequence(F.lit(1), F.size("parts") - 1), lambda i: F.array_join(F.slice("parts", i, 2), "."))).alias("word"))
