@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from strataloom.functions.runtime import share_package
-from strataloom.llm import bpe_codec, conversations, language_id, packing, pii, quality_model, quality_rules, simhash, token_counts, topk, url_rules
+from strataloom.llm import bpe_codec, chunk_codec, conversations, language_id, packing, pii, quality_model, quality_rules, simhash, token_counts, topk, url_rules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,11 +53,15 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.op10_url_rules(table(spark, sf_dir, "pages"))
 
 
+def op11_chunk_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_codec.op11_chunk_codec(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.op13_conversation_repair(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality_model, op3_pii, op4_bpe_codec, op5_exact_topk, op6_language_id, op7_quality_rules, op8_best_fit_packing, op9_token_counts, op10_url_rules, op13_conversation_repair)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality_model, op3_pii, op4_bpe_codec, op5_exact_topk, op6_language_id, op7_quality_rules, op8_best_fit_packing, op9_token_counts, op10_url_rules, op11_chunk_codec, op13_conversation_repair)}
 
 ORACLES = {
     "op5_exact_topk": """
