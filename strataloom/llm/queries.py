@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from strataloom.functions.runtime import share_package
-from strataloom.llm import bpe_codec, chunk_codec, conversations, language_id, packing, pii, quality_model, quality_rules, simhash, token_counts, topk, url_rules
+from strataloom.llm import bpe_codec, chunk_codec, conversations, language_id, packing, phrases, pii, quality_model, quality_rules, simhash, token_counts, topk, url_rules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,11 +57,15 @@ def op11_chunk_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_codec.op11_chunk_codec(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.op12_phrases(table(spark, sf_dir, "documents"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.op13_conversation_repair(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality_model, op3_pii, op4_bpe_codec, op5_exact_topk, op6_language_id, op7_quality_rules, op8_best_fit_packing, op9_token_counts, op10_url_rules, op11_chunk_codec, op13_conversation_repair)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality_model, op3_pii, op4_bpe_codec, op5_exact_topk, op6_language_id, op7_quality_rules, op8_best_fit_packing, op9_token_counts, op10_url_rules, op11_chunk_codec, op12_phrases, op13_conversation_repair)}
 
 ORACLES = {
     "op5_exact_topk": """
@@ -79,4 +83,41 @@ ORACLES = {
         )
         SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
     """,
+    "op12_phrases": r"""
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang,
+                   unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+            FROM documents
+        ), lines AS (
+            SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces
+        ), counted AS (
+            SELECT lang, words, phrase, count(*) AS f
+            FROM (
+                SELECT lang, words, unnest(list_transform(range(1, len(w) - words + 2), lambda i: array_to_string(w[i:i + words - 1], ' '))) AS phrase
+                FROM lines, (VALUES (1), (2), (3), (4), (5)) t(words)
+            )
+            GROUP BY ALL HAVING f >= 100
+        ), totals AS (
+            SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM lines GROUP BY lang
+        ), cuts AS (
+            SELECT lang, words, phrase, f AS a, string_split(phrase, ' ') AS w, unnest(range(1, words)) AS k FROM counted WHERE words > 1
+        ), scored AS (
+            SELECT c.lang, c.words, c.phrase, c.a, c.k, x.f AS l, y.f AS r, t.n,
+                   CAST(1000 * CAST(c.a AS HUGEINT) * t.n // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+            FROM cuts c
+            JOIN counted x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:c.k], ' ')
+            JOIN counted y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.k + 1:], ' ')
+            JOIN totals t ON t.lang = c.lang
+        ), lowest AS (
+            SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+        ), free AS (
+            SELECT * FROM lowest s
+            WHERE NOT EXISTS (
+                SELECT 1 FROM counted g
+                WHERE g.lang = s.lang AND g.words > s.words AND contains(' ' || g.phrase || ' ', ' ' || s.phrase || ' ') AND 100 * g.f >= 100 * s.a
+            )
+        )
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+        FROM free QUALIFY rank <= 2000
+    """,
 }
