@@ -36,7 +36,9 @@ LEAST = 100
 LONGEST = 5
 BEST = 2000
 #: Bytes of text of one language that are counted together.
-BLOCK = 8 << 20
+BLOCK = 4 << 20
+#: Rows that are sent, and texts that are unpacked, at once.
+SENT, UNPACKED = 1 << 16, 64
 #: Bytes over which one polynomial runs.
 _SPAN = 1 << 20
 FILTER_BITS = 26
@@ -68,7 +70,7 @@ def _mixed(x: np.ndarray, salt: int) -> np.ndarray:
 
 
 class Block:
-    """Segments (row, first byte, bytes) of one language: the words in them, as exact numbers, and fingerprints of runs."""
+    """Segments (row, first byte, bytes) of one language: the words in them, and fingerprints of runs of words."""
 
     def __init__(self, lang: str, segments: list[tuple[int, int, bytes]]):
         self.salt = int.from_bytes(lang.encode()[:64].ljust(8, b"\0")[:8], "little") ^ (len(lang) << 56) & 0xFFFFFFFFFFFFFFFF
@@ -85,9 +87,10 @@ class Block:
         self.piece = np.cumsum(ends_piece, dtype=np.int32)[self.first]
         starts = np.cumsum([0, *(len(x[2]) + 1 for x in segments)])[:-1]
         owner = np.searchsorted(starts, self.first, side="right") - 1
-        self.row = np.array([x[0] for x in segments], np.int64)[owner]
-        self.offset = np.array([x[1] for x in segments], np.int64)[owner] - starts[owner]
-        self.word, self.number = self._words(bytes_)
+        self.owner = owner.astype(np.int32)
+        self.row = np.array([x[0] for x in segments], np.int64)
+        self.offset = np.array([x[1] for x in segments], np.int64) - starts
+        self.word = self._fingerprints(bytes_)
         up, _ = _powers(_WORD_BASE, _size(len(self.word) + 1))
         self.prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.word * up[: len(self.word)], dtype=np.uint64)])
 
@@ -105,16 +108,6 @@ class Block:
             i = j
         return _mixed(out, 0x2545F4914F6CDD1D)
 
-    def _words(self, bytes_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Fingerprints of words and numbers that are equal for equal words only."""
-        found = self._fingerprints(bytes_)
-        _, index, number = np.unique(found, return_index=True, return_inverse=True)
-        if not self._same(np.arange(len(found)), index[number]):
-            known: dict[bytes, int] = {}
-            raw = bytes_.tobytes()
-            number = np.array([known.setdefault(raw[a:b], len(known)) for a, b in zip(self.first.tolist(), self.last.tolist(), strict=True)])
-        return found, number
-
     def _same(self, one: np.ndarray, other: np.ndarray) -> bool:
         """Whether words are the same bytes, pair by pair; eight bytes are compared at once."""
         size = self.last - self.first
@@ -148,13 +141,17 @@ class Block:
         at = np.flatnonzero(inside)
         found, index, group, count = np.unique(keys[at], return_index=True, return_inverse=True, return_counts=True)
         first = at[index]
-        if any((self.number[at + k] != self.number[first[group] + k]).any() for k in range(n)):
-            rows, index, count = np.unique(np.stack([self.number[at + k] for k in range(n)]), axis=1, return_index=True, return_counts=True)
+        if not all(self._same(at + k, first[group] + k) for k in range(n)):
+            # fingerprints collide, so runs are told apart by their words
+            known: dict[tuple[bytes, ...], int] = {}
+            words = [tuple(self.raw[self.first[i + k] : self.last[i + k]].tobytes() for k in range(n)) for i in at.tolist()]
+            _, index, count = np.unique([known.setdefault(w, len(known)) for w in words], return_index=True, return_counts=True)
             first = at[index]
             found = keys[first]
-        start = self.first[first] + self.offset[first]
+        owner = self.owner[first]
+        start = self.first[first] + self.offset[owner]
         length = self.last[first + n - 1] - self.first[first]
-        return found.view(np.int64), count, self.row[first], start << 32 | length
+        return found.view(np.int64), count, self.row[owner], start << 32 | length
 
 
 def segments(row: int, data: bytes, block: int) -> Iterator[tuple[int, int, bytes]]:
@@ -181,10 +178,11 @@ def grams(texts: DataFrame, n: int, frequent: np.ndarray | None = None, block: i
         def counted(lang: str) -> Iterator[pa.RecordBatch]:
             sizes.pop(lang)
             made = Block(lang, waiting.pop(lang)).runs(n, frequent)
-            if len(made[0]):
-                yield pa.RecordBatch.from_arrays([pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(made[0]), np.int32)), [lang]).dictionary_decode(), *map(pa.array, made)], names=["lang", "key", "count", "row", "at"])
+            for i in range(0, len(made[0]), SENT):
+                part = [pa.array(x[i : i + SENT]) for x in made]
+                yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(part[0])), *part], names=["lang", "key", "count", "row", "at"])
 
-        for batch in batches:
+        for batch in (whole.slice(i, UNPACKED) for whole in batches for i in range(0, whole.num_rows, UNPACKED)):
             for row, lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for part in segments(row, text.encode().translate(_TABLE), block):
                     waiting.setdefault(lang, []).append(part)
