@@ -6,6 +6,7 @@ emptiness come back. Derived triples exclude what is known and pairs of a node w
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 from itertools import count
 
@@ -128,10 +129,14 @@ RULES = {
 }
 
 
+#: Rounds after which what is known is written as one table.
+COMPACT = 16
+
+
 def fixpoint(kg: DataFrame, rules: list, rounds: int | None = None) -> DataFrame:
-    """All triples that the rules derive, (s, p, o, round): rules see what earlier rounds derived; stops when nothing is new.
+    """All triples that functions of a graph derive, (s, p, o, round): each round applies them all to the whole graph.
 
-    If `rounds` are not enough for that, it raises.
+    For rules that are no functions see `semi_naive`. If `rounds` are not enough for that, it raises.
     """
     base = materialise(kg.select("s", "p", "o").distinct(), "base")
     work, found = base, None
@@ -146,6 +151,114 @@ def fixpoint(kg: DataFrame, rules: list, rounds: int | None = None) -> DataFrame
     return found if found is not None else base.limit(0).withColumn("round", F.lit(0))
 
 
+@dataclass(frozen=True)
+class Rule:
+    """Patterns of variables (?x) and constants that imply a head, under a name."""
+
+    name: str
+    body: tuple[tuple[str, str, str], ...]
+    head: tuple[str, str, str]
+
+
+def rules_of(symmetric=(), inverse=None, transitive_over=(), subclass=(), subproperty=(), business=()) -> list[Rule]:
+    """Rules in one form: symmetric and transitive predicates, inverse ones by name, pairs (below, above), names of RULES."""
+    flip = lambda p, q, name: Rule(name, (("?x", p, "?y"),), ("?y", q, "?x"))
+    out = [flip(p, p, "symmetric") for p in symmetric] + [flip(p, q, "inverse") for p, q in (inverse or {}).items()]
+    out += [Rule("transitive", (("?x", p, "?y"), ("?y", p, "?z")), ("?x", p, "?z")) for p in transitive_over]
+    out += [Rule("subclass", (("?x", "type", a),), ("?x", "type", b)) for a, b in subclass]
+    out += [Rule("subproperty", (("?x", a, "?y"),), ("?x", b, "?y")) for a, b in subproperty]
+    return out + [Rule(n, tuple(RULES[n][0]), RULES[n][1]) for n in business]
+
+
+def _matches(rows: DataFrame, pattern: tuple[str, str, str]) -> DataFrame:
+    """The variables of a pattern in the rows that fit it."""
+    names: dict[str, str] = {}
+    for column, term in zip("spo", pattern, strict=True):
+        if not term.startswith("?"):
+            rows = rows.where(F.col(column) == term)
+        elif term[1:] in names:
+            rows = rows.where(F.col(column) == F.col(names[term[1:]]))
+        else:
+            names[term[1:]] = column
+    return rows.select(*(F.col(c).alias(v) for v, c in names.items()))
+
+
+def _derived(rule: Rule, old: DataFrame | None, delta: DataFrame) -> list[DataFrame]:
+    """What a rule makes of triples of which one at least is in delta: for each atom, delta there, all triples before it and old ones after it."""
+    out = []
+    for i in range(len(rule.body)):
+        if old is None and i < len(rule.body) - 1:
+            continue  # without old triples only the last one has something after it: nothing
+        order = sorted(range(len(rule.body)), key=lambda k: k != i)
+        table, left = None, order
+        while left:
+            # the atom with delta first, then any that shares a variable
+            k = next((k for k in left if table is None or {x[1:] for x in rule.body[k] if x.startswith("?")} & set(table.columns)), None)
+            if k is None:
+                raise ValueError("a pattern shares no variable with those before it")
+            left = [x for x in left if x != k]
+            side = delta if k == i else old.unionByName(delta) if k < i and old is not None else delta if old is None else old
+            part = _matches(side, rule.body[k])
+            table = part if table is None else table.join(part, [c for c in part.columns if c in table.columns])
+        term = lambda x: F.col(x[1:]) if x.startswith("?") else F.lit(x)
+        out.append(table.select(*(term(x).alias(c) for x, c in zip(rule.head, "spo", strict=True))).where("s <> o").withColumn("rule", F.lit(rule.name)))
+    return out
+
+
+def semi_naive(kg: DataFrame, rules: list[Rule], rounds: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(s, p, o, round) that the rules derive, and (round, rule, n): how many new triples each derived, one of several rules counting for each.
+
+    Rules see what earlier rounds derived. A round joins each atom of a body with the triples that the round
+    before made, so no combination of triples is looked at twice, and a closure is carried on, not begun anew.
+    If `rounds` are not enough for that nothing is new, it raises.
+    """
+    delta = materialise(kg.select("s", "p", "o").distinct(), "base")
+    every, old, found, counts = delta, None, None, None
+    for n in count(1):
+        made = reduce(DataFrame.unionByName, [x for r in rules for x in _derived(r, old, delta)]).distinct()
+        new = materialise(made.join(every, ["s", "p", "o"], "left_anti"), "derived")
+        if new.isEmpty():
+            break
+        if rounds is not None and n > rounds:
+            raise RuntimeError(f"the rules still derive after {rounds} rounds")
+        told = new.groupBy("rule").agg(F.count("*").alias("n")).select(F.lit(n).alias("round"), "rule", "n")
+        once = materialise(new.select("s", "p", "o").distinct(), "delta")
+        part = once.withColumn("round", F.lit(n))
+        found, counts = (part, told) if found is None else (found.unionByName(part), counts.unionByName(told))
+        old, delta, every = every, once, every.unionByName(once)
+        if n % COMPACT == 0:
+            every = materialise(every, "every")
+    if found is None:
+        found = every.limit(0).withColumn("round", F.lit(0))
+        counts = kg.sparkSession.createDataFrame([], "round int, rule string, n bigint")
+    return found, counts
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root): the smallest node that each node of edges (a, b) is linked with, either way.
+
+    Each round hangs the larger neighbours of a node below the smallest one, then all smaller ones; nodes of a long
+    chain come together in a logarithm of rounds. What goes round is edges only, and a hub's are spread by their other end.
+    """
+    pairs = edges.where("a <> b").select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).distinct()
+    pairs, before = materialise(pairs, "pairs"), None
+    while True:
+        both = pairs.select(F.col("low").alias("u"), F.col("high").alias("v")).unionByName(pairs.select(F.col("high").alias("u"), F.col("low").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("m").alias("low"), F.col("v").alias("high")).where("low <> high").distinct()
+        large = materialise(large, "large")
+        least = large.groupBy("high").agg(F.min("low").alias("m"))
+        joined = large.join(least, "high").select("high", "low", "m")
+        small = joined.select(F.col("m").alias("low"), F.col("low").alias("high")).unionByName(joined.select(F.col("m").alias("low"), "high"))
+        pairs = materialise(small.where("low <> high").distinct(), "pairs")
+        now = pairs.agg(F.count("*"), F.sum(F.xxhash64("low", "high").cast("decimal(38,0)"))).first()
+        if now == before:
+            break
+        before = now
+    roots = pairs.select(F.col("low").alias("node"), F.col("low").alias("root")).distinct()
+    return pairs.select(F.col("high").alias("node"), F.col("low").alias("root")).unionByName(roots)
+
+
 def cycle_nodes(edges: DataFrame) -> DataFrame:
     """(node, first): nodes on a cycle and the smallest node of theirs; edges (child, parent), the smallest parent counts.
 
@@ -172,23 +285,52 @@ def without_cycles(edges: DataFrame) -> DataFrame:
     return plain.join(cut, "child", "left_anti")
 
 
-#: Levels after which what is known is written as one table.
-COMPACT = 16
+def _anchors(single: DataFrame) -> DataFrame:
+    """(node, anchor, hops): where the only-parent links (node, to) of each node end; nodes that run into a cycle are left out.
+
+    Pointers are doubled: a chain costs the logarithm of its length.
+    """
+    jump = materialise(single.select("node", "to", F.lit(1).cast("bigint").alias("hops")), "jump")
+    steps, nodes = 1, jump.count()
+    done = None
+    while steps <= 2 * nodes:
+        ahead = jump.select(F.col("node").alias("to"), F.col("to").alias("next"), F.col("hops").alias("more"))
+        told = materialise(jump.join(ahead, "to", "left"), "jump")
+        ended = told.where("next is null").select("node", F.col("to").alias("anchor"), "hops")
+        done = ended if done is None else done.unionByName(ended)
+        # those whose pointer leads to a node that has ended go on from it
+        jump = told.where("next is not null").select("node", F.col("next").alias("to"), (F.col("hops") + F.col("more")).alias("hops"))
+        known = done.select(F.col("node").alias("to"), "anchor", F.col("hops").alias("more"))
+        jump = materialise(jump.join(known, "to", "left").select("node", F.coalesce("anchor", "to").alias("to"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops")), "jump")
+        steps *= 2
+        if jump.isEmpty():
+            break
+    return done if done is not None else jump.select("node", F.col("to").alias("anchor"), "hops")
 
 
 def depths(edges: DataFrame, warn: int = 6) -> DataFrame:
-    """(node, depth, deep): the fewest steps from a root; 0 for nodes that no root reaches. One round for each level."""
+    """(node, depth, deep): the fewest steps from a root; 0 for nodes that no root reaches.
+
+    A node with one parent is as deep as that and one more, so chains of such nodes are contracted first, by doubling pointers.
+    What is left are nodes with several parents: for these the shortest way is relaxed, in as many rounds as lie on one
+    way at most; a tree needs none.
+    """
     e = materialise(edges.where("child <> parent").select("child", "parent").distinct(), "edges")
     nodes = e.select(F.col("child").alias("node")).unionByName(e.select(F.col("parent").alias("node"))).distinct()
-    roots = nodes.join(e.select(F.col("child").alias("node")).distinct(), "node", "left_anti")
-    level = known = materialise(roots.withColumn("depth", F.lit(0)), "level")
-    for d in count(1):
-        step = level.join(e, F.col("parent") == F.col("node")).select(F.col("child").alias("node")).distinct()
-        level = materialise(step.join(known, "node", "left_anti").withColumn("depth", F.lit(d)), "level")
-        if level.isEmpty():
-            break
-        known = known.unionByName(level)
-        if d % COMPACT == 0:
-            known = materialise(known, "known")
-    out = nodes.join(known, "node", "left").fillna(0, ["depth"])
+    up = e.groupBy("child").agg(F.count("*").alias("n"), F.min("parent").alias("to"))
+    anchors = materialise(_anchors(up.where("n = 1").select(F.col("child").alias("node"), "to")), "anchors")
+    roots = nodes.join(up.select(F.col("child").alias("node")), "node", "left_anti")
+    # a way from an anchor to a node with several parents: over one parent, and the chain above that
+    many = e.join(up.where("n > 1").select("child"), "child")
+    ways = many.join(anchors.select(F.col("node").alias("parent"), "anchor", "hops"), "parent", "left")
+    ways = ways.select(F.coalesce("anchor", "parent").alias("start"), "child", (F.coalesce("hops", F.lit(0)) + 1).alias("hops"))
+    ways = materialise(ways.groupBy("start", "child").agg(F.min("hops").alias("hops")), "ways")
+    known = fresh = materialise(roots.withColumn("depth", F.lit(0).cast("bigint")), "known")
+    while not ways.isEmpty() and not fresh.isEmpty():
+        step = fresh.join(ways, F.col("node") == F.col("start")).groupBy(F.col("child").alias("node")).agg(F.min(F.col("depth") + F.col("hops")).alias("depth"))
+        better = step.join(known.select("node", F.col("depth").alias("before")), "node", "left").where("before is null or depth < before").select("node", "depth")
+        fresh = materialise(better, "fresh")
+        known = materialise(known.unionByName(fresh).groupBy("node").agg(F.min("depth").alias("depth")), "known")
+    below = anchors.join(known.select(F.col("node").alias("anchor"), "depth"), "anchor").select("node", (F.col("depth") + F.col("hops")).alias("depth"))
+    out = nodes.join(known.unionByName(below), "node", "left").select("node", F.coalesce("depth", F.lit(0)).cast("int").alias("depth"))
     return out.withColumn("deep", F.col("depth") > warn)

@@ -71,13 +71,26 @@ _business("metric_dim_column", "computedFrom", "joinableWith", "canGroupBy", "a.
 _business("grounding_inherit", "broader", "groundedBy", "groundedBy", "a.o", "b.o")
 
 
+#: A relation is its own inverse over joins, tables know what is computed from them, and metrics group by what joins.
+_REASONED = Z.rules_of(symmetric=("joinableWith",), inverse={"computedFrom": "usedBy"}, business=("metric_dim_column",))
+
+
 @query(f"""WITH {K}, r1 AS MATERIALIZED (SELECT o AS s, p, s AS o FROM k WHERE p = 'joinableWith' UNION SELECT o, 'usedBy', s FROM k WHERE p = 'computedFrom' {NEW}),
   r2 AS (SELECT DISTINCT a.s, 'canGroupBy' AS p, b.o FROM (SELECT * FROM k UNION ALL SELECT * FROM r1) a JOIN (SELECT * FROM k UNION ALL SELECT * FROM r1) b ON a.o = b.s WHERE a.p = 'computedFrom' AND b.p = 'joinableWith'),
   r0 AS MATERIALIZED (SELECT DISTINCT a.s, 'canGroupBy' AS p, b.o FROM k a JOIN k b ON a.o = b.s WHERE a.p = 'computedFrom' AND b.p = 'joinableWith')
   SELECT *, 1 AS round FROM r1 UNION ALL SELECT *, 1 FROM r0 UNION ALL SELECT *, 2 FROM (SELECT * FROM r2 EXCEPT SELECT * FROM r0)""")
 def reason_fixpoint(t):
-    rules = [lambda k: Z.rule_symmetric(k, ("joinableWith",)), lambda k: Z.rule_inverse(k, {"computedFrom": "usedBy"}), lambda k: Z.rule_bgp(k, *Z.RULES["metric_dim_column"])]
-    return Z.fixpoint(kg(t), rules)
+    return Z.semi_naive(kg(t), _REASONED)[0]
+
+
+@query(f"""WITH RECURSIVE {K}, t AS MATERIALIZED (SELECT s, p, o FROM k WHERE p IN ('derivedFrom', 'transformsFrom')),
+  c AS (SELECT s, p, o FROM t UNION SELECT c.s, c.p, t.o FROM c JOIN t ON c.o = t.s AND c.p = t.p),
+  d AS MATERIALIZED (SELECT DISTINCT * FROM c WHERE s <> o EXCEPT SELECT * FROM k),
+  f AS (SELECT DISTINCT a.s, 'dependsOn' AS p, b.o FROM (SELECT * FROM k UNION SELECT * FROM d) a JOIN k b ON a.o = b.s WHERE a.p = 'derivedFrom' AND b.p = 'computedFrom')
+  SELECT 'transitive' AS rule, count(*) AS n FROM d UNION ALL SELECT 'inverse', count(*) FROM (SELECT DISTINCT o, s FROM k WHERE p = 'computedFrom') UNION ALL SELECT 'metric_depends', count(*) FROM f""")
+def reason_fixpoint_counts(t):
+    rules = Z.rules_of(transitive_over=("derivedFrom", "transformsFrom"), inverse={"computedFrom": "usedBy"}, business=("metric_depends",))
+    return Z.semi_naive(kg(t), rules)[1].groupBy("rule").agg(F.sum("n").alias("n"))
 
 
 _J = f"(SELECT s AS a, o AS b FROM {KG} WHERE p = 'joinableWith' UNION SELECT o, s FROM {KG} WHERE p = 'joinableWith')"

@@ -501,3 +501,86 @@ def test_tables_are_found_where_they_are_named(spark):
     refs = ["Sales.Orders", "orders", "lake.crm.orders", "lake.tx", "the table sales.tx now", "orders of crm", "none", " ", None]
     got = {r["ref"]: (r["status"], r["table_id"]) for r in retrieval.resolve_refs(spark.createDataFrame([(r,) for r in refs], "ref string"), tables).collect()}
     assert got == {"Sales.Orders": ("exact", 1), "orders": ("ambiguous", None), "lake.crm.orders": ("exact", 2), "lake.tx": ("exact", 3), "the table sales.tx now": ("exact", 3), "orders of crm": ("ambiguous", None), "none": ("unresolved", None), " ": ("unresolved", None), None: ("unresolved", None)}
+
+
+def naive(kg, rules):
+    """{triple: round} and {(round, rule): n} by joining everything with everything."""
+    known, out, counts = set(kg), {}, {}
+    for n in range(1, 99):
+        new = set()
+        for r in rules:
+            found = [{}]
+            for pattern in r.body:
+                grown = []
+                for b in found:
+                    for triple in known:
+                        c = dict(b)
+                        if all(c.setdefault(x, v) == v if x.startswith("?") else x == v for x, v in zip(pattern, triple)):
+                            grown.append(c)
+                found = grown
+            made = {tuple(b.get(x, x) for x in r.head) for b in found}
+            mine = {t for t in made if t[0] != t[2]} - known
+            counts.setdefault((n, r.name), set()).update(mine)
+            new |= mine
+        if not new:
+            return out, {k: len(v) for k, v in counts.items() if v}
+        out |= {t: n for t in new}
+        known |= new
+
+
+@settings(max_examples=5, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from("abcd"), st.sampled_from(["p", "q", "type"]), st.sampled_from("abcdT")), max_size=9))
+def test_deltas_derive_what_all_triples_do(spark, made):
+    rules = reasoning.rules_of(symmetric=("q",), inverse={"p": "r"}, transitive_over=("p",), subclass=(("T", "U"),), subproperty=(("r", "q"),))
+    rules += [reasoning.Rule("three", (("?x", "p", "?y"), ("?y", "q", "?z"), ("?z", "r", "?x")), ("?x", "loop", "?z")), reasoning.Rule("self", (("?x", "q", "?x"),), ("?x", "type", "Own"))]
+    kg = spark.createDataFrame(made, "s string, p string, o string")
+    found, counts = reasoning.semi_naive(kg, rules)
+    want, told = naive(made, rules)
+    assert {r[:3]: r[3] for r in rows(found)} == want and len(rows(found)) == len(want)
+    assert {(r["round"], r["rule"]): r["n"] for r in counts.collect()} == told
+
+
+def test_semi_naive_ends_or_says_so(spark):
+    kg = spark.createDataFrame([(f"{i}", "derivedFrom", f"{i + 1}") for i in range(9)], "s string, p string, o string")
+    rules = reasoning.rules_of(transitive_over=("derivedFrom",))
+    assert reasoning.semi_naive(kg, rules)[0].count() == 45 - 9
+    with pytest.raises(RuntimeError, match="rounds"):
+        reasoning.semi_naive(kg, rules, 1)
+    with pytest.raises(ValueError, match="shares no variable"):
+        reasoning.semi_naive(kg, [reasoning.Rule("apart", (("?a", "p", "?b"), ("?c", "p", "?d")), ("?a", "q", "?d"))])
+
+
+@settings(max_examples=5, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 14), st.integers(0, 14)), max_size=22))
+def test_components_and_depths_are_those_of_a_walk(spark, edges):
+    linked = {a: {a} for e in edges for a in e if e[0] != e[1]}
+    for _ in linked:
+        for a, b in edges:
+            if a != b:
+                linked[a] = linked[b] = linked[a] | linked[b]
+    for group in list(linked.values()):
+        for n in group:
+            linked[n] = max(linked[n], group, key=len)
+    assert dict(rows(reasoning.components(spark.createDataFrame(edges, "a bigint, b bigint")))) == {n: min(g) for n, g in linked.items()}
+    up = {(a, b) for a, b in edges if a != b}
+    nodes = {n for e in up for n in e}
+    depth, level = {}, nodes - {a for a, _ in up}
+    d = 0
+    while level:
+        depth |= {n: d for n in level}
+        level, d = {a for a, b in up if b in level} - set(depth), d + 1
+    got = {r[0]: r[1] for r in rows(reasoning.depths(spark.createDataFrame(edges, "child bigint, parent bigint")))}
+    assert got == {n: depth.get(n, 0) for n in nodes}
+
+
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    written = []
+    keep = reasoning.materialise
+    monkeypatch.setattr(reasoning, "materialise", lambda df, tag: written.append(tag) or keep(df, tag))
+    chain = spark.range(5000).select((F.col("id") + 1).alias("child"), F.col("id").alias("parent"))
+    shortcut = spark.createDataFrame([(4000, 10)], "child bigint, parent bigint")
+    got = {r["node"]: r["depth"] for r in reasoning.depths(chain.unionByName(shortcut)).collect()}
+    assert got == {i: i if i < 4000 else i - 3989 for i in range(5001)}
+    assert written.count("jump") <= 2 * 14 + 1 and written.count("fresh") <= 3
+    assert {r["root"] for r in reasoning.components(chain.select(F.col("child").alias("a"), F.col("parent").alias("b"))).collect()} == {0}
+    assert written.count("large") <= 16
