@@ -73,18 +73,6 @@ def disambiguate(new: DataFrame, known: DataFrame, same: float = 0.85, maybe: fl
     return top.select("query", F.col("id").alias("best"), "sim", decision.alias("decision"))
 
 
-def check_predicates(triples: DataFrame, known: DataFrame, prefix: str) -> tuple[DataFrame, DataFrame]:
-    """Known predicates and those of the own prefix pass; others take the known one at one edit, or are quarantined.
-
-    Only distinct unknown predicates are compared with the small list of known ones.
-    """
-    unknown = triples.select("p").distinct().join(known.select(F.col("predicate").alias("p")), "p", "left_anti").where(~F.startswith("p", F.lit(prefix)))
-    near = unknown.join(known, F.levenshtein(F.lower("p"), F.lower("predicate")) <= 1).groupBy("p").agg(F.min("predicate").alias("mapped"))
-    told = triples.join(unknown.join(near, "p", "left").withColumn("odd", F.lit(True)), "p", "left")
-    good = told.where("odd is null or mapped is not null").withColumn("p", F.coalesce("mapped", "p")).select(triples.columns)
-    return good, told.where("odd and mapped is null").select(*triples.columns, F.lit("unknown_predicate").alias("reason"))
-
-
 def fuse(triples: DataFrame) -> DataFrame:
     """Equal triples become one with confidence 100 * (1 - product of (1 - c / 100)), and the number of sources."""
     doubt = F.product(1 - F.col("confidence") / 100)
@@ -112,7 +100,7 @@ def status_gate(triples: DataFrame, threshold: float = APPROVE_FROM) -> DataFram
 
 
 def clean(raw: DataFrame, functional: list[str] | None = None) -> DataFrame:
-    """All stages; rows with stage `production` or the reason of their quarantine."""
+    """Normalised, fused and judged triples, with stage `production` or `conflict`; all stages are in `cleaning.run`."""
     judged = conflicts(fuse(normalise(raw)), functional)
     return judged.withColumn("stage", F.when(F.col("o") == F.col("winner"), "production").otherwise("conflict"))
 

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from strataloom.functions.storage import shared_folder
+from strataloom.operators import cleaning as L
 from strataloom.operators import triples as C
+from strataloom.operators import validation as V
 from strataloom.plans.fixtures import KG, kg
 from strataloom.plans.metrics import _r
 from strataloom.plans.retrieval import _SIMS, _tables, _vectors
@@ -114,13 +119,61 @@ def clean_disambiguate(t):
     return C.disambiguate(q, rows.where("id % 50 <> 0"), 0.40, 0.30)
 
 
-@query(f"SELECT s, CASE WHEN p = 'labell' THEN 'label' ELSE p END AS p, o, p <> 'strange' AS good FROM (SELECT s, CASE WHEN p = 'label' AND iri = false AND s LIKE 'p/%' THEN 'labell' WHEN p = 'formula' THEN 'strange' WHEN p = 'status' THEN 'own:status' ELSE p END AS p, o FROM {KG})")
+@query(f"""WITH m AS (SELECT query, id FROM {_SIMS} WHERE id % 50 <> 0 AND sim >= 0.40 QUALIFY row_number() OVER (PARTITION BY query ORDER BY sim DESC, id) = 1),
+  e AS (SELECT vec_id AS s, 'label' AS p, label::VARCHAR AS o, false AS iri FROM embeddings UNION ALL SELECT vec_id, 'near', (vec_id - vec_id % 50)::VARCHAR, true FROM embeddings)
+  SELECT CAST(coalesce(x.id, e.s) AS VARCHAR) AS s, p, CASE WHEN iri THEN coalesce(CAST(y.id AS VARCHAR), o) ELSE o END AS o, iri FROM e LEFT JOIN m x ON x.query = e.s LEFT JOIN m y ON e.iri AND CAST(y.query AS VARCHAR) = e.o""")
+def clean_disambiguate_rewrite(t):
+    """Both ends of triples take the name of the known entity that they are merged into."""
+    q, rows = _vectors(t)
+    merges = L.decide(q, rows.where("id % 50 <> 0"), 0.40, 0.30).where("decision = 'merge'")
+    names = L.canonical(merges.select("node", "into")).select(F.col("node").cast("string").alias("node"), F.col("canonical").cast("string").alias("canonical"))
+    s = F.col("vec_id").cast("string").alias("s")
+    own = t.embeddings.select(s, F.lit("label").alias("p"), F.col("label").cast("string").alias("o"), F.lit(False).alias("iri"))
+    near = t.embeddings.select(s, F.lit("near").alias("p"), (F.col("vec_id") - F.col("vec_id") % 50).cast("string").alias("o"), F.lit(True).alias("iri"))
+    return L.rewrite(own.unionByName(near), names)
+
+
+@query(f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY sim DESC, id) AS n FROM {_SIMS} WHERE id % 50 <> 0 QUALIFY n <= 3)
+  SELECT query AS node, string_agg(id::VARCHAR, '|' ORDER BY n) FILTER (sim >= 0.30) AS candidates FROM r GROUP BY 1 HAVING max(sim) >= 0.30 AND max(sim) < 0.40""")
+def clean_disambiguate_quarantine(t):
+    """Entities that may be known ones, with the three likeliest."""
+    q, rows = _vectors(t)
+    asked = L.decide(q, rows.where("id % 50 <> 0"), 0.40, 0.30).where("decision = 'arbitrate'")
+    return asked.select("node", F.array_join("candidates", "|").alias("candidates"))
+
+
+_PREDICATES = ("type", "label", "altLabel", "broader", "groundedBy", "derivedFrom", "computedFrom", "joinableWith", "transformsFrom", "suppliedBy", "linkMethod")
+_KNOWN = "(SELECT unnest(" + repr(list(_PREDICATES)) + ") AS x)"
+_LABEL = r"lower(regexp_replace(regexp_replace(regexp_extract(x, '([^/#:]*)$', 1), '([a-z0-9])([A-Z])', '\1 \2', 'g'), '[_\-\s]+', ' ', 'g'))"
+
+
+def _letters(names):
+    return f"(SELECT x, pair, count(*) AS n FROM (SELECT x, unnest(list_transform(range(1, length(l)), lambda i: substr(l, i, 2))) AS pair FROM (SELECT x, ' ' || {_LABEL} || ' ' AS l FROM {names})) GROUP BY 1, 2)"
+
+
+def _near(unknown):
+    """(x, best, sim, suggestions) for each distinct x of `unknown` that has a known predicate at 0.60 or more."""
+    width = lambda g: f"(SELECT x, sqrt(sum(n * n)) AS w FROM {g} GROUP BY 1)"
+    return f"""(WITH a AS MATERIALIZED (SELECT * FROM {_letters(f'(SELECT DISTINCT x FROM {unknown})')}), b AS MATERIALIZED (SELECT * FROM {_letters(_KNOWN)}),
+      d AS (SELECT a.x, b.x AS known, sum(a.n * b.n) AS dot FROM a JOIN b USING (pair) GROUP BY 1, 2),
+      c AS (SELECT d.x, known, floor(dot / (u.w * v.w) * 1e6 + 0.5) / 1e6 AS sim FROM d JOIN {width('a')} u ON u.x = d.x JOIN {width('b')} v ON v.x = d.known),
+      r AS (SELECT *, row_number() OVER (PARTITION BY x ORDER BY sim DESC, known) AS k FROM c WHERE sim >= 0.60 QUALIFY k <= 3)
+      SELECT x, arg_min(known, k) AS best, max(sim) AS sim, string_agg(known, '|' ORDER BY k) AS suggestions FROM r GROUP BY 1)"""
+
+
+_ODD = f"""(SELECT s, CASE WHEN p = 'label' AND s LIKE 'p/%' THEN 'labell' WHEN p = 'label' AND s LIKE 'c/%' THEN 'pref_label' WHEN p = 'formula' THEN 'strange' WHEN p = 'groundedBy' THEN 'http://x.org/v#grounded-by' WHEN p = 'status' THEN 'own:status' ELSE p END AS p, o FROM {KG})"""
+
+
+@query(f"""WITH k AS MATERIALIZED (SELECT * FROM {_ODD}), n AS MATERIALIZED (SELECT * FROM {_near("(SELECT p AS x FROM k WHERE p NOT LIKE 'own:%' AND p NOT IN (SELECT x FROM " + _KNOWN + "))")}),
+  t AS (SELECT k.*, n.best, n.sim, n.suggestions, p LIKE 'own:%' OR p IN (SELECT x FROM {_KNOWN}) AS known FROM k LEFT JOIN n ON n.x = k.p)
+  SELECT s, CASE WHEN sim >= 0.85 THEN best ELSE p END AS p, o, CASE WHEN known OR sim >= 0.85 THEN NULL WHEN sim IS NULL THEN 'unknown_predicate' ELSE 'unknown_predicate_fuzzy' END AS reason, CASE WHEN sim < 0.85 THEN suggestions ELSE '' END AS suggestions FROM t""")
 def clean_predicates(t):
-    p = F.when((F.col("p") == "label") & F.startswith("s", F.lit("p/")), "labell").when(F.col("p") == "formula", "strange").when(F.col("p") == "status", "own:status").otherwise(F.col("p"))
-    triples = kg(t).select("s", p.alias("p"), "o")
-    known = t.spark.createDataFrame([(x,) for x in ("type", "label", "altLabel", "broader", "groundedBy", "derivedFrom", "computedFrom", "joinableWith", "transformsFrom")], "predicate string")
-    good, bad = C.check_predicates(triples, known, "own:")
-    return good.withColumn("good", F.lit(True)).unionByName(bad.drop("reason").withColumn("good", F.lit(False)))
+    p = F.when((F.col("p") == "label") & F.startswith("s", F.lit("p/")), "labell").when((F.col("p") == "label") & F.startswith("s", F.lit("c/")), "pref_label").when(F.col("p") == "formula", "strange").when(F.col("p") == "groundedBy", "http://x.org/v#grounded-by").when(F.col("p") == "status", "own:status").otherwise(F.col("p"))
+    return L.map_predicates(kg(t).select("s", p.alias("p"), "o"), _predicates(t), "own:").withColumn("suggestions", F.array_join("suggestions", "|"))
+
+
+def _predicates(t):
+    return t.spark.createDataFrame([(x,) for x in _PREDICATES], "predicate string")
 
 
 _FUSED = f"(SELECT s, p, o, {_ONE.format('100 * (1 - product(1 - confidence / 100))')} AS confidence, count(DISTINCT source) AS sources FROM {RAW} GROUP BY 1, 2, 3)"
@@ -150,9 +203,80 @@ def clean_status_gate(t):
     return C.status_gate(C.fuse(raw(t)), 99.9)
 
 
-@query(f"SELECT s, p, o, confidence, sources, winner, CASE WHEN o = winner THEN 'production' ELSE 'conflict' END AS stage FROM {_JUDGED}")
+#: Line items as raw triples of every kind that a stage of cleaning looks at.
+_KINDS = {
+    "s": "CASE WHEN l_linenumber % 4 = 3 THEN ' p/' || l_partkey || ' ' ELSE 'p/' || l_partkey END",
+    "p": "CASE l_linenumber % 7 WHEN 0 THEN 'computedFrom' WHEN 1 THEN 'suppliedBy' WHEN 2 THEN 'supplied_by' WHEN 3 THEN 'suppliedFor' WHEN 4 THEN 'own:note' WHEN 5 THEN 'joinableWith' ELSE 'odd' END",
+    "o": "CASE WHEN l_quantity > 49 THEN ' ' WHEN l_linenumber % 7 = 0 AND l_partkey % 3 = 2 THEN 'nowhere_' || l_suppkey WHEN l_linenumber % 7 = 0 THEN 'table_' || l_suppkey WHEN l_linenumber % 7 = 5 THEN 'p/' || (l_suppkey * 10) ELSE 's/' || l_suppkey END",
+    "source": "l_returnflag",
+    "confidence": "CASE WHEN l_tax = 0 THEN NULL ELSE floor(1000 * (1 - l_discount) + 0.5) / 10 END",
+}
+_FUNCTIONAL = ["suppliedBy", "computedFrom"]
+_STAGES = f"""raw AS MATERIALIZED (SELECT {', '.join(f'{e} AS {c}' for c, e in _KINDS.items())} FROM lineitem),
+  syntax AS MATERIALIZED (SELECT trim(s) AS s, trim(p) AS p, trim(o) AS o, source, floor(least(100.0::DOUBLE, greatest(0.0::DOUBLE, coalesce(confidence, 70.0::DOUBLE))) * 10 + 0.5 + 1e-7) / 10 AS confidence FROM raw WHERE trim(o) <> ''),
+  linked AS MATERIALIZED (SELECT *, p = 'computedFrom' AS named, p = 'computedFrom' AND o IN (SELECT 'table_' || s_suppkey FROM supplier) AS found FROM syntax),
+  after_link AS MATERIALIZED (SELECT s, p, CASE WHEN found THEN 'table/' || substr(o, 7) ELSE o END AS o, source, CASE WHEN found THEN 95.0 ELSE confidence END AS confidence FROM linked WHERE found OR NOT named
+    UNION ALL SELECT s, 'linkMethod', 'exact', source, 95.0 FROM linked WHERE found),
+  near AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query ORDER BY sim DESC, id) AS k FROM {_SIMS} WHERE id % 50 <> 0 QUALIFY k <= 3),
+  merged AS MATERIALIZED (SELECT 'p/' || query AS node, 'p/' || id AS canonical FROM near WHERE k = 1 AND sim >= 0.40),
+  asked AS MATERIALIZED (SELECT 'p/' || query AS s, string_agg('p/' || id, '|' ORDER BY k) FILTER (sim >= 0.30) AS suggestions FROM near GROUP BY query HAVING max(sim) >= 0.30 AND max(sim) < 0.40 AND 'p/' || query IN (SELECT s FROM after_link)),
+  renamed AS MATERIALIZED (SELECT coalesce(x.canonical, a.s) AS s, p, coalesce(y.canonical, a.o) AS o, source, confidence FROM after_link a LEFT JOIN merged x ON x.node = a.s LEFT JOIN merged y ON y.node = a.o),
+  alike AS MATERIALIZED (SELECT * FROM {_near("(SELECT p AS x FROM renamed WHERE p NOT LIKE 'own:%' AND p NOT IN (SELECT x FROM " + _KNOWN + "))")}),
+  told AS MATERIALIZED (SELECT r.s, CASE WHEN sim >= 0.85 THEN best ELSE p END AS p, o, source, confidence, CASE WHEN p LIKE 'own:%' OR p IN (SELECT x FROM {_KNOWN}) OR sim >= 0.85 THEN NULL WHEN sim IS NULL THEN 'unknown_predicate' ELSE 'unknown_predicate_fuzzy' END AS reason, CASE WHEN sim < 0.85 THEN suggestions ELSE '' END AS suggestions FROM renamed r LEFT JOIN alike ON alike.x = r.p),
+  fused AS MATERIALIZED (SELECT s, p, o, {_ONE.format('100 * (1 - product(1 - confidence / 100))')} AS confidence, count(DISTINCT source) AS sources FROM told WHERE reason IS NULL GROUP BY 1, 2, 3),
+  judged AS MATERIALIZED (SELECT *, CASE WHEN p IN ('suppliedBy', 'computedFrom') THEN first_value(o) OVER (PARTITION BY s, p ORDER BY sources DESC, confidence DESC, o) ELSE o END AS winner FROM fused),
+  once AS MATERIALIZED (SELECT CASE WHEN p = 'joinableWith' THEN least(s, o) ELSE s END AS s2, p, CASE WHEN p = 'joinableWith' THEN greatest(s, o) ELSE o END AS o2, max(confidence) AS confidence FROM judged WHERE o = winner GROUP BY 1, 2, 3),
+  production AS MATERIALIZED (SELECT s2 AS s, p, o2 AS o, confidence FROM once UNION ALL SELECT s2, 'approvalStatus', CASE WHEN max(confidence) >= 99.9 THEN 'approved' ELSE 'draft' END, 100.0 FROM once GROUP BY s2)"""
+
+
+def _cleaned(t):
+    made = t.lineitem.select(*(F.expr(e).alias(c) for c, e in _KINDS.items()))
+    q, rows = _vectors(t)
+    name = lambda c: F.concat(F.lit("p/"), F.col(c).cast("string")).alias(c)
+    told = L.decide(q, rows.where("id % 50 <> 0"), 0.40, 0.30)
+    told = told.select(name("node"), "decision", name("into"), F.transform("candidates", lambda x: F.concat(F.lit("p/"), x)).alias("candidates"))
+    return L.run(made, _tables(t), told, _predicates(t), "own:", ("computedFrom",), _FUNCTIONAL, 99.9)
+
+
+@query(f"""WITH {_STAGES}
+  SELECT 'production' AS stage, s, p, o, confidence, '' AS suggestions FROM production
+  UNION ALL SELECT 'unresolved_table_ref', s, p, o, confidence, '' FROM linked WHERE named AND NOT found
+  UNION ALL SELECT 'entity_arbitrate', s, NULL, NULL, NULL, suggestions FROM asked
+  UNION ALL SELECT reason, s, p, o, confidence, suggestions FROM told WHERE reason IS NOT NULL
+  UNION ALL SELECT 'conflict', s, p, o, confidence, winner FROM judged WHERE o <> winner""")
 def clean_pipeline(t):
-    return C.clean(raw(t))
+    """All stages of cleaning, with what each holds back and why."""
+    return _cleaned(t).rows().withColumn("suggestions", F.array_join("suggestions", "|"))
+
+
+@query(f"""WITH {_STAGES} SELECT unnest(['input', 'syntax', 'link', 'quarantine_link', 'quarantine_disambiguate', 'predicates', 'quarantine_predicates', 'conflict', 'quarantine_conflict', 'production']) AS stage,
+  unnest([(SELECT count(*) FROM raw), (SELECT count(*) FROM syntax), (SELECT count(*) FROM after_link), (SELECT count(*) FROM linked WHERE named AND NOT found), (SELECT count(*) FROM asked), (SELECT count(*) FROM told WHERE reason IS NULL), (SELECT count(*) FROM told WHERE reason IS NOT NULL),
+    (SELECT count(*) FROM judged WHERE o = winner), (SELECT count(*) FROM judged WHERE o <> winner), (SELECT count(*) FROM production)]) AS n""")
+def clean_pipeline_counts(t):
+    """How many rows enter and leave each stage, observed while the stages ran."""
+    return t.spark.createDataFrame(list(_cleaned(t).counts.items()), "stage string, n bigint")
+
+
+def _status_shapes(graph):
+    """Subjects need a status, which is one of two words."""
+    typed = graph.select("s", F.lit("type").alias("p"), F.lit("Any").alias("o")).distinct()
+    kg_ = graph.select("s", "p", "o").unionByName(typed).withColumn("iri", F.lit(False))
+    spark = graph.sparkSession
+    need = spark.createDataFrame([("Any", "approvalStatus", 1, "Violation")], "class string, path string, least int, severity string")
+    words = spark.createDataFrame([("Any", "approvalStatus", "in", ["approved", "draft"], None, None, "Violation")], "class string, path string, kind string, allowed array<string>, low double, high double, severity string")
+    return V.min_count(kg_, need).unionByName(V.values(kg_, words))
+
+
+@query(f"""WITH {_STAGES} SELECT s, p, o, confidence FROM production""")
+def clean_publish(t):
+    """The published graph after a batch that conforms, and after one without status that is blocked by its shapes."""
+    store = f"{shared_folder(t.spark)}/graph-{uuid.uuid4().hex}"
+    good = _cleaned(t).production.select("s", "p", "o", "confidence")
+    bad = kg(t).where("p = 'label'").select("s", "p", "o", F.lit(100.0).alias("confidence"))
+    told = [L.publish(batch, _status_shapes, store)[0] for batch in (good, bad)]
+    if told != [True, False]:
+        raise RuntimeError(f"published: {told}")
+    return L.published(t.spark, store, good)
 
 
 @query(f"SELECT s, p, o, winner FROM {_JUDGED} WHERE o <> winner ORDER BY s, p, o LIMIT 50 OFFSET 25")
@@ -206,10 +330,16 @@ def version_diff(t):
     return C.version_diff(kg(t).select("s", "p", "o"), _next(t))
 
 
-@query(f"""WITH a AS (SELECT s, p, o FROM {KG}), b AS (SELECT * FROM {_NEXT}), c AS (SELECT s FROM (SELECT * FROM b EXCEPT SELECT * FROM a) UNION SELECT s FROM (SELECT * FROM a EXCEPT SELECT * FROM b)) SELECT s, 'version' AS p, '2' AS o FROM c UNION ALL SELECT 'c/' || c_custkey, 'certificationStatus', 'deprecated' FROM customer WHERE c_custkey % 50 = 0""")
+@query(f"""WITH a AS (SELECT s, p, o FROM {KG}), b AS (SELECT * FROM {_NEXT}), c AS (SELECT s FROM (SELECT * FROM b EXCEPT SELECT * FROM a) UNION SELECT s FROM (SELECT * FROM a EXCEPT SELECT * FROM b))
+  SELECT s, 'version' AS p, CASE WHEN s LIKE 'c/%' THEN CAST(CAST(substr(s, 3) AS BIGINT) % 4 + 2 AS VARCHAR) ELSE '2' END AS o FROM c
+  UNION ALL SELECT s, 'changeNote', 'label of ' || s FROM c WHERE s LIKE 'p/%'
+  UNION ALL SELECT 'c/' || c_custkey, 'certificationStatus', 'deprecated' FROM customer WHERE c_custkey % 50 = 0 UNION ALL SELECT 'c/' || c_custkey, 'changeNote', 'Deprecated: ' || c_mktsegment FROM customer WHERE c_custkey % 100 = 0""")
 def version_write(t):
-    changed = version_diff(t).select("s").distinct().select("s", F.lit("version").alias("p"), F.lit("2").alias("o"))
-    return changed.unionByName(t.customer.where("c_custkey % 50 = 0").select(F.expr("'c/' || c_custkey").alias("s"), F.lit("certificationStatus").alias("p"), F.lit("deprecated").alias("o")))
+    """Changed subjects take their next version and a note; some are deprecated, half of them for a reason."""
+    versions = t.customer.select(F.expr("'c/' || c_custkey").alias("s"), (F.col("c_custkey") % 4 + 1).alias("version"))
+    notes = t.part.select(F.expr("'p/' || p_partkey").alias("s"), F.expr("'label of p/' || p_partkey").alias("note"))
+    gone = t.customer.where("c_custkey % 50 = 0").select(F.expr("'c/' || c_custkey").alias("s"), F.when(F.col("c_custkey") % 100 == 0, F.col("c_mktsegment")).alias("reason"))
+    return L.with_version(version_diff(t), versions, notes).unionByName(L.deprecated(gone))
 
 
 _GONE = f"(SELECT s AS x FROM {KG} WHERE p = 'groundedBy' AND o IN ('chunk/1', 'chunk/2', 'chunk/3') UNION SELECT unnest(['chunk/1', 'chunk/2', 'chunk/3']))"

@@ -87,7 +87,7 @@ def reason_fixpoint(t):
   c AS (SELECT s, p, o FROM t UNION SELECT c.s, c.p, t.o FROM c JOIN t ON c.o = t.s AND c.p = t.p),
   d AS MATERIALIZED (SELECT DISTINCT * FROM c WHERE s <> o EXCEPT SELECT * FROM k),
   f AS (SELECT DISTINCT a.s, 'dependsOn' AS p, b.o FROM (SELECT * FROM k UNION SELECT * FROM d) a JOIN k b ON a.o = b.s WHERE a.p = 'derivedFrom' AND b.p = 'computedFrom')
-  SELECT 'transitive' AS rule, count(*) AS n FROM d UNION ALL SELECT 'inverse', count(*) FROM (SELECT DISTINCT o, s FROM k WHERE p = 'computedFrom') UNION ALL SELECT 'metric_depends', count(*) FROM f""")
+  SELECT * FROM (SELECT 'transitive' AS rule, count(*) AS n FROM d UNION ALL SELECT 'inverse', count(*) FROM (SELECT DISTINCT o, s FROM k WHERE p = 'computedFrom') UNION ALL SELECT 'metric_depends', count(*) FROM f) WHERE n > 0""")
 def reason_fixpoint_counts(t):
     rules = Z.rules_of(transitive_over=("derivedFrom", "transformsFrom"), inverse={"computedFrom": "usedBy"}, business=("metric_depends",))
     return Z.semi_naive(kg(t), rules)[1].groupBy("rule").agg(F.sum("n").alias("n"))

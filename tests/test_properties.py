@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from strataloom import registry
 from strataloom.functions.storage import shared_folder
-from strataloom.operators import code, graph, metrics, profile, reasoning, retrieval, text, triples, validation
+from strataloom.operators import cleaning, code, graph, metrics, profile, reasoning, retrieval, text, triples, validation
 from strataloom.sources import catalog
 from strataloom.streaming import jobs
 
@@ -395,22 +395,46 @@ def test_changed_documents_are_indexed_once(spark, tmp_path):
 
 
 def test_silent_runs_time_out(spark, tmp_path):
-    source = tmp_path / "beats"
-    make = lambda batch: spark.createDataFrame(batch, "run string, at string").select("run", F.to_timestamp("at").alias("ts")).coalesce(1).write.mode("append").parquet(str(source))
-    make([("a", "2024-01-01 00:00:00"), ("b", "2024-01-01 00:00:00")])
-    stream = spark.readStream.schema("run string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(source)).withWatermark("ts", "1 second")
-    query = jobs.stale_runs_stream(stream, "run", "ts", 900).writeStream.format("memory").queryName("stale").option("checkpointLocation", str(tmp_path / "cp")).start()
-    try:
-        query.processAllAvailable()
-        make([("b", "2024-01-01 00:14:00")])
-        query.processAllAvailable()
-        make([("b", "2024-01-01 00:20:00")])
-        query.processAllAvailable()
-        make([("b", "2024-01-01 00:21:00")])
-        query.processAllAvailable()
-        assert {r["run"] for r in spark.table("stale").collect()} == {"a"}
-    finally:
-        query.stop()
+    """Runs go silent, one beats again, and the stream is stopped and started again in between; the log ends as the batch form says."""
+    source, log = str(tmp_path / "beats"), str(tmp_path / "log")
+    beats = []
+
+    def stream(*batch):
+        beats.extend(batch)
+        made = spark.createDataFrame(batch, "run string, at string, step string").select("run", F.to_timestamp("at").alias("ts"), "step")
+        made.coalesce(1).write.mode("append").parquet(source)
+        read = spark.readStream.schema(made.schema).parquet(source).withWatermark("ts", "1 second")
+        jobs.logged(jobs.stale_runs_stream(read, "run", "ts", "step", 900), log, str(tmp_path / "cp"))
+        return {r["run"]: (r["step"], r["beats"]) for r in jobs.still_stale(spark.read.parquet(log), "run", F.lit("2024-01-01 09:00:00")).collect()}
+
+    assert stream(("a", "2024-01-01 00:00:00", "load"), ("b", "2024-01-01 00:00:00", "load"), ("a", "2024-01-01 00:00:05", "map")) == {}
+    assert stream(("b", "2024-01-01 00:20:00", "map"), ("c", "2024-01-01 00:20:00", "load")) == {"a": ("map", 2)}
+    assert stream(("a", "2024-01-01 00:21:00", "write")) == {}
+    assert stream(("d", "2024-01-01 00:50:00", "load")) == {"a": ("write", 3), "b": ("map", 2)}
+    want = stream(("clock", "2024-01-01 02:00:01", "tick"))
+    frame = spark.createDataFrame(beats, "run string, at string, step string").select("run", F.to_timestamp("at").alias("ts"), "step")
+    batch = {r["run"]: (r["step"], r["beats"]) for r in jobs.stale_runs(frame, "run", "ts", "step", F.lit("2024-01-01 02:00:00")).collect()}
+    assert want == batch == {"a": ("write", 3), "b": ("map", 2), "c": ("load", 1), "d": ("load", 1)}
+    failed = {r["run"]: r["status"] for r in jobs.fail_running(frame, "run", "ts", "step", ("write",)).collect()}
+    assert failed == {"a": "write", "b": "failed", "c": "failed", "d": "failed", "clock": "failed"}
+
+
+@settings(max_examples=2, deadline=None)
+@given(st.lists(st.lists(st.tuples(st.sampled_from("st"), st.sampled_from(["one", "alt"]), st.sampled_from(["a", "b", "é"]), st.sampled_from(["x", "y", None]), st.sampled_from([10.0, 55.5, None, 90.0])), max_size=6), min_size=2, max_size=3))
+def test_streamed_cleaning_equals_the_batch(spark, tmp_path_factory, batches):
+    """Whatever the batches, and although the stream ends after each; a better late source retracts the winner."""
+    schema = "s string, p string, o string, source string, confidence double"
+    folder = tmp_path_factory.mktemp("clean")
+    batches = [*batches, [("q", "one", "a", "x", 90.0)], [("q", "one", "b", "x", 80.0), ("q", "one", "b", "y", 20.0)]]
+    for made in batches:
+        spark.createDataFrame(made, schema).coalesce(1).write.mode("append").parquet(str(folder / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(folder / "in"))
+        jobs.clean_triples(stream, str(folder / "store"), str(folder / "cp"), triples.normalise, ["one"])
+    log = spark.read.parquet(str(folder / "store"))
+    whole = triples.clean(spark.createDataFrame([x for b in batches for x in b], schema), ["one"])
+    assert sorted(rows(jobs.cleaned(log).select(whole.columns)), key=repr) == sorted(rows(whole), key=repr)
+    said = {(r["change"], r["o"]) for r in log.where("s = 'q'").collect()}
+    assert {("winner", "a"), ("retract", "a"), ("winner", "b")} <= said
 
 
 def test_storage_is_the_named_folder(spark):
@@ -584,3 +608,59 @@ def test_long_chains_take_few_rounds(spark, monkeypatch):
     assert written.count("jump") <= 2 * 14 + 1 and written.count("fresh") <= 3
     assert {r["root"] for r in reasoning.components(chain.select(F.col("child").alias("a"), F.col("parent").alias("b"))).collect()} == {0}
     assert written.count("large") <= 16
+
+
+def test_merges_end_at_one_entity(spark):
+    """Chains, stars and rings of merges; both ends of triples are rewritten, literals are not."""
+    merges = spark.createDataFrame([("n1", "n2"), ("n2", "k"), ("n3", "k"), ("m", "k"), ("a", "b"), ("b", "a"), ("z", "k2"), ("x", "x")], "node string, into string")
+    names = dict(rows(cleaning.canonical(merges)))
+    assert names == {"n1": "k", "n2": "k", "n3": "k", "m": "k", "b": "a", "z": "k2"}
+    told = spark.createDataFrame([("n1", "p", "z", True), ("q", "p", "n2", True), ("q", "label", "n2", False), ("m", "p", "m", True)], "s string, p string, o string, iri boolean")
+    got = rows(cleaning.rewrite(told, cleaning.canonical(merges)))
+    assert sorted(got) == [("k", "p", "k", True), ("k", "p", "k2", True), ("q", "label", "n2", False), ("q", "p", "k", True)]
+
+
+def test_decisions_name_three_candidates(spark):
+    known = spark.createDataFrame([("k1", [1.0, 0.0]), ("k2", [0.9, 0.1]), ("k3", [0.8, 0.6]), ("k4", [0.0, 1.0])], "id string, vector array<double>")
+    new = spark.createDataFrame([("a", [1.0, 0.01]), ("b", [0.5, 0.8]), ("c", [-1.0, -1.0])], "query string, qv array<double>")
+    got = {r["node"]: (r["decision"], r["into"], r["candidates"]) for r in cleaning.decide(new, known, 0.99, 0.6).collect()}
+    assert got == {"a": ("merge", "k1", ["k1", "k2", "k3"]), "b": ("arbitrate", None, ["k3", "k4", "k2"]), "c": ("new", None, [])}
+
+
+def test_predicates_take_the_nearest_name(spark):
+    known = spark.createDataFrame([("displayName",), ("label",), ("broader",)], "predicate string")
+    made = [("s", p, "o", "src", 50.0) for p in ("display name", "http://x/y#Display_Name", "labell", "pref label", "colour", "own:any", "label", "x", "")]
+    told = cleaning.map_predicates(spark.createDataFrame(made, "s string, p string, o string, source string, confidence double"), known, "own:")
+    got = sorted((r["p"], r["reason"] or "", tuple(r["suggestions"])) for r in told.collect())
+    assert got == sorted([("displayName", "", ()), ("displayName", "", ()), ("label", "", ()), ("pref label", "unknown_predicate_fuzzy", ("label",)), ("colour", "unknown_predicate", ()), ("own:any", "", ()), ("label", "", ()), ("x", "unknown_predicate", ()), ("", "unknown_predicate", ())])
+
+
+def test_blocked_batches_leave_the_graph_as_it_was(spark, tmp_path):
+    store = str(tmp_path / "graph")
+    schema = "s string, p string, o string"
+    like = spark.createDataFrame([], schema)
+    bad = lambda g: g.where("o = 'bad'").select("s", F.lit("Violation").alias("severity"))
+    assert rows(cleaning.published(spark, store, like)) == []
+    assert cleaning.publish(spark.createDataFrame([("a", "p", "bad")], schema), bad, store)[0] is False
+    assert rows(cleaning.published(spark, store, like)) == [] and cleaning.manifest(spark, store) == (0, [])
+    assert cleaning.publish(spark.createDataFrame([("a", "p", "x"), ("a", "p", "x")], schema), bad, store)[0]
+    assert cleaning.publish(spark.createDataFrame([("a", "p", "x"), ("b", "p", "y")], schema), bad, store)[0]
+    ok, found = cleaning.publish(spark.createDataFrame([("c", "p", "z"), ("d", "p", "bad")], schema), bad, store)
+    assert not ok and rows(found) == [("d", "Violation")]
+    assert sorted(rows(cleaning.published(spark, store, like))) == [("a", "p", "x"), ("b", "p", "y")] and cleaning.manifest(spark, store)[0] == 2
+
+    def broken(g):
+        raise OSError("lost")
+
+    with pytest.raises(OSError):
+        cleaning.publish(spark.createDataFrame([("e", "p", "z")], schema), broken, store)
+    assert cleaning.published(spark, store, like).count() == 2
+
+
+def test_versions_and_notes(spark):
+    changed = spark.createDataFrame([("a",), ("b",), ("a",)], "s string")
+    versions = spark.createDataFrame([("a", "3"), ("a", "10")], "s string, version string")
+    notes = spark.createDataFrame([("a", "why"), ("b", " "), ("z", "other")], "s string, note string")
+    assert sorted(rows(cleaning.with_version(changed, versions, notes))) == [("a", "changeNote", "why"), ("a", "version", "11"), ("b", "version", "2")]
+    gone = spark.createDataFrame([("a", "old"), ("b", None)], "s string, reason string")
+    assert sorted(rows(cleaning.deprecated(gone))) == [("a", "certificationStatus", "deprecated"), ("a", "changeNote", "Deprecated: old"), ("b", "certificationStatus", "deprecated")]
