@@ -2,9 +2,10 @@
 
 Listed rules (host, path) decide the urls they fit. All others are judged by mined rules: a url becomes a
 set of tokens (labels of its host, segments of its path, names of its parameters) plus a label; FP-growth
-mines which combinations of at most MAX_TOKENS tokens urls labelled `block` share; combinations are pruned by
+mines which combinations of tokens urls labelled `block` share; combinations are pruned by
 support relative to those urls, by confidence over all urls, and if a part of them blocks as surely. Labels
-do not come from the url: a page is bad if the visible text of its html names advert terms in a given density.
+do not come from the url: a page is bad by its text, out of which its host and the labels of that are taken:
+by the density of advert terms, by repeated blocks, or by the share of links.
 Pages of the held-out fold (HELD_OUT of crc32 of the id) are not mined. Matching goes through an inverted
 index: each mined rule stands under its rarest token, and is verified where that token occurs. It runs once for
 each distinct set of tokens.
@@ -34,12 +35,16 @@ TERMS = ("casino", "bets", "poker", "pills", "viagra", "adult", "porn", "xxx", "
 MIN_SUPPORT = 0.001
 MIN_COUNT = 5
 MIN_CONFIDENCE = 0.9
-MAX_TOKENS = 3
 #: Words of a page for each of which one term makes it bad.
 WORDS_PER_TERM = 4000
+#: Share of repeated blocks of text, and of letters in links, that makes a page bad; characters of a block.
+REPEATED = 0.3
+LINKED = 0.5
+BLOCK_CHARS = 20
 #: (parts, which): the fold of pages that is not learned from.
 HELD_OUT = (5, 0)
 BLOCK = "=block"
+_HIDDEN = r"(?is)<(?:script|style)\b.*?(?:</(?:script|style)\s*+>|\z)|<!--.*?(?:-->|\z)"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -73,14 +78,38 @@ def listed_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column
 
 def visible_words(html: Column) -> Column:
     """The text of a page without scripts, styles and tags; what a script leaves open is dropped with it."""
-    bare = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<(?:script|style)\b.*?(?:</(?:script|style)\s*+>|\z)|<!--.*?(?:-->|\z)", " ")
+    bare = F.regexp_replace(F.coalesce(html, F.lit("")), _HIDDEN, " ")
     return F.regexp_replace(bare, r"<[^>]*+>?", " ")
 
 
-def bad_body(html: Column, terms=TERMS, words_per_term: int = WORDS_PER_TERM) -> Column:
-    """Whether a page's text has one of the terms for each words_per_term words, or any in a shorter one."""
-    named = F.lit("(?i)\\b(?:" + "|".join(terms) + ")\\b")
-    return let(visible_words(html), lambda t: let(F.regexp_count(t, named), lambda n: (n > 0) & (n * words_per_term >= F.regexp_count(t, F.lit("[^\\x20\\x09-\\x0D]++")))))
+def without_host(text: Column, host: Column) -> Column:
+    """A text in lower case (A-Z) without the host, nor any of its labels as a word."""
+    low = F.translate(text, _UPPER, _LOWER)
+    bare = F.when(host == "", low).otherwise(F.replace(low, host, F.lit(" ")))
+    labels = F.filter(F.split(host, r"[.\-:]"), lambda x: x.rlike(r"^\w+$"))
+    names = F.array_join(labels, "|")
+    return F.when(names == "", bare).otherwise(F.regexp_replace(bare, F.concat(F.lit("\\b(?:"), names, F.lit(")\\b")), F.lit(" ")))
+
+
+def bad_page(html: Column, host: Column, terms=TERMS, words_per_term: int = WORDS_PER_TERM, repeated: float = REPEATED, linked: float = LINKED) -> Column:
+    """Whether a page is bad for learning, by its text without its host.
+
+    It is if it names one of the terms for each words_per_term words, or any in a shorter text; if `repeated` of its
+    blocks of text (between tags, BLOCK_CHARS characters or more) equal an earlier one; or if `linked` of its letters stand in links.
+    """
+    named = F.lit("\\b(?:" + "|".join(terms) + ")\\b")
+    words = lambda t: F.regexp_count(t, F.lit("[^\\x20\\x09-\\x0D]++"))
+    said = let(without_host(visible_words(html), host), lambda t: let(F.regexp_count(t, named), lambda n: (n > 0) & (n * words_per_term >= words(t))))
+    hidden = F.regexp_replace(F.coalesce(html, F.lit("")), _HIDDEN, " ")
+
+    def shape(h: Column) -> Column:
+        blocks = F.filter(F.split(h, r"<[^>]*+>?"), lambda x: F.length(F.trim(x)) >= BLOCK_CHARS)
+        again = let(F.transform(blocks, lambda x: F.trim(x)), lambda b: F.size(b) - F.size(F.array_distinct(b)) >= F.greatest(F.lit(1), F.size(b) * repeated))
+        letters = F.aggregate(F.regexp_extract_all(h, F.lit(r"(?i)<a\b[^<>]*+>([^<]*+)"), 1), F.lit(0), lambda n, x: n + F.length(F.regexp_replace(x, r"\s++", "")))
+        shown = F.length(F.regexp_replace(h, r"<[^>]*+>?|\s++", ""))
+        return again | ((letters > 0) & (letters >= linked * shown))
+
+    return said | let(hidden, shape)
 
 
 def _counts(sets: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -97,12 +126,11 @@ def _counts(sets: DataFrame, wanted: DataFrame) -> DataFrame:
     return one.unionByName(hits.groupBy(F.col("needed").alias("tokens"), F.col("token").alias("anchor")).agg(F.sum("rows").alias("rows")))
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_count: int = MIN_COUNT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_count: int = MIN_COUNT, min_confidence: float = MIN_CONFIDENCE, max_tokens: int | None = None) -> DataFrame:
     """Rules (number, tokens, confidence, support, anchor) from rows of tokens and bad (boolean).
 
     Sets of tokens are mined on the bad rows, with a support relative to these; their confidence is counted
-    over all rows. A token that only bad rows bear is a rule as it is and is left out of the mining, as
-    whatever holds it blocks no surer.
+    over all rows. max_tokens bounds the tokens of a rule; None doesn't.
     """
     spark = labelled.sparkSession
     rows = labelled.where(F.size("tokens") > 0).groupBy("tokens").agg(F.count("*").alias("rows"), F.count_if("bad").alias("bad"))
@@ -114,9 +142,8 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_count: int =
     least = math.ceil(max(min_count, min_support * bad))
     single = rows.select(F.explode("tokens").alias("token"), "rows", "bad").groupBy("token").agg(F.sum("rows").alias("rows"), F.sum("bad").alias("bad"))
     single = materialise(single.where(F.col("bad") >= least), "singles")
-    sure = single.where("bad = rows").select(F.array("token").alias("tokens"), F.col("bad").alias("freq"))
     # tokens that the same sets bear are one item
-    where = rows.select(F.xxhash64("tokens").cast("decimal(20,0)").alias("h"), F.explode("tokens").alias("token")).join(single.where("bad < rows").select("token"), "token")
+    where = rows.select(F.xxhash64("tokens").cast("decimal(20,0)").alias("h"), F.explode("tokens").alias("token")).join(single.select("token"), "token")
     mixed = where.groupBy("token").agg(F.count("*").alias("n"), F.sum("h").alias("h")).groupBy("n", "h").agg(F.min("token").alias("token"))
     mixed = materialise(mixed.select("token"), "mixed")
     numbered = rows.where("bad > 0").select(F.monotonically_increasing_id().alias("set"), "tokens", "bad")
@@ -126,11 +153,12 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_count: int =
     items = left.select("items", F.explode(F.sequence(F.lit(1), F.col("bad").cast("int")))).select("items")
     items = materialise(items, "items")
     total = items.count()
-    wanted = sure
-    if total:
-        model = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 0.5) / total), minConfidence=min_confidence).fit(items)
-        wanted = wanted.unionByName(model.freqItemsets.where(F.size("items") <= MAX_TOKENS).select(F.array_sort("items").alias("tokens"), "freq"))
-    wanted = materialise(wanted, "mined")
+    if not total:
+        return spark.createDataFrame([], shape)
+    sets = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 0.5) / total), minConfidence=min_confidence).fit(items).freqItemsets
+    if max_tokens is not None:
+        sets = sets.where(F.size("items") <= max_tokens)
+    wanted = materialise(sets.select(F.array_sort("items").alias("tokens"), "freq"), "mined")
     counted = wanted.join(_counts(rows.select("tokens", "rows"), wanted), "tokens")
     confidence = F.col("freq") / F.col("rows")
     found = materialise(counted.where(confidence >= min_confidence).select("tokens", confidence.alias("confidence"), (F.col("freq") / n).alias("support"), "anchor"), "confident")
@@ -153,7 +181,7 @@ def match(sets: DataFrame, rules: DataFrame) -> DataFrame:
 def judge(pages: DataFrame, rules=RULES, terms=TERMS, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id, host, path, rule, verdict, confidence, bad, held_out): verdict from the listed rules, else from the mined ones."""
     host, path = host_of(F.col("url")), path_of(F.col("url"))
-    slim = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), bad_body(F.col(html_col), terms).alias("bad"))
+    slim = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), bad_page(F.col(html_col), host_of(F.col(url_col)), terms).alias("bad"))
     split = slim.select("id", "url", "bad", in_fold(F.col("id"), *HELD_OUT).alias("held_out"), host.alias("host"), path.alias("path"))
     rule, listed = listed_rule(F.col("host"), F.col("path"), rules)
     split = materialise(split.select("id", "host", "path", "bad", "held_out", rule.alias("rule"), listed.alias("listed"), tokens_of(F.col("url"), F.col("host"), F.col("path")).alias("tokens")), "urls")
