@@ -1,13 +1,13 @@
 """Quality classifier on supervised subword embeddings (operator 2).
 
-Words, pairs of words and character n-grams (over UTF-8 bytes) of a document are hashed to buckets. Each
+Words, pairs of words, and n-grams of characters within words, whose borders count as a character, are hashed to buckets. Each
 bucket has a learned vector; a document is the average of the vectors of its features, and a softmax layer
 turns it into class probabilities. Vectors and layer are learned together by stochastic gradient descent.
 As the layer is linear, scoring folds both into one number per bucket.
 
-The model is fitted on a bounded sample of labelled rows (SAMPLE_ROWS, by the order of a hash of the id; of
-texts beyond SAMPLE_CHARS characters a window placed by a hash); every text is scored whole. Labels, language, source and id are no
-features.
+The model is fitted on a bounded sample of labelled rows (SAMPLE_ROWS, by the order of a hash of the id), whose
+whole texts are turned into features on the cluster and streamed to the driver epoch by epoch, a partition at a time;
+every text is scored whole. Labels, language, source and id are no features.
 
 Defined results: a null or empty text has no feature and gets the score of the layer's bias alone. Of rows that
 share an id the smallest text is learned from. Without any label all scores are 0.5; with one class they are that class's. Repeated rows give repeated results.
@@ -16,6 +16,7 @@ A null id is in the training fold's complement of nothing: held_out is false for
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -23,11 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strataloom.llm.common import append_columns, excerpt, groups_of_texts, in_fold, lowest_hashes, one_for_each
+from strataloom.llm.common import append_columns, groups_of_texts, in_fold, lowest_hashes, materialise, one_for_each
 
 SAMPLE_ROWS = 3000
-#: Of a longer text a window of this many characters is learned from.
-SAMPLE_CHARS = 50_000
 BUCKET_BITS = 17
 NGRAMS = (3, 4, 5)
 DIMENSIONS = 8
@@ -54,23 +53,24 @@ class Batch:
     def __init__(self, texts: list[str | None]):
         encoded = [(t or "").encode() + b"\n" for t in texts]
         self.raw = np.frombuffer(b"".join(encoded), dtype=np.uint8)
-        ends = np.cumsum([len(x) for x in encoded])
-        self.starts, self.seps = np.concatenate([[0], ends[:-1]]), ends - 1
+        self.starts = np.concatenate([[0], np.cumsum([len(x) for x in encoded])[:-1]])
+        # each text begins with a border, and its last word ends with that of the next text
+        self.letters = np.frombuffer(("\n" + "\n".join(t or "" for t in texts) + "\n").encode("utf-32-le"), dtype="<u4").copy()
+        self.letters[(self.letters == 0x20) | ((self.letters >= 0x09) & (self.letters <= 0x0D))] = 0
+        self.letter_starts = np.concatenate([[0], np.cumsum([len(t or "") + 1 for t in texts])[:-1]])
 
     def ngrams(self):
-        """(buckets by position, positions that hold none) for each length."""
-        x = self.raw.astype(np.uint32)
-        hashed = x.copy()
+        """(buckets by position, positions that hold none) for each length: those with a border inside are none."""
+        x = self.letters * np.uint32(0x9E3779B1)
+        border = self.letters == 0
+        hashed, inside = x.copy(), np.zeros(len(x), dtype=bool)
         for n in range(2, max(NGRAMS) + 1):
             hashed = hashed[:-1] * np.uint32(0x01000193) + x[n - 1 :]
+            inside = inside[:-1] | (border[n - 2 : n - 2 + len(hashed)] if n > 2 else False)
             if n not in NGRAMS or not len(hashed):
                 continue
             mixed = (hashed ^ (hashed >> np.uint32(15))) * np.uint32(0x2C1B3C6D + 2 * n)
-            broken = np.zeros(len(hashed), dtype=bool)
-            for k in range(n):
-                at = np.maximum(self.seps - k, self.starts)
-                broken[at[at < len(hashed)]] = True
-            yield mixed >> np.uint32(32 - BUCKET_BITS), broken
+            yield mixed >> np.uint32(32 - BUCKET_BITS), inside
 
     def words(self):
         """(buckets, text of each) for words and for pairs of neighbours."""
@@ -98,9 +98,10 @@ def _mean_weight(texts: list[str | None], weight: np.ndarray) -> np.ndarray:
     for bucket, broken in batch.ngrams():
         value = weight[bucket]
         value[broken] = 0
-        inside = batch.starts < len(value)
-        total[inside] += np.add.reduceat(value, batch.starts[inside], dtype=np.float64)
-        count[inside] += np.add.reduceat(~broken, batch.starts[inside], dtype=np.int64)
+        at = batch.letter_starts
+        inside = at < len(value)
+        total[inside] += np.add.reduceat(value, at[inside], dtype=np.float64)
+        count[inside] += np.add.reduceat(~broken, at[inside], dtype=np.int64)
     for bucket, owner in batch.words():
         total += np.bincount(owner, weight[bucket], len(texts))
         count += np.bincount(owner, minlength=len(texts))
@@ -129,21 +130,18 @@ class Model:
         return np.concatenate(out)
 
 
-def train(rows: list[tuple[str | None, int]], seed: int = 7) -> Model:
-    """Fit vectors and softmax layer on (text, label 0 or 1)."""
+def train(epoch: Callable[[int], Iterable[tuple[np.ndarray, np.ndarray, int]]], rows: int, labels: set[int], seed: int = 7) -> Model:
+    """Fit vectors and softmax layer on the `rows` of each epoch, in its order: (distinct buckets, their shares, label 0 or 1)."""
     size = 1 << BUCKET_BITS
-    labels = {y for _, y in rows}
     if len(labels) < 2:
         return Model(np.zeros(size, np.float32), {0: -4.0, 1: 4.0}.get(next(iter(labels), None), 0.0))
     draw = np.random.default_rng(seed)
     vectors = draw.uniform(-0.5, 0.5, (size, DIMENSIONS)).astype(np.float32) / DIMENSIONS
     layer = draw.normal(0, 1 / np.sqrt(DIMENSIONS), (2, DIMENSIONS)).astype(np.float32)
     bias = np.zeros(2, np.float32)
-    data = [(*_features(t), y) for t, y in rows]
-    steps, done = EPOCHS * len(data), 0
-    for _ in range(EPOCHS):
-        for i in draw.permutation(len(data)):
-            buckets, share, y = data[i]
+    steps, done = EPOCHS * rows, 0
+    for e in range(EPOCHS):
+        for buckets, share, y in epoch(e):
             rate = RATE * (1 - done / steps)
             done += 1
             hidden = share @ vectors[buckets]
@@ -163,9 +161,24 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", rows: in
     """Learn from labelled documents outside the held-out fold, at most `rows` of them."""
     usable = labels.where(F.col(label_col).isin(0, 1) & F.col("doc_id").isNotNull() & ~in_fold(F.col("doc_id"), 4, 2))
     wanted = lowest_hashes(usable.select("doc_id", F.col(label_col).cast("int").alias("y")), "doc_id", rows).distinct()
-    texts = docs.select("doc_id", excerpt(F.col("text"), SAMPLE_CHARS).alias("text"))
-    got = one_for_each(texts, ["doc_id", "y"], wanted).toPandas().sort_values(["doc_id", "y"])
-    return train(list(zip(got["text"], got["y"].astype(int), strict=True)))
+    texts = one_for_each(docs.select("doc_id", "text"), ["doc_id", "y"], wanted)
+
+    def features():
+        def apply(found):
+            made = [_features(t) for t in found]
+            return [[b.astype("<i4").tobytes() for b, _ in made], [s.astype("<f4").tobytes() for _, s in made]]
+
+        return apply
+
+    binary = [T.StructField(c, T.BinaryType()) for c in ("buckets", "shares")]
+    made = materialise(append_columns(texts, "text", T.StructType(binary), features).drop("text"), "features")
+    told = made.groupBy("y").count().collect()
+
+    def epoch(e: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+        for r in made.orderBy(F.xxhash64("doc_id", "y", F.lit(e)), "doc_id", "y").toLocalIterator():
+            yield np.frombuffer(r.buckets, "<i4"), np.frombuffer(r.shares, "<f4"), r.y
+
+    return train(epoch, sum(r["count"] for r in told), {r.y for r in told})
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "score") -> DataFrame:
