@@ -45,12 +45,6 @@ def one_for_each(df: DataFrame, keys: list[str], wanted: DataFrame) -> DataFrame
     return found.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("least")).select(*keys, "least.*")
 
 
-def excerpt(text: Column, most: int) -> Column:
-    """A text, or of one of more than `most` characters a window of that many, placed by its hash."""
-    start = F.pmod(F.xxhash64(text), F.greatest(F.length(text) - most, F.lit(1))).cast("int")
-    return F.when(F.length(text) > most, F.substring(text, start + 1, F.lit(most))).otherwise(text)
-
-
 def scan(rows: Column, start: Column, kind: str, step: Callable[[Column, Column], Column]) -> Column:
     """What step(state, row), a struct of the next `state` and an array `made` of the type `kind`, makes of all rows in order.
 

@@ -6,7 +6,8 @@ both states gives the probability of each language. A document's probabilities a
 bytes. Both networks are trained together in numpy by backpropagation through time and Adam.
 
 The model is fitted on a bounded sample of rows with a language (SAMPLE_ROWS, by the order of a hash of the
-id; of texts beyond SAMPLE_CHARS characters a window placed by a hash), from windows that are drawn at random, every language as often.
+id). From each of these, DRAWS windows are drawn at random over the whole text, where the text is; training takes
+from them, every language as often.
 Every text is read whole in prediction.
 
 Defined results: `und` with score 0 for texts that are null or hold no letter, and for all texts if there was
@@ -16,17 +17,19 @@ A null id is never held out, and never learned from; of rows that share an id on
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strataloom.llm.common import append_columns, excerpt, fresh, groups_of_texts, in_fold, lowest_hashes, one_for_each
+from strataloom.llm.common import append_columns, fresh, groups_of_texts, in_fold, lowest_hashes, one_for_each
 
 SAMPLE_ROWS = 3000
-#: Of a longer text a window of this many characters is learned from.
-SAMPLE_CHARS = 50_000
+#: Windows that are drawn from a text for training.
+DRAWS = 128
 WINDOW = 128
 HIDDEN = 8
 STEPS = 350
@@ -168,12 +171,19 @@ class Network:
         return loss, grad
 
 
-def train(rows: list[tuple[str, str]], seed: int = 11, steps: int = STEPS) -> Network:
-    """Fit on (text, language)."""
-    by: dict[str, list[bytes]] = {}
-    for text, language in rows:
-        if text and _LETTER.search(text):
-            by.setdefault(language, []).append(text.encode())
+def drawn_windows(text: str, seed: int) -> list[bytes]:
+    """DRAWS windows of TRAIN_WINDOW bytes (shorter at the end), at places drawn over the whole text."""
+    data = text.encode()
+    starts = np.random.default_rng(seed).integers(max(1, len(data) - TRAIN_WINDOW // 2), size=DRAWS)
+    return [data[a : a + TRAIN_WINDOW] for a in starts.tolist()]
+
+
+def train(rows: list[tuple[list[bytes], str]], seed: int = 11, steps: int = STEPS) -> Network:
+    """Fit on (windows, language) of texts."""
+    by: dict[str, list[list[bytes]]] = {}
+    for windows, language in rows:
+        if windows:
+            by.setdefault(language, []).append(windows)
     net = Network(sorted(by), seed)
     if len(by) < 2:
         return net
@@ -185,9 +195,8 @@ def train(rows: list[tuple[str, str]], seed: int = 11, steps: int = STEPS) -> Ne
         block = np.zeros((TRAIN_WINDOW, TRAIN_BATCH), np.uint8)
         for i, k in enumerate(label):
             texts = by[net.languages[k]]
-            text = texts[draw.integers(len(texts))]
-            start = draw.integers(max(1, len(text) - TRAIN_WINDOW // 2))
-            piece = text[start : start + TRAIN_WINDOW]
+            windows = texts[draw.integers(len(texts))]
+            piece = windows[draw.integers(len(windows))]
             block[: len(piece), i] = np.frombuffer(piece, np.uint8)
         _, grad = net.gradients(block, label)
         norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
@@ -204,9 +213,14 @@ def fit(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Network:
     """Learn from documents with a language outside the held-out fold, at most `rows` of them."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~in_fold(F.col("doc_id"), 5, 0))
     wanted = lowest_hashes(usable.select("doc_id"), "doc_id", rows).distinct()
-    texts = usable.select("doc_id", "lang", excerpt(F.col("text"), SAMPLE_CHARS).alias("text"))
-    got = one_for_each(texts, ["doc_id"], wanted).toPandas().sort_values("doc_id")
-    return train(list(zip(got["text"], got["lang"], strict=True)))
+    texts = one_for_each(usable.select("doc_id", "lang", "text"), ["doc_id"], wanted)
+
+    def windows():
+        return lambda found: [[drawn_windows(t, zlib.crc32(t.encode())) if t and _LETTER.search(t) else [] for t in found]]
+
+    made = append_columns(texts, "text", T.StructType([T.StructField("windows", T.ArrayType(T.BinaryType()))]), windows)
+    got = sorted(made.select("doc_id", "lang", "windows").collect(), key=lambda r: r.doc_id)
+    return train([([bytes(w) for w in r.windows], r.lang) for r in got])
 
 
 def predict(docs: DataFrame, net: Network, text_col: str = "text", lang_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
