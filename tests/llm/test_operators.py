@@ -143,15 +143,45 @@ def test_mean_weight_is_a_mean_over_features():
 
 
 def test_samples_are_bounded_by_rows_not_ids(spark, labels):
-    """A repeated id gives one row, a long text a window of itself, wherever it is cut."""
-    from strataloom.llm.common import excerpt, one_for_each
+    """A repeated id gives one row."""
+    from strataloom.llm.common import one_for_each
 
     many = spark.range(5000).select(F.lit(3).cast("bigint").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
     got = one_for_each(many, ["doc_id", "y"], labels.select("doc_id", F.col("quality").alias("y")).distinct()).collect()
     assert [tuple(r) for r in got] == [(3, 1, "text 0")]
-    text = "".join(map(chr, range(100, 400)))
-    cut = spark.createDataFrame([(text,), ("short",), (None,)], "t string").select(excerpt(F.col("t"), 50)).collect()
-    assert cut[0][0] in text and len(cut[0][0]) == 50 and [r[0] for r in cut[1:]] == ["short", None]
+
+
+def placed(draw, signal):
+    """A text of 60 000 characters of filler with a tenth of signal anywhere."""
+    at = draw.randrange(54_000)
+    return ("neutral 0123 " * 5000)[:at] + " " + (signal + " ") * (6000 // len(signal)) + ("neutral 0123 " * 5000)[: 54_000 - at]
+
+
+def test_long_texts_are_learned_from_whole(spark):
+    draw = random.Random(2)
+    rows = [(i, placed(draw, "careful prose" if i % 2 else "click win cash"), i % 2) for i in range(160)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, quality int")
+    got = quality_model.op2_quality_model(frame.select("doc_id", "text"), frame.select("doc_id", "quality")).where("held_out").collect()
+    assert len(got) > 20
+    good, bad = ([r["score"] for r in got if r["doc_id"] % 2 == k] for k in (1, 0))
+    assert sum(g > b for g in good for b in bad) / (len(good) * len(bad)) > 0.97
+    rows = [(i, placed(draw, "él está aquí señor" if i % 2 else "это русский текст"), "es" if i % 2 else "ru") for i in range(60)]
+    net = language_id.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    assert net.predict(["está señor él está aquí", "русский текст это"])[0] == ["es", "ru"]
+    assert {len(w) for w in language_id.drawn_windows("x" * 10_000, 1)} <= set(range(language_id.TRAIN_WINDOW // 2, language_id.TRAIN_WINDOW + 1))
+
+
+def test_ngrams_lie_within_words():
+    """The same n-grams as by slicing each word between its borders, in code points."""
+    text = "\tñandú x  día\n"
+    found = {n: Counter() for n in quality_model.NGRAMS}
+    batch = quality_model.Batch(["other", text])
+    for n, (buckets, broken) in zip(quality_model.NGRAMS, batch.ngrams(), strict=True):
+        found[n].update(int(b) for i, (b, x) in enumerate(zip(buckets, broken)) if i >= batch.letter_starts[1] and not x)
+    for n in quality_model.NGRAMS:
+        pieces = [f" {w} "[i : i + n] for w in text.split() for i in range(len(w) + 3 - n)]
+        assert sum(found[n].values()) == len(pieces)
+        assert sorted(found[n].values()) == sorted(Counter(pieces).values())
 
 
 # 3
@@ -450,6 +480,19 @@ def test_shards_are_packed_best_fit(pieces):
     assert packing.pack_shard(pieces, 20) == best_fit(pieces, 20)
 
 
+def test_many_equal_rows_are_dealt_and_packed_fast(spark):
+    """100 000 rows of one text and no id: each needs its own bin, and no shard is larger than others."""
+    made = spark.range(100_000).select(F.lit(None).cast("bigint").alias("doc_id"), F.lit(100).alias("length"), F.lit("hot").alias("source"), F.lit(7).alias("cluster"))
+    start = time.time()
+    rows = packing.pack(made).groupBy("shard").agg(F.count("*").alias("n"), F.count_distinct("bin").alias("bins"), F.sum("piece_length").alias("size")).collect()
+    assert time.time() - start < 60
+    assert sum(r["n"] for r in rows) == sum(r["bins"] for r in rows) == 100_000 and sum(r["size"] for r in rows) == 10_000_000
+    assert max(r["n"] for r in rows) < 2 * packing.SHARD
+    start = time.time()
+    assert [b for b, _ in packing.pack_shard([(5, 1, 0)] * 20_000, 10**9)] == list(range(20_000))
+    assert time.time() - start < 10
+
+
 def test_packing_by_tokens(spark, odd, word_library):
     path = public_tokenizers.path("word_bpe_49k.json")
     want = sum(len(word_library.encode(t or "", add_special_tokens=False).ids) for t in [*ODD, ODD[6]])
@@ -486,22 +529,42 @@ def test_url_query(spark, sf):
         assert r["rule"] == rule and (rule is None or r["verdict"] == verdict)
 
 
-def test_mined_verdicts_on_pages_not_learned_from(spark):
-    """Labels come from the pages' text; the urls that rules block are right, also where the host bears no such term."""
-    told = url_rules.judge(spark.read.parquet("/root/testdata/sf0.1/pages.parquet")).where("held_out and rule is null").collect()
-    hit = sum(r["verdict"] == "block" and r["bad"] for r in told)
-    assert hit >= 0.9 * sum(r["verdict"] == "block" for r in told) and hit >= 0.9 * sum(r["bad"] for r in told) > 5
-    pages = [(i, f"http://deals{i % 7}.shop.com/promo/{i}?aff={i}", "<p>best casino and poker bonus</p>") for i in range(60)]
-    pages += [(100 + i, f"http://news{i % 7}.shop.com/read/{i}?aff=1", "<p>plain words about the weather</p>") for i in range(60)]
-    pages += [(1000, "http://new.shop.com/promo/7", "<p>nothing</p>"), (1001, "http://new.shop.com/read/7", None)]
-    told = {r["page_id"]: r["verdict"] for r in url_rules.judge(spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect()}
-    assert all(v == ("block" if i < 100 or i == 1000 else "allow") for i, v in told.items())
+def page(body, footer=""):
+    return f"<p>{body}</p><footer>{footer}</footer>"
 
 
-def test_bad_bodies(spark):
-    pages = ["<p>casino</p>", "<script>casino</script> fine", "<style>p{}</style><!-- casino --> fine", "<script>casino", "word " * 9000 + "casino", "Casino " * 3 + "word " * 9000, "<a href='casino'>x</a>", "", None, "<" * 50_000]
-    got = [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(pages)], "i int, h string").orderBy("i").select(url_rules.bad_body(F.col("h"))).collect()]
-    assert got == [True, False, False, False, False, True, False, False, False, False]
+def test_mined_verdicts_on_planted_pages(spark):
+    """Only promo paths with an aff parameter have bad pages, so the rule has two tokens."""
+    pages = [(i, f"http://a{i % 7}.shop.com/promo/{i}?aff={i}", page("best casino and poker bonus")) for i in range(60)]
+    pages += [(100 + i, f"http://a{i % 7}.shop.com/promo/{i}?id=1", page("plain words about the weather")) for i in range(60)]
+    pages += [(200 + i, f"http://a{i % 7}.shop.com/read/{i}?aff=1", page("plain words about the sea")) for i in range(60)]
+    pages += [(1000, "http://new.shop.com/promo/7?aff=9", page("nothing")), (1001, "http://new.shop.com/promo/7", None)]
+    frame = spark.createDataFrame(pages, "page_id bigint, url string, html string")
+    told = {r["page_id"]: r["verdict"] for r in url_rules.judge(frame).collect()}
+    assert all(v == ("block" if i < 100 or i == 1000 else "allow") for i, v in told.items())
+    host, path = url_rules.host_of(F.col("url")), url_rules.path_of(F.col("url"))
+    labelled = frame.where("page_id < 1000").select(url_rules.tokens_of(F.col("url"), host, path).alias("tokens"), url_rules.bad_page(F.col("html"), host).alias("bad"))
+    assert [r["tokens"] for r in url_rules.mine(labelled).collect()] == [["p:promo", "q:aff"]]
+
+
+def test_the_host_in_a_text_changes_no_label(spark):
+    """Neither the host nor its labels count, wherever they stand; the given pages are labelled alike with and without them."""
+    rows = [(page("all about weather", "(c) www.casino-win.com"), "www.casino-win.com"), (page("casino win"), "casino-win.com"), (page("casino win"), "a.com"), (page("Casino-Win.com news"), "casino-win.com"), (page("poker here", "casino.com"), "casino.com")]
+    got = [r[0] for r in spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "i int, html string, host string").orderBy("i").select(url_rules.bad_page(F.col("html"), F.col("host"))).collect()]
+    assert got == [False, False, True, False, True]
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    host = url_rules.host_of(F.col("url"))
+    bare = F.expr("replace(html, host, '')")
+    both = pages.withColumn("host", host).select(url_rules.bad_page(F.col("html"), F.col("host")).alias("a"), url_rules.bad_page(bare, F.col("host")).alias("b"))
+    assert both.where("a <> b").count() == 0
+
+
+def test_bad_pages(spark):
+    para = "this paragraph is said again and again"
+    pages = ["<p>casino</p>", "<script>casino</script> fine", "<style>p{}</style><!-- casino --> fine", "<script>casino", "word " * 9000 + "casino", "Casino " * 3 + "word " * 9000, "<a href='casino'>x</a> and much more text", "", None, "<" * 50_000]
+    pages += [f"<p>{para}</p>" * 4, f"<p>{para}</p><p>{para} in other words</p>", "<a href='x'>all of this page is links</a><a>and links</a> x", "<a href='x'>link</a> and a text that is much longer than it", "<a " * 50_000]
+    got = [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(pages)], "i int, h string").orderBy("i").select(url_rules.bad_page(F.col("h"), F.lit("a.com"))).collect()]
+    assert got == [True, False, False, False, False, True, False, False, False, False, True, False, True, False, False]
 
 
 def test_tokens_that_stand_together_are_mined_as_one(spark):
