@@ -120,49 +120,6 @@ def _signed(dimensions: int, signs: int, seed: int):
     return lambda vectors: np.array(vectors.tolist(), dtype=np.float64) @ planes >= 0
 
 
-def sketches(rows: DataFrame, vector: str, dimensions: int, words: int = 8, seed: int = 5) -> DataFrame:
-    """rows with `code` for their vector: 64 signs in each of `words` numbers, a quarter of the bytes of 64 floats."""
-
-    def run(frames):
-        signs = _signed(dimensions, 64 * words, seed)
-        for f in frames:
-            packed = np.packbits(signs(f[vector]), axis=1, bitorder="little").view("<i8") if len(f) else np.empty((0, words), "<i8")
-            yield f.drop(columns=vector).assign(code=packed.tolist())
-
-    kept = [x for x in rows.schema if x.name != vector]
-    schema = ", ".join(f"{x.name} {x.dataType.simpleString()}" for x in kept) + ", code array<bigint>"
-    return rows.where(F.size(vector) == dimensions).mapInPandas(run, schema)
-
-
-def _code_distances(k: int):
-    def run(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(q) and len(r):
-            a, b = (np.array(x.tolist(), dtype=np.int64).view(np.uint64) for x in (q["code"], r["code"]))
-            names = r["id"].to_numpy()
-            for name, code in zip(q["query"], a, strict=True):
-                apart = np.bitwise_count(b ^ code).sum(axis=1, dtype=np.int64)
-                out += [(name, names[i], int(apart[i])) for i in _first(names, -apart.astype(np.float64), k)]
-        return pd.DataFrame(out, columns=["query", "id", "apart"])
-
-    return run
-
-
-def vec_topk_ann(queries: DataFrame, rows: DataFrame, k: int, dimensions: int, checked: int = 10) -> DataFrame:
-    """Approximate nearest rows: the `checked` * k rows whose sketches differ least from a query's, ranked exactly.
-
-    All sketches are compared, but vectors are read only for what is checked.
-    """
-    codes = materialise(sketches(rows.select("id", "vector"), "vector", dimensions), "sketches")
-    asked = materialise(sketches(queries.select("query", "qv"), "qv", dimensions), "asked")
-    q, r, keys = in_grid(asked, codes, [], "query", "id")
-    kinds = {"query": queries.schema["query"].dataType.simpleString(), "id": rows.schema["id"].dataType.simpleString()}
-    near = q.groupBy(*keys).cogroup(r.groupBy(*keys)).applyInPandas(_code_distances(checked * k), ", ".join(f"{c} {t}" for c, t in kinds.items()) + ", apart bigint")
-    pairs = best(near, ["query"], [F.asc("apart"), F.asc("id")], checked * k).select("query", "id").join(rows, "id").join(queries.select("query", "qv"), "query")
-    sims = pairs.select("query", "id", rounded(dot("qv", "vector") / (norm("qv") * norm("vector")), 6).alias("sim"))
-    return best(sims, ["query"], [F.desc("sim"), F.asc("id")], k)
-
-
 def _copies(least: float):
     """Ids of rows that are near a smaller id of the same part; parts come sorted, their members (asks 0) first."""
 

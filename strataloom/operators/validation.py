@@ -1,4 +1,4 @@
-"""Shapes as rows, integrity checks, quality measures, matching and link prediction.
+"""Shapes as rows, integrity checks and quality measures.
 
 A constraint is a row of a small table; all constraints of a kind are checked in one join. Violations are
 rows (s, shape, path, value, severity).
@@ -8,13 +8,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataloom.functions.numbers import ratio, rounded
-from strataloom.operators.retrieval import best, nearest, norm, vec_topk
 
 VIOLATION = ["s", "shape", "path", "value", "severity"]
 WEIGHTS = {"completeness": 0.25, "accuracy": 0.30, "consistency": 0.20, "timeliness": 0.10, "authority": 0.15}
@@ -55,11 +52,20 @@ def class_of_target(kg: DataFrame, path: str, kind: str, severity: str = "Violat
 
 
 def graph_rules(kg: DataFrame) -> DataFrame:
-    """No node is its own parent; targets of groundedBy exist; lineage has a source."""
-    own = kg.where("p = 'broader' and s = o").select("s", F.lit("self_parent").alias("shape"), F.col("p").alias("path"), F.col("o").alias("value"), F.lit("Violation").alias("severity"))
-    known = kg.select(F.col("s").alias("value")).distinct()
-    lost = kg.where("p = 'transformsFrom'").select("s", F.col("o").alias("value")).join(known, "value", "left_anti")
-    return own.unionByName(lost.select("s", F.lit("missing_target").alias("shape"), F.lit("transformsFrom").alias("path"), "value", F.lit("Warning").alias("severity")))
+    """Rules between nodes: none is its own parent (self_parent); a lineage has a source or a target field (lineage_fields); what
+    groundedBy and transformsFrom point to exists (missing_target); what computedFrom points to is a table (not_a_table); no
+    concept points to an event (concept_to_event)."""
+    shaped = lambda df, shape, severity: df.select("s", F.lit(shape).alias("shape"), F.col("p").alias("path"), F.col("o").alias("value"), F.lit(severity).alias("severity"))
+    of = lambda kind, name: kg.where((F.col("p") == "type") & (F.col("o") == kind)).select(F.col("s").alias(name)).distinct()
+    links = kg.where("p <> 'type'").select("s", "p", "o").distinct()
+    own = kg.where("p = 'broader' and s = o")
+    fields = kg.where("p in ('sourceField', 'targetField')").select("s").distinct()
+    bare = of("Lineage", "s").join(fields, "s", "left_anti").select("s", F.lit("sourceField").alias("p"), F.lit(None).cast("string").alias("o"))
+    lost = links.where("p in ('groundedBy', 'transformsFrom')").join(kg.select(F.col("s").alias("o")).distinct(), "o", "left_anti")
+    odd = links.where("p = 'computedFrom'").join(of("Table", "o"), "o", "left_anti")
+    moving = links.join(of("Event", "o"), "o", "left_semi").join(of("Concept", "s"), "s", "left_semi")
+    rules = ((own, "self_parent", "Violation"), (bare, "lineage_fields", "Violation"), (lost, "missing_target", "Warning"), (odd, "not_a_table", "Warning"), (moving, "concept_to_event", "Violation"))
+    return reduce(DataFrame.unionByName, [shaped(*rule) for rule in rules])
 
 
 def summary(violations: DataFrame) -> DataFrame:
@@ -95,82 +101,3 @@ def graded(dims: DataFrame) -> DataFrame:
     for g, least in GRADES:
         grade = F.when(F.col("overall") >= least, g) if grade is None else grade.when(F.col("overall") >= least, g)
     return dims.withColumn("overall", overall).withColumn("grade", grade.otherwise("F"))
-
-
-def match(new: DataFrame, known: DataFrame, exact: float, close: float) -> DataFrame:
-    """Best match of each vector among those of other groups: exactMatch or closeMatch; (id, grp, vector) both.
-
-    Every new vector meets every known one, in blocks of which only the best goes on.
-    """
-    found = nearest(new.select(F.col("id").alias("query"), F.col("vector").alias("qv"), "grp"), known.select("id", "vector", "grp"), 1, apart="grp")
-    top = best(found, ["query"], [F.desc("sim"), F.asc("id")], 1).where(F.col("sim") >= close)
-    return top.select(F.col("query").alias("id"), F.col("id").alias("other"), "sim", F.when(F.col("sim") >= exact, "exactMatch").otherwise("closeMatch").alias("relation"), rounded(100 * F.col("sim"), 1).alias("confidence"))
-
-
-# link prediction: translation embeddings
-
-
-def _initial(name: str, dimensions: int) -> np.ndarray:
-    import zlib
-
-    v = np.random.default_rng(zlib.crc32(name.encode())).normal(size=dimensions)
-    return v / np.linalg.norm(v)
-
-
-def transe_fit(kg: DataFrame, dimensions: int = 16, epochs: int = 5, rate: float = 0.1, margin: float = 1.0) -> DataFrame:
-    """(kind, name, vector): entities and relations so that head + relation is near tail.
-
-    Each epoch is one shuffle-and-average: edges carry their three vectors, a task computes the updates of its
-    edges in numpy against a tail of its own batch as negative, and updates are averaged by name. No task
-    holds all vectors.
-    """
-    from strataloom.functions.storage import materialise
-
-    edges = materialise(kg.where("iri").select("s", "p", "o").distinct(), "edges")
-    names = edges.select(F.lit("e").alias("kind"), F.col("s").alias("name")).unionByName(edges.select(F.lit("e").alias("kind"), F.col("o").alias("name"))).unionByName(edges.select(F.lit("r").alias("kind"), F.col("p").alias("name"))).distinct()
-
-    def start(frames):
-        for f in frames:
-            yield f.assign(vector=[_initial(k + n, dimensions).tolist() for k, n in zip(f["kind"], f["name"], strict=True)])
-
-    vectors = materialise(names.mapInPandas(start, "kind string, name string, vector array<double>"), "vectors")
-
-    def step(frames):
-        for f in frames:
-            h, r, t = (np.array(f[c].tolist()) for c in ("hv", "rv", "tv"))
-            away = np.roll(t, 1, axis=0)
-            near, far = h + r - t, h + r - away
-            loss = margin + (near**2).sum(1) - (far**2).sum(1)
-            on = (loss > 0)[:, None]
-            gh = np.where(on, near - far, 0) * rate
-            gt = np.where(on, -near, 0) * rate
-            out = [pd.DataFrame({"kind": k, "name": f[c], "delta": (-g).tolist()}) for k, c, g in (("e", "s", gh), ("r", "p", gh), ("e", "o", gt))]
-            yield pd.concat(out)
-
-    for _ in range(epochs):
-        e = vectors.where("kind = 'e'")
-        r = F.broadcast(vectors.where("kind = 'r'").select(F.col("name").alias("p"), F.col("vector").alias("rv")))  # one row for each predicate
-        full = edges.join(e.select(F.col("name").alias("s"), F.col("vector").alias("hv")), "s").join(e.select(F.col("name").alias("o"), F.col("vector").alias("tv")), "o").join(r, "p")
-        deltas = full.mapInPandas(step, "kind string, name string, delta array<double>")
-        mean = deltas.groupBy("kind", "name").agg(F.array(*(F.avg(F.get("delta", F.lit(i))) for i in range(dimensions))).alias("delta"))
-        moved = vectors.join(mean, ["kind", "name"], "left").select("kind", "name", F.when(F.col("delta").isNull(), F.col("vector")).otherwise(F.zip_with("vector", "delta", lambda a, b: a + b)).alias("vector"))
-        length = F.greatest(norm("vector"), F.lit(1e-9))
-        vectors = materialise(moved.withColumn("length", length).select("kind", "name", F.when(F.col("kind") == "e", F.transform("vector", lambda x: x / F.col("length"))).otherwise(F.col("vector")).alias("vector")), "vectors")
-    return vectors
-
-
-def transe_predict(vectors: DataFrame, asked: DataFrame, k: int) -> DataFrame:
-    """The k likeliest tails of each (s, p), the head itself left out; asked is a stated set of questions."""
-    e = vectors.where("kind = 'e'").select(F.col("name").alias("id"), "vector")
-    r = vectors.where("kind = 'r'").select(F.col("name").alias("p"), F.col("vector").alias("rv"))
-    q = asked.join(e.select(F.col("id").alias("s"), F.col("vector").alias("hv")), "s").join(F.broadcast(r), "p")
-    q = q.select(F.to_json(F.array("s", "p")).alias("query"), F.col("s").alias("skip"), F.zip_with("hv", "rv", lambda a, b: a + b).alias("qv"))
-    found = vec_topk(q, e, k).withColumn("x", F.from_json("query", "array<string>"))
-    return found.select(F.col("x")[0].alias("s"), F.col("x")[1].alias("p"), F.col("id").alias("o"), "sim", "rank")
-
-
-def transe_discover(vectors: DataFrame, kg: DataFrame, asked: DataFrame, k: int, least: float) -> DataFrame:
-    """Likely tails that are not yet edges."""
-    found = transe_predict(vectors, asked, 5 * k).where(F.col("sim") >= least).drop("rank")
-    new = found.join(kg.select("s", "p", "o").distinct(), ["s", "p", "o"], "left_anti")
-    return best(new, ["s", "p"], [F.desc("sim"), F.asc("o")], k)

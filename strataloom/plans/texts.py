@@ -166,11 +166,24 @@ def _chain(x, steps):
     return x
 
 
+_TAG_END = r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>"
+#: The operator's steps as patterns, (pattern, replacement) in order: what has no visible text, line breaks of the source, blocks, all other tags.
+_HTML_STEPS = (
+    ("(?is)" + "|".join([r"<!--.*?(?:-->|\z)", *(rf"<{e}\b[^>]*>.*?(?:</{e}\s*>|\z)" for e in X.RAW)]), " "),
+    ("(?is)" + "|".join(rf"<{e}\b[^>]*>.*?</{e}\s*>" for e in X.HIDDEN), " "),
+    (r"[ \t\r\n\f\x0b]+", " "),
+    (rf"(?i)</?(?:{X.BLOCKS})\b{_TAG_END}", "\n"),
+    (rf"<[a-zA-Z/!?]{_TAG_END}", ""),
+)
+#: The same after character references are resolved: blanks, blank lines.
+_TEXT_STEPS = ((r"[ \t\r\f\x0b]+", " "), (r" ?\n ?", "\n"), (r"\n{2,}", "\n"))
+
+
 def html_sql(x):
-    out = _chain(f"coalesce({x}, '')", X.HTML_STEPS)
+    out = _chain(f"coalesce({x}, '')", _HTML_STEPS)
     for name, sign in (("copy", "©"), ("middot", "·"), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("nbsp", "\xa0"), ("amp", "&")):
         out = f"replace({out}, '&{name};', '{sign}')"
-    return strip_sql(_chain(out, X.TEXT_STEPS))
+    return strip_sql(_chain(out, _TEXT_STEPS))
 
 
 @query(f"SELECT page_id, {html_sql('html')} AS text FROM pages")

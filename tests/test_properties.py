@@ -4,6 +4,7 @@ import hashlib
 import json
 import math
 import re
+import time
 
 import numpy as np
 import pytest
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from strataloom import registry
 from strataloom.functions.storage import shared_folder
-from strataloom.operators import cleaning, code, graph, metrics, profile, reasoning, retrieval, text, triples, validation
+from strataloom.operators import cleaning, code, embeddings, graph, index, matching, metrics, profile, reasoning, retrieval, text, triples, validation
 from strataloom.sources import catalog
 from strataloom.streaming import jobs
 
@@ -24,7 +25,7 @@ def rows(df):
 
 def test_queries_without_twin_are_tested():
     """Each of them has a test of its own below."""
-    assert set(registry.QUERIES) - set(registry.ORACLES) == {"vec_topk_ann", "chunk_near_dup", "kge_fit", "kge_predict", "kge_discover"}
+    assert set(registry.QUERIES) - set(registry.ORACLES) == {"vec_topk_ann", "chunk_near_dup", "kge_fit", "kge_predict", "kge_predict_heads", "kge_discover"}
 
 
 def test_cleaning_is_idempotent(spark):
@@ -199,7 +200,7 @@ def test_nearest_in_blocks(spark, monkeypatch):
     got = {}
     for r in retrieval.vec_topk(q, df, 6).collect():
         got.setdefault(r["query"], []).append((r["rank"], r["id"]))
-    best = {r["id"]: r["other"] for r in validation.match(df, df, 0.9, -1.0).collect()}
+    best = {r["id"]: r["other"] for r in matching.match(df, df, 0.9, -1.0).collect()}
     length = np.linalg.norm(v, axis=1)
     for i in range(150):
         if length[i]:
@@ -255,8 +256,8 @@ def test_refs_with_two_tables_are_ambiguous(spark):
 
 def test_edges_learned_rank_high(spark, sf):
     kg = spark.createDataFrame([(f"a{i}", "p", f"b{i % 3}", True) for i in range(30)], "s string, p string, o string, iri boolean")
-    vectors = validation.transe_fit(kg, dimensions=8, epochs=12, rate=0.3)
-    found = validation.transe_predict(vectors, kg.select("s", "p").distinct(), 5)
+    vectors = embeddings.transe_fit(kg, dimensions=8, epochs=12, rate=0.3)
+    found = embeddings.transe_predict(vectors, kg.select("s", "p").distinct(), 5)
     hits = found.join(kg.select("s", "p", "o"), ["s", "p", "o"]).count()
     assert hits >= 15  # of 30; chance finds under 5
     names = {(r["kind"], r["name"]): np.array(r["vector"]) for r in vectors.collect()}
@@ -265,7 +266,7 @@ def test_edges_learned_rank_high(spark, sf):
     for r in found.where("s = 'a7'").collect():
         a, b = names["e", "a7"] + names["r", "p"], names["e", r["o"]]
         assert r["sim"] == pytest.approx(a @ b / np.linalg.norm(a) / np.linalg.norm(b), abs=1e-6) and r["o"] != "a7"
-    new = validation.transe_discover(vectors, kg.where("s <> 'a7'"), kg.select("s", "p").distinct(), 3, -1.0)
+    new = embeddings.transe_discover(vectors, kg.where("s <> 'a7'"), kg.select("s", "p").distinct(), 3, -1.0)
     assert new.join(kg.where("s <> 'a7'").select("s", "p", "o"), ["s", "p", "o"]).count() == 0 and new.count() == 90
 
 
@@ -664,3 +665,118 @@ def test_versions_and_notes(spark):
     assert sorted(rows(cleaning.with_version(changed, versions, notes))) == [("a", "changeNote", "why"), ("a", "version", "11"), ("b", "version", "2")]
     gone = spark.createDataFrame([("a", "old"), ("b", None)], "s string, reason string")
     assert sorted(rows(cleaning.deprecated(gone))) == [("a", "certificationStatus", "deprecated"), ("a", "changeNote", "Deprecated: old"), ("b", "certificationStatus", "deprecated")]
+
+
+def clustered(seed, n, centres, spread, dimensions=32):
+    draw = np.random.default_rng(seed)
+    middle = draw.normal(size=(centres, dimensions))
+    return [v.tolist() for v in middle[draw.integers(centres, size=n)] + draw.normal(scale=spread, size=(n, dimensions))]
+
+
+def test_index_reads_few_codes_of_clustered_vectors(spark):
+    """Recall of 0.9 with a tenth of the codes, cells pruned in the scan, a hot cell in slices, odd rows left out."""
+    vectors = clustered(1, 6000, 60, 0.2) + clustered(2, 3000, 1, 0.05)
+    frame = spark.createDataFrame(list(enumerate(vectors)), "id bigint, vector array<double>").repartition(4)
+    queries = spark.createDataFrame([(i, v) for i, v in enumerate(vectors) if i % 100 == 0], "query bigint, qv array<double>")
+    odd = spark.createDataFrame([(-1, [0.0] * 32), (-2, [1.0]), (-3, None)], frame.schema)
+    made = index.build(frame.unionByName(odd), 32, cells=120)
+    assert made.rows == 9000 and max(made.slices.values()) >= 1
+    exact = retrieval.vec_topk(queries.where("query < 6000"), frame, 10).select("query", "id")
+    found = index.search(made, queries, frame, 10, 6)
+    assert exact.join(found, ["query", "id"]).count() >= 0.9 * exact.count() and found.count() == 900
+    assert index.share_read(made, queries.where("query < 6000"), 6) <= 0.1
+    one = queries.limit(1)
+    cells = [r["cell"] for r in index.probed(made, one, 2).select("cell").distinct().collect()]
+    plan = spark.read.parquet(made.path).where(F.col("cell").isin(cells))._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(cell" in plan or "PartitionFilters: [cell" in plan
+    again = index.build(frame.repartition(2), 32, cells=120)
+    assert np.array_equal(made.centres, again.centres) and np.array_equal(made.words, again.words)
+    none = index.build(frame.limit(0), 32)
+    assert index.search(none, queries, frame, 3, 2).count() == 0
+
+
+@settings(max_examples=3, deadline=None)
+@given(st.integers(0, 10**6), st.sampled_from([0.35, 0.82, 0.92]), st.sampled_from([0.05, 0.5, 3.0]))
+def test_pivots_lose_no_match(spark, seed, least, spread):
+    vectors = np.array(clustered(seed, 160, 6, spread, 8))
+    vectors[5] = vectors[4]
+    rows_ = [(i, f"g{i % 4}", v.tolist()) for i, v in enumerate(vectors)]
+    frame = spark.createDataFrame(rows_, "id bigint, grp string, vector array<double>")
+    sims = np.floor(vectors @ vectors.T / np.outer(*[np.sqrt((vectors**2).sum(1))] * 2) * 1e6 + 0.5) / 1e6
+    want = {}
+    for i in range(160):
+        for j in range(160):
+            if i % 4 != j % 4 and sims[i, j] >= least:
+                want[i, f"g{j % 4}"] = min(want.get((i, f"g{j % 4}"), (9, 0)), (-sims[i, j], j))
+    got = matching.match(frame, frame, 0.95, least, by_target=True, pivots=7)
+    assert {(r["id"], r["target"]): (-r["sim"], r["other"]) for r in got.collect()} == want
+    best = {}
+    for (i, _), x in want.items():
+        best[i] = min(best.get(i, (9, 0)), x)
+    assert {r["id"]: (-r["sim"], r["other"]) for r in matching.match(frame, frame, 0.95, least, pivots=7).collect()} == best
+
+
+def test_pivots_spare_comparisons_of_clustered_vectors(spark):
+    frame = spark.createDataFrame([(i, f"g{i % 2}", v) for i, v in enumerate(clustered(4, 2000, 50, 0.1))], "id bigint, grp string, vector array<double>")
+    pairs = {least: matching.compared(frame, frame, least) / 2000**2 for least in (0.82, 0.92)}
+    assert pairs[0.92] <= pairs[0.82] < 0.35
+    assert matching.match(frame.limit(0), frame, 0.9, 0.8).count() == 0 and matching.match(frame, frame.limit(0), 0.9, 0.8).count() == 0
+
+
+def test_embeddings_do_not_depend_on_partitions(spark):
+    made = [(f"a{i}", f"p{i % 2}", f"b{i % 5}", True) for i in range(60)] + [("x", "p0", "x", True)]
+    kg = spark.createDataFrame(made, "s string, p string, o string, iri boolean")
+    told = []
+    for parts in ("1", "8"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        told.append({(r["kind"], r["name"]): tuple(r["vector"]) for r in embeddings.transe_fit(kg.repartition(int(parts)), dimensions=8, epochs=2, buckets=3).collect()})
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert told[0] == told[1] and len(told[0]) == 60 + 5 + 1 + 2
+    alone = spark.createDataFrame([("x", "p", "y", True)], kg.schema)
+    assert embeddings.transe_fit(alone, dimensions=4, epochs=1).count() == 3
+    assert embeddings.transe_fit(alone.limit(0), dimensions=4, epochs=1).count() == 0
+
+
+def test_negatives_are_never_true_and_the_hardest(spark):
+    draw = np.random.default_rng(0)
+    entities, pool = draw.normal(size=(9, 4)), np.arange(2, 9)
+    true, codes, query = draw.integers(2, 9, 50), draw.integers(0, 2**63, 50).astype(np.uint64), draw.normal(size=(50, 4))
+    away = embeddings.hardest(query, true, entities, pool, codes, 1)
+    assert (away != true).all() and set(away) <= set(pool)
+    assert (embeddings.hardest(query, true, entities, pool, codes, 1) == away).all()
+
+
+def test_held_out_edges_rank_high(spark):
+    """Filtered mean reciprocal rank of tails and heads of a held-out tenth of edges between ten groups."""
+    made = [(f"a{g}_{i}", "in", f"g{g}", True) for g in range(10) for i in range(12)] + [(f"g{g}", "next", f"g{(g + 1) % 10}", True) for g in range(10)]
+    made += [(f"a{g}_{i}", "near", f"a{g}_{(i + 1) % 12}", True) for g in range(10) for i in range(12)]
+    held = [m for i, m in enumerate(made) if m[1] == "in" and i % 10 == 3]
+    kg = spark.createDataFrame([m for m in made if m not in held], "s string, p string, o string, iri boolean")
+    vectors = embeddings.transe_fit(kg, dimensions=16, epochs=40, rate=0.1)
+    asked = spark.createDataFrame(held, kg.schema)
+    tails = {(r["s"], r["o"]): r["sim"] for r in embeddings.transe_predict(vectors, asked.select("s", "p"), 200).collect()}
+    groups = {f"g{g}" for g in range(10)}
+    ranks = []
+    for s, _, o, _ in held:
+        known = {m[2] for m in made if m[0] == s and m[1] == "in"} - {o}
+        ranks.append(sum(v >= tails[s, o] for (a, b), v in tails.items() if a == s and b in groups and b not in known))
+    assert sum(1 / r for r in ranks) / len(ranks) > 0.5  # chance: 0.29
+    heads = embeddings.transe_predict(vectors, asked.select("p", "o").distinct(), 5)
+    assert {r["o"] for r in heads.collect()} == {h[2] for h in held} and heads.where("s = o").count() == 0
+    some = embeddings.transe_predict(vectors, asked.select("s", "p"), 3, probes=1000).select("s", "o", "sim").collect()
+    assert sorted((r["s"], r["o"]) for r in some) == sorted((r["s"], r["o"]) for r in embeddings.transe_predict(vectors, asked.select("s", "p"), 3).collect())
+    assert embeddings.transe_predict(vectors, asked.select("s", "p"), 5, least=2.0).count() == 0
+
+
+@pytest.mark.parametrize("piece", ["<svg>", "<a ", "<a \">\"", "<a '\"", "<!--", "<script", "<script>", "</svg ", "<template", "<p><", "<a ' \" >", "\"<b", "& &amp", "<title> </title"])
+def test_visible_text_takes_linear_time(piece):
+    """A megabyte of any of these takes under two seconds, and about twice as long as half of it."""
+    page = piece * (1_000_000 // len(piece))
+    start = time.time()
+    text.visible_text(page)
+    assert time.time() - start < 4
+
+
+def test_tags_end_outside_quotes():
+    cases = {"<a title=\"a > b\">x</a>": "x", "<a title='<p>'>x": "x", "a <b": "a <b", "1 < 2 <p>3": "1 < 2\n3", "<p title=\"open>x": "<p title=\"open>x", "<svg><p>in</svg>out": "out", "<svg>in": "in", "<SVG>a</svg ><svg>b": "b", "<script>a</SCRIPT>b<script>c": "b", "x<!-- a": "x", "<br>a<br/>b": "a\nb", "&lt;p&gt;": "<p>"}
+    assert {k: text.visible_text(k) for k in cases} == cases
