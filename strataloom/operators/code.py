@@ -21,9 +21,11 @@ REFERENCES = (
     r"(?i)__tablename__\s*=\s*['\"](\w+)['\"]",
 )
 #: What a statement writes to, and the first table that it reads.
-WRITES = rf"(?i)^\s*(?:INSERT\s+(?:INTO|OVERWRITE)(?:\s+TABLE)?|CREATE\s+(?:OR\s+REPLACE\s+)?(?:TABLE|VIEW)(?:\s+IF\s+NOT\s+EXISTS)?)\s+{_NAME}"
+WRITES = rf"(?i)^\s*(?:WITH\b(?s:.*?)\)\s*)?(?:INSERT\s+(?:INTO|OVERWRITE)(?:\s+TABLE)?|CREATE\s+(?:OR\s+REPLACE\s+)?(?:TABLE|VIEW)(?:\s+IF\s+NOT\s+EXISTS)?)\s+{_NAME}"
 READS = rf"(?i)\bFROM\s+{_NAME}"
 SELECTS = r"(?i)\bSELECT\b"
+#: Names that a statement gives to its own queries.
+NAMED = r"(?i)\b(\w+)\s+AS\s*\(\s*SELECT\b"
 JOIN = rf"(?i)\b((?:INNER|LEFT|RIGHT|FULL)?(?:\s+OUTER)?\s*JOIN)\s+{_NAME}(?:\s+(?:AS\s+)?(?!ON\b)\w+)?\s+ON\s+([^;\n]+)"
 
 
@@ -47,25 +49,38 @@ def without_comments(sql: Column) -> Column:
 
 
 def lineage(files: DataFrame) -> DataFrame:
-    """(path, source, target) of statements that insert or create from a SELECT: its first table; each pair once a file.
+    """(path, source, target) of statements that insert or create from a SELECT, also after WITH: its first table that is none of its own queries; each pair once a file.
 
     Comments are taken out, and a body is cut into statements first, so that no pair spans two of them.
     """
     told = files.select("path", F.explode(F.split(without_comments(F.col("body")), ";")).alias("statement")).where(F.col("statement").rlike(SELECTS))
     name = lambda pattern: F.lower(F.regexp_extract("statement", pattern, 1))
-    rows = told.select("path", name(READS).alias("source"), name(WRITES).alias("target"))
+    read, own = (F.transform(every(F.col("statement"), p, 1), F.lower) for p in (READS, NAMED))
+    rows = told.select("path", F.get(F.array_except(read, own), F.lit(0)).alias("source"), name(WRITES).alias("target"))
     return rows.where(valid(F.col("source")) & valid(F.col("target")) & (F.col("source") != F.col("target"))).distinct()
 
 
+_ALIASED = rf"(?i)\b(?:FROM|JOIN)\s+{_NAME}\s+(?:AS\s+)?(?!(?:ON|JOIN|INNER|LEFT|RIGHT|FULL|CROSS|OUTER|WHERE|GROUP|ORDER|UNION|USING|LIMIT|HAVING)\b)(\w+)"
+_SIDES = r"(\w+)\.\w+\s*=\s*(\w+)\.\w+"
+
+
 def joins(files: DataFrame) -> DataFrame:
-    """(path, kind, left, right, on_text): the left side is the first table after FROM."""
-    b = without_comments(F.col("body"))
-    left = F.lower(F.regexp_extract(b, rf"(?i)\bFROM\s+{_NAME}", 1))
+    """(path, kind, left, right, on_text): the left side is the other table of the first `a.x = b.y` in the ON text, by its alias or, if it
+    has more than two letters, by its name; else the first table after FROM. A body is cut into statements first."""
+    b = F.col("statement")
+    told = files.select("path", F.explode(F.split(without_comments(F.col("body")), ";")).alias("statement"))
+    low = lambda i: F.transform(every(b, _ALIASED, i), F.lower)
+    pairs = F.arrays_zip(low(2), low(1))
     found = F.arrays_zip(every(b, JOIN, 1), every(b, JOIN, 2), every(b, JOIN, 3))
-    rows = files.select("path", left.alias("left"), F.explode(found).alias("x"))
-    word = F.upper(F.col("x")["0"])
+    first = F.lower(F.regexp_extract(b, rf"(?i)\bFROM\s+{_NAME}", 1))
+    rows = told.select("path", first.alias("first"), pairs.alias("aliases"), F.explode(found).alias("x"))
+    word, on = F.upper(F.col("x")["0"]), F.substring(F.trim(F.col("x")["2"]), 1, 200)
     kind = F.when(F.contains(word, F.lit("LEFT")), "left").when(F.contains(word, F.lit("RIGHT")), "right").when(F.contains(word, F.lit("FULL")), "full").otherwise("inner")
-    return rows.select("path", kind.alias("kind"), "left", F.lower(F.col("x")["1"]).alias("right"), F.substring(F.trim(F.col("x")["2"]), 1, 200).alias("on_text")).where((F.col("left") != "") & (F.col("left") != F.col("right"))).distinct()
+    rows = rows.select("path", "first", "aliases", kind.alias("kind"), F.lower(F.col("x")["1"]).alias("right"), on.alias("on_text"))
+    meant = lambda side: F.coalesce(F.get(F.filter("aliases", lambda a: a["0"] == side), F.lit(0))["1"], F.when((F.length(side) > 2) & valid(side), side))
+    one, two = (meant(F.lower(F.regexp_extract("on_text", _SIDES, i))) for i in (1, 2))
+    left = F.coalesce(F.when(one != F.col("right"), one), F.when(two != F.col("right"), two), F.col("first"))
+    return rows.select("path", "kind", left.alias("left"), "right", "on_text").where((F.col("left") != "") & (F.col("left") != F.col("right"))).distinct()
 
 
 def embedded(files: DataFrame) -> DataFrame:
@@ -103,6 +118,23 @@ def pandas_edges(files: DataFrame) -> DataFrame:
     return files.select("path", F.explode(reads).alias("source"), writes.alias("w")).select("path", "source", F.explode("w").alias("target")).where("source <> target and source <> 'select'").distinct()
 
 
+def pandas_joins(files: DataFrame) -> DataFrame:
+    """(path, left, right, key) of pd.merge(a, b, ...) and a.merge(b, ...): tables by the read that a variable was given last, else variables; key is on=, or left_on= with right_on=."""
+    b = F.col("body")
+    reads = rf"(?s)(\w+)\s*=\s*\w+\.read_(?:sql|sql_query|sql_table|table)\(\s*[frub]*[\"']+(?:[^\"']*?(?i:\bFROM)\s+)?{_NAME}"
+    named = F.arrays_zip(every(b, reads, 1).alias("variable"), every(b, reads, 2).alias("name"))
+    value = r"(\[[^\]]*\]|['\"][^'\"]*['\"])"
+    key = rf"(?:[^()]*?\b(?:on|left_on)\s*=\s*{value})?(?:[^()]*?\bright_on\s*=\s*{value})?"
+    merges = [rf"\b(?:pd|pandas)\.merge\(\s*(?:left\s*=\s*)?(\w+)\s*,\s*(?:right\s*=\s*)?(\w+){key}", rf"\b(?!pd\b|pandas\b)(\w+)\.merge\(\s*(?:right\s*=\s*)?(\w+){key}"]
+    found = F.concat(*(F.arrays_zip(*(every(b, p, i).alias(c) for i, c in enumerate(("a", "b", "key", "other"), 1))) for p in merges))
+    rows = files.select("path", named.alias("named"), F.explode(found).alias("x"))
+    table = lambda v: F.lower(F.coalesce(F.try_element_at(F.filter("named", lambda n: n["variable"] == v), F.lit(-1))["name"], v))
+    bare = lambda c: F.regexp_replace(c, r"[\[\]'\"\s]", "")
+    keys = F.when(F.col("x.other") != "", F.concat(bare("x.key"), F.lit("="), bare("x.other"))).otherwise(bare("x.key"))
+    out = rows.select("path", table(F.col("x.a")).alias("left"), table(F.col("x.b")).alias("right"), keys.alias("key"))
+    return out.where(valid(F.col("left")) & valid(F.col("right")) & (F.col("left") != F.col("right"))).distinct()
+
+
 def orm_edges(files: DataFrame) -> DataFrame:
     """(path, left, right) of query(A).join(B), by the table names of the classes where a file gives them."""
     b = F.col("body")
@@ -114,10 +146,19 @@ def orm_edges(files: DataFrame) -> DataFrame:
 
 
 def dbt_edges(files: DataFrame) -> DataFrame:
-    """(path, source, target): a model, named by its file, depends on what it refers to."""
-    model = F.regexp_extract("path", r"([^/]+)\.\w+$", 1)
-    refs = F.array_distinct(F.concat(every(F.col("body"), REFERENCES[2], 1), every(F.col("body"), REFERENCES[3], 1)))
-    return files.select("path", F.explode(refs).alias("source"), model.alias("target")).where("source <> target")
+    """(path, source, target): a model depends on what it refers to, and on the items of depends_on; it is named by its file, or by the
+    `- name:` above depends_on."""
+    file = F.regexp_extract("path", r"([^/]+)\.\w+$", 1)
+    refs = files.select("path", F.explode(F.concat(every(F.col("body"), REFERENCES[2], 1), every(F.col("body"), REFERENCES[3], 1))).alias("source"), file.alias("target"))
+    parts = F.split("body", r"(?m)^\s*-\s+name\s*:\s*")
+    cut = files.select("path", file.alias("file"), F.posexplode(parts).alias("at", "part"))
+    block = F.regexp_extract("part", r"(?m)^\s*depends_on\s*:[ \t]*(\[[^\]]*\]|(?:\r?\n[ \t]*-[^\n]*)+)", 1)
+    items = F.split(F.regexp_replace(block, r"^\[|\]$", ""), r"\n\s*-|,(?![^(]*\))")
+    # of ref('x'), source('s', 'x') and a.b.x the last name counts
+    last = lambda x: F.element_at(F.regexp_extract_all(x, F.lit(r"(\w+)"), F.lit(1)), -1)
+    model = F.when(F.col("at") > 0, F.regexp_extract("part", r"^['\"]?(\w+)", 1)).otherwise(F.col("file"))
+    listed = cut.where(block != "").select("path", F.explode(F.filter(items, lambda x: x.rlike(r"\w"))).alias("item"), model.alias("target")).select("path", last(F.col("item")).alias("source"), "target")
+    return refs.unionByName(listed).where(valid(F.col("source")) & (F.col("source") != F.col("target"))).distinct()
 
 
 def all_edges(files: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -330,11 +331,48 @@ def merge_candidates(sure: DataFrame, others: list[DataFrame], least: float = 0.
     return sure.groupBy("query", "iri").agg(F.max("score").alias("score")).unionByName(rest.join(sure, ["query", "iri"], "left_anti"))
 
 
+#: Labels whose automaton a task builds, or that it looks through, at once.
+LABEL_BLOCK = 20_000
+
+
+def _inside(groups: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
+    """The labels (g, low, size) of groups that lie inside a longer text of their group: one pass over each text, whatever the number of labels."""
+    found = set()
+    if len(groups) and len(texts):
+        held: dict[str, list] = {}
+        for g, low, size in zip(groups["g"], groups["low"], groups["size"], strict=True):
+            held.setdefault(low, []).append((g, size))
+        labels = ahocorasick.Automaton()
+        for low in held:
+            labels.add_word(low, low)
+        labels.make_automaton()
+        for g, low, size in zip(texts["g"], texts["low"], texts["size"], strict=True):
+            for _, part in labels.iter(low):
+                found.update((g, part, n) for other, n in held[part] if other == g and n < size)
+    return pd.DataFrame(sorted(found), columns=["g", "low", "size"])
+
+
 def maximal_labels(concepts: DataFrame, key: str, label: str, kind: str) -> DataFrame:
-    """Concepts whose label is in no longer label of the same kind and key."""
-    longer = concepts.select(F.col(key).alias("k"), F.col(kind).alias("kk"), F.col(label).alias("longer"))
-    inside = (F.col(key) == F.col("k")) & (F.col(kind) == F.col("kk")) & (F.length("longer") > F.length(label)) & F.contains(F.lower("longer"), F.lower(label))
-    return concepts.join(longer, inside, "left_anti")
+    """Concepts whose label is in no longer label of the same kind and key, whatever the case; null labels are in none.
+
+    Blocks of labels become automata that find all their labels in a text in one pass. Groups are dealt to buckets of about
+    LABEL_BLOCK labels; a bucket that is larger is cut into blocks, and each block of texts meets each automaton.
+    """
+    group = F.to_json(F.struct(F.col(key).alias("k"), F.col(kind).alias("c")))
+    named = concepts.where(F.col(label) != "").select(group.alias("g"), F.lower(label).alias("low"), F.length(label).alias("size")).distinct()
+    named = materialise(named, "labels")
+    buckets = F.lit(max(1, -(-named.count() // LABEL_BLOCK)))
+    dealt = named.withColumn("bucket", F.pmod(F.xxhash64("g"), buckets))
+    # a row for each bucket, of which there is one for LABEL_BLOCK labels
+    parts = [(r["bucket"], -(-r["n"] // LABEL_BLOCK)) for r in dealt.groupBy("bucket").agg(F.count("*").alias("n")).collect()]
+    sizes = lambda: concepts.sparkSession.createDataFrame(parts, "bucket bigint, parts bigint")
+    own, every = F.pmod(F.xxhash64("g", "low"), F.col("parts")), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))
+    automata = dealt.join(sizes(), "bucket").withColumn("i", own).withColumn("j", every)
+    fresh = dealt.select(*(F.col(c).alias(c) for c in dealt.columns))
+    texts = fresh.join(sizes(), "bucket").withColumn("j", own).withColumn("i", every)
+    inside = automata.groupBy("bucket", "i", "j").cogroup(texts.groupBy("bucket", "i", "j")).applyInPandas(_inside, "g string, low string, size int").distinct()
+    told = concepts.join(inside, (group == F.col("g")) & (F.lower(label) == F.col("low")) & (F.length(label) == F.col("size")), "left_anti")
+    return told
 
 
 def mentions(texts: DataFrame, key: str, text: str, tables: DataFrame, least: int = 6) -> DataFrame:

@@ -43,7 +43,7 @@ def _listed(t):
 
 @query(f"SELECT table_name, CAST(position AS INTEGER) AS position, column_name, type, rows, filled FROM {_LISTED}")
 def cat_columns(t):
-    return _listed(t).drop("comment")
+    return _listed(t).drop("comment", "nullable")
 
 
 @query(f"SELECT table_name, '# ' || table_name || chr(10) || string_agg('- ' || column_name || ': ' || filled || ' of ' || rows, chr(10) ORDER BY position) AS body FROM {_LISTED} GROUP BY 1")
@@ -56,7 +56,7 @@ def cat_tables(t):
     return S.table_list(_listed(t))
 
 
-@query(f"SELECT table_name AS name, 'CREATE TABLE ' || table_name || ' (' || string_agg(column_name || ' ' || type || CASE WHEN filled = rows THEN ' NOT NULL' ELSE '' END, ', ' ORDER BY position) || ')' AS ddl FROM {_LISTED} GROUP BY 1")
+@query(f"SELECT table_name AS name, 'CREATE TABLE ' || table_name || ' (' || string_agg(column_name || ' ' || type, ', ' ORDER BY position) || ')' AS ddl FROM {_LISTED} GROUP BY 1")
 def cat_ddl(t):
     return S.ddl(_listed(t))
 
@@ -91,6 +91,13 @@ def step_checkpoint(t):
 @query("SELECT o_orderkey, o_totalprice FROM orders")
 def src_hive(t):
     """A table of the session's catalogue, over files in the shared folder."""
-    name = f"orders_{uuid.uuid4().hex}"
-    t.orders.select("o_orderkey", "o_totalprice").write.option("path", f"{shared_folder(t.spark)}/{name}").saveAsTable(name)
-    return S.hive(t.spark, name)
+    folder = f"{shared_folder(t.spark)}/hive-{uuid.uuid4().hex}"
+    t.orders.select("o_orderkey", "o_totalprice").write.parquet(folder)
+    # one name, which each call points to its own files; what was read before keeps its own
+    t.spark.sql(f"DROP TABLE IF EXISTS {_HIVE}")
+    t.spark.catalog.createTable(_HIVE, path=folder, source="parquet")
+    return S.hive(t.spark, _HIVE)
+
+
+#: The table that src_hive leaves in the catalogue.
+_HIVE = "strataloom_orders"

@@ -66,6 +66,18 @@ def pandas_edges(t):
     return L.pandas_edges(files(t))
 
 
+_MERGES = ("pd.merge(a, b, on='user_id')", "a.merge(b, how='left', on=['user_id', 'dt'])", "pd.merge(left=a, right=unread, left_on='u', right_on=\"id\")")
+
+
+@query(f"""SELECT 'm/' || o_orderkey || '.py' AS path, {_S} AS left, CASE o_custkey % 3 WHEN 2 THEN 'unread' ELSE 'dim_day' END AS right, CASE o_custkey % 3 WHEN 0 THEN 'user_id' WHEN 1 THEN 'user_id,dt' ELSE 'u=id' END AS key FROM orders""")
+def pandas_joins(t):
+    """Merges of frames that were read from tables, in one of three forms by the order's customer."""
+    src = F.concat(F.lit("ods_s"), F.col("o_custkey") % 25)
+    merge = F.element_at(F.array(*map(F.lit, _MERGES)), (F.col("o_custkey") % 3 + 1).cast("int"))
+    body = F.concat(F.lit("import pandas as pd\na = pd.read_sql(\"SELECT x FROM db."), src, F.lit(" WHERE y\", con)\nb = pd.read_sql_table('dim_day', con)\nc = "), merge, F.lit("\n"))
+    return L.pandas_joins(t.orders.select(F.concat(F.lit("m/"), "o_orderkey", F.lit(".py")).alias("path"), body.alias("body")))
+
+
 @query(f"SELECT {_PATH} AS path, {_S} AS left, 'other' AS right FROM orders WHERE {_KIND} = 4")
 def orm_edges(t):
     return L.orm_edges(files(t))

@@ -780,3 +780,47 @@ def test_visible_text_takes_linear_time(piece):
 def test_tags_end_outside_quotes():
     cases = {"<a title=\"a > b\">x</a>": "x", "<a title='<p>'>x": "x", "a <b": "a <b", "1 < 2 <p>3": "1 < 2\n3", "<p title=\"open>x": "<p title=\"open>x", "<svg><p>in</svg>out": "out", "<svg>in": "in", "<SVG>a</svg ><svg>b": "b", "<script>a</SCRIPT>b<script>c": "b", "x<!-- a": "x", "<br>a<br/>b": "a\nb", "&lt;p&gt;": "<p>"}
     assert {k: text.visible_text(k) for k in cases} == cases
+
+
+@settings(max_examples=3, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from([1, 2, None]), st.sampled_from("xy"), st.text(alphabet="abÄ ", max_size=5)), min_size=30, max_size=120))
+def test_maximal_labels_are_those_of_all_pairs(spark, made):
+    keep = retrieval.LABEL_BLOCK
+    retrieval.LABEL_BLOCK = 9
+    try:
+        frame = spark.createDataFrame([(*m, i) for i, m in enumerate(made)] + [(1, "x", None, -1)], "q int, kind string, label string, n int")
+        got = {r["n"] for r in retrieval.maximal_labels(frame, "q", "label", "kind").collect()}
+    finally:
+        retrieval.LABEL_BLOCK = keep
+    inside = lambda a, b: a[:2] == b[:2] and a[2] != "" and len(b[2]) > len(a[2]) and a[2].lower() in b[2].lower()
+    assert got == {i for i, a in enumerate(made) if not any(inside(a, b) for b in made)} | {-1}
+
+
+def test_statements_with_their_own_queries(spark):
+    cases = {
+        "a": "WITH x AS (SELECT * FROM real1), y AS (SELECT 1 FROM x) INSERT INTO t1 SELECT * FROM y",
+        "b": "INSERT INTO t2 WITH x AS (SELECT * FROM real2) SELECT * FROM x JOIN real3 ON 1 = 1",
+        "c": "CREATE TABLE t3 AS SELECT * FROM (SELECT a FROM real4) z",
+        "d": "WITH x AS (SELECT 1 FROM real5) SELECT * FROM x",
+    }
+    files = spark.createDataFrame(list(cases.items()), "path string, body string")
+    assert sorted(rows(code.lineage(files))) == [("a", "real1", "t1"), ("b", "real2", "t2"), ("c", "real4", "t3")]
+
+
+def test_sides_of_joins_come_from_their_condition(spark):
+    body = "SELECT 1 FROM orders o JOIN users u ON o.uid = u.id LEFT JOIN cities AS ci ON u.city = ci.id JOIN days ON days.d = shops.d; SELECT 2 FROM other JOIN more m ON m.k = other.k; SELECT 3 FROM flat JOIN plain ON a = b"
+    got = {(r["left"], r["right"]) for r in code.joins(spark.createDataFrame([("a", body)], "path string, body string")).collect()}
+    assert {("orders", "users"), ("other", "more"), ("flat", "plain")} <= got
+
+
+def test_merges_of_frames(spark):
+    body = "x = pd.read_sql('select a from db.t1 where b', con)\ny = pd.read_sql_table('t2', con)\nx = pd.read_table(\"t3\")\nz = pd.merge(x, y, how='left', left_on='a', right_on=['b', 'c'])\nw = zz.merge(y)\nv = ww.merge(right=y, on='k')\nself = y.merge(y, on='k')"
+    got = set(rows(code.pandas_joins(spark.createDataFrame([("p.py", body)], "path string, body string"))))
+    assert got == {("p.py", "t3", "t2", "a=b,c"), ("p.py", "ww", "t2", "k"), ("p.py", "zz", "t2", "")}
+
+
+def test_items_of_depends_on(spark):
+    body = "models:\n  - name: daily\n    depends_on:\n      - ref('base')\n      - source('crm', 'leads')\n      - db.raw_x\n    columns: []\n  - name: 'weekly'\n    depends_on: [daily, \"other\"]\n"
+    files = spark.createDataFrame([("m/schema.yml", body), ("m/one.yml", "depends_on:\n- alone\n")], "path string, body string")
+    got = {(s, t) for _, s, t in rows(code.dbt_edges(files)) if t != "schema"}
+    assert got == {("base", "daily"), ("leads", "daily"), ("raw_x", "daily"), ("daily", "weekly"), ("other", "weekly"), ("alone", "one")}
