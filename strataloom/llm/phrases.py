@@ -1,15 +1,16 @@
 """Phrase collocation mining by Rabin-Karp fingerprints (operator 12).
 
 Texts are cut into pieces at punctuation and these into words. In blocks of one language, prefix polynomials over bytes
-give each word a fingerprint, and prefix polynomials over words give one to every run of words. A block sends
-one row for each distinct run: fingerprint, count, and a pointer (row, byte, length) to an occurrence; that equal
-fingerprints in a block are equal words is verified there. A shuffle adds the counts. For fingerprints that are frequent, and
-for these alone, the pointers of all blocks are followed into the texts, and the counts are added anew by
-text; so a fingerprint that several phrases share does no harm.
+give each word a fingerprint, and prefix polynomials over words give one to every run of words. That equal fingerprints in a
+block are equal words is verified there. A block sends one row for each distinct run: the fingerprint, a second one of another
+kind, which is no polynomial, the count, and a pointer (row, byte, length) to an occurrence. A shuffle adds the counts by
+both and keeps one pointer; what shares the first fingerprint but not the second is told apart. Only the pointers of
+frequent phrases are followed into the texts, and counts are added anew by text. So phrases of different blocks are
+taken for one only if both fingerprints, 128 bits, agree.
 
 Runs are counted by length, the shortest first: a run is only sent if both its parts that are one word shorter may be
-frequent. Tasks know these from a bitmap of 2**FILTER_BITS bits, which is all that is broadcast (8 MB, whatever the
-input). It holds a bit for each frequent fingerprint, so it may let others pass, but never holds back a frequent run;
+frequent. Tasks know these from a bitmap of 2**FILTER_BITS bits, which is all that is broadcast (4 MB for each length,
+whatever the input). It holds a bit for each frequent fingerprint, so it may let others pass, but never holds back a frequent run;
 with very many frequent runs it fills up and saves less.
 
 A frequent phrase is scored at each cut by 1000 a n / (l r), in decimals of 38 digits and rounded down; the lowest
@@ -22,6 +23,7 @@ table, or one without frequent phrases, gives no rows. Other columns are not rea
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -40,14 +42,13 @@ BLOCK = 4 << 20
 #: Rows that are sent, and texts that are unpacked, at once.
 SENT, UNPACKED = 1 << 16, 64
 #: Bytes over which one polynomial runs.
-_SPAN = 1 << 20
-FILTER_BITS = 26
+_SPAN = 1 << 18
+FILTER_BITS = 25
 #: Parts in which a language's phrases are ranked first.
 PARTS = 64
 _MARKS = b".,;:!?\n\x0b\x0c\r"
 _TABLE = bytes(0x0A if b in _MARKS else 0x20 if b == 0x09 else b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _BYTE_BASE, _WORD_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
-GRAMS = "lang string, key bigint, count bigint, row bigint, at bigint"
 
 
 @lru_cache(4)
@@ -69,11 +70,17 @@ def _mixed(x: np.ndarray, salt: int) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def marked(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether the bit of each key is set."""
+    at = keys & np.uint64(8 * len(bits) - 1)
+    return ((bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+
+
 class Block:
     """Segments (row, first byte, bytes) of one language: the words in them, and fingerprints of runs of words."""
 
     def __init__(self, lang: str, segments: list[tuple[int, int, bytes]]):
-        self.salt = int.from_bytes(lang.encode()[:64].ljust(8, b"\0")[:8], "little") ^ (len(lang) << 56) & 0xFFFFFFFFFFFFFFFF
+        self.salt = int.from_bytes(hashlib.sha256(lang.encode()).digest()[:8], "little")
         raw = b"\n".join(x[2] for x in segments) + b"\n"
         self.raw = np.frombuffer(raw + b"\0" * 8, np.uint8)
         bytes_ = self.raw[: len(raw)]
@@ -90,7 +97,7 @@ class Block:
         self.owner = owner.astype(np.int32)
         self.row = np.array([x[0] for x in segments], np.int64)
         self.offset = np.array([x[1] for x in segments], np.int64) - starts
-        self.word = self._fingerprints(bytes_)
+        self.word, self.other = self._fingerprints(bytes_), None
         up, _ = _powers(_WORD_BASE, _size(len(self.word) + 1))
         self.prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.word * up[: len(self.word)], dtype=np.uint64)])
 
@@ -114,8 +121,7 @@ class Block:
         left = size[one]
         if (left != size[other]).any():
             return False
-        eight = np.lib.stride_tricks.as_strided(self.raw[:8].view("<u8"), (len(self.raw) - 7,), (1,))
-        cover = np.array([(1 << 8 * k) - 1 for k in range(8)] + [0xFFFFFFFFFFFFFFFF], np.uint64)
+        eight, cover = self._eights()
         a, b = self.first[one], self.first[other]
         while len(a):
             if (((eight[a] ^ eight[b]) & cover[np.minimum(left, 8)]) != 0).any():
@@ -124,6 +130,26 @@ class Block:
             a, b, left = a[more] + 8, b[more] + 8, left[more] - 8
         return True
 
+    def second(self, n: int, at: np.ndarray) -> np.ndarray:
+        """Fingerprints of another kind of the runs of n words at some places: words are mixed in eight bytes at a time, and runs word by word."""
+        if self.other is None:
+            eight, cover = self._eights()
+            self.other = _mixed((self.last - self.first).astype(np.uint64), 0xA0761D6478BD642F)
+            words, where, left = np.arange(len(self.first)), self.first, self.last - self.first
+            while len(words):
+                self.other[words] = _mixed(self.other[words] ^ (eight[where] & cover[np.minimum(left, 8)]), 0xE7037ED1A0B428DB)
+                more = left > 8
+                words, where, left = words[more], where[more] + 8, left[more] - 8
+        out = self.other[at] ^ np.uint64(self.salt)
+        for k in range(1, n):
+            out = _mixed(out * np.uint64(_BYTE_BASE) + self.other[at + k], 0x8EBC6AF09C88C6E3)
+        return out
+
+    def _eights(self) -> tuple[np.ndarray, np.ndarray]:
+        """The eight bytes from each place on as a number, and what to keep of them where fewer count."""
+        eight = np.lib.stride_tricks.as_strided(self.raw[:8].view("<u8"), (len(self.raw) - 7,), (1,))
+        return eight, np.array([(1 << 8 * k) - 1 for k in range(8)] + [0xFFFFFFFFFFFFFFFF], np.uint64)
+
     def keys(self, n: int) -> np.ndarray:
         """Fingerprints of the runs of n words that start at each word, also of those that leave its piece."""
         m = max(0, len(self.word) - n + 1)
@@ -131,13 +157,12 @@ class Block:
         return _mixed((self.prefix[n : n + m] - self.prefix[:m]) * down[:m], self.salt + n & 0xFFFFFFFFFFFFFFFF)
 
     def runs(self, n: int, frequent: np.ndarray | None) -> tuple[np.ndarray, ...]:
-        """(key, count, row, at) of the distinct runs of n words that may be frequent; at holds the first byte and the length."""
+        """(key, count, place, row, at) of the distinct runs of n words that may be frequent: the first word, and the first byte with the length."""
         keys = self.keys(n)
         inside = self.piece[: len(keys)] == self.piece[n - 1 :]
         if frequent is not None:
-            shorter = self.keys(n - 1) & np.uint64(8 * len(frequent) - 1)
-            known = (frequent[(shorter >> np.uint64(3)).astype(np.int64)] >> (shorter & np.uint64(7)).astype(np.uint8)) & 1
-            inside &= (known[:-1] & known[1:]).astype(bool)
+            known = marked(frequent, self.keys(n - 1))
+            inside &= known[:-1] & known[1:]
         at = np.flatnonzero(inside)
         found, index, group, count = np.unique(keys[at], return_index=True, return_inverse=True, return_counts=True)
         first = at[index]
@@ -151,7 +176,7 @@ class Block:
         owner = self.owner[first]
         start = self.first[first] + self.offset[owner]
         length = self.last[first + n - 1] - self.first[first]
-        return found.view(np.int64), count, self.row[owner], start << 32 | length
+        return found.view(np.int64), count, first, self.row[owner], start << 32 | length
 
 
 def segments(row: int, data: bytes, block: int) -> Iterator[tuple[int, int, bytes]]:
@@ -168,34 +193,50 @@ def segments(row: int, data: bytes, block: int) -> Iterator[tuple[int, int, byte
     yield row, at, data[at:]
 
 
+def blocks(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[Block]:
+    """Blocks of one language each from batches of (row, lang, text), a few texts unpacked at a time."""
+    waiting: dict[str, list] = {}
+    sizes: dict[str, int] = {}
+
+    def full(lang: str) -> Block:
+        sizes.pop(lang)
+        return Block(lang, waiting.pop(lang))
+
+    for batch in (whole.slice(i, UNPACKED) for whole in batches for i in range(0, whole.num_rows, UNPACKED)):
+        for row, lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for part in segments(row, text.encode().translate(_TABLE), block):
+                waiting.setdefault(lang, []).append(part)
+                sizes[lang] = sizes.get(lang, 0) + len(part[2]) + 1
+                if sizes[lang] >= block:
+                    yield full(lang)
+            if sum(sizes.values()) >= 2 * block:
+                for name in list(waiting):
+                    yield full(name)
+    for name in list(waiting):
+        yield full(name)
+
+
+def _sent(names: list[str], arrays: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(arrays[0]), SENT):
+        yield pa.RecordBatch.from_arrays([pa.array(x[i : i + SENT]) for x in arrays], names=names)
+
+
 def grams(texts: DataFrame, n: int, frequent: np.ndarray | None = None, block: int = BLOCK) -> DataFrame:
-    """GRAMS of (row, lang, text): for each block its distinct runs of n words, with their count and a pointer."""
+    """(key, second, count, row, at) of (row, lang, text): for each block its distinct runs of n words by both fingerprints, with a pointer.
+
+    With the words of a block goes their number, under its language and without a place (at is -1).
+    """
+    names = ["key", "second", "count", "row", "at"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: dict[str, list] = {}
-        sizes: dict[str, int] = {}
-
-        def counted(lang: str) -> Iterator[pa.RecordBatch]:
-            sizes.pop(lang)
-            made = Block(lang, waiting.pop(lang)).runs(n, frequent)
-            for i in range(0, len(made[0]), SENT):
-                part = [pa.array(x[i : i + SENT]) for x in made]
-                yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(part[0])), *part], names=["lang", "key", "count", "row", "at"])
-
-        for batch in (whole.slice(i, UNPACKED) for whole in batches for i in range(0, whole.num_rows, UNPACKED)):
-            for row, lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for part in segments(row, text.encode().translate(_TABLE), block):
-                    waiting.setdefault(lang, []).append(part)
-                    sizes[lang] = sizes.get(lang, 0) + len(part[2]) + 1
-                    if sizes[lang] >= block:
-                        yield from counted(lang)
-                if sum(sizes.values()) >= 2 * block:
-                    for lang in list(waiting):
-                        yield from counted(lang)
-        for lang in list(waiting):
-            yield from counted(lang)
-
-    return texts.select("row", "lang", "text").mapInArrow(run, GRAMS)
+        for found in blocks(batches, block):
+            if n == 1:
+                one = lambda x: np.array([x], np.int64)
+                yield from _sent(names, [np.array([found.salt], np.uint64).view(np.int64), one(0), one(len(found.word)), found.row[:1], one(-1)])
+            keys, count, place, row, at = found.runs(n, frequent)
+            yield from _sent(names, [keys, found.second(n, place).view(np.int64), count, row, at])
+
+    return texts.select("row", "lang", "text").mapInArrow(run, "key bigint, second bigint, count bigint, row bigint, at bigint")
 
 
 def bitmap(keys: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
@@ -213,40 +254,36 @@ def bitmap(keys: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
 def phrase_counts(texts: DataFrame, least: int = LEAST, longest: int = LONGEST, bits: int = FILTER_BITS, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(lang, words, phrase, f) of all runs of 1 to `longest` words that occur `least` times or more, and (lang, n) with all words.
 
-    `texts` has row (unique), lang and text, without nulls, and is read once for each length: written, it should be.
+    `texts` has row (unique), lang and text, without nulls, and is read once for each length and once more: written, it should be.
     """
-    frequent, pointers, totals = None, None, None
+    frequent, pointers = None, None
     for n in range(1, longest + 1):
-        made = materialise(grams(texts, n, frequent, block), f"grams{n}")
-        if totals is None:
-            totals = made.groupBy("lang").agg(F.sum("count").alias("n"))
-        often = made.groupBy("lang", "key").agg(F.sum("count").alias("f")).where(F.col("f") >= least).select("lang", "key")
-        often = materialise(often, f"often{n}")
-        if often.isEmpty():
-            break
-        found = made.join(often, ["lang", "key"], "left_semi").select("row", F.struct(F.lit(n).alias("words"), "at", "count").alias("x"))
+        counted = grams(texts, n, frequent, block).groupBy("key", "second").agg(F.sum("count").alias("count"), F.min("row").alias("row"), F.min_by("at", "row").alias("at"))
+        often = materialise(counted.where((F.col("count") >= least) | (F.col("at") < 0)), f"often{n}")
+        words = F.when(F.col("at") < 0, 0).otherwise(n).alias("words")
+        found = often.select("row", F.struct(words, F.greatest("at", F.lit(0)).alias("at"), "count").alias("x"))
         pointers = found if pointers is None else pointers.unionByName(found)
-        frequent = bitmap(often, bits) if n < longest else None
-    shape = "lang string, words int, phrase string, f bigint"
-    if pointers is None:
-        return texts.sparkSession.createDataFrame([], shape), totals
+        keys = often.where("at >= 0").select("key")
+        if n == longest or keys.isEmpty():
+            break
+        frequent = bitmap(keys, bits)
     followed = pointers.groupBy("row").agg(F.collect_list("x").alias("pointers")).join(texts, "row").select("lang", "text", "pointers")
     counted = followed.mapInArrow(_followed, "lang string, words int, phrase string, count bigint")
-    exact = counted.groupBy("lang", "words", "phrase").agg(F.sum("count").alias("f")).where(F.col("f") >= least)
-    return materialise(exact, "phrases"), totals
+    exact = materialise(counted.groupBy("lang", "words", "phrase").agg(F.sum("count").alias("f")).where((F.col("f") >= least) | (F.col("words") == 0)), "phrases")
+    return exact.where("words > 0"), exact.where("words = 0").select("lang", F.col("f").alias("n"))
 
 
 def _followed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The phrases that pointers name, in rows of (lang, text, pointers)."""
     for batch in batches:
         counts: dict[tuple[str, int, bytes], int] = {}
-        for lang, text, pointers in zip(*(batch.column(c).to_pylist() for c in ("lang", "text", "pointers")), strict=True):
-            data = text.encode().translate(_TABLE)
-            for x in pointers:
-                start = x["at"] >> 32
-                words = data[start : start + (x["at"] & 0xFFFFFFFF)].split(b" ")
-                key = lang, x["words"], b" ".join(filter(None, words))
-                counts[key] = counts.get(key, 0) + x["count"]
+        for i in range(batch.num_rows):
+            data = batch.column(1)[i].as_py().encode().translate(_TABLE)
+            lang, pointers = batch.column(0)[i].as_py(), batch.column(2)[i].values
+            for words, at, count in zip(*(pointers.field(c).to_pylist() for c in ("words", "at", "count")), strict=True):
+                start = at >> 32
+                key = lang, words, b" ".join(filter(None, data[start : start + (at & 0xFFFFFFFF)].split(b" ")))
+                counts[key] = counts.get(key, 0) + count
         yield pa.RecordBatch.from_arrays(
             [pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.int32()), pa.array([k[2].decode() for k in counts], pa.string()), pa.array(list(counts.values()), pa.int64())],
             names=["lang", "words", "phrase", "count"],
