@@ -1,12 +1,15 @@
 """Column profiles of whole tables.
 
-All columns are profiled together: the table is unpivoted once to (column, value) with values as text, and
-every measure is an aggregate by column, so that the cost is one pass and one small shuffle whatever the
-number of columns. Values are pre-counted by (column, value), which bounds what a skewed column shuffles.
+Columns of one type are profiled together: they are unpivoted to (column, value) in their own type, counted, and
+turned into text only then, once for each distinct value. Counting combines in the tasks first, which bounds what a
+skewed column shuffles; of long texts only a head and 128 bits of hash are shuffled. Every measure is an aggregate
+of the counts by column.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,37 +30,105 @@ def type_class(declared: Column) -> Column:
     )
 
 
-def as_text(df: DataFrame, columns: list[str]) -> list[Column]:
-    return [F.col(f"`{c}`").cast("string").alias(c) for c in columns]
+#: Characters of a value that are counted as they are; of longer ones a head of this length and a hash of the whole.
+HEAD = 80
+
+
+def families(df: DataFrame, columns: list[str]) -> list[tuple[T.DataType, list[str]]]:
+    """Columns by type, with all integers as one."""
+    found: dict[T.DataType, list[str]] = {}
+    for c in columns:
+        kind = df.schema[c].dataType
+        kind = T.LongType() if isinstance(kind, T.IntegralType) else T.StringType() if isinstance(kind, (T.CharType, T.VarcharType)) else kind
+        found.setdefault(kind, []).append(c)
+    return list(found.items())
+
+
+def unpivot(df: DataFrame, kind: T.DataType, columns: list[str]) -> DataFrame:
+    """(col, x) for every cell of columns of one type."""
+    return df.select(*(F.col(f"`{c}`").cast(kind).alias(c) for c in columns)).unpivot([], [F.col(f"`{c}`") for c in columns], "col", "x")
+
+
+def marks(x: Column, head: int | None) -> tuple[Column, Column]:
+    """Two hashes of a text that is longer than head; null for others."""
+    long = F.lit(False) if head is None else F.length(x) > head
+    return F.when(long, F.xxhash64(x)), F.when(long, F.xxhash64(F.lit(1), x))
+
+
+def value_counts(df: DataFrame, columns: list[str] | None = None, head: int | None = HEAD) -> DataFrame:
+    """(col, value, mark, other_mark, n) for each distinct value as text, nulls included.
+
+    Of texts longer than head characters value holds the head, and the marks tell them apart; other marks are null.
+    Without a head values are whole. Negative zero is a value of its own, as its text is.
+    """
+    parts = []
+    for kind, names in families(df, columns or df.columns):
+        cells, x = unpivot(df, kind, names), F.col("x")
+        if isinstance(kind, T.StringType):
+            mark, other = marks(x, head)
+            part = cells.groupBy("col", (x if head is None else F.substring(x, 1, head)).alias("value"), mark.alias("mark"), other.alias("other_mark")).agg(F.count("*").alias("n"))
+        else:
+            # grouping takes both zeros for one
+            minus = F.when(x == 0, x.cast("string").startswith("-")) if isinstance(kind, T.FractionalType) else F.lit(None).cast("boolean")
+            text = F.when(F.col("minus"), "-0.0").otherwise(x.cast("string"))
+            none = F.lit(None).cast("long")
+            part = cells.groupBy("col", "x", minus.alias("minus")).agg(F.count("*").alias("n")).select("col", text.alias("value"), none.alias("mark"), none.alias("other_mark"), "n")
+        parts.append(part)
+    return reduce(DataFrame.unionAll, parts)
+
+
+def null_measures(rows: Column, null: Column) -> list[Column]:
+    return [rows.alias("rows"), null.alias("null_count"), (rows - null).alias("non_null_count"), ratio(null, rows, 6).alias("null_ratio"), rounded(1 - null / F.when(rows > 0, rows), 6).alias("completeness")]
 
 
-def unpivot(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """(col, value) for every cell, as text."""
-    columns = columns or df.columns
-    return df.select(*as_text(df, columns)).unpivot([], columns, "col", "value")
+def nulls(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Rows and nulls of each column, in one aggregate of the table."""
+    made = [F.struct(F.lit(c).alias("col"), F.count("*").alias("rows"), F.count_if(F.col(f"`{c}`").isNull()).alias("null")) for c in columns or df.columns]
+    return df.agg(F.array(*made).alias("x")).select(F.inline("x")).select("col", *null_measures(F.col("rows"), F.col("null")))
 
 
-def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """(col, value, n), nulls included."""
-    return unpivot(df, columns).groupBy("col", "value").agg(F.count("*").alias("n"))
+def spectrum(counts: DataFrame) -> DataFrame:
+    """(col, full, n, kinds): how many values of a column occur n times; full is false for null.
+
+    A column of r rows has at most the root of 2 r rows here, so that what follows is small.
+    """
+    return counts.groupBy("col", F.col("value").isNotNull().alias("full"), "n").agg(F.count("*").alias("kinds"))
 
 
-def nulls(counts: DataFrame) -> DataFrame:
-    rows, null = F.sum("n"), F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0))
-    return counts.groupBy("col").agg(rows.alias("rows"), null.alias("null_count"), (rows - null).alias("non_null_count"), ratio(null, rows, 6).alias("null_ratio"), rounded(1 - null / rows, 6).alias("completeness"))
+def distinct_measures(kinds: Column, full: Column) -> list[Column]:
+    return [kinds.alias("distinct_count"), ratio(kinds, full, 6).alias("distinct_ratio"), rounded(1 - kinds / F.when(full > 0, full), 6).alias("duplicate_ratio")]
 
 
 def distinct(counts: DataFrame) -> DataFrame:
-    full, kinds = F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("n"))), F.lit(0)), F.count("value")
-    return counts.groupBy("col").agg(kinds.alias("distinct_count"), ratio(kinds, full, 6).alias("distinct_ratio"), rounded(1 - kinds / F.when(full > 0, full), 6).alias("duplicate_ratio"))
+    kinds, full = (F.sum(F.when(F.col("full"), x).otherwise(0)) for x in (F.col("kinds"), F.col("n") * F.col("kinds")))
+    return spectrum(counts).groupBy("col").agg(*distinct_measures(kinds, full))
 
 
-def top_values(counts: DataFrame, k: int = 10) -> DataFrame:
-    """The k most frequent values of each column with rank and share; ties by value."""
-    w = Window.partitionBy("col").orderBy(F.desc("n"), F.asc("value"))
-    whole = counts.where(F.col("value").isNotNull()).groupBy("col").agg(F.sum("n").alias("full"))
-    top = counts.where(F.col("value").isNotNull()).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return top.join(F.broadcast(whole), "col").select("col", "rank", "value", "n", ratio(F.col("n"), F.col("full"), 6).alias("share"))
+def top_values(df: DataFrame, counts: DataFrame, k: int = 10) -> DataFrame:
+    """The k most frequent values of each column of df with rank and share, out of its counts; ties by value.
+
+    The spectrum of the counts tells how often a value must occur. Of those that occur so often all are kept that are
+    not behind k others by count and head, so none is lost where heads are equal. Only their whole texts are looked
+    up, by their marks.
+    """
+    # filters of nulls would go below the counts, which then could not be shared with the spectrum
+    upto = F.sum("kinds").over(Window.partitionBy("col", "full").orderBy(F.desc("n")))
+    n = F.when(F.col("full"), F.col("n"))
+    # one row for each column
+    least = spectrum(counts).withColumn("upto", upto).groupBy("col").agg(F.coalesce(F.max(F.when(F.col("upto") >= k, n)), F.min(n)).alias("least"), F.sum(n * F.col("kinds")).alias("all"))
+    often = counts.join(F.broadcast(least), "col").where(F.when(F.col("value").isNotNull(), F.col("n")) >= F.col("least"))
+    ahead = F.rank().over(Window.partitionBy("col").orderBy(F.desc("n"), F.asc("value")))
+    few = often.withColumn("ahead", ahead).where(F.col("ahead") <= k).select("col", "value", "mark", "other_mark", "n", "all")
+    long = [c for kind, names in families(df, scalar_columns(df)) if isinstance(kind, T.StringType) for c in names]
+    if long:
+        few = materialise(few, "candidates")
+        cells = unpivot(df, T.StringType(), long).where(F.length("x") > HEAD)
+        mark, other = marks(F.col("x"), HEAD)
+        asked = few.where(F.col("mark").isNotNull()).select("col", "mark", "other_mark", "n", "all")
+        texts = cells.select("col", "x", mark.alias("mark"), other.alias("other_mark")).join(asked, ["col", "mark", "other_mark"]).groupBy("col", "mark", "other_mark", "n", "all").agg(F.min("x").alias("value"))
+        few = few.where(F.col("mark").isNull()).unionByName(texts)
+    place = F.row_number().over(Window.partitionBy("col").orderBy(F.desc("n"), F.asc("value")))
+    return few.withColumn("rank", place).where(F.col("rank") <= k).select("col", "rank", "value", "n", ratio(F.col("n"), F.col("all"), 6).alias("share"))
 
 
 def numeric(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -104,7 +175,10 @@ def iqr_outliers(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def type_valid(counts: DataFrame, classes: DataFrame) -> DataFrame:
-    """Share of the values that parse as their column's class; 1 for text and for columns without values."""
+    """Share of the values that parse as their column's class; 1 for text and for columns without values.
+
+    Texts that are checked for numbers or dates must be counted whole.
+    """
     value = F.trim("value")
     good = F.when(F.col("class") == "numeric", value.try_cast("double").isNotNull()).when(F.col("class") == "datetime", value.try_cast("timestamp").isNotNull()).otherwise(F.lit(True))
     full = F.col("value").isNotNull()
@@ -175,12 +249,20 @@ def scalar_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.BinaryType))]
 
 
+#: Types whose values are valid as they are.
+NATIVE = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType, T.StringType)
+
+
 def report(df: DataFrame) -> DataFrame:
     """One row for each column: class, nulls, distinct values, top values, validity, risk and role."""
-    # every measure starts from the counts, so they are written once
-    counts, kinds = materialise(value_counts(df, scalar_columns(df)), "counts"), classes(df)
-    top = top_values(counts)
-    best = top.groupBy("col").agg(F.max(F.when(F.col("rank") == 1, F.col("share"))).alias("top1_ratio"), F.array_sort(F.collect_list(F.struct("rank", "value", "n"))).alias("top_values"))
-    out = nulls(counts).join(distinct(counts), "col").join(type_valid(counts, kinds), "col").join(best, "col", "left")
+    df = df.select(*(F.col(f"`{c}`") for c in scalar_columns(df)))
+    counts, kinds = value_counts(df), classes(df)
+    tops = top_values(df, counts).groupBy("col").agg(F.array_sort(F.collect_list(F.struct("rank", "value", "n"))).alias("top_values"))
+    full, cells = F.col("full"), F.col("n") * F.col("kinds")
+    told = spectrum(counts).groupBy("col").agg(F.sum(cells).alias("all"), F.sum(F.when(full, cells).otherwise(0)).alias("filled"), F.sum(F.when(full, F.col("kinds")).otherwise(0)).alias("different"), F.max(F.when(full, F.col("n"))).alias("top"))
+    measures = told.select("col", *null_measures(F.col("all"), F.col("all") - F.col("filled")), *distinct_measures(F.col("different"), F.col("filled")), ratio(F.col("top"), F.col("filled"), 6).alias("top1_ratio"))
+    odd = [c for kind, names in families(df, df.columns) if not isinstance(kind, NATIVE) for c in names]
+    valid = type_valid(value_counts(df, odd), kinds).drop("class") if odd else kinds.select("col", F.lit(1.0).alias("valid_ratio")).where("false")
+    out = measures.join(F.broadcast(kinds), "col").join(valid, "col", "left").join(tops, "col", "left").withColumn("valid_ratio", F.coalesce("valid_ratio", F.lit(1.0)))
     points, level = risk(F.col("null_ratio"), F.coalesce("duplicate_ratio", F.lit(0.0)), F.coalesce("top1_ratio", F.lit(0.0)), F.col("valid_ratio"))
     return out.withColumns({"risk_points": points, "risk": level, "role": column_role(F.col("class"), F.col("col"), F.col("null_ratio"), F.col("distinct_count"))})

@@ -38,7 +38,7 @@ def prof_type_class(t):
 
 @query(f"""SELECT col, count(*) AS rows, count(*) - count(value) AS null_count, count(value) AS non_null_count, {_r('CAST(count(*) - count(value) AS DOUBLE) / count(*)', 6)} AS null_ratio, {_r('1 - CAST(count(*) - count(value) AS DOUBLE) / count(*)', 6)} AS completeness FROM {_cells(LABELLED, LABELLED_COLUMNS)} GROUP BY 1""")
 def prof_nulls(t):
-    return P.nulls(P.value_counts(_labelled(t)))
+    return P.nulls(_labelled(t))
 
 
 @query(f"""SELECT col, count(DISTINCT value) AS distinct_count, {_r('CAST(count(DISTINCT value) AS DOUBLE) / count(value)', 6)} AS distinct_ratio, {_r('1 - CAST(count(DISTINCT value) AS DOUBLE) / count(value)', 6)} AS duplicate_ratio FROM {_cells('orders', ORDER_COLUMNS)} GROUP BY 1""")
@@ -48,7 +48,7 @@ def prof_distinct(t):
 
 @query(f"""SELECT col, CAST(rank AS INTEGER) AS rank, value, n, {_r('CAST(n AS DOUBLE) / full_n', 6)} AS share FROM (SELECT *, row_number() OVER (PARTITION BY col ORDER BY n DESC, value) AS rank, sum(n) OVER (PARTITION BY col) AS full_n FROM (SELECT col, value, count(*) AS n FROM {_cells('orders', ORDER_COLUMNS)} WHERE value IS NOT NULL GROUP BY 1, 2)) WHERE rank <= 10""")
 def prof_top_values(t):
-    return P.top_values(P.value_counts(t.orders, ORDER_COLUMNS))
+    return P.top_values(t.orders.select(*ORDER_COLUMNS), P.value_counts(t.orders, ORDER_COLUMNS))
 
 
 @query("SELECT list(x ORDER BY k) AS samples FROM (SELECT o_orderkey AS k, o_orderpriority AS x FROM orders WHERE o_orderpriority IS NOT NULL ORDER BY 1 LIMIT 5)")
@@ -91,7 +91,7 @@ def prof_type_valid(t):
     key, day = F.col("o_orderkey"), F.col("o_orderdate").cast("date").cast("string")
     made = t.orders.select(F.when(key % 10 == 3, "n/a").otherwise(key.cast("string")).alias("key_text"), F.when(key % 7 == 3, "soon").otherwise(day).alias("day_text"))
     kinds = t.spark.createDataFrame([("key_text", "numeric"), ("day_text", "datetime")], "col string, class string")
-    return P.type_valid(P.value_counts(made), kinds)
+    return P.type_valid(P.value_counts(made, head=None), kinds)
 
 
 @query(f"SELECT 'o_orderdate' AS col, {_r('''CAST(count(*) FILTER (o_orderdate > TIMESTAMP '1997-06-30 00:00:00') AS DOUBLE) / count(o_orderdate)''', 6)} AS future_ratio FROM orders")

@@ -5,6 +5,7 @@ import json
 import math
 import re
 import time
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -227,6 +228,44 @@ def test_profile_of_odd_columns(spark):
     assert rows(profile.text(df, ["b"]))[0][1:4] == (0.333333, 1, 3)
 
 
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from([None, "", "a", "b " * 50, "b " * 50 + "x", "b " * 50 + "y", "ö" * 81, "ö" * 80]) | st.text(max_size=3), st.sampled_from([None, 0.0, -0.0, float("nan"), 1.5]) | st.floats(-9, 9), st.integers(0, 30), st.integers(0, 10**12)), max_size=60), st.integers(1, 12))
+def test_counts_and_top_values_of_any_column(spark, cells, k):
+    df = spark.createDataFrame(cells, "`a.b` string, c double, d int, e bigint")
+    texts = df.select(*(F.col(f"`{c}`").cast("string") for c in df.columns)).collect()
+    want = {c: Counter(r[i] for r in texts) for i, c in enumerate(df.columns)}
+    counts = profile.value_counts(df)
+    got = {r["col"]: r for r in profile.distinct(counts).collect()}
+    tops, report = profile.top_values(df, counts, k).collect(), {r["col"]: r for r in profile.report(df).collect()}
+    nulls = {r["col"]: r for r in profile.nulls(df).collect()}
+    whole = {(r["col"], r["value"]): r["n"] for r in profile.value_counts(df, head=None).collect()}
+    assert whole == {(c, v): n for c in want for v, n in want[c].items()}
+    for c, seen in want.items():
+        full = Counter({v: n for v, n in seen.items() if v is not None})
+        best = sorted(full.items(), key=lambda x: (-x[1], x[0].encode()))
+        assert nulls[c]["rows"] == len(cells) and nulls[c]["null_count"] == seen[None]
+        assert [(r["value"], r["n"]) for r in sorted(tops, key=lambda r: r["rank"]) if r["col"] == c] == best[:k]
+        if cells:
+            assert got[c]["distinct_count"] == report[c]["distinct_count"] == len(full)
+            assert (report[c]["rows"], report[c]["null_count"], report[c]["valid_ratio"]) == (len(cells), seen[None], 1.0)
+            assert [(x["value"], x["n"]) for x in report[c]["top_values"] or []] == best[:10]
+
+
+def test_counts_are_shuffled_once_for_spectrum_and_values(spark):
+    df = spark.range(1000).select((F.col("id") % 7).alias("a"), F.col("id").alias("b"))
+    top = profile.top_values(df, profile.value_counts(df))
+    top.collect()
+    assert "ReusedExchange" in top._jdf.queryExecution().executedPlan().toString()
+
+
+def test_profile_of_interval_and_flag_columns(spark):
+    df = spark.sql("SELECT INTERVAL '1' DAY AS i, true AS f, DATE'2024-01-01' AS d, X'00' AS skipped FROM range(3)")
+    report = {r["col"]: r for r in profile.report(df).collect()}
+    assert sorted(report) == ["d", "f", "i"]
+    assert {c: r["valid_ratio"] for c, r in report.items()} == {"d": 1.0, "f": 1.0, "i": 0.0}
+    assert report["d"]["top_values"][0]["value"] == "2024-01-01"
+
+
 def test_declared_lists(spark):
     df = spark.createDataFrame([("enum('a','b''c')",), ("int",), ("set('x')",)], "t string")
     assert rows(df.select(profile.declared_enum(F.col("t")))) == [(["a", "b'c"],), ([],), (["x"],)]
