@@ -232,6 +232,8 @@ PATTERNS = {
 }
 #: The same in English.
 ENGLISH = {"comparison": ("compare", "versus"), "ranking": ("highest", "lowest", "rank"), "trend": ("trend", "over time"), "aggregation": ("total", "average", "sum of"), "proportion": ("share", "percent")}
+#: What an identifier looks like, a fixed value.
+IDENTIFIER = r"\b([A-Za-z]{1,4}[-_]?\d{3,})\b|\b(\d{6,})\b"
 #: Family names that a person's name begins with, fixed values.
 SURNAMES = "王李张刘陈杨黄赵周吴徐孙马胡朱郭何罗高林郑梁谢唐许冯宋韩邓彭曹曾田萧潘袁蔡蒋余于杜叶程魏苏吕丁任卢姚钟姜崔谭陆范汪廖石金韦贾夏付方白邹孟熊秦邱江尹薛闫段雷侯龙史陶黎贺顾毛郝龚邵万钱严覃武戴莫孔向汤温康施沈洪章阮颜樊齐易乔文严关纪包鲁董成倪崔"
 #: Words of business that are no values, fixed values.
@@ -262,7 +264,7 @@ def question_intent(q: Column) -> Column:
 def question_values(q: Column) -> Column:
     """Quoted values, identifiers such as AB-123, long numbers, names of persons and places, each once in order."""
     quoted = every(q, "[\"'“‘「『]([^\"'”’」』]{2,40})[\"'”’」』]", 1)
-    ids = F.concat(every(q, r"\b([A-Za-z]{1,4}[-_]?\d{3,})\b", 1), every(q, r"\b(\d{6,})\b", 1))
+    ids = every(q, IDENTIFIER, 0)
     words = F.filter(every(q, "[\\u4e00-\\u9fff]{2,4}", 0), lambda w: ~w.isin(*NO_VALUE))
     named = F.filter(words, lambda w: (w.rlike(f"^[{SURNAMES}]") & ~w.rlike("|".join(NO_PERSON))) | w.rlike(f"(?:{PLACES})$"))
     return F.array_sort(F.array_distinct(F.concat(quoted, ids, named)))

@@ -374,6 +374,11 @@ def test_patterns_and_values_of_questions(spark):
     assert {r["q"]: (r["p"], r["v"]) for r in got} == cases
 
 
+def test_identifiers_are_found_once(spark):
+    df = spark.createDataFrame([("A-123456 and 7654321 or AB_12, x99 abc-1234",)], "q string")
+    assert df.select(code.question_values(F.col("q"))).first()[0] == ["7654321", "A-123456", "abc-1234"]
+
+
 def test_keywords_must_all_be_held(spark):
     docs = spark.createDataFrame([(1, "red blue red"), (2, "red"), (3, "BLUE red, green green"), (4, None), (5, "")], "id int, text string")
     asked = spark.createDataFrame([(1, "red blue"), (2, "Green"), (3, "none"), (4, "")], "query int, question string")
