@@ -1,10 +1,11 @@
 """Byte-pair encoding by backtracking, and decoding by an offset table (operator 4).
 
 A piece of text is encoded from left to right: take the longest token that starts here (all longest matches
-come from one Aho-Corasick scan), and keep it if it is compatible with the token before it, that is if the
+come from one Aho-Corasick scan for tokens of two bytes or more; a byte alone always is one), and keep it if it is compatible with the token before it, that is if the
 two are what merging their joint bytes would leave. If not, try the next shorter token; if there is none,
 take back the token before. Every position is refuted at most once, so the time is linear in the piece.
-Compatibility of pairs is kept in a table that fills as pairs occur.
+Compatibility of pairs is kept in a table that fills as pairs occur. Words that are one piece are remembered,
+so that a word with marks around it finds the word inside; a decoder only makes the table of offsets.
 
 Decoding gathers the bytes of the ids from one byte string by a table of offsets.
 
@@ -16,7 +17,8 @@ decode to U+FFFD as the library does. An id that the vocabulary lacks raises. Ro
 from __future__ import annotations
 
 import json
-from functools import lru_cache
+from collections.abc import Callable
+from functools import cached_property, lru_cache
 
 import ahocorasick
 import numpy as np
@@ -33,17 +35,22 @@ from strataloom.llm.token_counts import SPACES, byte_letters
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-#: Words, and pieces of words, that are kept in memory, in each of two generations; pairs are four times as many.
+#: Half the words that are kept in memory, in each of two generations; pairs are twice as many.
 REMEMBERED = 75_000
 
 
-class Codec:
-    """Encoder and decoder for one vocabulary file; ranks, not ids, are used inside."""
+def _spec(path: str) -> tuple[dict, dict[str, int]]:
+    """A vocabulary file, and the byte that each letter stands for."""
+    with open(path, encoding="utf-8") as file:
+        return json.load(file), {c: b for b, c in enumerate(byte_letters())}
+
+
+class Encoder:
+    """Encoder for one vocabulary file; ranks, not ids, are used inside. The ranks of the bytes are the bytes."""
 
     def __init__(self, path: str):
-        with open(path, encoding="utf-8") as file:
-            spec = json.load(file)
-        vocab, back = spec["model"]["vocab"], {c: b for b, c in enumerate(byte_letters())}
+        spec, back = _spec(path)
+        vocab = spec["model"]["vocab"]
         as_bytes = lambda s: bytes(back[c] for c in s)
         rank_of, self.parts, ids = {}, [], []
         for token, letter in ((bytes([b]), c) for b, c in enumerate(byte_letters())):
@@ -64,25 +71,17 @@ class Codec:
         for token, rank in rank_of.items():
             self.length[rank] = len(token)
             self.shorter[rank] = next((rank_of[token[:n]] for n in range(len(token) - 1, 0, -1) if token[:n] in rank_of), -1)
-            self.automaton.add_word(token.decode("latin-1"), rank)
+            if len(token) > 1:
+                self.automaton.add_word(token.decode("latin-1"), rank)
         self.automaton.make_automaton()
-        self.compatible: dict[tuple[int, int], bool] = {}
+        self.compatible: dict[int, bool] = {}
         self.special = {x["content"]: np.array([x["id"]], dtype="<i4").tobytes() for x in spec["added_tokens"]}
         self.special_at = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         inside = PIECES.replace(r"[^\s", "[^" + SPACES).replace(r"\S", f"[^{SPACES}]").replace(r"\s", f"[{SPACES}]")
         self.pieces = regex.compile(inside)
         self.crowded = regex.compile(f" [{SPACES}]|[{SPACES}] ")
-        self.words = Memo(lambda word: self.encode_pieces(" " + word), REMEMBERED)
-        # the same piece occurs in many words, with this or that mark behind it
-        self.known_pieces = Memo(lambda piece: b"".join([self.id_bytes[r] for r in self.ranks(piece.encode())]), REMEMBERED)
-
-        texts = {int(i): token for token, i in zip(rank_of, ids, strict=True)} | {x["id"]: x["content"].encode() for x in spec["added_tokens"]}
-        size = max(texts) + 1
-        self.known = np.zeros(size, dtype=bool)
-        self.known[list(texts)] = True
-        lengths = np.array([len(texts.get(i, b"")) for i in range(size)])
-        self.offsets = np.concatenate([[0], np.cumsum(lengths)])
-        self.blob = np.frombuffer(b"".join(texts.get(i, b"") for i in range(size)), dtype=np.uint8)
+        self.words = Memo(self.encode_word, 2 * REMEMBERED)
+        self.marks = Memo(self.encode_piece, REMEMBERED // 4)
 
     def fits(self, left: int, right: int) -> bool:
         """Whether merging the bytes of both tokens leaves just these two.
@@ -90,32 +89,29 @@ class Codec:
         Undo merges, latest first, on both sides of the seam: had the symbols at the seam a merge that ranks
         before the one undone last, it would have come first.
         """
-        if (known := self.compatible.get((left, right))) is not None:
-            return known
         a, b, bound, good = left, right, len(self.parts), True
+        joined, parts = self.joined, self.parts
         while True:
-            if self.joined.get((a, b), bound) < bound:
+            if joined.get((a, b), bound) < bound:
                 good = False
                 break
-            if self.parts[a] is None and self.parts[b] is None:
+            # at equal ranks the left pair merges first; if a > b, what merged a came later than what merged b
+            halves = parts[a] if a > b else parts[b]
+            if halves is None:
                 break
-            if a > b:  # what merged a came later than what merged b
-                if self.parts[a] is None:
-                    break
-                bound, a = a, self.parts[a][1]
+            if a > b:
+                bound, a = a, halves[1]
             else:
-                if self.parts[b] is None:
-                    break
-                bound, b = b + 1, self.parts[b][0]  # at equal ranks the left pair merges first
+                bound, b = b + 1, halves[0]
         if len(self.compatible) > 4 * REMEMBERED:
             self.compatible.clear()
-        self.compatible[left, right] = good
+        self.compatible[left << 32 | right] = good
         return good
 
     def ranks(self, piece: bytes) -> list[int]:
         """The tokens of a piece, as ranks."""
-        n, longest = len(piece), [0] * len(piece)
-        length = self.length
+        n, longest = len(piece), list(piece)
+        length, shorter, known = self.length, self.shorter, self.compatible.get
         for end, rank in self.automaton.iter(piece.decode("latin-1")):
             longest[end + 1 - length[rank]] = rank  # ends ascend, so the last is the longest
         if length[longest[0]] == n:
@@ -125,21 +121,35 @@ class Codec:
         at, rank = 0, longest[0]
         while at < n:
             end = at + length[rank]
-            if not refuted[end] and (not out or self.fits(out[-1], rank)):
+            good = not refuted[end]
+            if good and out and (good := known(out[-1] << 32 | rank)) is None:
+                good = self.fits(out[-1], rank)
+            if good:
                 out.append(rank)
                 at = end
                 if at < n:
                     rank = longest[at]
                 continue
-            rank = self.shorter[rank]
+            rank = shorter[rank]
             if rank < 0:
                 refuted[at] = 1
                 rank = out.pop()  # it now ends at a refuted place, so a shorter one follows
                 at -= length[rank]
         return out
 
+    def encode_piece(self, piece: str) -> bytes:
+        return b"".join([self.id_bytes[r] for r in self.ranks(piece.encode())])
+
+    def join_pieces(self, pieces: list[str]) -> bytes:
+        return b"".join([self.words[p[1:]] if p[0] == " " else self.marks[p] for p in pieces])
+
     def encode_pieces(self, text: str) -> bytes:
-        return b"".join(map(self.known_pieces.__getitem__, self.pieces.findall(text)))
+        return self.join_pieces(self.pieces.findall(text))
+
+    def encode_word(self, word: str) -> bytes:
+        """A word with the space before it; with marks around it, it is put together from its pieces."""
+        pieces = self.pieces.findall(" " + word)
+        return self.encode_piece(pieces[0]) if len(pieces) == 1 else self.join_pieces(pieces)
 
     def encode_plain(self, text: str) -> bytes:
         """Words between single spaces are encoded on their own, since no piece crosses such a space."""
@@ -158,6 +168,19 @@ class Codec:
         parts = self.special_at.split(text)
         return np.frombuffer(b"".join(self.special.get(p) or self.encode_plain(p) for p in parts), dtype="<i4")
 
+
+class Decoder:
+    """Decoder for one vocabulary file: all tokens in one byte string, by offsets."""
+
+    def __init__(self, path: str):
+        spec, back = _spec(path)
+        texts = {i: bytes(back[c] for c in token) for token, i in spec["model"]["vocab"].items()} | {x["id"]: x["content"].encode() for x in spec["added_tokens"]}
+        size = max(texts) + 1
+        self.known = np.zeros(size, dtype=bool)
+        self.known[list(texts)] = True
+        self.offsets = np.concatenate([[0], np.cumsum([len(texts.get(i, b"")) for i in range(size)])])
+        self.blob = np.frombuffer(b"".join(texts.get(i, b"") for i in range(size)), dtype=np.uint8)
+
     def decode(self, ids: np.ndarray) -> str:
         if not len(ids):
             return ""
@@ -170,6 +193,21 @@ class Codec:
         return self.blob[where].tobytes().decode("utf-8", errors="replace")
 
 
+class Codec:
+    """Both directions of one vocabulary file; the tables of each are made when it is first used."""
+
+    def __init__(self, path: str):
+        self.path = path
+
+    @cached_property
+    def encode(self) -> Callable[[str | None], np.ndarray]:
+        return Encoder(self.path).encode
+
+    @cached_property
+    def decode(self) -> Callable[[np.ndarray], str]:
+        return Decoder(self.path).decode
+
+
 @lru_cache(2)
 def codec(path: str) -> Codec:
     return Codec(path)
