@@ -2,16 +2,20 @@
 
 Texts are cut into pieces at punctuation and these into words. In blocks of one language, prefix polynomials over bytes
 give each word a fingerprint, and prefix polynomials over words give one to every run of words. That equal fingerprints in a
-block are equal words is verified there. A block sends one row for each distinct run: the fingerprint, a second one of another
-kind, which is no polynomial, the count, and a pointer (row, byte, length) to an occurrence. A shuffle adds the counts by
-both and keeps one pointer; what shares the first fingerprint but not the second is told apart. Only the pointers of
-frequent phrases are followed into the texts, and counts are added anew by text. So phrases of different blocks are
-taken for one only if both fingerprints, 128 bits, agree.
+block are equal words is verified there. A block sends one row for each distinct run: the fingerprint, SECOND bits of one of
+another kind, which is no polynomial, the count, and the part of the table in which it stands. A shuffle adds the counts by
+both and keeps the least part; what shares the first fingerprint but not the second is told apart. At last the texts are read
+once more, and frequent runs are cut out of them in the part that was kept for each. So phrases of different blocks are
+taken for one only if both fingerprints, 64 and SECOND bits, agree.
+
+What is sent decides over the disk that is taken. A part is the same in all rows of a task and so is nearly free once the
+shuffle is compressed, while the row and place of an occurrence would take half as much again as the fingerprints; texts are not shuffled at all.
 
 Runs are counted by length, the shortest first: a run is only sent if both its parts that are one word shorter may be
 frequent. Tasks know these from a bitmap of 2**FILTER_BITS bits, which is all that is broadcast (4 MB for each length,
 whatever the input). It holds a bit for each frequent fingerprint, so it may let others pass, but never holds back a frequent run;
-with very many frequent runs it fills up and saves less.
+with very many frequent runs it fills up and saves less. Which runs are cut out, and in which part, tasks know from two such bitmaps of
+all lengths, by fingerprints and by fingerprints with parts; what passes both by chance finds no count and goes.
 
 A frequent phrase is scored at each cut by 1000 a n / (l r), in decimals of 38 digits and rounded down; the lowest
 counts. Phrases that lie inside a longer frequent one that is as frequent are dropped: it is enough to look at
@@ -44,6 +48,8 @@ SENT, UNPACKED = 1 << 16, 64
 #: Bytes over which one polynomial runs.
 _SPAN = 1 << 18
 FILTER_BITS = 25
+#: Bits of the second fingerprint that are sent, and a factor that tells parts apart in a bitmap; it stays below 2**31.
+SECOND, _PART = 48, 0x5BD1E995
 #: Parts in which a language's phrases are ranked first.
 PARTS = 64
 _MARKS = b".,;:!?\n\x0b\x0c\r"
@@ -60,7 +66,7 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _size(n: int) -> int:
     """A power of two of at least n, so that few tables of powers are made."""
-    return 1 << max(10, int(n).bit_length())
+    return 1 << max(10, int(n - 1).bit_length())
 
 
 def _mixed(x: np.ndarray, salt: int) -> np.ndarray:
@@ -80,7 +86,8 @@ class Block:
     """Segments (row, first byte, bytes) of one language: the words in them, and fingerprints of runs of words."""
 
     def __init__(self, lang: str, segments: list[tuple[int, int, bytes]]):
-        self.salt = int.from_bytes(hashlib.sha256(lang.encode()).digest()[:8], "little")
+        self.lang, self.salt = lang, int.from_bytes(hashlib.sha256(lang.encode()).digest()[:8], "little")
+        self.key = int(np.uint64(self.salt).view(np.int64))
         raw = b"\n".join(x[2] for x in segments) + b"\n"
         self.raw = np.frombuffer(raw + b"\0" * 8, np.uint8)
         bytes_ = self.raw[: len(raw)]
@@ -91,12 +98,11 @@ class Block:
         self.first = np.flatnonzero(~blank & before)
         self.last = np.flatnonzero(blank & ~before)
         # words of one piece have the same number of line ends before them
-        self.piece = np.cumsum(ends_piece, dtype=np.int32)[self.first]
+        self.piece = np.searchsorted(np.flatnonzero(ends_piece), self.first).astype(np.int32)
         starts = np.cumsum([0, *(len(x[2]) + 1 for x in segments)])[:-1]
         owner = np.searchsorted(starts, self.first, side="right") - 1
         self.owner = owner.astype(np.int32)
         self.row = np.array([x[0] for x in segments], np.int64)
-        self.offset = np.array([x[1] for x in segments], np.int64) - starts
         self.word, self.other = self._fingerprints(bytes_), None
         up, _ = _powers(_WORD_BASE, _size(len(self.word) + 1))
         self.prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.word * up[: len(self.word)], dtype=np.uint64)])
@@ -116,30 +122,35 @@ class Block:
         return _mixed(out, 0x2545F4914F6CDD1D)
 
     def _same(self, one: np.ndarray, other: np.ndarray) -> bool:
-        """Whether words are the same bytes, pair by pair; eight bytes are compared at once."""
-        size = self.last - self.first
-        left = size[one]
-        if (left != size[other]).any():
-            return False
+        """Whether words are the same bytes, pair by pair; eight bytes are compared at once, and SENT pairs."""
         eight, cover = self._eights()
-        a, b = self.first[one], self.first[other]
-        while len(a):
-            if (((eight[a] ^ eight[b]) & cover[np.minimum(left, 8)]) != 0).any():
+        for i in range(0, len(one), SENT):
+            x, y = one[i : i + SENT], other[i : i + SENT]
+            a, b = self.first[x], self.first[y]
+            left = self.last[x] - a
+            if (left != self.last[y] - b).any():
                 return False
-            more = left > 8
-            a, b, left = a[more] + 8, b[more] + 8, left[more] - 8
+            while len(a):
+                if (((eight[a] ^ eight[b]) & cover[np.minimum(left, 8)]) != 0).any():
+                    return False
+                more = left > 8
+                a, b, left = a[more] + 8, b[more] + 8, left[more] - 8
         return True
 
     def second(self, n: int, at: np.ndarray) -> np.ndarray:
         """Fingerprints of another kind of the runs of n words at some places: words are mixed in eight bytes at a time, and runs word by word."""
         if self.other is None:
             eight, cover = self._eights()
-            self.other = _mixed((self.last - self.first).astype(np.uint64), 0xA0761D6478BD642F)
-            words, where, left = np.arange(len(self.first)), self.first, self.last - self.first
-            while len(words):
-                self.other[words] = _mixed(self.other[words] ^ (eight[where] & cover[np.minimum(left, 8)]), 0xE7037ED1A0B428DB)
-                more = left > 8
-                words, where, left = words[more], where[more] + 8, left[more] - 8
+            self.other = np.empty(len(self.first), np.uint64)
+            for i in range(0, len(self.first), SENT):
+                where, out = self.first[i : i + SENT], self.other[i : i + SENT]
+                left = self.last[i : i + SENT] - where
+                words = np.arange(len(where))
+                out[:] = _mixed(left.astype(np.uint64), 0xA0761D6478BD642F)
+                while len(words):
+                    out[words] = _mixed(out[words] ^ (eight[where] & cover[np.minimum(left, 8)]), 0xE7037ED1A0B428DB)
+                    more = left > 8
+                    words, where, left = words[more], where[more] + 8, left[more] - 8
         out = self.other[at] ^ np.uint64(self.salt)
         for k in range(1, n):
             out = _mixed(out * np.uint64(_BYTE_BASE) + self.other[at + k], 0x8EBC6AF09C88C6E3)
@@ -157,7 +168,7 @@ class Block:
         return _mixed((self.prefix[n : n + m] - self.prefix[:m]) * down[:m], self.salt + n & 0xFFFFFFFFFFFFFFFF)
 
     def runs(self, n: int, frequent: np.ndarray | None) -> tuple[np.ndarray, ...]:
-        """(key, count, place, row, at) of the distinct runs of n words that may be frequent: the first word, and the first byte with the length."""
+        """(key, count, place, part) of the distinct runs of n words that may be frequent, by the first word of an occurrence."""
         keys = self.keys(n)
         inside = self.piece[: len(keys)] == self.piece[n - 1 :]
         if frequent is not None:
@@ -166,17 +177,36 @@ class Block:
         at = np.flatnonzero(inside)
         found, index, group, count = np.unique(keys[at], return_index=True, return_inverse=True, return_counts=True)
         first = at[index]
-        if not all(self._same(at + k, first[group] + k) for k in range(n)):
+        like = first[group]
+        del group
+        if not all(self._same(at + k, like + k) for k in range(n)):
             # fingerprints collide, so runs are told apart by their words
             known: dict[tuple[bytes, ...], int] = {}
             words = [tuple(self.raw[self.first[i + k] : self.last[i + k]].tobytes() for k in range(n)) for i in at.tolist()]
             _, index, count = np.unique([known.setdefault(w, len(known)) for w in words], return_index=True, return_counts=True)
             first = at[index]
             found = keys[first]
-        owner = self.owner[first]
-        start = self.first[first] + self.offset[owner]
-        length = self.last[first + n - 1] - self.first[first]
-        return found.view(np.int64), count, first, self.row[owner], start << 32 | length
+        return found.view(np.int64), count, first, self.parts(first)
+
+    def parts(self, at: np.ndarray) -> np.ndarray:
+        """The parts of the table in which some words stand: the partitions that gave their rows a number."""
+        return self.row[self.owner[at]] >> 33
+
+    def chosen(self, n: int, frequent: np.ndarray, named: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(key, second, at) of the distinct runs of n words that bitmaps name in their part: the first byte in the block with the length."""
+        keys = self.keys(n)
+        at = np.flatnonzero((self.piece[: len(keys)] == self.piece[n - 1 :]) & marked(frequent, keys))
+        at = at[marked(named, keys[at] ^ (self.parts(at) * _PART).view(np.uint64))]
+        key, second = keys[at].view(np.int64), self.seconds(n, at)
+        order = np.lexsort((second, key))
+        key, second, at = key[order], second[order], at[order]
+        new = np.append(True, (key[1:] != key[:-1]) | (second[1:] != second[:-1]))[: len(at)]
+        key, second, at = key[new], second[new], at[new]
+        return key, second, self.first[at] << 32 | (self.last[at + n - 1] - self.first[at])
+
+    def seconds(self, n: int, at: np.ndarray) -> np.ndarray:
+        """The bits of second fingerprints that are sent."""
+        return (self.second(n, at) >> np.uint64(64 - SECOND)).view(np.int64)
 
 
 def segments(row: int, data: bytes, block: int) -> Iterator[tuple[int, int, bytes]]:
@@ -222,21 +252,21 @@ def _sent(names: list[str], arrays: list[np.ndarray]) -> Iterator[pa.RecordBatch
 
 
 def grams(texts: DataFrame, n: int, frequent: np.ndarray | None = None, block: int = BLOCK) -> DataFrame:
-    """(key, second, count, row, at) of (row, lang, text): for each block its distinct runs of n words by both fingerprints, with a pointer.
+    """(key, second, count, part) of (row, lang, text): for each block its distinct runs of n words by both fingerprints.
 
-    With the words of a block goes their number, under its language and without a place (at is -1).
+    With the words of a block goes their number, under its language and in no part (-1).
     """
-    names = ["key", "second", "count", "row", "at"]
+    names = ["key", "second", "count", "part"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for found in blocks(batches, block):
             if n == 1:
-                one = lambda x: np.array([x], np.int64)
-                yield from _sent(names, [np.array([found.salt], np.uint64).view(np.int64), one(0), one(len(found.word)), found.row[:1], one(-1)])
-            keys, count, place, row, at = found.runs(n, frequent)
-            yield from _sent(names, [keys, found.second(n, place).view(np.int64), count, row, at])
+                yield from _sent(names, [np.array([x], np.int64) for x in (found.key, 0, len(found.word), -1)])
+            keys, count, place, part = found.runs(n, frequent)
+            second = found.seconds(n, place)
+            yield from _sent(names, [keys, second, count, part])
 
-    return texts.select("row", "lang", "text").mapInArrow(run, "key bigint, second bigint, count bigint, row bigint, at bigint")
+    return texts.select("row", "lang", "text").mapInArrow(run, "key bigint, second bigint, count bigint, part bigint")
 
 
 def bitmap(keys: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
@@ -254,39 +284,66 @@ def bitmap(keys: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
 def phrase_counts(texts: DataFrame, least: int = LEAST, longest: int = LONGEST, bits: int = FILTER_BITS, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(lang, words, phrase, f) of all runs of 1 to `longest` words that occur `least` times or more, and (lang, n) with all words.
 
-    `texts` has row (unique), lang and text, without nulls, and is read once for each length and once more: written, it should be.
+    `texts` has row (unique, by monotonically_increasing_id), lang and text, without nulls, and is read once for each length and once
+    more: written, it should be.
     """
-    frequent, pointers = None, None
+    frequent, counts = None, None
+    known, named = (np.zeros(1 << max(0, bits - 3), np.uint8) for _ in range(2))
     for n in range(1, longest + 1):
-        counted = grams(texts, n, frequent, block).groupBy("key", "second").agg(F.sum("count").alias("count"), F.min("row").alias("row"), F.min_by("at", "row").alias("at"))
-        often = materialise(counted.where((F.col("count") >= least) | (F.col("at") < 0)), f"often{n}")
-        words = F.when(F.col("at") < 0, 0).otherwise(n).alias("words")
-        found = often.select("row", F.struct(words, F.greatest("at", F.lit(0)).alias("at"), "count").alias("x"))
-        pointers = found if pointers is None else pointers.unionByName(found)
-        keys = often.where("at >= 0").select("key")
-        if n == longest or keys.isEmpty():
-            break
+        counted = grams(texts, n, frequent, block).groupBy("key", "second").agg(F.sum("count").alias("count"), F.min("part").alias("part"))
+        often = materialise(counted.where((F.col("count") >= least) | (F.col("part") < 0)), f"often{n}")
+        found = often.select(F.when(F.col("part") < 0, 0).otherwise(n).alias("words"), "key", "second", F.col("count").alias("f"))
+        counts = found if counts is None else counts.unionByName(found)
+        keys = often.where("part >= 0")
         frequent = bitmap(keys, bits)
-    followed = pointers.groupBy("row").agg(F.collect_list("x").alias("pointers")).join(texts, "row").select("lang", "text", "pointers")
-    counted = followed.mapInArrow(_followed, "lang string, words int, phrase string, count bigint")
-    exact = materialise(counted.groupBy("lang", "words", "phrase").agg(F.sum("count").alias("f")).where((F.col("f") >= least) | (F.col("words") == 0)), "phrases")
+        known |= frequent
+        named |= bitmap(keys.select(F.col("key").bitwiseXOR(F.col("part") * F.lit(_PART)).alias("key")), bits)
+        if not frequent.any():
+            break
+    same = ["words", "key", "second"]
+    found = names(texts, n, known, named, block).drop("count").distinct()
+    exact = materialise(counts.join(found, same).select("lang", "words", "phrase", "f"), "phrases")
     return exact.where("words > 0"), exact.where("words = 0").select("lang", F.col("f").alias("n"))
 
 
+def names(texts: DataFrame, longest: int, frequent: np.ndarray, named: np.ndarray, block: int = BLOCK) -> DataFrame:
+    """(lang, words, phrase, count, key, second) of the runs of (row, lang, text) that bitmaps name in their part, and of languages (no words)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in blocks(batches, block):
+            yield from _followed(_pointed(found, longest, frequent, named))
+
+    return texts.select("row", "lang", "text").mapInArrow(run, "lang string, words int, phrase string, count bigint, key bigint, second bigint")
+
+
+def _pointed(found: Block, longest: int, frequent: np.ndarray, named: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows of (lang, text, pointers): the text of a block with SENT pointers at most, one to each run that bitmaps name; the first to none."""
+    lang, text = pa.array([found.lang]), pa.array([found.raw[:-8].tobytes().decode()])
+    nothing = tuple(np.array([x], np.int64) for x in (found.key, 0, 0))
+    for n in range(longest + 1):
+        key, second, at = found.chosen(n, frequent, named) if n else nothing
+        for i in range(0, len(key), SENT):
+            columns = [pa.array(x[i : i + SENT]) for x in (np.full(len(key), n, np.int32), at, np.ones(len(key), np.int64), key, second)]
+            pointers = pa.StructArray.from_arrays(columns, names=["words", "at", "count", "key", "second"])
+            yield pa.RecordBatch.from_arrays([lang, text, pa.ListArray.from_arrays([0, len(pointers)], pointers)], names=["lang", "text", "pointers"])
+
+
 def _followed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The phrases that pointers name, in rows of (lang, text, pointers)."""
+    """The phrases that pointers name, in rows of (lang, text, pointers); what else pointers bear tells equal phrases apart."""
     for batch in batches:
-        counts: dict[tuple[str, int, bytes], int] = {}
+        counts: dict[tuple, int] = {}
+        more = [f.name for f in batch.column(2).type.value_type if f.name not in ("words", "at", "count")]
         for i in range(batch.num_rows):
             data = batch.column(1)[i].as_py().encode().translate(_TABLE)
             lang, pointers = batch.column(0)[i].as_py(), batch.column(2)[i].values
-            for words, at, count in zip(*(pointers.field(c).to_pylist() for c in ("words", "at", "count")), strict=True):
+            for words, at, count, *rest in zip(*(pointers.field(c).to_pylist() for c in ("words", "at", "count", *more)), strict=True):
                 start = at >> 32
-                key = lang, words, b" ".join(filter(None, data[start : start + (at & 0xFFFFFFFF)].split(b" ")))
+                key = lang, words, b" ".join(filter(None, data[start : start + (at & 0xFFFFFFFF)].split(b" "))), *rest
                 counts[key] = counts.get(key, 0) + count
         yield pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.int32()), pa.array([k[2].decode() for k in counts], pa.string()), pa.array(list(counts.values()), pa.int64())],
-            names=["lang", "words", "phrase", "count"],
+            [pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.int32()), pa.array([k[2].decode() for k in counts], pa.string()), pa.array(list(counts.values()), pa.int64())]
+            + [pa.array([k[3 + j] for k in counts], pa.int64()) for j in range(len(more))],
+            names=["lang", "words", "phrase", "count", *more],
         )
 
 
@@ -324,7 +381,7 @@ def top(found: DataFrame, best: int = BEST, parts: int = PARTS) -> DataFrame:
 def mine(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, best: int = BEST, bits: int = FILTER_BITS, block: int = BLOCK) -> DataFrame:
     """The best collocations of each language of (lang, text)."""
     full = docs.where(F.col("text") != "").select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
-    texts = materialise(full.select(F.monotonically_increasing_id().alias("row"), "lang", "text"), "texts")
+    texts = materialise(full.select(F.monotonically_increasing_id().alias("row"), "lang", "text"), "texts", "zstd")
     phrases, totals = phrase_counts(texts, least, longest, bits, block)
     return top(collocations(phrases, totals), best)
 

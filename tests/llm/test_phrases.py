@@ -1,3 +1,4 @@
+import os
 import random
 import re
 from collections import Counter
@@ -119,3 +120,30 @@ def test_empty_table_and_extra_columns(spark):
     assert C.op12_phrases(spark.createDataFrame([("en", "few words")], SCHEMA)).count() == 0
     frame = spark.createDataFrame([("en", "a b.", 1, "x", "y")] * 120, SCHEMA + ", row int, key string, phrase string")
     assert got(C.op12_phrases(frame)) == {("en", 1): ("a b", 120, 120, 120, 240, 2000)}
+
+
+def test_what_is_sent_is_small(spark):
+    """Fingerprints, counts and parts are shuffled, and no texts: about as many bytes as the table has, not twice as many."""
+    path = "/root/testdata/sf0.01/documents.parquet"
+    spark.sparkContext.setJobGroup("sent", "what op12 sends")
+    C.op12_phrases(spark.read.parquet(path)).collect()
+    spark.sparkContext.setJobGroup("", "")
+    tracker, store = spark.sparkContext.statusTracker(), spark.sparkContext._jsc.sc().statusStore()
+    stages = {i for job in tracker.getJobIdsForGroup("sent") for i in tracker.getJobInfo(job).stageIds if tracker.getStageInfo(i)}
+    sent = sum(store.lastStageAttempt(i).shuffleWriteBytes() for i in stages)
+    assert 0.3 * os.path.getsize(path) < sent < 1.4 * os.path.getsize(path)
+
+
+def test_names_are_cut_in_slices(monkeypatch):
+    """Every run is cut out once, however few pointers go together, and only in the part that the bitmap names."""
+    monkeypatch.setattr(C, "SENT", 3)
+    found = C.Block("en", [(0, 0, b"a b a b\nc"), (1 << 33, 0, b"a b x")])
+    full = np.full(1 << 10, 255, np.uint8)
+    cut = [x for batch in C._followed(C._pointed(found, 2, full, full)) for x in batch.to_pylist()]
+    assert sorted((x["words"], x["phrase"]) for x in cut) == [(0, ""), (1, "a"), (1, "b"), (1, "c"), (1, "x"), (2, "a b"), (2, "b a"), (2, "b x")]
+    first = np.zeros(1 << 10, np.uint8)
+    for n in (1, 2):
+        for k in found.runs(n, None)[0].view(np.uint64) & np.uint64(8191):
+            first[int(k) >> 3] |= 1 << (int(k) & 7)
+    cut = [x["phrase"] for batch in C._followed(C._pointed(found, 2, full, first)) for x in batch.to_pylist()]
+    assert sorted(x for x in cut if "x" not in x) == ["", "a", "a b", "b", "b a", "c"] and not {"x", "b x"} & set(cut)
